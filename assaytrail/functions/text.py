@@ -91,7 +91,7 @@ def without_phrases(text: Column, phrases: list[str]) -> Column:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit("(?i)" + pattern), 0)
+    return F.regexp_extract_all(text, F.lit("(?iU)" + pattern), 0)
 
 
 def brand_pattern() -> str:
@@ -100,3 +100,18 @@ def brand_pattern() -> str:
 
 def month_year(date: Column) -> Column:
     return F.date_format(date, "MMM yyyy")
+
+
+def short_number(v: Column, digits: int = 4) -> Column:
+    """A number to ``digits`` significant figures without trailing zeros."""
+    out = F.round(v, 0)
+    for power in range(digits - 1, -5, -1):
+        out = F.when(F.abs(v) >= 10.0 ** power, out).otherwise(F.round(v, digits - power))
+    text = F.regexp_replace(out.cast("decimal(38,10)").cast("string"), "0+$", "")
+    return F.regexp_replace(text, r"\.$", "")
+
+
+def on_day(value: Column, unit: str, date: Column) -> Column:
+    """ "8.9% on 12 Jun 2023" """
+    gap = "" if unit in ("", "%") else " "
+    return F.concat(short_number(value), F.lit(gap + unit + " on "), F.date_format(date, "dd MMM yyyy"))

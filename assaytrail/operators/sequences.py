@@ -74,3 +74,15 @@ def previous_row(df: DataFrame, keys: list[str], chunk: str, order: list[str], c
     out = df.withColumn("_near", F.lag(packed).over(inside)).join(before, [*keys, chunk])
     prev = F.coalesce("_near", "_carry")
     return out.select(*df.columns, *[prev[c].alias(f"prev_{c}") for c in columns])
+
+
+def after_last_break(df: DataFrame, keys: list[str], chunk: str, order: list[str], is_break: Column) -> DataFrame:
+    """Rows after the last row of each key for which ``is_break`` holds, in (chunk, order)."""
+    place = F.struct(*order)
+    inside = Window.partitionBy(*keys, chunk)
+    rows = df.withColumn("_break", F.max(F.when(is_break, place)).over(inside))
+    chunks = df.groupBy(*keys, chunk).agg(F.bool_or(is_break).alias("_has"))
+    last = F.max(F.when(F.col("_has"), F.col(chunk))).over(Window.partitionBy(*keys))
+    kept = chunks.withColumn("_last", last).filter(F.col("_last").isNull() | (F.col(chunk) >= F.col("_last")))
+    return (rows.join(kept.select(*keys, chunk), [*keys, chunk])
+            .filter(F.col("_break").isNull() | (place > F.col("_break"))).drop("_break"))

@@ -6,9 +6,11 @@ documents / conversations -> texts, lines and words. Every row of a source table
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import dictionary as d
+
 AS_OF = "2018-01-01"          # the day every time-dependent query is run for
 
 # Two results per line item: (analyte, typical value in thousandths), chosen by part and by supplier.
@@ -112,14 +114,94 @@ def printed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(style == 5, F.concat(F.lit("5,"), (cents % 10).cast("string")))
              .when(style == 6, F.concat(F.lit(">= "), plain)).otherwise(plain))
     unit = _choose(which, [u for _, u in PRINTED_TESTS])
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return read(spark, sf_dir, "lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("observation_id"),
-        F.col("l_orderkey").alias("report_id"), F.lit(1).alias("page"), F.col("l_linenumber").alias("line"),
+        F.col("l_orderkey").alias("report_id"), F.lit(1).alias("page"), F.row_number().over(place).alias("line"),
         _choose(which, [n for n, _ in PRINTED_TESTS]).alias("test_text"), value.alias("value_text"),
         F.when(F.col("l_tax") == 0.01, "").otherwise(unit).alias("unit_text"),
         F.when(F.col("l_returnflag") == "N", "1 - 2").otherwise("").alias("range_text"))
 
 
+def labelled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printed rows as labelled tokens, with the tags of a tagger that makes some mistakes."""
+    printed = printed_results(spark, sf_dir)
+    parts = [("TEST", "test_text"), ("VALUE", "value_text"), ("UNIT", "unit_text"), ("RANGE", "range_text")]
+
+    def tokens(c: str) -> Column:
+        return F.filter(F.split(F.col(c), " +"), lambda t: t != "")
+
+    def tags(kind: str, c: str) -> Column:
+        return F.transform(tokens(c), lambda t, i: F.concat(F.when(i == 0, "B-").otherwise("I-"), F.lit(kind)))
+
+    gold = F.concat(*[tags(k, c) for k, c in parts])
+    miss = F.transform(gold, lambda t: F.when(t.endswith("UNIT") & F.col("value_text").contains("*"), "O").when(
+        (t == "B-VALUE") & F.col("value_text").startswith(">"), "B-RANGE").otherwise(t))
+    split = F.when(F.col("report_id") % 10 == 0, "val").when(F.col("report_id") % 10 == 1, "test").otherwise("train")
+    family = F.concat(F.lit("family "), (F.col("report_id") % 10).cast("string"))
+    return printed.select("observation_id", "report_id", "page", "line", split.alias("split"), family.alias("layout_family"),
+                          F.concat(*[tokens(c) for _, c in parts]).alias("tokens"), gold.alias("tags"),
+                          miss.alias("predicted"), "test_text", "value_text", "unit_text")
+
+
+def printed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of one page per report: a table header and the printed rows below it, in four columns."""
+    x0 = {"test_text": 30.0, "value_text": 260.0, "unit_text": 350.0, "range_text": 450.0}
+    printed = printed_results(spark, sf_dir)
+    pieces = F.array(*[F.struct(F.lit(x).alias("x"), F.split(F.trim(F.regexp_replace(c, " +", " ")), " ").alias("t"))
+                       for c, x in x0.items()])
+    rows = (printed.select("report_id", "line", F.explode(pieces).alias("p"))
+            .select("report_id", "line", "p.x", "p.t", F.posexplode("p.t").alias("i", "text")).filter(F.col("text") != ""))
+    before = F.aggregate(F.slice("t", F.lit(1), F.col("i")), F.lit(0), lambda n, t: n + F.length(t) + 1)
+    start = F.col("x") + before * 5.0
+    body = rows.select(F.col("report_id").alias("doc_id"), F.lit(1).alias("page"), "text", start.alias("x0"),
+                       (start + F.length("text") * 5.0).alias("x1"), (100.0 + F.col("line") * 14.0).alias("top"))
+    titles = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(x).alias("x0")) for t, x in (
+        ("Investigation", 30.0), ("Result", 260.0), ("Unit", 350.0), ("Reference", 450.0), ("Range", 500.0))])
+    head = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"),
+                                                F.explode(titles).alias("w"))
+    head = head.select("doc_id", "page", "w.text", "w.x0", (F.col("w.x0") + F.length("w.text") * 5.0).alias("x1"),
+                       F.lit(90.0).alias("top"))
+    return body.unionByName(head).withColumn("bottom", F.col("top") + 9.0)
+
+
+def header_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines above a report's table: lab, patient, dates in several forms."""
+    date = _scaled_date()
+    key = F.col("o_orderkey")
+    form = key % 7
+
+    def shown(pattern: str) -> Column:
+        return F.date_format(date, pattern)
+
+    collected = (F.when(form == 0, F.concat(F.lit("Sample Collected On : "), shown("dd-MM-yyyy"), F.lit(" 11:38 AM")))
+                 .when(form == 1, F.concat(F.lit("Collected: "), shown("yyyy-MM-dd")))
+                 .when(form == 2, F.concat(F.lit("Collection Date & Time : "), shown("dd/MM/yy"), F.lit("08:40")))
+                 .when(form == 3, F.concat(F.lit("Coll. "), shown("dd.MM.yyyy")))
+                 .when(form == 4, F.lit("Collected At Home"))
+                 .when(form == 5, F.lit("Sample Collected On : 31/02/2016")).otherwise(F.lit("Age / Sex : 44 Y")))
+    reported = F.concat(F.lit("Reported On : "), F.date_format(F.date_add(date, 1), "dd/MM/yyyy"))
+    lab = (F.when(key % 5 == 0, "Vedhya Diagnostic Centre").when(key % 5 == 1, "Tel No :12345 Sample :EXAMPLE HEALTHCARE LTD")
+           .when(key % 5 == 2, "Lab Director").when(key % 5 == 3, "Ref by Dr. Sunrise Clinic").otherwise("Sai Krupa Path Labs, Pune"))
+    rows = F.array(*[F.struct(F.lit(i).alias("line"), t.alias("text")) for i, t in enumerate((lab, collected, reported), 1)])
+    return read(spark, sf_dir, "orders").select(key.alias("doc_id"), F.lit(1).alias("page"), F.explode(rows).alias("r")).select(
+        "doc_id", "page", "r.line", "r.text")
+
+
+def panel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests of a blood-count or liver panel printed on each order, one per line item."""
+    cbc = d.lists(d.PANELS)["CBC"]
+    lft = d.lists(d.PANELS)["LFT"]
+    cell = F.col("l_partkey") % 13
+    liver = F.col("l_partkey") % 9
+    panel = F.when(F.col("l_linestatus") == "O", "CBC").otherwise("LFT")
+    test = F.when(F.col("l_linestatus") == "O", _choose(cell, cbc)).otherwise(_choose(liver, lft))
+    known = [r[0] for r in d.table(d.ANALYTES)]
+    return read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("report_id"), panel.alias("panel"), test.alias("test_id"), F.col("l_quantity").alias("value"),
+        F.when(test.isin(known), test).alias("analyte_id"))
+
+
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as printed lines: 40 lines to a page, 12 points apart."""
     lines = read(spark, sf_dir, "documents").select(
