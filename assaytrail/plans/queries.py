@@ -161,7 +161,7 @@ def result_table(lab: Lab) -> DataFrame:
 @lab_query
 def noise_band(lab: Lab) -> DataFrame:
     return U.noise_band(lab.summaries, lab.points).select(
-        *SERIES, F.round("noise_percent", 4).alias("noise_percent"), F.round("threshold_line", 4).alias("threshold_line"))
+        *SERIES, F.round("noise_percent", 4).alias("noise_percent"), F.round("threshold_line", 7).alias("threshold_line"))
 
 
 @lab_query
@@ -210,7 +210,7 @@ def name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def unit_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = N.convert(N.match_names(A.printed_results(spark, sf_dir)))
-    return rows.select("report_id", "line", "analyte_id", F.round("canonical_value", 4).alias("canonical_value"), "status",
+    return rows.select("report_id", "line", "analyte_id", F.round("canonical_value", 6).alias("canonical_value"), "status",
                        "status_reason")
 
 
@@ -257,7 +257,7 @@ def _review(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lines = A.read(spark, sf_dir, "lineitem")
     kind = F.col("l_quantity").cast("int") % 10
     edits = lines.filter(F.col("l_returnflag") == "A").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("observation_id"),
+        A.line_item_id().alias("observation_id"),
         (kind == 0).alias("reject"), F.when(kind == 1, "7.5").alias("value_text"), F.when(kind == 2, "mg/dL").alias("unit_text"),
         kind.isin(3, 4).alias("sets_analyte"), F.when(kind == 3, "fasting_glucose").alias("analyte_id"))
     edits = D.first_copies(edits, ["observation_id"], ["reject", "value_text", "unit_text", "analyte_id"])
@@ -273,7 +273,7 @@ def _review(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def review_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = _review(spark, sf_dir)
     return rows.select("report_id", "line", "test_text", "analyte_id", "match", "status",
-                       F.round("canonical_value", 4).alias("canonical_value"))
+                       F.round("canonical_value", 6).alias("canonical_value"))
 
 
 @query
@@ -401,8 +401,7 @@ def review_groups(lab: Lab) -> DataFrame:
 @lab_query
 def headline(lab: Lab) -> DataFrame:
     return U.headlines(lab.points, lab.summaries, lab.slopes).select(
-        "patient_id", "system_id", "latest_date", r6("latest_value"), "latest_comparator", "latest_report",
-        F.round("baseline", 4).alias("baseline"), "change_vs_baseline", "per_year", "target_direction")
+        "patient_id", "system_id", "latest_date", r6("latest_value"), "latest_comparator", "latest_report", "baseline", "change_vs_baseline", "per_year", "target_direction")
 
 
 @lab_query

@@ -47,6 +47,12 @@ def _scaled_date(col: str = "o_orderdate") -> Column:
     return F.date_add(F.lit("2015-01-01").cast("date"), F.floor(days / 3).cast("int"))
 
 
+def line_item_id() -> Column:
+    """Order and line number do not identify a line item; with part, supplier and price they do."""
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                       F.round(F.col("l_extendedprice") * 100).cast("bigint"))
+
+
 def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     text = _choose(key % 5, CONDITION_SETS)
@@ -87,8 +93,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         typical = _choose(selector, [t for _, t in options]).cast("bigint")
         scaled = typical * (F.lit(42000000).cast("bigint") + 15 * cents)
         milli = (scaled - scaled % 105000000) / 105000000
-        ident = F.concat_ws("-", F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"),
-                            F.lit(slot))
+        ident = F.concat_ws("-", line_item_id(), F.lit(slot))
         return F.struct(ident.alias("observation_id"), analyte.alias("analyte_id"),
                         (milli / 1000).alias("canonical_value"), (F.col("l_linenumber") * 2 + slot).alias("line"))
 
@@ -116,7 +121,7 @@ def printed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = _choose(which, [u for _, u in PRINTED_TESTS])
     place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return read(spark, sf_dir, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("observation_id"),
+        line_item_id().alias("observation_id"),
         F.col("l_orderkey").alias("report_id"), F.lit(1).alias("page"), F.row_number().over(place).alias("line"),
         _choose(which, [n for n, _ in PRINTED_TESTS]).alias("test_text"), value.alias("value_text"),
         F.when(F.col("l_tax") == 0.01, "").otherwise(unit).alias("unit_text"),
