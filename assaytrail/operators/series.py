@@ -29,11 +29,12 @@ def day_values(points_df: DataFrame) -> DataFrame:
 
     Partial aggregation shrinks a busy patient before the shuffle, and the result holds at most one row per
     calendar day and series; all later windows run on this table. Whether several days share one lab
-    follows from the two lab names, so no set of labs is collected.
+    follows from the two lab names, so no set of labs is collected. Canonical values carry at most six
+    decimals, so the mean is taken over decimals: exact, and the same in whatever order rows arrive.
     """
     lab = F.coalesce("lab", F.lit(NO_LAB))
     return (points_df.filter(F.col("comparator").isNull()).groupBy(*SERIES, "date")
-            .agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n_values"),
+            .agg(F.avg(F.col("value").cast("decimal(24,6)")).cast("double").alias("value"), F.count(F.lit(1)).alias("n_values"),
                  F.min(lab).alias("lab_lo"), F.max(lab).alias("lab_hi"),
                  F.min("report_id").alias("first_report"), F.max("report_id").alias("last_report")))
 
@@ -71,59 +72,67 @@ def event_bounds(effects: DataFrame) -> DataFrame:
         F.min("date").alias("first_event"), F.max(F.when(starts, F.col("window_end"))).alias("cutoff"))
 
 
+NEIGHBOURS = ("date", "value", "lab_lo", "lab_hi")
+
+
 def steps(days: DataFrame) -> DataFrame:
     """Day values with their neighbours: the previous two days and the next one."""
     w = Window.partitionBy(*SERIES).orderBy("date")
-    out = days
-    for name, shift in (("prev", 1), ("prev2", 2), ("next", -1)):
-        for c in ("date", "value", "lab_lo", "lab_hi"):
-            out = out.withColumn(f"{name}_{c}", F.lag(c, shift).over(w))
-    return out.withColumn("position", F.row_number().over(w))
+    near = [F.lag(c, shift).over(w).alias(f"{name}_{c}") for name, shift in (("prev", 1), ("prev2", 2), ("next", -1))
+            for c in NEIGHBOURS]
+    return days.select("*", *near, F.row_number().over(w).alias("position"))
 
 
-def summaries(days: DataFrame, bounds: DataFrame) -> DataFrame:
-    """One row per series: baseline, latest day and the straight line after the last effect window.
+def frame(days: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Day values with neighbours, and on every row the baseline and the straight line of its series.
 
     Days before the first event are a prefix of the series, so the baseline days are the first two or three
-    rows and need no second pass. One shuffle by series feeds the join, the window and the aggregation.
+    rows and need no second pass. One shuffle by series feeds the join and all windows.
     """
-    w = Window.partitionBy(*SERIES).orderBy("date")
+    whole = Window.partitionBy(*SERIES)
     epoch = F.lit("1970-01-01").cast("date")
     used = F.col("cutoff").isNull() | (F.col("date") > F.col("cutoff"))
-    x = F.when(used, num.years(F.datediff("date", epoch)))
-    y = F.when(used, F.col("value"))
-    used_date = F.when(used, F.col("date"))
+    before_event = F.col("first_event").isNull() | (F.col("date") < F.col("first_event"))
+    rows = steps(days).join(bounds, SERIES, "left").select(
+        "*", F.when(used, num.years(F.datediff("date", epoch))).alias("x"), F.when(used, F.col("value")).alias("y"),
+        F.when(used, F.col("date")).alias("used_date"), before_event.alias("before_event"))
 
     def nth(c: str, n: int):
-        return F.max(F.when(F.col("position") == n, F.col(c)))
-
-    before_event = F.col("first_event").isNull() | (F.col("date") < F.col("first_event"))
-    agg = (days.join(bounds, SERIES, "left").withColumn("position", F.row_number().over(w)).groupBy(*SERIES).agg(
-        F.count(F.lit(1)).cast("int").alias("n_days"), F.count_if(before_event).alias("n_before_event"),
-        *[nth(c, n).alias(f"{c}{n}") for n in (1, 2, 3) for c in ("value", "date", "lab_lo", "lab_hi")],
-        F.max("date").alias("latest_date"), F.max_by("value", "date").alias("latest_value"),
-        F.max_by("lab_lo", "date").alias("latest_lab_lo"), F.max_by("lab_hi", "date").alias("latest_lab_hi"),
-        F.max("cutoff").alias("cutoff"), F.count(x).cast("int").alias("n_points"),
-        F.min(used_date).alias("first_used"), F.max(used_date).alias("last_used"),
-        F.min_by(y, used_date).alias("first_used_value"), F.max_by(y, used_date).alias("last_used_value"),
-        F.min(F.when(used, F.col("lab_lo"))).alias("used_lab_lo"),
-        F.max(F.when(used, F.col("lab_hi"))).alias("used_lab_hi"),
-        F.regr_slope(y, x).alias("line_slope"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"),
-        F.regr_sxx(y, x).alias("sxx"), F.regr_sxy(y, x).alias("sxy"), F.regr_syy(y, x).alias("syy")))
+        return F.max(F.when(F.col("position") == n, F.col(c))).over(whole).alias(f"{c}{n}")
+
+    rows = rows.select(
+        "*", F.count(F.lit(1)).over(whole).cast("int").alias("n_days"),
+        F.count_if("before_event").over(whole).alias("n_before_event"),
+        *[nth(c, n) for n in (1, 2, 3) for c in NEIGHBOURS],
+        F.count("x").over(whole).cast("int").alias("n_points"),
+        F.min("used_date").over(whole).alias("first_used"), F.max("used_date").over(whole).alias("last_used"),
+        F.min_by("y", "used_date").over(whole).alias("first_used_value"),
+        F.max_by("y", "used_date").over(whole).alias("last_used_value"),
+        F.min(F.when(F.col("x").isNotNull(), F.col("lab_lo"))).over(whole).alias("used_lab_lo"),
+        F.max(F.when(F.col("x").isNotNull(), F.col("lab_hi"))).over(whole).alias("used_lab_hi"),
+        F.regr_slope("y", "x").over(whole).alias("line_slope"), F.avg("x").over(whole).alias("mean_x"),
+        F.avg("y").over(whole).alias("mean_y"), F.regr_sxx("y", "x").over(whole).alias("sxx"),
+        F.regr_sxy("y", "x").over(whole).alias("sxy"), F.regr_syy("y", "x").over(whole).alias("syy"))
 
     enough = F.col("n_days") >= 2
     size = F.when(F.col("n_before_event") >= 2, F.least(F.col("n_before_event"), F.lit(3))).otherwise(
         F.least(F.col("n_days"), F.lit(3)))
-    middle = F.element_at(F.array_sort(F.array("value1", "value2", "value3")), 2)
-    base = F.when(F.col("baseline_n") == 3, middle).when(F.col("baseline_n") == 2,
-                                                         (F.col("value1") + F.col("value2")) / 2)
+    rows = rows.withColumn("baseline_n", F.when(enough, size.cast("int")).otherwise(0))
     third = F.col("baseline_n") == 3
-    return (agg.withColumn("baseline_n", F.when(enough, size.cast("int")).otherwise(0))
-            .withColumn("baseline", base)
-            .withColumn("baseline_note", F.when(enough & (F.col("n_before_event") < 2), "includes on-treatment results"))
-            .withColumn("baseline_first", F.when(enough, F.col("date1")))
-            .withColumn("baseline_last", F.when(third, F.col("date3")).when(enough, F.col("date2")))
-            .withColumn("baseline_lab_lo", F.when(third, F.least("lab_lo1", "lab_lo2", "lab_lo3"))
-                        .when(enough, F.least("lab_lo1", "lab_lo2")))
-            .withColumn("baseline_lab_hi", F.when(third, F.greatest("lab_hi1", "lab_hi2", "lab_hi3"))
-                        .when(enough, F.greatest("lab_hi1", "lab_hi2"))))
+    middle = F.element_at(F.array_sort(F.array("value1", "value2", "value3")), 2)
+    return rows.withColumns({
+        "baseline": F.when(third, middle).when(enough, (F.col("value1") + F.col("value2")) / 2),
+        "baseline_note": F.when(enough & (F.col("n_before_event") < 2), "includes on-treatment results"),
+        "baseline_first": F.when(enough, F.col("date1")),
+        "baseline_last": F.when(third, F.col("date3")).when(enough, F.col("date2")),
+        "baseline_lab_lo": F.when(third, F.least("lab_lo1", "lab_lo2", "lab_lo3")).when(
+            enough, F.least("lab_lo1", "lab_lo2")),
+        "baseline_lab_hi": F.when(third, F.greatest("lab_hi1", "lab_hi2", "lab_hi3")).when(
+            enough, F.greatest("lab_hi1", "lab_hi2")),
+    })
+
+
+def summaries(frame_df: DataFrame) -> DataFrame:
+    """One row per series: its latest day with baseline and line."""
+    last = frame_df.filter(F.col("next_date").isNull())
+    return last.withColumnsRenamed({c: f"latest_{c}" for c in NEIGHBOURS})

@@ -9,7 +9,7 @@ from ..functions import numbers as num
 from ..functions import text as tx
 from ..sources import dictionary as d
 from ..sources import dimensions as dim
-from .sequences import asof, previous_row, within_days
+from .sequences import previous_row, within_days
 from .series import NO_LAB, SERIES
 
 SLOPE_MIN_POINTS, SLOPE_MIN_DAYS = 3, 365
@@ -29,20 +29,7 @@ def _with_analyte(df: DataFrame) -> DataFrame:
             .join(dim.targets(spark).select("analyte_id", "target_low", "target_high"), "analyte_id", "left"))
 
 
-def _change_flags(df: DataFrame, rule: str, label: str) -> DataFrame:
-    """Rows whose change from ``ref_value`` is strictly beyond the reference change value."""
-    change = num.pct_change(F.col("value"), F.col("ref_value"))
-    return (_with_analyte(df).filter(F.col("rcv_percent").isNotNull())
-            .withColumn("change_percent", change).filter(F.abs("change_percent") > F.col("rcv_percent"))
-            .withColumn("rule_id", F.lit(rule)).withColumn("level", F.lit("change"))
-            .withColumn("compared_with", F.lit(label))
-            .withColumn("direction", F.when(F.col("change_percent") > 0, "rise").otherwise("fall"))
-            .withColumn("change_abs", F.round(F.col("value") - F.col("ref_value"), 4))
-            .withColumn("target_direction", num.target_direction(F.col("ref_value"), F.col("value"),
-                                                                 F.col("target_low"), F.col("target_high"))))
-
-
-def lab_change(steps: DataFrame) -> DataFrame:
+def lab_change(rows: DataFrame, applies: Column) -> DataFrame:
     """For steps between two single labs: whether a neighbouring result of one of the labs agrees.
 
     The next result decides when it is from the earlier lab, else the one before when it is from the later
@@ -55,79 +42,111 @@ def lab_change(steps: DataFrame) -> DataFrame:
     def within(new: Column, ref: Column) -> Column:
         return F.coalesce(F.abs(num.pct_change(new, ref)) <= F.col("rcv_percent"), F.lit(False))
 
-    changed = single("").isNotNull() & single("prev_").isNotNull() & (single("") != single("prev_"))
-    next_same = F.coalesce(single("next_") == single("prev_"), F.lit(False))
-    before_same = F.coalesce(single("prev2_") == single(""), F.lit(False))
-    return (steps.withColumn("from_lab", F.when(changed, single("prev_")))
-            .withColumn("to_lab", F.when(changed, single("")))
-            .withColumn("same_lab_agrees", F.when(changed & next_same, within(F.col("next_value"), F.col("prev_value")))
-                        .when(changed & before_same, within(F.col("value"), F.col("prev2_value"))))
-            .withColumn("same_lab_date", F.when(changed & next_same, F.col("next_date"))
-                        .when(changed & before_same, F.col("prev2_date"))))
-
-
-def rcv_prev(steps: DataFrame) -> DataFrame:
-    """Change from the previous result beyond the reference change value."""
-    pairs = steps.filter(F.col("prev_date").isNotNull()).withColumn("ref_value", F.col("prev_value"))
-    out = lab_change(_change_flags(pairs, "RCV_PREV", "previous result"))
-    return out.select(*SERIES, "rule_id", "level", "date", "value", "ref_value", "compared_with",
-                      F.col("prev_date").alias("ref_first"), F.col("prev_date").alias("ref_last"), "direction",
-                      "change_percent", "change_abs", "rcv_percent", "target_direction",
-                      crossed(F.col("lab_lo"), F.col("lab_hi"), F.col("prev_lab_lo"), F.col("prev_lab_hi"))
-                      .alias("cross_lab"), "from_lab", "to_lab", "same_lab_agrees", "same_lab_date")
-
-
-def rcv_baseline(summaries: DataFrame) -> DataFrame:
-    """Change of the latest result from the baseline, when it is after the baseline days."""
-    latest = (summaries.filter(F.col("latest_date") > F.col("baseline_last"))
-              .withColumn("value", F.col("latest_value")).withColumn("ref_value", F.col("baseline"))
-              .withColumn("date", F.col("latest_date")))
-    none = F.lit(None).cast("string")
-    return _change_flags(latest, "RCV_BASELINE", "baseline").select(
-        *SERIES, "rule_id", "level", "date", "value", "ref_value", "compared_with",
-        F.col("baseline_first").alias("ref_first"), F.col("baseline_last").alias("ref_last"), "direction",
-        "change_percent", "change_abs", "rcv_percent", "target_direction",
-        crossed(F.col("latest_lab_lo"), F.col("latest_lab_hi"), F.col("baseline_lab_lo"), F.col("baseline_lab_hi"))
-        .alias("cross_lab"), none.alias("from_lab"), none.alias("to_lab"),
-        F.lit(None).cast("boolean").alias("same_lab_agrees"), F.lit(None).cast("date").alias("same_lab_date"))
-
-
-def with_expected_effect(flags: DataFrame, windows: DataFrame) -> DataFrame:
+    rows = rows.withColumns({
+        "_changed": applies & single("").isNotNull() & single("prev_").isNotNull() & (single("") != single("prev_")),
+        "_next": F.coalesce(single("next_") == single("prev_"), F.lit(False)),
+        "_before": F.coalesce(single("prev2_") == single(""), F.lit(False))})
+    changed, after, before = F.col("_changed"), F.col("_changed") & F.col("_next"), F.col("_changed") & F.col("_before")
+    return rows.withColumns({
+        "from_lab": F.when(changed, F.col("prev_lab_lo")), "to_lab": F.when(changed, F.col("lab_lo")),
+        "same_lab_agrees": F.when(after, within(F.col("next_value"), F.col("prev_value"))).when(
+            before, within(F.col("value"), F.col("prev2_value"))),
+        "same_lab_date": F.when(after, F.col("next_date")).when(before, F.col("prev2_date"))})
+
+
+FLAG = [*SERIES, "rule_id", "level", "date", "value", "ref_value", "compared_with", "ref_first", "ref_last", "direction",
+        "change_percent", "change_abs", "rcv_percent", "target_direction", "cross_lab", "from_lab", "to_lab",
+        "same_lab_agrees", "same_lab_date", "per_year", "n_points", "span_days"]
+
+
+def flags(frame: DataFrame) -> DataFrame:
+    """All flags of all series in one pass over the daily rows.
+
+    Each day is compared with the day before (RCV_PREV); the latest day also with the baseline, when it is
+    after the baseline days (RCV_BASELINE), and an eGFR series' line with the guideline (KDIGO_RAPID_EGFR).
+    A change counts when it is strictly beyond the reference change value.
+    """
+    c = F.col
+    is_last = c("next_date").isNull()
+
+    def against(rule: str, level: str, label: str, **columns: str) -> Column:
+        return F.struct(F.lit(rule).alias("rule_id"), F.lit(level).alias("level"), F.lit(label).alias("compared_with"),
+                        *[c(column).alias(name) for name, column in columns.items()])
+
+    compared = F.filter(F.array(
+        F.when(c("prev_date").isNotNull(), against(
+            "RCV_PREV", "change", "previous result", ref_value="prev_value", ref_first="prev_date", ref_last="prev_date",
+            ref_lo="prev_lab_lo", ref_hi="prev_lab_hi")),
+        F.when(is_last & (c("date") > c("baseline_last")), against(
+            "RCV_BASELINE", "change", "baseline", ref_value="baseline", ref_first="baseline_first",
+            ref_last="baseline_last", ref_lo="baseline_lab_lo", ref_hi="baseline_lab_hi")),
+        F.when(is_last & _is_rapid(), against(
+            "KDIGO_RAPID_EGFR", "guideline", "slope", ref_value="first_used_value", ref_first="first_used",
+            ref_last="last_used", ref_lo="used_lab_lo", ref_hi="used_lab_hi"))), lambda x: x.isNotNull())
+    rows = _with_analyte(frame.withColumn("compared", F.explode(compared))).select("*", "compared.*")
+    guideline = c("level") == "guideline"
+    rows = rows.withColumn("change_percent", F.when(~guideline, num.pct_change(c("value"), c("ref_value"))))
+    rows = rows.filter(guideline | (F.abs("change_percent") > c("rcv_percent")))
+    rows = lab_change(rows, c("rule_id") == "RCV_PREV")
+    status, span, per_year = _slope_columns()
+    return rows.withColumns({
+        "direction": F.when(c("change_percent") > 0, "rise").otherwise("fall"),
+        "change_abs": F.when(~guideline, F.round(c("value") - c("ref_value"), 4)),
+        "target_direction": num.target_direction(c("ref_value"), c("value"), c("target_low"), c("target_high")),
+        "cross_lab": F.when(guideline, crossed(c("ref_lo"), c("ref_hi"))).otherwise(
+            crossed(c("lab_lo"), c("lab_hi"), c("ref_lo"), c("ref_hi"))),
+        "per_year": F.when(guideline, per_year), "span_days": F.when(guideline, span),
+        "n_points": F.when(guideline, c("n_points"))}).select(*FLAG)
+
+
+def rcv_prev(frame: DataFrame) -> DataFrame:
+    return flags(frame).filter(F.col("rule_id") == "RCV_PREV")
+
+
+def rcv_baseline(frame: DataFrame) -> DataFrame:
+    return flags(frame).filter(F.col("rule_id") == "RCV_BASELINE")
+
+
+def kdigo_rapid(frame: DataFrame) -> DataFrame:
+    return flags(frame).filter(F.col("rule_id") == "KDIGO_RAPID_EGFR")
+
+
+def with_expected_effect(flags_df: DataFrame, windows: DataFrame) -> DataFrame:
     """Attach the first drug start (by date, then id) whose window holds the flag and explains its direction.
 
-    Starts are first reduced to one per series, class and day. A class's window has a fixed length, so the
-    first start that can explain a flag is the first one at or after ``date - last day``: an as-of lookup
-    per class, not a join of all flags with all windows.
+    Windows of a class have one length, so the first start of a class that can explain a flag is the one with
+    the first window end at or after it. Flags and starts (one per series, class and day) are sorted by time
+    once and the next window of each class is carried along; flags are not joined with windows.
     """
-    spark = flags.sparkSession
-    starts = windows.groupBy(*SERIES, "drug_class", "date").agg(
-        F.min_by(F.struct("event_id", "drug"), "event_id").alias("e")).select(
-        *SERIES, "drug_class", F.col("date").alias("start_date"), F.col("e.event_id").alias("start_event"),
-        F.col("e.drug").alias("start_drug"))
-    effects = dim.drug_effects(spark).select("analyte_id", "drug_class", F.col("direction").alias("direction"),
-                                             "max_percent", "effect_note", "class_short_name", "window_from",
-                                             "window_to")
-    candidates = flags.select(*SERIES, "rule_id", "date", "direction", "change_percent").join(
-        effects, ["analyte_id", "direction"])
-    hits = asof(candidates, starts, [*SERIES, "drug_class"], F.expr("date_sub(date, window_to)"), F.col("start_date"),
-                ["start_date", "start_event", "start_drug"], "forward")
-    hits = hits.filter(F.col("start_date") <= F.expr("date_sub(date, window_from)"))
-    above = F.abs("change_percent") > F.col("max_percent")
-    limit = F.format_string("%s", F.col("max_percent").cast("int"))
-    note = (F.when(F.col("max_percent").isNull(), F.col("effect_note"))
+    starts = windows.groupBy(*SERIES, "drug_class", "date", "direction", "max_percent", "effect_note",
+                             "class_short_name", "window_start", "window_end").agg(
+        F.min_by(F.struct("event_id", "drug"), "event_id").alias("e"))
+    window = F.struct(F.col("date").alias("start_date"), F.col("e.event_id").alias("event_id"), F.col("e.drug").alias("drug"),
+                      "drug_class", "direction", "max_percent", "effect_note", "class_short_name", "window_start",
+                      "window_end")
+    right = starts.select(*SERIES, F.col("window_end").alias("_t"), F.lit(0).alias("_side"), window.alias("_w"))
+    left = flags_df.select(*SERIES, F.col("date").alias("_t"), F.lit(1).alias("_side"),
+                           F.struct(*flags_df.columns).alias("_f"))
+    w = Window.partitionBy(*SERIES).orderBy(F.col("_t").desc(), "_side").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    classes = list(d.lists(d.GENERICS))
+    both = left.unionByName(right, allowMissingColumns=True).select("_f", F.array(*[
+        F.last(F.when(F.col("_w.drug_class") == name, F.col("_w")), ignorenulls=True).over(w) for name in classes]
+    ).alias("_near"))
+    holds = F.filter("_near", lambda n: n.isNotNull() & (n["direction"] == F.col("_f.direction"))
+                     & (n["window_start"] <= F.col("_f.date")))
+    rows = both.filter(F.col("_f").isNotNull()).select("_f.*", F.array_min(holds).alias("_w"))
+    above = F.abs("change_percent") > F.col("_w.max_percent")
+    limit = F.col("_w.max_percent").cast("int").cast("string")
+    note = (F.when(F.col("_w.max_percent").isNull(), F.col("_w.effect_note"))
             .when(above, F.concat(F.lit("above the "), "direction", F.lit(" usually expected after "),
-                                  "class_short_name", F.lit(" start (up to "), limit, F.lit("%)")))
+                                  "_w.class_short_name", F.lit(" start (up to "), limit, F.lit("%)")))
             .otherwise(F.concat(F.lit("within the ≤"), limit, F.lit("% "), "direction", F.lit(" expected after "),
-                                "class_short_name", F.lit(" start"))))
-    first = hits.groupBy(*SERIES, "rule_id", "date").agg(F.min_by(
-        F.struct(F.col("start_event").alias("effect_event"), F.col("start_drug").alias("effect_drug"),
-                 F.col("drug_class").alias("effect_class"), note.alias("expected_effect"),
-                 F.date_add("start_date", F.col("window_from")).alias("effect_from"),
-                 F.date_add("start_date", F.col("window_to")).alias("effect_to")),
-        F.struct("start_date", "start_event")).alias("x"))
-    return flags.join(first, [*SERIES, "rule_id", "date"], "left").select(
-        *flags.columns, "x.effect_event", "x.effect_drug", "x.effect_class", "x.expected_effect", "x.effect_from",
-        "x.effect_to")
+                                "_w.class_short_name", F.lit(" start"))))
+    change = F.col("level") == "change"
+    return rows.select(*flags_df.columns, *[F.when(change, v).alias(k) for k, v in {
+        "effect_event": F.col("_w.event_id"), "effect_drug": F.col("_w.drug"), "effect_class": F.col("_w.drug_class"),
+        "expected_effect": note, "effect_from": F.col("_w.window_start"), "effect_to": F.col("_w.window_end")}.items()])
 
 
 def events_since_baseline(flags: DataFrame, effects: DataFrame) -> DataFrame:
@@ -138,35 +157,27 @@ def events_since_baseline(flags: DataFrame, effects: DataFrame) -> DataFrame:
                                        & (F.col("event_date") <= F.col("flag_date"))))
 
 
-def slopes(summaries: DataFrame) -> DataFrame:
-    """Least-squares slope per year after the last effect window, with the status that says if it counts."""
+def _slope_columns() -> tuple[Column, Column, Column]:
+    """Status, span in days and slope per year of a series' line."""
     enough = F.col("n_points") >= SLOPE_MIN_POINTS
     span = F.datediff("last_used", "first_used")
+    status = F.when(~enough, "not enough points").when(span >= SLOPE_MIN_DAYS, "ok").otherwise("not enough span")
+    return status, F.when(enough, span).otherwise(0), F.when(enough, F.round("line_slope", 3))
+
+
+def _is_rapid() -> Column:
+    """An eGFR line that counts and falls faster than five units a year."""
+    status, _, per_year = _slope_columns()
+    return (F.col("analyte_id") == "egfr") & (status == "ok") & (per_year < RAPID_EGFR_PER_YEAR)
+
+
+def slopes(summaries: DataFrame) -> DataFrame:
+    """Least-squares slope per year after the last effect window, with the status that says if it counts."""
+    status, span, per_year = _slope_columns()
     return summaries.filter(F.col("n_days") >= 2).select(
         *SERIES, "n_points", "first_used", "last_used", "first_used_value", "last_used_value", "used_lab_lo",
-        "used_lab_hi", "cutoff", (F.col("n_days") - F.col("n_points")).alias("n_excluded"),
-        F.when(enough, span).otherwise(0).alias("span_days"),
-        F.when(enough, F.round("line_slope", 3)).alias("per_year"),
-        F.when(~enough, "not enough points").when(span >= SLOPE_MIN_DAYS, "ok").otherwise("not enough span")
-        .alias("slope_status"),
-        "line_slope", "mean_x", "mean_y", "sxx", "sxy", "syy")
-
-
-def kdigo_rapid(slopes_df: DataFrame) -> DataFrame:
-    """Guideline flag: eGFR falling faster than five units a year on a slope that counts."""
-    hit = (F.col("analyte_id") == "egfr") & (F.col("slope_status") == "ok") & (F.col("per_year") < RAPID_EGFR_PER_YEAR)
-    none = F.lit(None)
-    return _with_analyte(slopes_df.filter(hit)).select(
-        *SERIES, F.lit("KDIGO_RAPID_EGFR").alias("rule_id"), F.lit("guideline").alias("level"),
-        F.col("last_used").alias("date"), F.col("last_used_value").alias("value"),
-        F.col("first_used_value").alias("ref_value"), F.lit("slope").alias("compared_with"),
-        F.col("first_used").alias("ref_first"), F.col("last_used").alias("ref_last"), F.lit("fall").alias("direction"),
-        none.cast("double").alias("change_percent"), none.cast("double").alias("change_abs"), "rcv_percent",
-        num.target_direction(F.col("first_used_value"), F.col("last_used_value"), F.col("target_low"),
-                             F.col("target_high")).alias("target_direction"),
-        crossed(F.col("used_lab_lo"), F.col("used_lab_hi")).alias("cross_lab"), none.cast("string").alias("from_lab"),
-        none.cast("string").alias("to_lab"), none.cast("boolean").alias("same_lab_agrees"),
-        none.cast("date").alias("same_lab_date"), "per_year", "n_points", "span_days")
+        "used_lab_hi", "cutoff", (F.col("n_days") - F.col("n_points")).alias("n_excluded"), span.alias("span_days"),
+        per_year.alias("per_year"), status.alias("slope_status"), "line_slope", "mean_x", "mean_y", "sxx", "sxy", "syy")
 
 
 def projections(slopes_df: DataFrame) -> DataFrame:
@@ -235,11 +246,9 @@ def flag_id() -> Column:
     return F.concat_ws(":", F.col("rule_id"), F.col("analyte_id"), F.col("date").cast("string"))
 
 
-def all_flags(steps: DataFrame, summaries: DataFrame, windows: DataFrame) -> DataFrame:
+def all_flags(frame: DataFrame, windows: DataFrame) -> DataFrame:
     """Every flag of every patient with its id and expected effect."""
-    change = with_expected_effect(rcv_prev(steps).unionByName(rcv_baseline(summaries)), windows)
-    rapid = kdigo_rapid(slopes(summaries))
-    return change.unionByName(rapid, allowMissingColumns=True).withColumn("flag_id", flag_id())
+    return with_expected_effect(flags(frame), windows).withColumn("flag_id", flag_id())
 
 
 def ordered_flags(flags: DataFrame) -> DataFrame:

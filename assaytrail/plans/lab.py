@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,12 +63,12 @@ class Lab:
         return S.effect_windows(self.effects)
 
     @cached_property
-    def steps(self) -> DataFrame:
-        return S.steps(self.days)
+    def frame(self) -> DataFrame:
+        return S.frame(self.days, S.event_bounds(self.effects))
 
     @cached_property
     def summaries(self) -> DataFrame:
-        return S.summaries(self.days, S.event_bounds(self.effects))
+        return S.summaries(self.frame)
 
     @cached_property
     def slopes(self) -> DataFrame:
@@ -79,7 +80,7 @@ class Lab:
 
     @cached_property
     def flags(self) -> DataFrame:
-        return T.all_flags(self.steps, self.summaries, self.windows)
+        return T.all_flags(self.frame, self.windows)
 
     @cached_property
     def evidence(self) -> DataFrame:
@@ -116,19 +117,12 @@ class Lab:
         return K.build(self.patients, self.periods(kind, start, end), self.confirmed_reports, self.points, self.days,
                        self.events, self.summaries, self.slopes, self.flags, self.responses, self.as_of)
 
-    def store_shared(self, name: str) -> Lab:
-        """Write points, day values and flags to the shared folder and read them back.
-
-        Used when several results are written in one run: each is computed once, and a lost executor costs
-        its own partitions only.
-        """
+    def stored(self, *frames: str) -> Lab:
+        """Write some frames to the shared folder and read them back: each is computed once, however many
+        results use it, and a lost executor costs its own partitions only."""
         spark = self.patients.sparkSession
-        folder = f"{shared_folder(spark)}/{name}"
-        for frame in ("points", "days", "flags"):
-            path = f"{folder}/{frame}"
-            getattr(self, frame).write.mode("overwrite").parquet(path)
-            setattr(self, frame, spark.read.parquet(path))
-            if frame == "days":
-                for later in ("steps", "summaries", "slopes", "projections", "responses"):
-                    self.__dict__.pop(later, None)
+        folder = f"{shared_folder(spark)}/lab-{uuid.uuid4().hex}"
+        for name in frames or ("points", "days", "summaries", "flags", "responses"):
+            getattr(self, name).write.parquet(f"{folder}/{name}")
+            setattr(self, name, spark.read.parquet(f"{folder}/{name}"))
         return self

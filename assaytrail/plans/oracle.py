@@ -125,7 +125,7 @@ CTES: dict[str, str] = {
     "v_obs": _observation(0, A.MAIN_ANALYTES, "l_partkey % 6") + " UNION ALL " + _observation(1, A.SECOND_ANALYTES, "l_suppkey % 4"),
     "v_point": """SELECT patient_id, analyte_id, observation_id, report_id, collected_at AS date, canonical_value AS value, comparator,
         lab, page, line FROM v_obs JOIN v_report USING (report_id) WHERE v_obs.status = 'confirmed' AND v_report.status = 'confirmed'""",
-    "v_day": f"""SELECT {_KEY}, date, avg(value) AS value, count(*) AS n_values, min(coalesce(lab, '')) AS lab_lo,
+    "v_day": f"""SELECT {_KEY}, date, {_round('sum(CAST(value AS DECIMAL(24, 6))) / count(*)', 10)} AS value, count(*) AS n_values, min(coalesce(lab, '')) AS lab_lo,
         max(coalesce(lab, '')) AS lab_hi, min(report_id) AS first_report, max(report_id) AS last_report
         FROM v_point WHERE comparator IS NULL GROUP BY ALL""",
     "v_drug_text": r"""SELECT *, lower(trim(regexp_replace(drug, '\s+', ' ', 'g'))) AS whole,

@@ -59,14 +59,14 @@ def day_values(lab: Lab) -> DataFrame:
 
 @lab_query
 def rcv_prev_flags(lab: Lab) -> DataFrame:
-    return T.rcv_prev(lab.steps).select(*SERIES, "date", F.col("ref_last").alias("prev_date"), r6("value"),
+    return T.rcv_prev(lab.frame).select(*SERIES, "date", F.col("ref_last").alias("prev_date"), r6("value"),
                                         r6("ref_value", "prev_value"), "change_percent", "direction", "cross_lab",
                                         "target_direction")
 
 
 @lab_query
 def lab_change(lab: Lab) -> DataFrame:
-    return T.rcv_prev(lab.steps).filter(F.col("from_lab").isNotNull()).select(
+    return T.rcv_prev(lab.frame).filter(F.col("from_lab").isNotNull()).select(
         *SERIES, "date", "from_lab", "to_lab", "same_lab_agrees", "same_lab_date")
 
 
@@ -78,13 +78,13 @@ def baselines(lab: Lab) -> DataFrame:
 
 @lab_query
 def rcv_baseline_flags(lab: Lab) -> DataFrame:
-    return T.rcv_baseline(lab.summaries).select(*SERIES, "date", r6("value"), r6("ref_value", "baseline"), "change_percent",
+    return T.rcv_baseline(lab.frame).select(*SERIES, "date", r6("value"), r6("ref_value", "baseline"), "change_percent",
                                                 "direction", "cross_lab", "target_direction")
 
 
 @lab_query
 def events_since_baseline(lab: Lab) -> DataFrame:
-    flags = T.rcv_baseline(lab.summaries)
+    flags = T.rcv_baseline(lab.frame)
     return T.events_since_baseline(flags, lab.effects).select(*SERIES, "flag_date", "event_id", "drug_class", "change",
                                                               "event_date")
 
@@ -128,7 +128,7 @@ def slopes(lab: Lab) -> DataFrame:
 
 @lab_query
 def kdigo_rapid_flags(lab: Lab) -> DataFrame:
-    return T.kdigo_rapid(lab.slopes).select(*SERIES, "date", "ref_first", "per_year", "n_points", "span_days", "cross_lab",
+    return T.kdigo_rapid(lab.frame).select(*SERIES, "date", "ref_first", "per_year", "n_points", "span_days", "cross_lab",
                                             "target_direction")
 
 
@@ -446,17 +446,19 @@ def periods(lab: Lab) -> DataFrame:
 
 @lab_query
 def facts_per_section(lab: Lab) -> DataFrame:
-    return lab.facts().groupBy("patient_id", "section").agg(F.count(F.lit(1)).alias("n_facts"))
+    return lab.stored().facts().groupBy("patient_id", "section").agg(F.count(F.lit(1)).alias("n_facts"))
 
 
 @lab_query
 def facts_hash(lab: Lab) -> DataFrame:
+    lab = lab.stored("points", "days", "summaries", "flags", "responses", "history", "criteria")
     facts = K.with_clinical(lab.facts(), C.kdigo_current(lab.history), lab.criteria, lab.projections)
     return K.facts_hash(facts)
 
 
 @lab_query
 def used_reports(lab: Lab) -> DataFrame:
+    lab = lab.stored("points", "days", "summaries", "flags", "responses")
     return K.used_reports(lab.flags, lab.evidence, lab.periods(K.SINCE_LAST_VISIT), lab.confirmed_reports, lab.labels,
                           lab.summaries, lab.responses, lab.points).select("patient_id", "report_id", "label")
 

@@ -11,7 +11,8 @@ def build(spark, points=None, events=None):
     events = fx.events(spark) if events is None else events
     days = S.day_values(points)
     effects = S.event_effects(S.resolve_drugs(events))
-    return points, days, effects, S.effect_windows(effects), S.steps(days), S.summaries(days, S.event_bounds(effects))
+    frame = S.frame(days, S.event_bounds(effects))
+    return points, days, effects, S.effect_windows(effects), frame, S.summaries(frame)
 
 
 def series(spark, rows, analyte="hba1c"):
@@ -21,8 +22,8 @@ def series(spark, rows, analyte="hba1c"):
 
 
 def test_flags_of_the_golden_patient(spark):
-    _, _, _, windows, steps, summaries = build(spark)
-    flags = T.all_flags(steps, summaries, windows).filter("patient_id = 1").collect()
+    _, _, _, windows, frame, summaries = build(spark)
+    flags = T.all_flags(frame, windows).filter("patient_id = 1").collect()
     assert len(flags) == 6
     by = {(f.rule_id, f.analyte_id, str(f.date)): f for f in flags}
     prev = by["RCV_PREV", "creatinine", "2024-04-01"]
@@ -39,8 +40,8 @@ def test_flags_of_the_golden_patient(spark):
 
 
 def test_nine_reports_give_five_flags_and_no_projection(spark):
-    _, _, _, windows, steps, summaries = build(spark, fx.points(spark, 9))
-    flags = T.all_flags(steps, summaries, windows).filter("patient_id = 1")
+    _, _, _, windows, frame, summaries = build(spark, fx.points(spark, 9))
+    flags = T.all_flags(frame, windows).filter("patient_id = 1")
     assert flags.count() == 5
     slope = T.slopes(summaries).filter("patient_id = 1 and analyte_id = 'egfr'").first()
     assert (slope.n_points, slope.span_days, slope.slope_status, slope.n_excluded) == (3, 321, "not enough span", 6)
@@ -89,24 +90,24 @@ def test_values_of_one_date_are_averaged(spark):
 def test_change_equal_to_the_threshold_is_no_flag(spark):
     rows = [("2024-01-01", 1.0, None, "A"), ("2024-02-01", 1.15, None, "A"), ("2024-03-01", 0.0, None, "A"),
             ("2024-04-01", 2.0, None, "A")]
-    _, _, _, windows, steps, summaries = build(spark, series(spark, rows, "creatinine"))
-    flags = T.rcv_prev(steps).collect()
+    _, _, _, windows, frame, summaries = build(spark, series(spark, rows, "creatinine"))
+    flags = T.rcv_prev(frame).collect()
     assert [(str(f.date), f.change_percent) for f in flags] == [("2024-03-01", -100.0)]
 
 
 def test_lab_change_agreement(spark):
     agree = [("2024-01-01", 8.8, None, "A"), ("2024-02-01", 8.4, None, "A"), ("2024-03-01", 3.9, None, "B"),
              ("2024-04-01", 8.1, None, "A")]
-    _, _, _, _, steps, _ = build(spark, series(spark, agree, "tsh"))
-    assert [f.same_lab_agrees for f in T.rcv_prev(steps).orderBy("date").collect()] == [True, True]
+    _, _, _, _, frame, _ = build(spark, series(spark, agree, "tsh"))
+    assert [f.same_lab_agrees for f in T.rcv_prev(frame).orderBy("date").collect()] == [True, True]
     not_agree = agree[1:3] + [("2024-04-01", 3.5, None, "A")]
-    _, _, _, _, steps, _ = build(spark, series(spark, not_agree, "tsh"))
-    assert [f.same_lab_agrees for f in T.rcv_prev(steps).collect()] == [False]
+    _, _, _, _, frame, _ = build(spark, series(spark, not_agree, "tsh"))
+    assert [f.same_lab_agrees for f in T.rcv_prev(frame).collect()] == [False]
 
 
 def test_thyroid_patient(spark):
-    _, _, _, windows, steps, summaries = build(spark)
-    flags = T.all_flags(steps, summaries, windows).filter("patient_id = 2").collect()
+    _, _, _, windows, frame, summaries = build(spark)
+    flags = T.all_flags(frame, windows).filter("patient_id = 2").collect()
     assert len(flags) == 4
     assert all(f.rule_id == "RCV_PREV" and f.same_lab_agrees for f in flags)
     assert {str(f.date) for f in flags} == {"2025-06-16", "2025-12-15"}
@@ -127,8 +128,8 @@ def test_last_test_and_windows(spark, as_of):
 
 
 def test_evidence_rows(spark):
-    points, _, _, windows, steps, summaries = build(spark)
-    flags = T.all_flags(steps, summaries, windows)
+    points, _, _, windows, frame, summaries = build(spark)
+    flags = T.all_flags(frame, windows)
     rows = T.flag_evidence(flags, points).filter("flag_id = 'KDIGO_RAPID_EGFR:egfr:2026-03-02'").collect()
     assert sorted(r.report_id for r in rows) == [7, 8, 9, 10]
     base = T.flag_evidence(flags, points).filter("flag_id = 'RCV_BASELINE:egfr:2026-03-02'").collect()
