@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -640,7 +641,10 @@ def rule_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = P.results(P.assemble(_tagged_pages(spark, sf_dir)))
+    # Results and continuation lines both come from the classified lines, so those are stored once.
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    P.assemble(_tagged_pages(spark, sf_dir)).select(*P.ASSEMBLED).write.parquet(folder)
+    found = P.results(spark.read.parquet(folder))
     return found.select("doc_id", "page", "line", "test_text", "value_text", "unit_text", "range_text", "flag_text",
                         F.array_join("notes", " / ").alias("notes"))
 
@@ -651,8 +655,6 @@ def assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All flags once more, by the incremental job over point files in the order reports arrive."""
-    import uuid
-
     lab = Lab.from_given_tables(spark, sf_dir)
     folder = f"{shared_folder(spark)}/refresh-{uuid.uuid4().hex}"
     columns = [c.split(" ")[0] for c in refresh.POINTS.split(", ")]

@@ -12,6 +12,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call sites of every column expression are for debugging; recording them takes longer than building the plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
