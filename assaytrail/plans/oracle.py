@@ -655,8 +655,23 @@ def _base(sql: str) -> str:
     return ", ".join(f"{n} AS ({CTES[n]})" for n in _needed(sql, []))
 
 
+def _later_flags() -> str:
+    """Guideline flags when every report counts as confirmed, without those there are already."""
+    names = [n for n in _needed("v_rapid", []) if n.startswith("v_")]
+    later = []
+    for name in names:
+        sql = CTES[name]
+        if name == "v_report":
+            sql = sql.replace("CASE WHEN o_orderpriority = '5-LOW' THEN 'extracted' ELSE 'confirmed' END AS status", "'confirmed' AS status")
+        for other in names:
+            sql = re.sub(rf"\b{other}\b", f"{other}_later", sql)
+        later.append(f"{name}_later AS ({sql})")
+    flag = "SELECT patient_id, 'KDIGO_RAPID_EGFR:' || analyte_id || ':' || date AS flag_id FROM"
+    return f"WITH {_base('v_rapid')}, {', '.join(later)} {flag} v_rapid_later EXCEPT {flag} v_rapid"
+
+
 def oracle_sql() -> dict[str, str]:
-    out = {}
+    out = {"new_guideline_flags": _later_flags()}
     for name, sql in FINAL.items():
         base = _base(sql)
         out[name] = f"WITH {base} {sql}" if base else sql

@@ -253,8 +253,10 @@ def printed_units(lab: Lab) -> DataFrame:
 
 def _review(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Reviewer corrections derived from the line items: rejections, new values, new units, chosen analytes."""
-    observations, _ = _normalised(spark, sf_dir)
-    observations = observations.drop("candidates").withColumn("edited", F.lit(False))
+    # The batch reads the observations in several places (edits, free lines, untouched rows): store them once.
+    folder = f"{shared_folder(spark)}/observations-{uuid.uuid4().hex}"
+    _normalised(spark, sf_dir)[0].drop("candidates").withColumn("edited", F.lit(False)).write.parquet(folder)
+    observations = spark.read.parquet(folder)
     lines = A.read(spark, sf_dir, "lineitem")
     kind = F.col("l_quantity").cast("int") % 10
     edits = lines.filter(F.col("l_returnflag") == "A").select(
