@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import numbers as num
+from ..session import ship_package
 from ..sources import dimensions as dim
 
 STATE = "day date, total double, n bigint, before double"
@@ -40,6 +41,7 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
 
 def steps_on_arrival(points: DataFrame) -> DataFrame:
     """Each arriving day compared with the day before it, for a stream of points."""
+    ship_package(points.sparkSession)
     values = points.filter(F.col("comparator").isNull()).select("patient_id", "analyte_id", "date", "value")
     return values.groupBy("patient_id", "analyte_id").applyInPandasWithState(
         _advance, STEP, STATE, "append", GroupStateTimeout.NoTimeout)
