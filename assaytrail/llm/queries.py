@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaytrail.llm import sharding
+from assaytrail.llm import linededup, sharding, simhash
 from assaytrail.llm.common import table
+from assaytrail.session import ship_package
 
 
 def op1_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,23 @@ def op1_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op6_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    ship_package(spark)
+    groups = simhash.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines before and after dropping those that an earlier document holds, and a digest of what stays."""
+    ship_package(spark)
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
+                      F.sha2("_kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_jump_sharding": op1_jump_sharding,
+    "op6_covering_simhash": op6_covering_simhash,
+    "op7_line_dedup": op7_line_dedup,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from assaytrail.llm.linededup import MIN_CHARS
 from assaytrail.llm.sharding import BLOCKS, MULTIPLIER, SHARDS
 
 _STATE = f"((key::HUGEINT * {MULTIPLIER} + 1) % 18446744073709551616)"
@@ -39,4 +40,20 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
 FROM placed
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_jump_sharding": OP1}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP7 = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS n FROM documents),
+keyed AS MATERIALIZED (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS key FROM lines),
+repeated AS (
+  SELECT key, min(doc_id) AS lo FROM keyed WHERE length(key) >= {MIN_CHARS} GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+marked AS (SELECT k.doc_id, k.line, k.n, coalesce(r.lo <> k.doc_id, false) AS gone FROM keyed k LEFT JOIN repeated r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_jump_sharding": OP1, "op7_line_dedup": OP7}
