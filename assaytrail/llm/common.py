@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 from assaytrail.session import shared_folder
@@ -82,3 +84,67 @@ def runs(parts: list[np.ndarray], dtype) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.zeros(len(parts) + 1, np.int64)
     np.cumsum([len(p) for p in parts], out=offsets[1:])
     return (np.concatenate(parts).astype(dtype) if parts else np.zeros(0, dtype)), offsets
+
+
+def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where texts can be cut: at the first of some white space after something else, and at the start of each text.
+
+    No cut is made after a space beyond ASCII, as rules about runs of white space look at it together with what follows.
+    """
+    space = IS_SPACE[data]
+    start = np.zeros(len(data), bool)
+    np.logical_and(space[1:], ~space[:-1], out=start[1:])
+    at = np.flatnonzero(start)
+    at = at[data[at - 1] >= 0x80]
+    if len(at):
+        a, b, c = data[at - 1], data[at - 2], data[at - 3]
+        wide = (((b == 0xC2) & ((a == 0x85) | (a == 0xA0))) | ((c == 0xE2) & ((b == 0x80) | (b == 0x81)))
+                | ((c == 0xE1) & (b == 0x9A)) | ((c == 0xE3) & (b == 0x80)))
+        start[at[wide]] = False
+    start[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(start)
+
+
+def write_shared(uri: str, blob: bytes) -> None:
+    """One file in the shared folder; it appears under its name when it is whole, so a task may run again."""
+    fs, path = pyarrow.fs.FileSystem.from_uri(uri)
+    folder, _, name = path.rpartition("/")
+    fs.create_dir(folder, recursive=True)
+    part = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(part) as f:
+        f.write(blob)
+    fs.move(part, path)
+
+
+def read_shared(uri: str) -> pa.Buffer | None:
+    """The bytes of a file in the shared folder, mapped into memory where that is a local or mounted folder; None: no such file."""
+    fs, path = pyarrow.fs.FileSystem.from_uri(uri)
+    if fs.get_file_info(path).type == pyarrow.fs.FileType.NotFound:
+        return None
+    with (pa.memory_map(path) if isinstance(fs, pyarrow.fs.LocalFileSystem) else fs.open_input_file(path)) as f:
+        return f.read_buffer()
+
+
+def pack(**arrays: np.ndarray) -> bytes:
+    """Arrays as one file: a line of JSON with names, types and lengths, then the arrays, each at a multiple of 8 bytes."""
+    head = json.dumps([[k, a.dtype.str, len(a)] for k, a in arrays.items()]).encode() + b"\n"
+    parts = [head + b" " * (-len(head) % 8)]
+    for a in arrays.values():
+        parts.append(np.ascontiguousarray(a).tobytes())
+        parts.append(b"\0" * (-a.nbytes % 8))
+    return b"".join(parts)
+
+
+def unpack(buffer) -> dict[str, np.ndarray]:
+    """The arrays of :func:`pack`, without copying them."""
+    view = memoryview(buffer)
+    size = 1 << 12
+    while b"\n" not in (head := bytes(view[:size])):
+        size *= 2
+    at = head.index(b"\n") + 1
+    out, fields = {}, json.loads(head[:at])
+    at += -at % 8
+    for name, kind, count in fields:
+        out[name] = np.frombuffer(view, kind, count, at)
+        at += out[name].nbytes + -out[name].nbytes % 8
+    return out

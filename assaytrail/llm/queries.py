@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaytrail.llm import linededup, sharding, simhash
+from assaytrail.llm import lexicon, linededup, sharding, simhash
 from assaytrail.llm.common import table
 from assaytrail.session import ship_package
 
@@ -31,8 +32,18 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("_kept", 256).alias("kept_sha256"))
 
 
+def op9_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the text decoded from them, as digests."""
+    ship_package(spark)
+    out = lexicon.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    ids = F.array_join(F.col("_ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+                      F.sha2("_decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_jump_sharding": op1_jump_sharding,
     "op6_covering_simhash": op6_covering_simhash,
     "op7_line_dedup": op7_line_dedup,
+    "op9_transducer_bpe": op9_transducer_bpe,
 }
