@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaytrail.llm import lexicon, linededup, sharding, simhash
+from assaytrail.llm import lexicon, linededup, repair, sharding, simhash
 from assaytrail.llm.common import table
 from assaytrail.session import ship_package
 
@@ -17,6 +17,13 @@ def op1_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op3_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as compressed id files and read back."""
+    ship_package(spark)
+    folder = repair.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return repair.read_ids(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op6_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     ship_package(spark)
@@ -43,6 +50,7 @@ def op9_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_jump_sharding": op1_jump_sharding,
+    "op3_repair_ids": op3_repair_ids,
     "op6_covering_simhash": op6_covering_simhash,
     "op7_line_dedup": op7_line_dedup,
     "op9_transducer_bpe": op9_transducer_bpe,
