@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaytrail.llm import lexicon, linededup, repair, sharding, simhash
+from assaytrail.llm import divergence, lexicon, linededup, repair, sharding, simhash
 from assaytrail.llm.common import table
 from assaytrail.session import ship_package
 
@@ -17,6 +17,13 @@ def op1_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    ship_package(spark)
+    return divergence.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as compressed id files and read back."""
     ship_package(spark)
@@ -50,6 +57,7 @@ def op9_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_jump_sharding": op1_jump_sharding,
+    "op2_divergence_rules": op2_divergence_rules,
     "op3_repair_ids": op3_repair_ids,
     "op6_covering_simhash": op6_covering_simhash,
     "op7_line_dedup": op7_line_dedup,

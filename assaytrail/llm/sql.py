@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from assaytrail.llm import divergence
 from assaytrail.llm.linededup import MIN_CHARS
 from assaytrail.llm.sharding import BLOCKS, MULTIPLIER, SHARDS
 
@@ -56,4 +57,63 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_jump_sharding": OP1, "op7_line_dedup": OP7}
+_WORDS = r"[^\x20\x09-\x0D]+"
+_SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _list(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+def _js(counts: str, key: str) -> str:
+    """Jensen-Shannon distance by rid between ``counts`` (rid, g, key, n) and their sums by group g."""
+    return f"""
+  SELECT rid, sqrt(greatest(sum(p * log2(p / ((p + q) / 2)) + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END)
+              + 1 - sum(q), 0) / 2) AS distance
+  FROM (SELECT c.rid, c.n / sum(c.n) OVER (PARTITION BY c.rid) AS p, r.q AS q FROM {counts} c
+        JOIN (SELECT g, {key}, sum(n) / sum(sum(n)) OVER (PARTITION BY g) AS q FROM {counts} GROUP BY g, {key}) r USING (g, {key}) WHERE c.n > 0)
+  GROUP BY rid"""
+
+
+_CLASS_SETS = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "blank": r"\x20\x09\x0B-\x0D", "line": r"\n", "stop": ".,;:!?",
+               "symbol": "#*$%&|<>", "bracket": r"()\[\]{}\x22\x27\x2D/"}
+
+OP2 = f"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({_list(divergence.LANGS)}) THEN lang ELSE '' END AS g,
+         regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS ws FROM documents),
+words AS MATERIALIZED (SELECT rid, g, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM docs),
+windows AS (
+  SELECT rid, i, word, lead(word, 1) OVER w AS w2, lead(word, 2) OVER w AS w3 FROM words WINDOW w AS (PARTITION BY rid ORDER BY i)),
+again AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, word, w2, w3) AS c FROM windows WHERE w3 IS NOT NULL) WHERE c > 1),
+inside AS (SELECT rid, count(DISTINCT i + s) AS n_repeat_words FROM again, range(3) r(s) GROUP BY rid),
+lines AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM docs),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE trim(line, {_SPACE}) <> '' GROUP BY rid),
+plain AS (
+  SELECT rid, g, t, {", ".join(f"length(regexp_replace(t, '[^{x}]', '', 'g')) AS {k}_n" for k, x in _CLASS_SETS.items())},
+         length(regexp_replace(t, '[\\x00-\\x7F]', '', 'g')) AS wide_n FROM docs),
+classes AS MATERIALIZED (
+  SELECT rid, g, unnest([{", ".join(f"{k}_n" for k in _CLASS_SETS)}, wide_n,
+                         length(t) - wide_n - {" - ".join(f"{k}_n" for k in _CLASS_SETS)}])::DOUBLE AS n,
+         unnest(range({len(_CLASS_SETS) + 2})) AS class FROM plain),
+buckets AS MATERIALIZED (
+  SELECT rid, g, CASE WHEN b IN ({_list(divergence.BUCKETS)}) THEN b ELSE '' END AS bucket, count(*)::DOUBLE AS n
+  FROM (SELECT rid, g, translate(trim(word, '{divergence.EDGES.replace("'", "''")}'), '{_UPPER}', '{_LOWER}') AS b FROM words) GROUP BY 1, 2, 3),
+by_class AS ({_js("classes", "class")}),
+by_word AS ({_js("buckets", "bucket")}),
+counted AS (
+  SELECT d.rid, d.doc_id, len(d.ws) AS n_words, length(d.t) - p.blank_n - p.line_n AS word_chars, p.symbol_n AS n_symbols,
+         coalesce(u.n_dup_lines, 0) AS n_dup_lines, coalesce(s.n_repeat_words, 0) AS n_repeat_words,
+         coalesce(c.distance, 0) AS class_distance, coalesce(w.distance, 0) AS word_distance
+  FROM docs d JOIN plain p USING (rid) LEFT JOIN dup u USING (rid) LEFT JOIN inside s USING (rid)
+  LEFT JOIN by_class c USING (rid) LEFT JOIN by_word w USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < {divergence.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < {divergence.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words
+            OR (word_chars >= {divergence.CLASS_CHARS} AND class_distance > {divergence.CLASS_DISTANCE})
+            OR (n_words >= {divergence.WORD_COUNT} AND word_distance > {divergence.WORD_DISTANCE})) AS kept
+FROM counted
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_jump_sharding": OP1, "op2_divergence_rules": OP2, "op7_line_dedup": OP7}
