@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaytrail.llm import divergence, lexicon, linededup, repair, sharding, simhash
+from assaytrail.llm import divergence, lexicon, linededup, repair, sharding, simhash, spotsigs
 from assaytrail.llm.common import table
 from assaytrail.session import ship_package
 
@@ -55,6 +55,15 @@ def op9_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("_decoded", 256).alias("decoded_sha256"))
 
 
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, and its likeness to that and to the next document."""
+    rows = spotsigs.compare_neighbours(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"),
+                       F.array_join("_own", " ").alias("fingerprint"), F.array_join("_of_edited", " ").alias("edited_fingerprint"),
+                       spotsigs.likeness(F.col("_own"), F.col("_of_edited")).alias("near_edited"),
+                       spotsigs.likeness(F.col("_own"), F.col("_of_next")).alias("near_next"))
+
+
 QUERIES = {
     "op1_jump_sharding": op1_jump_sharding,
     "op2_divergence_rules": op2_divergence_rules,
@@ -62,4 +71,5 @@ QUERIES = {
     "op6_covering_simhash": op6_covering_simhash,
     "op7_line_dedup": op7_line_dedup,
     "op9_transducer_bpe": op9_transducer_bpe,
+    "op10_spotsigs": op10_spotsigs,
 }
