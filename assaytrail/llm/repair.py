@@ -33,18 +33,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from assaytrail.llm.common import gather, pack, scratch, slices, strings, texts_of, unpack
+from assaytrail.llm.common import gather, pack, runs, scratch, slices, strings, texts_of, unpack
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")                     # a task has one core
 
 END_ID = 1
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 21
 WORD_ROUNDS, TEXT_ROUNDS = 6, 3
 #: A pair becomes a rule if it occurs so often in a shard.
 FREQUENT = 16
 #: Symbols of a shard: 24 bits.
 MOST_SYMBOLS = 1 << 24
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 800_000
 
 
 # Grammar
@@ -55,37 +55,32 @@ def _round(seq: np.ndarray, joined: np.ndarray, weight: np.ndarray | None, fresh
     if not len(at):
         return None
     keys = seq[at].astype(np.int64) << 24 | seq[at + 1]
-    order = np.argsort(keys, kind="stable") if weight is not None else None
-    ordered = keys[order] if weight is not None else np.sort(keys)
-    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    pairs = ordered[first]
-    n = np.add.reduceat(weight[at][order], first) if weight is not None else np.diff(np.r_[first, len(ordered)])
-    often = n >= frequent
-    pairs, n = pairs[often], n[often]
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]]
+    first = np.flatnonzero(new)
+    n = np.diff(np.r_[first, len(ordered)]) if weight is None else np.add.reduceat(weight[at][order], first)
+    chosen = np.flatnonzero(n >= frequent)
     room = MOST_SYMBOLS - 1 - fresh
-    if not len(pairs) or room <= 0:
+    if not len(chosen) or room <= 0:
         return None
-    ranked = np.argsort(-n, kind="stable")[:room]
-    rank = np.empty(len(pairs), np.int64)
-    rank[ranked] = np.arange(len(ranked))
-    pairs, rank = (pairs[np.sort(ranked)], rank[np.sort(ranked)]) if len(ranked) < len(rank) else (pairs, rank)
-    place = np.searchsorted(pairs, keys)
-    place[place == len(pairs)] = 0
-    score = np.full(len(seq) + 1, 1 << 60, np.int64)                          # the lower, the more frequent; last: none
-    hit = pairs[place] == keys
-    score[at[hit]] = rank[place[hit]]
-    before, here, after = np.r_[1 << 60, score[:-2]], score[:-1], score[1:]
-    wins = np.flatnonzero((here < 1 << 60) & (here < before) & (here <= after))
-    used = np.unique(score[wins])
-    number = np.zeros(len(pairs), np.int64)
-    number[used] = np.arange(len(used))
-    by_rank = np.empty(len(pairs), np.int64)
-    by_rank[rank] = pairs
+    chosen = chosen[np.argsort(-n[chosen], kind="stable")[:room]]             # pairs by rank
+    none = len(first)
+    rank = np.full(len(first), none, np.int32)
+    rank[chosen] = np.arange(len(chosen))
+    score = np.full(len(seq) + 1, none, np.int32)                             # the lower, the more frequent; last: none
+    score[at[order]] = rank[np.cumsum(new) - 1]
+    before, here, after = np.r_[np.int32(none), score[:-2]], score[:-1], score[1:]
+    wins = np.flatnonzero((here < none) & (here < before) & (here <= after))
+    used = np.flatnonzero(np.bincount(score[wins], minlength=len(chosen)))
+    number = np.zeros(len(chosen), np.int32)
+    number[used] = fresh + np.arange(len(used))
     out = seq.copy()
-    out[wins] = fresh + number[score[wins]]
+    out[wins] = number[score[wins]]
     keep = np.ones(len(seq), bool)
     keep[wins + 1] = False
-    return keep, out[keep], by_rank[used] >> 24, by_rank[used] & 0xFFFFFF
+    pairs = ordered[first[chosen[used]]]
+    return keep, out[keep], pairs >> 24, pairs & 0xFFFFFF
 
 
 class Grammar:
@@ -180,6 +175,8 @@ class _Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.terminals = self.library.get_vocab_size(with_added_tokens=True)
+        self.closes = np.zeros(self.terminals, bool)                          # tokens that end a piece
+        self.closes[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -192,14 +189,30 @@ class _Encoder:
         if len(self.place) + len(new) > MEMORY_WORDS and self.place:
             self._forget()
             return self._places(words)
-        found = self.library.encode_batch_fast([words[i] for i in new.tolist()], add_special_tokens=False)
-        lists = [e.ids for e in found]
+        ids, ends = self._encode([words[i] for i in new.tolist()])
         place[new] = np.arange(len(self.place), len(self.place) + len(new))
         self.place.update(zip([words[i] for i in new.tolist()], place[new].tolist()))
-        self.ids = np.r_[self.ids, np.fromiter(chain.from_iterable(lists), np.int32)]
-        self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))]
+        self.ids, self.ends = np.r_[self.ids, ids], np.r_[self.ends, self.ends[-1] + ends[1:]]
         return place
 
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of ids by the library. Words of letters alone are one piece each, so many are encoded as one text, which is
+        faster, and told apart by their last tokens; if the number of those is another one, each word is encoded apart."""
+        letters = pc.match_substring_regex(pa.array(words, pa.string()), r"^\p{L}+$").to_numpy(zero_copy_only=False)
+        plain = np.flatnonzero(letters)
+        parts = [plain[i:i + 1000] for i in range(0, len(plain), 1000)]
+        found = self.library.encode_batch_fast([" ".join([words[i] for i in p.tolist()]) for p in parts], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in found), np.int32)
+        last = np.flatnonzero(self.closes[ids])
+        if len(last) != len(plain):
+            letters[:], plain, ids, last = False, plain[:0], ids[:0], last[:0]
+        apart = np.flatnonzero(~letters)
+        lists = [e.ids for e in self.library.encode_batch_fast([words[i] for i in apart.tolist()], add_special_tokens=False)]
+        others, ends = runs([np.array(x, np.int32) for x in lists], np.int32)
+        row = np.empty(len(words), np.int64)
+        row[plain], row[apart] = np.arange(len(plain)), len(plain) + np.arange(len(apart))
+        return gather(np.r_[ids, others], np.r_[0, last + 1, len(ids) + ends[1:]], row)
+
     def runs(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Runs of ids of distinct words."""
         low = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))
