@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaytrail.llm import divergence, lexicon, linededup, repair, sharding, simhash, spotsigs
+from assaytrail.llm import chatrepair, divergence, lexicon, linededup, repair, sharding, simhash, spotsigs, toxicity
 from assaytrail.llm.common import table
 from assaytrail.session import ship_package
 
@@ -31,6 +31,15 @@ def op3_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_ids(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    ship_package(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"),
+                      (F.col("_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op6_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     ship_package(spark)
@@ -46,6 +55,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("_kept", 256).alias("kept_sha256"))
 
 
+def op8_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of all conversations with its repair and its part of the rendered text."""
+    ship_package(spark)
+    return chatrepair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op9_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text decoded from them, as digests."""
     ship_package(spark)
@@ -68,8 +83,10 @@ QUERIES = {
     "op1_jump_sharding": op1_jump_sharding,
     "op2_divergence_rules": op2_divergence_rules,
     "op3_repair_ids": op3_repair_ids,
+    "op4_subword_toxicity": op4_subword_toxicity,
     "op6_covering_simhash": op6_covering_simhash,
     "op7_line_dedup": op7_line_dedup,
+    "op8_role_repair": op8_role_repair,
     "op9_transducer_bpe": op9_transducer_bpe,
     "op10_spotsigs": op10_spotsigs,
 }
