@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+@contextmanager
+def without_collector() -> Iterator[None]:
+    """No garbage collector inside: for loops that make many small objects and no cycles."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array, nulls as empty texts; offsets start at 0."""
     column = column.fill_null("") if column.null_count else column

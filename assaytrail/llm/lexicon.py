@@ -3,8 +3,8 @@
 The vocabulary file is that of a public tokenizer in the format of the tokenizers library; its path is an argument. A word
 is a run of white space and what follows it, up to the next white space: no token of this pre-tokenizer crosses such a cut.
 
-1. Spark counts the words of all documents. The ``LEXICON_WORDS`` most frequent ones (a bound on memory; all other words
-   take the exact way) are encoded on the driver and compiled into a minimal acyclic automaton. Words with the same endings
+1. Spark counts the words of all documents. The most frequent ones, at most ``LEXICON_WORDS`` (a bound on memory; all other
+   words take the exact way), are encoded on the driver and compiled into a minimal acyclic automaton. Words with the same endings
    share states. Each transition carries a number; their sum along a word is its place in a table of id runs.
 2. The automaton is a file of plain arrays in the shared folder. Each task maps it into memory and walks all distinct words
    of a slice of text at once, a byte a step. A word that it does not accept is cut by the pre-tokenizer's rule and merged
@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaytrail.llm.common import (gather, pack, read_shared, runs, scratch, slices, strings, texts_of, unpack, word_starts,
-                                   write_shared)
+from assaytrail.llm.common import (gather, pack, read_shared, runs, scratch, slices, stored, strings, texts_of, unpack, without_collector,
+                                   word_starts, write_shared)
 
 #: Words of the automaton. Their number bounds the driver's work and the file (about 4 MB).
 LEXICON_WORDS = 1 << 16
@@ -255,12 +255,28 @@ def count_words(docs: DataFrame, longest: int = LEXICON_BYTES) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> DataFrame:
+    """The most frequent words, at most ``most``: all from a count on, of those that occur twice or more.
+
+    The count comes from a histogram with eight steps for each doubling, so no task and no driver orders the words.
+    """
+    step = F.floor(F.log2("n") * 8).cast("int")
+    words = stored(count_words(docs).filter("n > 1"), "words")
+    found, from_step = 0, 0
+    for row in words.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():   # at most 8 * 63 rows
+        found += row["count"]
+        if found > most:
+            from_step = row.step + 1
+            break
+    return words.filter(step >= from_step)
+
+
 def build_lexicon(docs: DataFrame, vocabulary: str, words: int = LEXICON_WORDS) -> str:
     """Compiles the most frequent words; returns the automaton's file in the shared folder."""
-    top = count_words(docs).orderBy(F.desc("n"), "word").limit(words).collect()
     bpe = Vocabulary(vocabulary)
     uri = f"{scratch(docs.sparkSession, 'lexicon')}/words"
-    write_shared(uri, Transducer.build({r.word.encode(): bpe.encode(r.word) for r in top}).to_bytes())
+    top = {r.word.encode(): bpe.encode(r.word) for r in frequent_words(docs, words).collect()}
+    write_shared(uri, Transducer.build(top).to_bytes())
     return uri
 
 
@@ -298,7 +314,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, words: int = LEXICON_WORD
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, automaton = _load(vocabulary, lexicon)
         for batch in slices(batches, limit=SLICE):
-            ids, ends = encode_texts(batch.column("text"), bpe, automaton)
+            with without_collector():
+                ids, ends = encode_texts(batch.column("text"), bpe, automaton)
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lists, bpe.decode(ids, ends)], [*names, "_ids", "_decoded"])
 
