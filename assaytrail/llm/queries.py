@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaytrail.llm import chatrepair, divergence, lexicon, linededup, repair, sharding, simhash, spotsigs, toxicity
+from assaytrail.llm import chatrepair, divergence, lexicon, linededup, mixing, repair, sharding, simhash, spotsigs, toxicity
 from assaytrail.llm.common import table
 from assaytrail.session import ship_package
 
@@ -40,6 +40,12 @@ def op4_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors, rate and copies of every document, so that expected domain totals match the target weights."""
+    ship_package(spark)
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     ship_package(spark)
@@ -84,6 +90,7 @@ QUERIES = {
     "op2_divergence_rules": op2_divergence_rules,
     "op3_repair_ids": op3_repair_ids,
     "op4_subword_toxicity": op4_subword_toxicity,
+    "op5_soft_mixing": op5_soft_mixing,
     "op6_covering_simhash": op6_covering_simhash,
     "op7_line_dedup": op7_line_dedup,
     "op8_role_repair": op8_role_repair,

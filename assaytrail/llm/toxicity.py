@@ -118,13 +118,22 @@ class Model:
     def __init__(self, value: np.ndarray, bias: float):
         self.value, self.bias = value, bias
 
+    def measures(self, texts: pa.Array) -> np.ndarray:
+        """Mean and largest word value and log number of words of each text."""
+        bags = Bags(texts)
+        by_word, some = bags.word_means(self.value), np.flatnonzero(bags.counts)
+        largest = np.zeros(len(texts))
+        if len(some):
+            largest[some] = np.maximum.reduceat(by_word[bags.code], bags.offsets[some])
+        return np.stack([bags.text_means(by_word), largest, np.log1p(bags.counts)], 1)
+
     def scores(self, texts: pa.Array) -> np.ndarray:
         bags = Bags(texts)
         return 1 / (1 + np.exp(-(self.bias + GAIN * bags.text_means(bags.word_means(self.value)))))
 
 
-def train(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Vectors and softmax trained together; both classes count equally as often."""
+def train(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, balance: float = BALANCE, seed: int = 7) -> Model:
+    """Vectors and softmax trained together; ``balance`` as for BALANCE."""
     if len(np.unique(labels)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), -1e3)
     rng = np.random.default_rng(seed)
@@ -134,7 +143,7 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, seed: int =
     softmax[:, 0] = -softmax[:, 1]
     seen_v, seen_s, seen_b = np.full((BUCKETS, DIMENSIONS), 1e-8, np.float32), np.full((DIMENSIONS, 2), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
     share = np.bincount(labels, minlength=2) / len(labels)
-    importance = (0.5 / share)[labels].astype(np.float32) ** BALANCE
+    importance = (0.5 / share)[labels].astype(np.float32) ** balance
     bags = Bags(texts)
     starts = list(range(0, len(labels), BATCH))
     batches = [(*bags.sparse(a, min(a + BATCH, len(labels))), a) for a in starts]
@@ -166,19 +175,21 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, seed: int =
     return Model((vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(text, toxic) of about ``rows`` labelled documents, at most one and a half times as many, none of them held out."""
-    usable = (labels.select("doc_id", F.col("toxic").cast("int").alias("_toxic"))
-              .filter(F.col("doc_id").isNotNull() & F.col("_toxic").isin(0, 1) & ~held_out(F.col("doc_id"))))
+def training_rows(docs: DataFrame, labels: DataFrame, names: list[str], rows: int = TRAIN_ROWS) -> DataFrame:
+    """(_text and the labels) of about ``rows`` labelled documents, at most one and a half times as many, none of them held out."""
+    usable = labels.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    for name in names:
+        usable = usable.filter(F.col(name).cast("int").isin(0, 1))
     share = min(1.0, rows / max(1, usable.count()))
     chosen = (usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-              .groupBy("doc_id").agg(F.max("_toxic").alias("_toxic")).limit(rows + rows // 2))
+              .groupBy("doc_id").agg(*[F.max(F.col(c).cast("int")).alias(f"_{c}") for c in names]).limit(rows + rows // 2))
+    found = [f"_{c}" for c in names]
     return (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).join(F.broadcast(chosen), "doc_id")
-            .groupBy("doc_id", "_toxic").agg(F.min("_text").alias("_text")).orderBy(F.xxhash64("doc_id")).select("_text", "_toxic"))
+            .groupBy("doc_id", *found).agg(F.min("_text").alias("_text")).orderBy(F.xxhash64("doc_id")).select("_text", *found))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    sample = training_rows(docs, labels, rows).toArrow().combine_chunks()
+    sample = training_rows(docs, labels, ["toxic"], rows).toArrow().combine_chunks()
     if not sample.num_rows:
         return train(pa.array([], pa.string()), np.zeros(0, np.int64))
     return train(sample.column("_text").combine_chunks(), sample.column("_toxic").to_numpy().astype(np.int64))
