@@ -6,8 +6,9 @@ most ``TRAIN_ROWS`` labelled rows (a documented bound) give every document a pos
 
 A document's rate says how often it is wanted. With tokens t and posteriors p, the expected total of a domain is the sum of
 t * rate * p. Rates of at least 0 whose totals match the targets, and which stay near 1, are found by projected gradient descent on the
-squared distance of the totals, measured in units of their own spread (the matrix G, sum of t p p'): in these units a step of length 1
-is right whatever the data, and without clipping one step suffices. A step changes each rate by the posterior times one number per
+squared distance of the totals, measured in units of their own spread (the matrix G, sum of t p p' over rows that are not clipped): in
+these units one step suffices if it clips no further rows. A step that does not come closer is replaced by one in units of all rows, which
+is never too long. A step changes each rate by the posterior times one number per
 domain, so a rate follows from the list of those numbers. An iteration is one aggregation of a few sums over stored posteriors, and
 nothing per document is kept or sent to the driver.
 
@@ -38,9 +39,9 @@ DOMAINS = ["good", "poor", "toxic"]
 #: Shares of all expected tokens.
 TARGETS = {"good": 0.96, "poor": 0.02, "toxic": 0.02}
 TRAIN_ROWS = 4000
-ITERATIONS = 60
+ITERATIONS = 40
 #: Largest distance from a target, as a share of all targets, at which the descent ends.
-CLOSE = 1e-9
+CLOSE = 1e-7
 
 
 # Posteriors
@@ -138,19 +139,30 @@ def rate(steps: list[list[float]]) -> Column:
 
 def descend(rows: DataFrame, targets: dict[str, float], tokens: float | None = None) -> list[list[float]]:
     """The steps after which the expected totals of ``rows`` (_tokens, _p_...) match ``targets`` (shares) of ``tokens``."""
-    p, t = [F.col(f"_p_{d}") for d in DOMAINS], F.col("_tokens").cast("double")
     size = len(DOMAINS)
-    sums = rows.agg(*[F.sum(t * p[i] * p[j]).alias(f"g{i}{j}") for i in range(size) for j in range(size)], *[F.sum(t * x) for x in p]).first()
-    if sums[0] is None:
-        return []
-    units = np.linalg.pinv(np.array(sums[:size * size], float).reshape(size, size), rcond=1e-12, hermitian=True)
-    totals = np.array(sums[size * size:], float)
+    p, t, r = [F.col(f"_p_{d}") for d in DOMAINS], F.col("_tokens").cast("double"), F.col("_r")
+
+    def totals(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        """(expected totals, G over the rows that are not clipped)."""
+        active = F.when(r > 0, t).otherwise(0.0)
+        found = rows.withColumn("_r", rate(steps)).agg(
+            *[F.sum(active * p[i] * p[j]) for i in range(size) for j in range(size)], *[F.sum(t * r * x) for x in p]).first()
+        values = np.array([x or 0.0 for x in found], float)
+        return values[size * size:], np.linalg.pinv(values[:size * size].reshape(size, size), rcond=1e-12, hermitian=True)
+
+    now, units = totals([])
+    all_units = units
     share = np.array([targets[d] for d in DOMAINS], float) / sum(targets.values())
-    wanted = share * (tokens if tokens is not None else totals[0] / share[0])
+    wanted = share * (tokens if tokens is not None else now[0] / share[0])
     steps: list[list[float]] = []
-    while len(steps) < ITERATIONS and np.abs(totals - wanted).max() > CLOSE * wanted.sum():
-        steps.append((units @ (totals - wanted)).tolist())
-        totals = np.array(rows.withColumn("_r", rate(steps)).agg(*[F.sum(t * F.col("_r") * x) for x in p]).first(), float)
+    while len(steps) < ITERATIONS and np.abs(now - wanted).max() > CLOSE * wanted.sum():
+        after, new_units = totals([*steps, (units @ (now - wanted)).tolist()])
+        if np.abs(after - wanted).max() < np.abs(now - wanted).max():
+            steps.append((units @ (now - wanted)).tolist())
+        else:                                                                 # too long a step: that over all rows never is
+            steps.append((all_units @ (now - wanted)).tolist())
+            after, new_units = totals(steps)
+        now, units = after, new_units
     return steps
 
 
