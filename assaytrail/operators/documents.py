@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: The usual limit of an upload.
 MAX_BYTES = 20 * 1024 * 1024
 
 
@@ -15,16 +16,18 @@ def first_copies(files: DataFrame, keys: list[str], order: list[str]) -> DataFra
             .select(*keys, *[F.col(f"_f.{c}").alias(c) for c in rest]))
 
 
-def accept(files: DataFrame, existing: DataFrame, keys: list[str], order: list[str], file_id: str) -> DataFrame:
+def accept(files: DataFrame, existing: DataFrame, keys: list[str], order: list[str], file_id: str, max_bytes: int | None = None) -> DataFrame:
     """Files with ``accepted`` and a reason.
 
     ``keys`` is ``[sha256]`` for reports (a file counts once for everybody) and ``[doctor_id, sha256]`` for
-    other documents. Refused copies are found by their own id, not by joining copies with each other.
+    other documents. Refused copies are found by their own id, not by joining copies with each other. Files of more than
+    ``max_bytes`` are refused, if that is given.
     """
-    usable = (F.col("size") <= MAX_BYTES) & F.col("file_type").isNotNull()
+    too_large = F.lit(False) if max_bytes is None else F.col("size") > max_bytes
+    usable = ~too_large & F.col("file_type").isNotNull()
     fresh = first_copies(files.filter(usable), keys, order).join(existing.select(*keys).distinct(), keys, "left_anti")
     won = fresh.select(file_id, F.lit(True).alias("_won"))
-    reason = (F.when(F.col("size") > MAX_BYTES, "file is larger than 20 MB")
+    reason = (F.when(too_large, f"file is larger than {(max_bytes or 0) // (1024 * 1024)} MB")
               .when(F.col("file_type").isNull(), "file type is not supported")
               .when(F.col("_won").isNull(), "this file was already uploaded").otherwise(""))
     return (files.join(won, file_id, "left").withColumn("reason", reason)

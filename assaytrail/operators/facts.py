@@ -182,11 +182,10 @@ def with_clinical(facts: DataFrame, current: DataFrame, criteria: DataFrame, pro
 
 
 def facts_hash(facts: DataFrame) -> DataFrame:
-    """A hash per patient that is equal for equal facts in any order: sums of the halves of each row's SHA-256."""
+    """A hash per patient that is equal for equal facts in any order: sums of the four quarters of each row's SHA-256."""
     digest = F.sha2(F.concat_ws("|", "section", "fact"), 256)
-    half = lambda at: F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(20,0)"))
-    return facts.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_facts"), half(1).alias("hash_a"),
-                                           half(16).alias("hash_b"))
+    quarter = lambda k: F.sum(F.conv(F.substring(digest, 16 * k + 1, 16), 16, 10).cast("decimal(20,0)"))
+    return facts.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_facts"), *[quarter(k).alias(f"hash_{'abcd'[k]}") for k in range(4)])
 
 
 def used_reports(flags: DataFrame, evidence: DataFrame, periods: DataFrame, reports: DataFrame, labels: DataFrame,

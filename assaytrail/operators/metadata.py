@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # --- Fixed values: date forms (day first), labels and the words of a lab name ----------------------------------
@@ -22,6 +22,7 @@ LAB_STOP = (r"^(?i)(sample|processed|at|collected|collection|report|reported|pat
             r"tel|phone|no|id|sid|age|sex|investigation|final|test|lab|director|the|of|and|&|"
             r"mr|mrs|ms|miss|master|baby|male|female|m|f|y|yrs|years)\.?$")
 FIELD_WORD = r"^(?i)(no|id|code|ref|number|num|#)\.?:?$"
+# A lab name has at most so many words before and after its suffix and stands in the first lines of a document.
 NAME_WORDS, TAIL_WORDS, HEAD_LINES = 4, 3, 15
 
 
@@ -65,7 +66,7 @@ def labelled_dates(lines: DataFrame, as_of: str) -> DataFrame:
                         .when(F.col("reported_at").isNotNull(), "Reported")))
 
 
-def lab_in_line(text: Column) -> Column:
+def lab_in_line(text: Column, name_words: int = NAME_WORDS, tail_words: int = TAIL_WORDS) -> Column:
     """First "<Name> Diagnostics/Labs/Healthcare ..." phrase of a line; lines naming a doctor have none."""
     tokens = F.filter(F.transform(F.split(text, r"\s+"), lambda t: F.regexp_replace(t, r"^[:(),;]+|[:(),;]+$", "")),
                       lambda t: t != "")
@@ -80,9 +81,9 @@ def lab_in_line(text: Column) -> Column:
         return t.rlike(r"^\p{Lu}") & ~t.rlike(LAB_STOP) & ~t.rlike(r"\d")
 
     def phrase(i: Column) -> Column:
-        size = F.least(i - 1, F.lit(NAME_WORDS))
+        size = F.least(i - 1, F.lit(name_words))
         before = F.reverse(F.slice(tokens, i - size, size))
-        after = F.slice(tokens, i + 1, F.lit(TAIL_WORDS))
+        after = F.slice(tokens, i + 1, F.lit(tail_words))
         back = leading(before, names)
         tail = leading(after, lambda t: t.rlike(LAB_TAIL))
         ok = (F.element_at(tokens, i).rlike(LAB_SUFFIX) & (back > 0)
@@ -94,12 +95,19 @@ def lab_in_line(text: Column) -> Column:
     return F.try_element_at(found, F.lit(1))
 
 
-def labs(lines: DataFrame) -> DataFrame:
-    """Lab name per document: from page-header lines when they are marked, else from the first 15 lines."""
+def labs(lines: DataFrame, head_lines: int | None = HEAD_LINES, name_words: int = NAME_WORDS, tail_words: int = TAIL_WORDS) -> DataFrame:
+    """Lab name per document: from page-header lines when they are marked, else from its first ``head_lines`` lines, counted over
+    all pages (None: from all lines). The number of lines of each page is summed up, so lines are counted without ordering them."""
     place = F.struct("page", "line")
     rows = lines if "page_header" in lines.columns else lines.withColumn("page_header", F.lit(False))
-    rows = rows.withColumn("lab", lab_in_line(F.col("text"))).filter(F.col("lab").isNotNull())
-    early = (F.col("page") == 1) & (F.col("line") <= HEAD_LINES)
-    per_doc = rows.groupBy("doc_id").agg(F.min_by("lab", F.when(F.col("page_header"), place)).alias("_h"),
-                                         F.min_by("lab", F.when(early, place)).alias("_e"))
+    found = rows.withColumn("lab", lab_in_line(F.col("text"), name_words, tail_words)).filter(F.col("lab").isNotNull())
+    early = F.lit(True)
+    if head_lines is not None:
+        before = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+        pages = (lines.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("_n"), F.min("line").alias("_first"))
+                 .select("doc_id", "page", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+        found = found.join(pages, ["doc_id", "page"])
+        early = F.col("_before") + F.col("line") - F.col("_first") < head_lines
+    per_doc = found.groupBy("doc_id").agg(F.min_by("lab", F.when(F.col("page_header"), place)).alias("_h"),
+                                          F.min_by("lab", F.when(early, place)).alias("_e"))
     return per_doc.select("doc_id", F.coalesce("_h", "_e").alias("lab")).filter(F.col("lab").isNotNull())

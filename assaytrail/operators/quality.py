@@ -16,12 +16,17 @@ TAGS = ["O"] + [f"{b}-{k}" for k in KINDS for b in ("B", "I")]
 REL_TOLERANCE = 1e-6
 
 
+def _kind(tag):
+    """What follows B- or I-."""
+    return F.substring(tag, F.lit(3), F.length(tag))
+
+
 def bad_tags(rows: DataFrame) -> DataFrame:
     """Rows whose tags are not one per token, or where I-X does not follow X."""
     before = F.concat(F.array(F.lit("O")), F.slice("tags", F.lit(1), F.greatest(F.size("tags") - 1, F.lit(0))))
     pairs = F.arrays_zip(F.col("tags").alias("t"), before.alias("b"))
     broken = F.exists(pairs, lambda p: ~p["t"].isin(TAGS) | (p["t"].startswith("I-") & (
-        F.substring(p["t"], 3, 10) != F.substring(p["b"], 3, 10))))
+        _kind(p["t"]) != _kind(p["b"]))))
     return rows.filter((F.size("tokens") != F.size("tags")) | broken)
 
 
@@ -172,13 +177,13 @@ def entities(rows: DataFrame, tags: str, keys: list[str]) -> DataFrame:
     n = F.size(tags)
 
     def end_of(i: Column) -> Column:
-        kind = F.substring(F.element_at(tags, i), 3, 10)
+        kind = _kind(F.element_at(tags, i))
         rest = F.slice(tags, i + 1, n)
         stop = F.array_position(F.transform(rest, lambda t: t != F.concat(F.lit("I-"), kind)), True).cast("int")
         return F.when(stop == 0, n).otherwise(i + stop - 1)
 
     at = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(tags, i).startswith("B-"))
-    spans = F.transform(at, lambda i: F.struct(F.substring(F.element_at(tags, i), 3, 10).alias("kind"), i.alias("first"),
+    spans = F.transform(at, lambda i: F.struct(_kind(F.element_at(tags, i)).alias("kind"), i.alias("first"),
                                                end_of(i).alias("last")))
     return rows.filter(n > 0).select(*keys, F.explode(spans).alias("s")).select(*keys, "s.*")
 

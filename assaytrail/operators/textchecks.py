@@ -13,7 +13,6 @@ SUMMARY = ("key_finding struct<text:string,report_ids:array<string>>, "
            "medication_rows array<struct<date:string,drug:string,dose:string,observed:string>>, "
            "data_notes array<string>")
 ANSWER = "answer array<struct<text:string,report_ids:array<string>>>"
-MAX_DECIMALS = 12
 
 
 def parse(texts: DataFrame, column: str = "content", schema: str = SUMMARY) -> DataFrame:
@@ -53,24 +52,36 @@ def summary_texts(parsed: DataFrame, keys: list[str]) -> DataFrame:
     return parsed.filter(F.col("error").isNull()).select(*keys, F.explode(parts).alias("t")).select(*keys, "t.*")
 
 
-def _decimals(number: Column) -> Column:
-    point = F.instr(number, ".")
-    return F.when(point > 0, F.length(number) - point).otherwise(0)
+def _increment(digits: Column) -> Column:
+    """The next whole number, as digits: trailing nines become zeros, the digit before them goes up."""
+    lead = F.regexp_replace(digits, "9+$", "")
+    head, last = F.substring(lead, F.lit(1), F.length(lead) - 1), F.substring(lead, F.length(lead), F.lit(1))
+    return F.concat(F.when(lead == "", F.lit("1")).otherwise(F.concat(head, (F.coalesce(last.try_cast("int"), F.lit(0)) + 1).cast("string"))),
+                    F.repeat(F.lit("0"), F.length(digits) - F.length(lead)))
 
 
-def _fixed(value: Column, places: int, half_even: bool) -> Column:
-    rounded = F.bround(value, places) if half_even else F.round(value, places)
-    return rounded.cast(f"decimal(38,{places})").cast("string")
+def _point(digits: Column, places: Column) -> Column:
+    whole = F.length(digits) - places
+    return F.when(places == 0, digits).otherwise(
+        F.concat(F.substring(digits, F.lit(1), whole), F.lit("."), F.substring(digits, whole + 1, places)))
 
 
 def roundings(number: Column) -> Column:
-    """A number written out and all its roundings to fewer decimals, half up and half to even."""
-    value = number.try_cast(f"decimal(38,{MAX_DECIMALS})")
-    forms = [normal_form(number)]
-    for places in range(MAX_DECIMALS + 1):
-        for half_even in (False, True):
-            forms.append(F.when(_decimals(number) >= places, _fixed(value, places, half_even)))
-    return F.array_distinct(F.filter(F.array(*forms), lambda f: f.isNotNull()))
+    """A number written out and all its roundings to fewer decimals, half up and half to even.
+
+    Rounding works on the digits, so neither the decimals nor the length of a number have a limit.
+    """
+    plain = normal_form(number)
+    whole, decimals = F.substring_index(plain, ".", 1), F.regexp_extract(plain, r"\.(.*)$", 1)
+    digits = F.concat(whole, decimals)
+
+    def forms(places: Column) -> Column:
+        kept, rest = F.substring(digits, F.lit(1), F.length(whole) + places), F.substring(decimals, places + 1, F.length(decimals))
+        down, up = _point(kept, places), _point(_increment(kept), places)
+        to_odd = kept.rlike("[13579]$") | ~rest.rlike("^50*$")
+        return F.array(F.when(rest.rlike("^[5-9]"), up).otherwise(down), F.when(rest.rlike("^[5-9]") & to_odd, up).otherwise(down))
+
+    return F.array_distinct(F.concat(F.array(plain), F.flatten(F.transform(F.sequence(F.lit(0), F.length(decimals)), forms))))
 
 
 def normal_form(number: Column) -> Column:
@@ -111,6 +122,11 @@ def wording_per_patient(texts: DataFrame, phrases: DataFrame, keys: list[str], t
         tx.matches(F.col("_clean"), d.BANNED_WORDS), tx.matches(F.col("_clean"), d.CAUSAL_WORDS)))).drop("_clean", "phrases")
 
 
+def cited_labels(text: Column) -> Column:
+    """Report labels that a text names, such as R4."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\bR[1-9][0-9]*\b"), 0))
+
+
 def unknown_citations(texts: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
     """Cited labels that are not reports of the facts."""
     cited = texts.withColumn("label", F.explode("cited"))

@@ -10,7 +10,7 @@ PATIENTS = ("patient_id bigint, doctor_id bigint, patient_code string, name stri
 REPORTS = ("report_id bigint, patient_id bigint, file_sha256 string, lab string, collected_at date, "
            "date_label string, reported_at date, layout string, pages int, status string, "
            "skipped array<struct<page:int,line:int,text:string,reason:string>>")
-OBSERVATIONS = ("observation_id bigint, report_id bigint, analyte_id string, match string, basis string, "
+OBSERVATIONS = ("observation_id string, report_id bigint, analyte_id string, match string, basis string, "
                 "test_text string, value_text string, unit_text string, range_text string, flag_text string, "
                 "row_text string, range_lines array<string>, notes array<string>, comparator string, "
                 "value_number double, canonical_value double, canonical_unit string, page int, line int, "

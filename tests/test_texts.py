@@ -104,6 +104,29 @@ def test_dates_and_labs(spark):
     assert {r.t: r.lab for r in rows.collect()} == names
 
 
+def test_lab_name_is_sought_over_the_document(spark):
+    """The first 15 lines count over all pages: a cover page does not hide a name, and a later line does not count."""
+    lines = [(1, 1, i, "cover") for i in (1, 2, 3)] + [(1, 2, 1, "Vedhya Diagnostic Centre")]
+    lines += [(2, 1, i, "x") for i in range(1, 11)] + [(2, 2, i, "x") for i in range(1, 6)] + [(2, 2, 6, "Vedhya Diagnostic Centre")]
+    rows = spark.createDataFrame(lines, "doc_id bigint, page int, line int, text string")
+    assert [(r.doc_id, r.lab) for r in M.labs(rows).collect()] == [(1, "Vedhya Diagnostic Centre")]
+    assert {r.doc_id for r in M.labs(rows, head_lines=None).collect()} == {1, 2}
+
+
+def test_roundings_have_no_limit(spark):
+    def plain(number):
+        from decimal import ROUND_HALF_EVEN, ROUND_HALF_UP, Context, Decimal
+        places, context = len(number.partition(".")[2]), Context(prec=200)
+        return {format(Decimal(number).quantize(Decimal(1).scaleb(-k), rounding=mode, context=context), "f")
+                for k in range(places + 1) for mode in (ROUND_HALF_UP, ROUND_HALF_EVEN)}
+
+    numbers = ["1.23456789012345", "9.9995", "0.5", "2.5", "99.95", "7", "123456789012345678901234567890.25", "0.00000000000000005", "1.2350"]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n string").select("n", X.roundings(F.col("n")).alias("r")).collect()
+    assert {r.n: set(r.r) for r in rows} == {n: plain(n) for n in numbers}
+    facts = spark.createDataFrame([(1, "1.23456789012345")], "k int, fact string")
+    assert X.number_violations(spark.createDataFrame([(1, "1.2345678901234")], "k int, text string"), facts, ["k"]).count() == 0
+
+
 def test_numbers_and_wording(spark):
     facts = spark.createDataFrame([(1, '{"slope": -7.08, "value": 78.42}'), (1, "R7 T4 2.5")], "k int, fact string")
     said = "78.42 78.4 78 7.1 7 2.5 3 2 78.5 78.420 7.2 R9 007"
@@ -138,6 +161,6 @@ def test_summary_checks(spark):
 def test_facts_hash_ignores_order(spark):
     rows = [(1, "a", "x"), (1, "b", "y"), (2, "b", "y"), (2, "a", "x"), (3, "a", "z"), (3, "b", "y")]
     df = spark.createDataFrame(rows, "patient_id int, section string, fact string")
-    one = {r.patient_id: (r.hash_a, r.hash_b) for r in K.facts_hash(df).collect()}
-    two = {r.patient_id: (r.hash_a, r.hash_b) for r in K.facts_hash(df.orderBy(F.desc("fact")).repartition(3)).collect()}
+    one = {r.patient_id: (r.hash_a, r.hash_b, r.hash_c, r.hash_d) for r in K.facts_hash(df).collect()}
+    two = {r.patient_id: (r.hash_a, r.hash_b, r.hash_c, r.hash_d) for r in K.facts_hash(df.orderBy(F.desc("fact")).repartition(3)).collect()}
     assert one == two and one[1] == one[2] != one[3]
