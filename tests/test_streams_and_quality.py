@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from __spark_entry__ import oracle_sql, queries
 from assaytrail.operators import quality as Q
 from assaytrail.sources import tables
+from assaytrail.plans.queries import QUERIES
+from assaytrail.sources import sinks
 from assaytrail.streaming import alerts, refresh
 from compare import compare, connect
 from tests import patients as fx
@@ -23,7 +25,7 @@ def test_query_equals_its_sql(spark, name):
 
 def test_every_query_is_registered_once():
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"facts_hash", "rule_tags", "assemble"}
+    assert set(QUERIES) - set(oracle_sql()) == {"facts_hash", "rule_tags", "assemble"}
 
 
 def test_refresh_equals_batch_also_for_late_reports(spark, tmp_path):
@@ -33,10 +35,35 @@ def test_refresh_equals_batch_also_for_late_reports(spark, tmp_path):
     for i, part in enumerate((points.filter(~late), points.filter(late))):       # the early reports come last
         part.coalesce(1).write.mode("append").parquet(incoming)
         refresh.start_refresh(spark, incoming, fx.events(spark), folder, f"{tmp_path.name}-refresh", 1, 4).awaitTermination()
-    got = {(r.patient_id, r.flag_id) for r in spark.read.parquet(f"{folder}/flags").collect()}
+    got = {(r.patient_id, r.flag_id) for r in refresh.current_flags(spark, folder).collect()}
     assert got == {(r.patient_id, r.flag_id) for r in refresh.compute_flags(points, fx.events(spark)).collect()}
 
 
+def test_refresh_drops_flags_that_a_late_value_removes(spark, tmp_path):
+    """4.0 then 4.8 is a change beyond the threshold; a late 4.4 between them takes it away."""
+    folder, incoming = str(tmp_path / "out"), str(tmp_path / "in")
+    rows = [(1, "potassium", "a", 1, "2024-01-01", 4.0), (1, "potassium", "b", 2, "2024-03-01", 4.8), (1, "potassium", "c", 3, "2024-02-01", 4.4)]
+    points = spark.createDataFrame(rows, "patient_id bigint, analyte_id string, observation_id string, report_id bigint, date string, value double").selectExpr(
+        "patient_id", "analyte_id", "observation_id", "report_id", "cast(date as date) date", "value", "cast(null as string) comparator", "'A' lab", "1 page", "1 line")
+    events = fx.events(spark).limit(0)
+    seen = []
+    for part in (points.filter("observation_id <> 'c'"), points.filter("observation_id = 'c'")):
+        part.coalesce(1).write.mode("append").parquet(incoming)
+        refresh.start_refresh(spark, incoming, events, folder, f"{tmp_path.name}-late", 1, 4).awaitTermination()
+        seen.append(refresh.current_flags(spark, folder).count())
+    assert seen == [refresh.compute_flags(points.filter("observation_id <> 'c'"), events).count(), refresh.compute_flags(points, events).count()]
+    assert seen[0] > seen[1] == 0
+    refresh.compact(spark, folder, f"{folder}-2", 10, 4)
+    assert refresh.current_flags(spark, f"{folder}-2").count() == 0 and refresh.stored_points(spark, f"{folder}-2").count() == 3
+
+
+def test_result_table_written_again_keeps_no_old_bucket(spark, tmp_path):
+    rows = spark.range(100).withColumnRenamed("id", "patient_id")
+    sinks.write_results(rows, str(tmp_path / "t"), 8)
+    sinks.write_results(rows.filter("patient_id < 2"), str(tmp_path / "t"), 8)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
 def test_alerts_on_arrival(spark, tmp_path):
     incoming = str(tmp_path / "in")
     points = fx.points(spark).withColumn("observation_id", F.col("observation_id").cast("string")).filter(
