@@ -119,20 +119,16 @@ def report_labels(reports: DataFrame) -> DataFrame:
 
 
 def label_runs(numbers: DataFrame, keys: list[str], n: str = "label_number") -> DataFrame:
-    """Runs of consecutive numbers per key.
+    """Runs of consecutive numbers per key: inside a run, number minus position is constant.
 
-    A number whose predecessor is missing starts a run, one whose successor is missing ends it. Both are
-    anti joins on (key, number); the k-th start belongs to the k-th end.
+    A key's numbers are those of one patient's reports with one analyte, so the window of a key is small.
     """
     m = numbers.select(*keys, F.col(n).cast("bigint").alias("n")).distinct()
-    on = [*keys, "n"]
-    starts = m.join(m.withColumn("n", F.col("n") + 1), on, "left_anti").withColumn("block", F.floor(F.col("n") / 1000))
-    ends = m.join(m.withColumn("n", F.col("n") - 1), on, "left_anti").withColumn("block", F.floor(F.col("n") / 1000))
-    starts = row_numbers(starts, keys, "block", ["n"], "run").withColumnRenamed("n", "run_start").drop("block")
-    ends = row_numbers(ends, keys, "block", ["n"], "run").withColumnRenamed("n", "run_end").drop("block")
+    island = F.col("n") - F.row_number().over(Window.partitionBy(*keys).orderBy("n"))
+    runs = m.withColumn("island", island).groupBy(*keys, "island").agg(F.min("n").alias("run_start"), F.max("n").alias("run_end"))
     text = F.when(F.col("run_end") > F.col("run_start"),
                   F.format_string("R%d–R%d", "run_start", "run_end")).otherwise(F.format_string("R%d", "run_start"))
-    return starts.join(ends, [*keys, "run"]).withColumn("run_text", text).drop("run")
+    return runs.withColumn("run_text", text).drop("island")
 
 
 def timeline(points: DataFrame) -> DataFrame:
@@ -173,12 +169,12 @@ def new_guideline_flags(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def sort_last_tests(last_tests: DataFrame) -> DataFrame:
     """Overdue tests first, then the ones longest ago."""
-    return last_tests.orderBy("patient_id", F.desc("longer_than_interval"), F.desc("days_since"), "analyte_id")
+    return last_tests.repartition("patient_id").sortWithinPartitions("patient_id", F.desc("longer_than_interval"), F.desc("days_since"), "analyte_id")
 
 
 def review_order(observations: DataFrame) -> DataFrame:
     """Rows of a report under review: tracked tests first, then as printed."""
-    return observations.orderBy("report_id", (F.col("status") == "not_tracked").cast("int"), "page", "line")
+    return observations.repartition("report_id").sortWithinPartitions("report_id", (F.col("status") == "not_tracked").cast("int"), "page", "line")
 
 
 def newest_documents(documents: DataFrame) -> DataFrame:

@@ -59,12 +59,16 @@ FLAG = [*SERIES, "rule_id", "level", "date", "value", "ref_value", "compared_wit
         "same_lab_agrees", "same_lab_date", "per_year", "n_points", "span_days"]
 
 
-def flags(frame: DataFrame) -> DataFrame:
+RULES = ("RCV_PREV", "RCV_BASELINE", "KDIGO_RAPID_EGFR")
+
+
+def flags(frame: DataFrame, rules: tuple[str, ...] = RULES) -> DataFrame:
     """All flags of all series in one pass over the daily rows.
 
     Each day is compared with the day before (RCV_PREV); the latest day also with the baseline, when it is
     after the baseline days (RCV_BASELINE), and an eGFR series' line with the guideline (KDIGO_RAPID_EGFR).
-    A change counts when it is strictly beyond the reference change value.
+    A change counts when it is strictly beyond the reference change value. With fewer ``rules``, the baseline and the line are
+    computed only where a rule needs them.
     """
     c = F.col
     is_last = c("next_date").isNull()
@@ -73,42 +77,44 @@ def flags(frame: DataFrame) -> DataFrame:
         return F.struct(F.lit(rule).alias("rule_id"), F.lit(level).alias("level"), F.lit(label).alias("compared_with"),
                         *[c(column).alias(name) for name, column in columns.items()])
 
-    compared = F.filter(F.array(
-        F.when(c("prev_date").isNotNull(), against(
+    compared = {
+        "RCV_PREV": lambda: F.when(c("prev_date").isNotNull(), against(
             "RCV_PREV", "change", "previous result", ref_value="prev_value", ref_first="prev_date", ref_last="prev_date",
             ref_lo="prev_lab_lo", ref_hi="prev_lab_hi")),
-        F.when(is_last & (c("date") > c("baseline_last")), against(
+        "RCV_BASELINE": lambda: F.when(is_last & (c("date") > c("baseline_last")), against(
             "RCV_BASELINE", "change", "baseline", ref_value="baseline", ref_first="baseline_first",
             ref_last="baseline_last", ref_lo="baseline_lab_lo", ref_hi="baseline_lab_hi")),
-        F.when(is_last & _is_rapid(), against(
+        "KDIGO_RAPID_EGFR": lambda: F.when(is_last & _is_rapid(), against(
             "KDIGO_RAPID_EGFR", "guideline", "slope", ref_value="first_used_value", ref_first="first_used",
-            ref_last="last_used", ref_lo="used_lab_lo", ref_hi="used_lab_hi"))), lambda x: x.isNotNull())
+            ref_last="last_used", ref_lo="used_lab_lo", ref_hi="used_lab_hi"))}
+    compared = F.filter(F.array(*[compared[rule]() for rule in RULES if rule in rules]), lambda x: x.isNotNull())
     rows = _with_analyte(frame.withColumn("compared", F.explode(compared))).select("*", "compared.*")
     guideline = c("level") == "guideline"
     rows = rows.withColumn("change_percent", F.when(~guideline, num.pct_change(c("value"), c("ref_value"))))
     rows = rows.filter(guideline | (F.abs("change_percent") > c("rcv_percent")))
     rows = lab_change(rows, c("rule_id") == "RCV_PREV")
-    status, span, per_year = _slope_columns()
+    slope = {"per_year": F.lit(None).cast("double"), "span_days": F.lit(None).cast("int"), "n_points": F.lit(None).cast("bigint")}
+    if "KDIGO_RAPID_EGFR" in rules:
+        _, span, per_year = _slope_columns()
+        slope = {"per_year": F.when(guideline, per_year), "span_days": F.when(guideline, span), "n_points": F.when(guideline, c("n_points"))}
     return rows.withColumns({
         "direction": F.when(c("change_percent") > 0, "rise").otherwise("fall"),
         "change_abs": F.when(~guideline, F.round(c("value") - c("ref_value"), 4)),
         "target_direction": num.target_direction(c("ref_value"), c("value"), c("target_low"), c("target_high")),
         "cross_lab": F.when(guideline, crossed(c("ref_lo"), c("ref_hi"))).otherwise(
-            crossed(c("lab_lo"), c("lab_hi"), c("ref_lo"), c("ref_hi"))),
-        "per_year": F.when(guideline, per_year), "span_days": F.when(guideline, span),
-        "n_points": F.when(guideline, c("n_points"))}).select(*FLAG)
+            crossed(c("lab_lo"), c("lab_hi"), c("ref_lo"), c("ref_hi"))), **slope}).select(*FLAG)
 
 
 def rcv_prev(frame: DataFrame) -> DataFrame:
-    return flags(frame).filter(F.col("rule_id") == "RCV_PREV")
+    return flags(frame, ("RCV_PREV",))
 
 
 def rcv_baseline(frame: DataFrame) -> DataFrame:
-    return flags(frame).filter(F.col("rule_id") == "RCV_BASELINE")
+    return flags(frame, ("RCV_BASELINE",))
 
 
 def kdigo_rapid(frame: DataFrame) -> DataFrame:
-    return flags(frame).filter(F.col("rule_id") == "KDIGO_RAPID_EGFR")
+    return flags(frame, ("KDIGO_RAPID_EGFR",))
 
 
 def with_expected_effect(flags_df: DataFrame, windows: DataFrame) -> DataFrame:
