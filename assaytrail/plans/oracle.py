@@ -475,6 +475,19 @@ CTES["v_header_line"] = f"""SELECT o_orderkey AS doc_id, {_DATE} AS d, o_orderke
 _said = r"'(^|[^A-Za-z0-9.])(\d+(?:\.\d+)?)', 2"
 
 
+def _written() -> str:
+    """Sentences of the adapter, with the marks replaced."""
+    cents = "CAST(round(o_totalprice * 100) AS BIGINT)"
+    text = "CASE o_orderkey % {n} {whens} END".format(n=len(A.SENTENCES), whens=" ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(A.SENTENCES)))
+    tenths = f"(({cents} + 5) // 10)"
+    for mark, value in (("{v}", f"({tenths} // 10) || '.' || ({tenths} % 10)"), ("{w}", f"({cents} // 100) || '.' || lpad(({cents} % 100)::VARCHAR, 2, '0') || '7'"), ("{n}", "(o_orderkey % 23 + 1)::VARCHAR")):
+        text = f"replace({text}, '{mark}', {value})"
+    return f"SELECT o_orderkey AS report_id, o_custkey AS patient_id, ({cents} // 100) || '.' || lpad(({cents} % 100)::VARCHAR, 2, '0') AS fact, {text} AS text FROM orders"
+
+
+CTES["v_written"] = _written()
+
+
 def _number_check(said: str, facts: str, keys: str, out: str) -> str:
     """Numbers of ``said`` rows that are no fact number and no rounding of one."""
     return f"""WITH RECURSIVE said AS (SELECT DISTINCT {out}, unnest(regexp_extract_all(text, {_said})) AS said FROM {said}),
@@ -590,9 +603,9 @@ FINAL: dict[str, str] = {
         UNION ALL SELECT DISTINCT patient_id, 'note' FROM v_my_point WHERE comparator IS NOT NULL
         UNION ALL SELECT DISTINCT patient_id, 'note' FROM v_drug JOIN v_slv USING (patient_id) WHERE change = 'start' AND date BETWEEN ps AND pe) GROUP BY ALL""",
     "used_reports": "SELECT u.patient_id, u.report_id, 'R' || n AS label FROM v_used u JOIN v_label USING (patient_id, report_id)",
-    "wording_check": rf"""SELECT doc_id, lower(word) AS word, count(*) AS n FROM (SELECT doc_id, unnest(list_concat(regexp_extract_all(t, '(?i){_RE_BANNED}'), regexp_extract_all(t, '(?i){_RE_CAUSAL}'))) AS word
-        FROM (SELECT doc_id, regexp_replace(text, '(?i)good news|must-have', ' ', 'g') AS t FROM documents)) GROUP BY ALL""",
-    "citation_check": "SELECT patient_id, 'R' || i AS label FROM (SELECT patient_id, i FROM v_patient, range(1, 13) t(i)) ANTI JOIN (SELECT patient_id, n AS i FROM v_label) USING (patient_id, i)",
+    "wording_check": rf"""SELECT report_id, lower(word) AS word, count(*) AS n FROM (SELECT report_id, unnest(list_concat(regexp_extract_all(t, '(?i){_RE_BANNED}'), regexp_extract_all(t, '(?i){_RE_CAUSAL}'))) AS word
+        FROM (SELECT report_id, regexp_replace(text, '(?i)good news|must-have', ' ', 'g') AS t FROM v_written)) GROUP BY ALL""",
+    "citation_check": r"SELECT w.report_id, w.label FROM (SELECT DISTINCT report_id, patient_id, unnest(regexp_extract_all(text, '\bR[1-9][0-9]*\b')) AS label FROM v_written) w ANTI JOIN (SELECT patient_id, 'R' || n AS label FROM v_label) l ON l.patient_id = w.patient_id AND l.label = w.label",
     "entity_f1": """SELECT split, kind, support, round(p, 5) AS precision, round(r, 5) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 5) AS f1 FROM (
         SELECT split, coalesce(kind, 'overall') AS kind, count(g) AS support, CASE WHEN count(q) > 0 THEN count(*) FILTER (WHERE g = 1 AND q = 1) / count(q)::DOUBLE ELSE 0 END AS p,
           CASE WHEN count(g) > 0 THEN count(*) FILTER (WHERE g = 1 AND q = 1) / count(g)::DOUBLE ELSE 0 END AS r
@@ -611,7 +624,7 @@ FINAL: dict[str, str] = {
     "split_integrity": "SELECT 'report in two splits' AS problem, report_id::VARCHAR AS item FROM v_tagged GROUP BY report_id HAVING count(DISTINCT split) > 1 UNION ALL SELECT DISTINCT CASE WHEN split = 'test' THEN 'other family in test' ELSE 'held-out family outside test' END, layout_family FROM v_tagged WHERE (layout_family IN ('family 1', 'family 2')) <> (split = 'test')",
     "coverage_anti": "SELECT analyte_id, synonym, CASE WHEN n IS NULL THEN 'never used' ELSE 'not in train' END AS gap FROM d_synonym LEFT JOIN (SELECT analyte_id, test_text AS synonym, count(*) AS n, count(*) FILTER (WHERE report_id % 10 NOT IN (0, 1)) AS t FROM v_matched GROUP BY ALL) USING (analyte_id, synonym) WHERE coalesce(t, 0) = 0",
     "rows_per_analyte": "SELECT analyte_id, coalesce(n, 0) AS n, coalesce(n, 0) >= 300 AS enough FROM d_analyte LEFT JOIN (SELECT analyte_id, count(*) AS n FROM v_matched GROUP BY 1) USING (analyte_id)",
-    "forbidden_phrases": f"SELECT doc_id, phrase, count(*) AS n FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '(?i){_RE_BRANDS}'))) AS phrase FROM documents) GROUP BY ALL",
+    "forbidden_phrases": f"SELECT report_id, phrase, count(*) AS n FROM (SELECT report_id, lower(unnest(regexp_extract_all(text, '(?i){_RE_BRANDS}'))) AS phrase FROM v_written) GROUP BY ALL",
     "calculated_inputs": "SELECT DISTINCT report_id, panel, test_id, needed_id FROM v_panel JOIN d_requires USING (test_id) ANTI JOIN (SELECT report_id, panel, test_id AS needed_id FROM v_panel) USING (report_id, panel, needed_id)",
     "differentials": f"SELECT report_id, panel, count(DISTINCT test_id) AS n_parts, sum(value) AS total FROM v_panel WHERE test_id IN ({', '.join(map(_lit, d.DIFFERENTIAL))}) GROUP BY ALL HAVING count(DISTINCT test_id) <> 5 OR sum(value) <> 100",
     "panel_shares": "SELECT panel, count(*) AS n, round(count(*) FILTER (WHERE test_id NOT IN (SELECT analyte_id FROM d_analyte)) / count(*), 6) AS share FROM v_panel GROUP BY 1",
@@ -637,7 +650,7 @@ _RECURSIVE = {
         SELECT doc_id, page, least(coalesce(median(gap) FILTER (WHERE gap > 3 AND gap < 40), 12.0), 2 * 9.0) AS pitch FROM gaps GROUP BY ALL""",
 }
 _WHOLE = {
-    "number_check": _number_check("(SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant')", "(SELECT conv_id, text FROM conversations WHERE role <> 'assistant')", "conv_id", "conv_id, turn").replace("SELECT s.*", "SELECT conv_id, turn, said"),
+    "number_check": _number_check(f"({CTES['v_written']})", f"(SELECT report_id, fact AS text FROM ({CTES['v_written']}))", "report_id", "report_id").replace("SELECT s.*", "SELECT report_id, said"),
     "document_numbers": _number_check("(SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))", "(SELECT source, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))", "source", "source, doc_id").replace("SELECT s.*", "SELECT source, doc_id, said"),
 }
 
@@ -652,7 +665,8 @@ def _needed(sql: str, seen: list[str]) -> list[str]:
 
 
 def _base(sql: str) -> str:
-    return ", ".join(f"{n} AS ({CTES[n]})" for n in _needed(sql, []))
+    # Many views are used several times; the other engine would work them out again each time.
+    return ", ".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in _needed(sql, []))
 
 
 def _later_flags() -> str:

@@ -193,6 +193,26 @@ def header_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "page", "r.line", "r.text")
 
 
+# --- Sentences about a report: what stands for {v} is a rounding, {w} a wrong number, {n} a label number ----------------
+SENTENCES = ["Creatinine rose to {v} (R{n}).", "Values were stable, good news, at {w} (R{n}).", "The drug lowered it; you should recheck {v} (R{n}).",
+             "Printed by Metropolis and lal  pathlabs as {w}.", "A better score due to diet, {v} and 007 (R{n}, R1).", "No number here.",
+             "THYROCARE sample, must-have result {w} (R{n}); abnormal."]
+
+
+def written_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One written sentence per order with the fact it is about: report_id, patient_id, fact, text."""
+    key = F.col("o_orderkey")
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    whole, part = ((cents - cents % 100) / 100).cast("bigint").cast("string"), F.lpad((cents % 100).cast("string"), 2, "0")
+    fact = F.concat(whole, F.lit("."), part)
+    rounded = ((cents + 5 - (cents + 5) % 10) / 10).cast("bigint")
+    shown = F.concat(((rounded - rounded % 10) / 10).cast("bigint").cast("string"), F.lit("."), (rounded % 10).cast("string"))
+    text = F.element_at(F.array(*map(F.lit, SENTENCES)), (key % len(SENTENCES) + 1).cast("int"))
+    for mark, value in (("{v}", shown), ("{w}", F.concat(whole, F.lit("."), part, F.lit("7"))), ("{n}", (key % 23 + 1).cast("string"))):
+        text = F.replace(text, F.lit(mark), value)
+    return read(spark, sf_dir, "orders").select(key.alias("report_id"), F.col("o_custkey").alias("patient_id"), fact.alias("fact"), text.alias("text"))
+
+
 def panel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tests of a blood-count or liver panel printed on each order, one per line item."""
     cbc = d.lists(d.PANELS)["CBC"]
