@@ -197,7 +197,8 @@ def to_printed_unit(rows: DataFrame, unit: str = "unit_text") -> DataFrame:
             .drop("factor", "offset"))
 
 
-def status_counts(observations: DataFrame) -> DataFrame:
-    """Observations of each report by status."""
+def status_counts(observations: DataFrame, skipped: DataFrame) -> DataFrame:
+    """Observations of each report by status, and its skipped lines; a report with skipped lines only has its row, too."""
     statuses = ["extracted", "needs_review", "not_tracked", "confirmed", "rejected"]
-    return observations.groupBy("report_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in statuses])
+    rows = observations.select("report_id", "status").unionByName(skipped.select("report_id", F.lit("skipped").alias("status")))
+    return rows.groupBy("report_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in [*statuses, "skipped"]])

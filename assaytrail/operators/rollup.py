@@ -168,17 +168,21 @@ def new_guideline_flags(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def sort_last_tests(last_tests: DataFrame) -> DataFrame:
-    """Overdue tests first, then the ones longest ago."""
-    return last_tests.repartition("patient_id").sortWithinPartitions("patient_id", F.desc("longer_than_interval"), F.desc("days_since"), "analyte_id")
+    """Position in the patient's list: overdue tests first, then the ones longest ago."""
+    order = Window.partitionBy("patient_id").orderBy(F.desc("longer_than_interval"), F.desc("days_since"), "analyte_id")
+    return last_tests.withColumn("position", F.row_number().over(order))
 
 
 def review_order(observations: DataFrame) -> DataFrame:
-    """Rows of a report under review: tracked tests first, then as printed."""
-    return observations.repartition("report_id").sortWithinPartitions("report_id", (F.col("status") == "not_tracked").cast("int"), "page", "line")
+    """Position of a row in the review of its report: tracked tests first, then as printed."""
+    order = Window.partitionBy("report_id").orderBy((F.col("status") == "not_tracked").cast("int"), "page", "line")
+    return observations.withColumn("position", F.row_number().over(order))
 
 
 def newest_documents(documents: DataFrame) -> DataFrame:
-    return documents.orderBy(F.desc("created_at"), F.desc("document_id"))
+    """Documents with their position in the patient's list, newest first."""
+    order = Window.partitionBy("patient_id").orderBy(F.desc("created_at"), F.desc("document_id"))
+    return documents.withColumn("position", F.row_number().over(order))
 
 
 def latest_summaries(summaries: DataFrame) -> DataFrame:

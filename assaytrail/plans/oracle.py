@@ -120,8 +120,7 @@ CTES: dict[str, str] = {
         CASE WHEN o_orderpriority = '5-LOW' THEN 'extracted' ELSE 'confirmed' END AS status FROM orders""",
     "v_event": f"""SELECT o_orderkey AS event_id, o_custkey AS patient_id,
         CASE o_orderpriority {" ".join(f"WHEN {_lit(k)} THEN {_lit(v)}" for k, v in A.PRESCRIBED.items())} END AS drug,
-        CASE o_orderkey % 4 WHEN 2 THEN 'stop' WHEN 3 THEN 'dose_change' ELSE 'start' END AS change, {_DATE} AS date
-        FROM orders WHERE o_orderstatus = 'P'""",
+        CASE o_orderkey % 4 WHEN 2 THEN 'stop' WHEN 3 THEN 'dose_change' ELSE 'start' END AS change, {_DATE} AS date FROM orders""",
     "v_obs": _observation(0, A.MAIN_ANALYTES, "l_partkey % 6") + " UNION ALL " + _observation(1, A.SECOND_ANALYTES, "l_suppkey % 4"),
     "v_point": """SELECT patient_id, analyte_id, observation_id, report_id, collected_at AS date, canonical_value AS value, comparator,
         lab, page, line FROM v_obs JOIN v_report USING (report_id) WHERE v_obs.status = 'confirmed' AND v_report.status = 'confirmed'""",
@@ -553,7 +552,13 @@ FINAL: dict[str, str] = {
     "name_match": "SELECT report_id, line, test_text, analyte_id, match, basis, CAST(n_candidates AS INTEGER) AS n_candidates FROM v_matched",
     "unit_convert": "SELECT report_id, line, analyte_id, canonical_value, status, status_reason FROM v_converted",
     "egfr_recompute": "SELECT report_id, line, canonical_value, status, CASE WHEN status = 'needs_review' THEN status_reason END AS refusal FROM v_normalised WHERE analyte_id = 'egfr'",
-    "status_counts": "SELECT report_id, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in ("extracted", "needs_review", "not_tracked", "confirmed", "rejected")) + " FROM v_normalised GROUP BY 1",
+    "status_counts": "SELECT report_id, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in ("extracted", "needs_review", "not_tracked", "confirmed", "rejected", "skipped"))
+        + " FROM (SELECT report_id, status FROM v_normalised UNION ALL SELECT report_id, 'skipped' FROM v_junk) GROUP BY 1",
+    "review_positions": "SELECT report_id, line, status, row_number() OVER (PARTITION BY report_id ORDER BY CASE WHEN status = 'not_tracked' THEN 1 ELSE 0 END, page, line) AS position FROM v_normalised",
+    "plausible_events": f"SELECT patient_id, count(*) AS n_events, max(date) AS latest FROM v_event JOIN v_patient USING (patient_id) WHERE year(date) >= birth_year AND date <= DATE '{A.AS_OF}' GROUP BY 1",
+    "file_dedup_per_owner": "SELECT doc_id, row_number() OVER (PARTITION BY source, text ORDER BY doc_id) = 1 AS accepted FROM documents",
+    "owned_reports": "SELECT doctor_id, count(*) AS n_reports FROM v_report JOIN v_patient USING (patient_id) GROUP BY 1",
+    "document_list": "SELECT source AS patient_id, doc_id AS document_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id DESC) AS position FROM documents",
     "skipped_results": "SELECT report_id, line, test_text, 'test name not in the dictionary and no unit or range printed: not a lab result' AS status_reason FROM v_junk",
     "hl_flags": "SELECT observation_id, analyte_id, sex, CASE WHEN value > high THEN 'H' WHEN value < low THEN 'L' ELSE '' END AS range_flag, CASE WHEN value < xlow OR value > xhigh THEN 'extreme' WHEN value < low OR value > high THEN 'abnormal' ELSE 'normal' END AS value_class FROM v_point JOIN v_patient USING (patient_id) JOIN d_range USING (analyte_id, sex)",
     "printed_units": "SELECT observation_id, u AS unit_text, round((value - offset_by) / factor, 5) AS printed_value FROM (SELECT *, CASE analyte_id WHEN 'creatinine' THEN 'µmol/L' WHEN 'hba1c' THEN 'mmol/mol' WHEN 'ldl' THEN 'mmol/L' WHEN 'fasting_glucose' THEN 'mmol/L' ELSE 'mg/g' END AS u FROM v_point) p LEFT JOIN d_conversion c ON c.analyte_id = p.analyte_id AND c.unit = p.u",
@@ -640,6 +645,9 @@ FINAL: dict[str, str] = {
     "lab_names": "SELECT doc_id, CASE lab_form WHEN 0 THEN 'Vedhya Diagnostic Centre' WHEN 1 THEN 'EXAMPLE HEALTHCARE LTD' ELSE 'Sai Krupa Path Labs' END AS lab FROM v_header_line WHERE lab_form IN (0, 1, 4)",
 }
 FINAL["stream_refresh"] = FINAL["all_flags"]
+FINAL["last_test_order"] = f"SELECT {_KEY}, row_number() OVER (PARTITION BY patient_id ORDER BY longer_than_interval DESC, days_since DESC, analyte_id) AS position FROM ({FINAL['last_test']})"
+FINAL["cards_to_review"] = f"SELECT patient_id, name, report_count, guideline, change FROM ({FINAL['patient_worklist']}) WHERE doctor_id = 7 AND (contains(lower(name), 'p-1') OR contains('p-' || patient_id, 'p-1')) AND guideline + change > 0"
+FINAL["cards_with_few_reports"] = f"SELECT patient_id, report_count FROM ({FINAL['patient_worklist']}) WHERE report_count < 2"
 _ROWS = """WITH RECURSIVE {base}, anchor AS (SELECT doc_id, page, min(top) AS a, 1 AS line FROM v_top GROUP BY ALL
     UNION ALL SELECT x.doc_id, x.page, min(t.top), x.line + 1 FROM anchor x JOIN v_top t ON t.doc_id = x.doc_id AND t.page = x.page AND t.top > x.a + 3 GROUP BY ALL),
     placed AS (SELECT w.*, a.line FROM v_word w JOIN anchor a ON a.doc_id = w.doc_id AND a.page = w.page AND w.top BETWEEN a.a AND a.a + 3)"""

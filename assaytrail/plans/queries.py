@@ -143,6 +143,11 @@ def last_test(lab: Lab) -> DataFrame:
     return T.last_tests(lab.points, lab.as_of)
 
 
+@lab_query
+def last_test_order(lab: Lab) -> DataFrame:
+    return U.sort_last_tests(T.last_tests(lab.points, lab.as_of)).select(*SERIES, "position")
+
+
 @lab_query
 def all_flags(lab: Lab) -> DataFrame:
     return lab.flags.select("patient_id", "flag_id", "level", "direction", "effect_event", "target_direction", "cross_lab")
@@ -228,7 +233,12 @@ def egfr_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.status_counts(_normalised(spark, sf_dir)[0])
+    return N.status_counts(*_normalised(spark, sf_dir)[:2])
+
+
+@query
+def review_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.review_order(_normalised(spark, sf_dir)[0]).select("report_id", "line", "status", "position")
 
 
 @query
@@ -291,6 +301,33 @@ def plausible_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_reports"), F.max("collected_at").alias("latest"))
 
 
+@query
+def plausible_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.plausible_events(A.med_events(spark, sf_dir), A.patients(spark, sf_dir), A.AS_OF)
+    return rows.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_events"), F.max("date").alias("latest"))
+
+
+@query
+def file_dedup_per_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents other than reports count once for each owner, here the source."""
+    files = A.read(spark, sf_dir, "documents").select(
+        "doc_id", F.col("source").alias("doctor_id"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("size"),
+        F.lit("pdf").alias("file_type"))
+    nothing = files.select("doctor_id", "sha256").limit(0)
+    return D.accept(files, nothing, ["doctor_id", "sha256"], ["doc_id"], "doc_id").select("doc_id", "accepted")
+
+
+@query
+def owned_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.owned(A.reports(spark, sf_dir), A.patients(spark, sf_dir)).groupBy("doctor_id").agg(F.count(F.lit(1)).alias("n_reports"))
+
+
+@query
+def document_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = A.read(spark, sf_dir, "documents").select(F.col("source").alias("patient_id"), F.col("n_chars").alias("created_at"), F.col("doc_id").alias("document_id"))
+    return U.newest_documents(docs).select("patient_id", "document_id", "position")
+
+
 @query
 def file_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = A.read(spark, sf_dir, "documents").select(
@@ -396,6 +433,18 @@ def patient_worklist(lab: Lab) -> DataFrame:
                         "change", "expected")
 
 
+@lab_query
+def cards_to_review(lab: Lab) -> DataFrame:
+    """The cards of one doctor's patients whose name or code holds a text, with something to review."""
+    cards = U.patient_cards(lab.patients, lab.reports, lab.flags)
+    return U.filter_cards(cards, 7, "P-1", "review").select("patient_id", "name", "report_count", "guideline", "change")
+
+
+@lab_query
+def cards_with_few_reports(lab: Lab) -> DataFrame:
+    return U.filter_cards(U.patient_cards(lab.patients, lab.reports, lab.flags), only="few").select("patient_id", "report_count")
+
+
 @lab_query
 def review_groups(lab: Lab) -> DataFrame:
     return U.review_groups(lab.flags)
