@@ -644,6 +644,9 @@ FINAL: dict[str, str] = {
         FROM (SELECT doc_id, CASE WHEN form IN (0, 1, 2, 3) AND d <= DATE '{A.AS_OF}' THEN d END AS c, CASE WHEN d + 1 <= DATE '{A.AS_OF}' THEN d + 1 END AS r FROM v_header_line)""",
     "lab_names": "SELECT doc_id, CASE lab_form WHEN 0 THEN 'Vedhya Diagnostic Centre' WHEN 1 THEN 'EXAMPLE HEALTHCARE LTD' ELSE 'Sai Krupa Path Labs' END AS lab FROM v_header_line WHERE lab_form IN (0, 1, 4)",
 }
+_PLAIN_TEXT = lambda c: f"trim(regexp_replace({c}, ' +', ' ', 'g'))"
+FINAL["assemble_tagged"] = "SELECT report_id AS doc_id, page, line + 1 AS line, " + ", ".join(
+    f"{_PLAIN_TEXT(c)} AS {c}" for c in ("test_text", "value_text", "unit_text", "range_text")) + " FROM v_printed"
 FINAL["stream_refresh"] = FINAL["all_flags"]
 FINAL["last_test_order"] = f"SELECT {_KEY}, row_number() OVER (PARTITION BY patient_id ORDER BY longer_than_interval DESC, days_since DESC, analyte_id) AS position FROM ({FINAL['last_test']})"
 FINAL["cards_to_review"] = f"SELECT patient_id, name, report_count, guideline, change FROM ({FINAL['patient_worklist']}) WHERE doctor_id = 7 AND (contains(lower(name), 'p-1') OR contains('p-' || patient_id, 'p-1')) AND guideline + change > 0"

@@ -699,6 +699,37 @@ def assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join("notes", " / ").alias("notes"))
 
 
+def _gold_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the printed pages with the tags of the labelled rows; line 1 is the table's header."""
+    lines = P.lines(P.group_rows(A.printed_pages(spark, sf_dir)))
+    gold = A.labelled_rows(spark, sf_dir).select(F.col("report_id").alias("doc_id"), "page", (F.col("line") + 1).alias("line"), F.col("tags").alias("_tags"))
+    rows = lines.join(gold, ["doc_id", "page", "line"], "left").withColumn("tokens", F.transform("words", lambda w: w["text"]))
+    return rows.withColumn("tags", F.coalesce("_tags", F.transform("tokens", lambda t: F.lit("O")))).drop("_tags")
+
+
+def _assembled(rows: DataFrame, spark: SparkSession) -> DataFrame:
+    # Results, continuation and skipped lines all come from the classified lines, so those are stored once.
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    P.assemble(rows).select(*P.ASSEMBLED).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+@query
+def assemble_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of pages whose words carry the labelled tags: what was printed comes back, column by column."""
+    found = P.results(_assembled(_gold_pages(spark, sf_dir), spark))
+    return found.select("doc_id", "page", "line", "test_text", "value_text", "unit_text", "range_text")
+
+
+@query
+def unaccounted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By kind: lines of tagged pages, of them with a value, and those that got lost. None may be lost."""
+    rows = _assembled(_tagged_pages(spark, sf_dir), spark)
+    lost = P.unaccounted(rows, P.results(rows), P.skipped_lines(rows)).select("doc_id", "page", "line", F.lit(1).alias("lost"))
+    return (rows.join(lost, ["doc_id", "page", "line"], "left").groupBy("kind")
+            .agg(F.count(F.lit(1)).alias("n"), F.count_if("has_value").alias("with_value"), F.count("lost").alias("lost")))
+
+
 # ---------------------------------------------------------------- streaming
 
 

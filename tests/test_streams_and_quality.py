@@ -25,7 +25,7 @@ def test_query_equals_its_sql(spark, name):
 
 def test_every_query_is_registered_once():
     assert set(oracle_sql()) <= set(queries())
-    assert set(QUERIES) - set(oracle_sql()) == {"facts_hash", "rule_tags", "assemble"}
+    assert set(QUERIES) - set(oracle_sql()) == {"facts_hash", "rule_tags", "assemble", "unaccounted_lines"}
 
 
 def test_refresh_equals_batch_also_for_late_reports(spark, tmp_path):
