@@ -105,9 +105,9 @@ def month_year(date: Column) -> Column:
 def short_number(v: Column, digits: int = 4) -> Column:
     """A number to ``digits`` significant figures without trailing zeros."""
     out = F.round(v, 0)
-    for power in range(digits - 1, -5, -1):
+    for power in range(digits - 1, -13, -1):
         out = F.when(F.abs(v) >= 10.0 ** power, out).otherwise(F.round(v, digits - power))
-    text = F.regexp_replace(out.cast("decimal(38,10)").cast("string"), "0+$", "")
+    text = F.regexp_replace(out.cast("decimal(38,16)").cast("string"), "0+$", "")
     return F.regexp_replace(text, r"\.$", "")
 
 

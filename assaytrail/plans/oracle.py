@@ -647,6 +647,10 @@ FINAL: dict[str, str] = {
 _PLAIN_TEXT = lambda c: f"trim(regexp_replace({c}, ' +', ' ', 'g'))"
 FINAL["assemble_tagged"] = "SELECT report_id AS doc_id, page, line + 1 AS line, " + ", ".join(
     f"{_PLAIN_TEXT(c)} AS {c}" for c in ("test_text", "value_text", "unit_text", "range_text")) + " FROM v_printed"
+FINAL["ingest_observations"] = "SELECT report_id, line + 1 AS line, analyte_id, match, CASE WHEN analyte_id IS DISTINCT FROM 'egfr' THEN status END AS status, CASE WHEN analyte_id IS DISTINCT FROM 'egfr' THEN round(canonical_value, 6) END AS canonical_value FROM v_normalised"
+FINAL["ingest_reports"] = f"""SELECT r.report_id, r.patient_id, l.lab, d.report_date AS collected_at, d.date_label, CASE WHEN coalesce(n, 0) + 5 < 5 THEN 'the file has no text: a scan' END AS refused
+    FROM v_report r LEFT JOIN ({FINAL['labelled_dates']}) d ON d.doc_id = r.report_id LEFT JOIN ({FINAL['lab_names']}) l ON l.doc_id = r.report_id
+    LEFT JOIN (SELECT report_id, sum(nt + nv + nu + nr) AS n FROM v_tagged GROUP BY 1) w ON w.report_id = r.report_id"""
 FINAL["stream_refresh"] = FINAL["all_flags"]
 FINAL["last_test_order"] = f"SELECT {_KEY}, row_number() OVER (PARTITION BY patient_id ORDER BY longer_than_interval DESC, days_since DESC, analyte_id) AS position FROM ({FINAL['last_test']})"
 FINAL["cards_to_review"] = f"SELECT patient_id, name, report_count, guideline, change FROM ({FINAL['patient_worklist']}) WHERE doctor_id = 7 AND (contains(lower(name), 'p-1') OR contains('p-' || patient_id, 'p-1')) AND guideline + change > 0"

@@ -27,6 +27,7 @@ from ..session import shared_folder
 from ..sources import adapters as A
 from ..sources import dimensions as dim
 from ..streaming import refresh
+from .ingest import ingest
 from .lab import Lab
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -721,6 +722,24 @@ def assemble_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "page", "line", "test_text", "value_text", "unit_text", "range_text")
 
 
+def _ingested(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    files = A.reports(spark, sf_dir).select("report_id", "patient_id")
+    return ingest(_gold_pages(spark, sf_dir), files, A.patients(spark, sf_dir), A.AS_OF, A.header_lines(spark, sf_dir))
+
+
+@query
+def ingest_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words to observations; the outcome of an eGFR also depends on dates, which are compared in ``ingest_reports``."""
+    rows = _ingested(spark, sf_dir)["observations"]
+    dated = F.col("analyte_id").eqNullSafe("egfr")
+    return rows.select("report_id", "line", "analyte_id", "match", F.when(~dated, F.col("status")).alias("status"), F.when(~dated, F.round("canonical_value", 6)).alias("canonical_value"))
+
+
+@query
+def ingest_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ingested(spark, sf_dir)["reports"].select("report_id", "patient_id", "lab", "collected_at", "date_label", "refused")
+
+
 @query
 def unaccounted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By kind: lines of tagged pages, of them with a value, and those that got lost. None may be lost."""
