@@ -55,7 +55,7 @@ def test_lines_without_a_tagged_value_are_listed(spark):
     found, skipped = assembled(spark, [{"test": "Unknown Marker", "value": "12", "unit": "mg/dL"},
                                        {"test": "Serum Sodium", "value": "140", "unit": "mmol/L"}])
     assert [r.test_text for r in found] == ["Serum Sodium"]
-    assert [s.line for s in skipped] == [2] and "was not tagged as a value" in skipped[0].reason
+    assert [s.line for s in skipped] == [2] and "the model did not tag the value cell '12' as a value" in skipped[0].reason
 
 
 def test_big_gap_and_heading_end_a_result(spark):
