@@ -1,7 +1,8 @@
 """Change alerts as results arrive, with a constant amount of state per (patient, analyte).
 
-The state is the last day seen (its date, sum and count) and the mean of the day before it. Results older
-than the last day are ignored here; the refresh job is the source of truth for those.
+The state is the last day seen (its date, sum and count), the mean of the day before it and the number of rows sent so
+far. A day that gets more results is sent again with a higher ``version``: the highest one of a day counts. Results older
+than the last day cannot be compared here any more; they are sent with ``late``, for the refresh job to take in.
 """
 
 from __future__ import annotations
@@ -17,30 +18,33 @@ from ..functions import numbers as num
 from ..session import ship_package
 from ..sources import dimensions as dim
 
-STATE = "day date, total double, n bigint, before double"
-STEP = "patient_id bigint, analyte_id string, date date, value double, ref_value double"
+STATE = "day date, total double, n bigint, before double, sent bigint"
+STEP = "patient_id bigint, analyte_id string, date date, value double, ref_value double, version bigint, late boolean"
 
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    day, total, n, before = state.get if state.exists else (None, 0.0, 0, None)
+    day, total, n, before, sent = state.get if state.exists else (None, 0.0, 0, None, 0)
     daily = [f.groupby("date")["value"].agg(["sum", "count"]) for f in frames]
     merged = pd.concat(daily).groupby(level=0).sum().sort_index()
     out = []
     for date, (value_sum, count) in zip(merged.index, merged.to_numpy()):
         if day is not None and date < day:
+            sent += 1
+            out.append((*key, date, float(value_sum) / int(count), None, sent, True))
             continue
         if day is not None and date > day:
             before, total, n = total / n, 0.0, 0
         day, total, n = date, total + float(value_sum), n + int(count)
         if before is not None:
-            out.append((*key, day, total / n, before))
+            sent += 1
+            out.append((*key, day, total / n, before, sent, False))
     if day is not None:
-        state.update((day, total, n, before))
-    yield pd.DataFrame(out, columns=["patient_id", "analyte_id", "date", "value", "ref_value"])
+        state.update((day, total, n, before, sent))
+    yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in STEP.split(", ")])
 
 
 def steps_on_arrival(points: DataFrame) -> DataFrame:
-    """Each arriving day compared with the day before it, for a stream of points."""
+    """Each arriving day compared with the day before it, and late results, for a stream of points."""
     ship_package(points.sparkSession)
     values = points.filter(F.col("comparator").isNull()).select("patient_id", "analyte_id", "date", "value")
     return values.groupBy("patient_id", "analyte_id").applyInPandasWithState(
@@ -51,5 +55,5 @@ def alerts(points: DataFrame) -> DataFrame:
     """Steps beyond the reference change value."""
     rcv = dim.analytes(points.sparkSession).select("analyte_id", "rcv_percent")
     change = num.pct_change(F.col("value"), F.col("ref_value"))
-    return (steps_on_arrival(points).join(rcv, "analyte_id").withColumn("change_percent", change)
+    return (steps_on_arrival(points).filter("NOT late").join(rcv, "analyte_id").withColumn("change_percent", change)
             .filter(F.abs("change_percent") > F.col("rcv_percent")))

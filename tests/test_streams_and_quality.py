@@ -1,4 +1,5 @@
 import datetime as dt
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,17 +32,17 @@ def test_every_query_is_registered_once():
 def test_refresh_equals_batch_also_for_late_reports(spark, tmp_path):
     points = fx.points(spark).withColumn("observation_id", F.col("observation_id").cast("string"))
     late = F.col("date") < "2024-01-01"
-    folder, incoming = str(tmp_path / "out"), str(tmp_path / "in")
+    folder, incoming, name = str(tmp_path / "out"), str(tmp_path / "in"), f"refresh-{uuid.uuid4().hex}"
     for i, part in enumerate((points.filter(~late), points.filter(late))):       # the early reports come last
         part.coalesce(1).write.mode("append").parquet(incoming)
-        refresh.start_refresh(spark, incoming, fx.events(spark), folder, f"{tmp_path.name}-refresh", 1, 4).awaitTermination()
+        refresh.start_refresh(spark, incoming, fx.events(spark), folder, name, 1, 4).awaitTermination()
     got = {(r.patient_id, r.flag_id) for r in refresh.current_flags(spark, folder).collect()}
     assert got == {(r.patient_id, r.flag_id) for r in refresh.compute_flags(points, fx.events(spark)).collect()}
 
 
 def test_refresh_drops_flags_that_a_late_value_removes(spark, tmp_path):
     """4.0 then 4.8 is a change beyond the threshold; a late 4.4 between them takes it away."""
-    folder, incoming = str(tmp_path / "out"), str(tmp_path / "in")
+    folder, incoming, name = str(tmp_path / "out"), str(tmp_path / "in"), f"refresh-{uuid.uuid4().hex}"
     rows = [(1, "potassium", "a", 1, "2024-01-01", 4.0), (1, "potassium", "b", 2, "2024-03-01", 4.8), (1, "potassium", "c", 3, "2024-02-01", 4.4)]
     points = spark.createDataFrame(rows, "patient_id bigint, analyte_id string, observation_id string, report_id bigint, date string, value double").selectExpr(
         "patient_id", "analyte_id", "observation_id", "report_id", "cast(date as date) date", "value", "cast(null as string) comparator", "'A' lab", "1 page", "1 line")
@@ -49,7 +50,7 @@ def test_refresh_drops_flags_that_a_late_value_removes(spark, tmp_path):
     seen = []
     for part in (points.filter("observation_id <> 'c'"), points.filter("observation_id = 'c'")):
         part.coalesce(1).write.mode("append").parquet(incoming)
-        refresh.start_refresh(spark, incoming, events, folder, f"{tmp_path.name}-late", 1, 4).awaitTermination()
+        refresh.start_refresh(spark, incoming, events, folder, name, 1, 4).awaitTermination()
         seen.append(refresh.current_flags(spark, folder).count())
     assert seen == [refresh.compute_flags(points.filter("observation_id <> 'c'"), events).count(), refresh.compute_flags(points, events).count()]
     assert seen[0] > seen[1] == 0
@@ -77,6 +78,23 @@ def test_alerts_on_arrival(spark, tmp_path):
     assert [(r.date, r.change_percent) for r in got] == [(dt.date(2024, 4, 1), 16.2)]
 
 
+def test_late_results_are_sent_on_and_days_have_versions(spark, tmp_path):
+    incoming, schema = str(tmp_path / "in"), refresh.POINTS
+    rows = [("2024-01-01", 1.0, 1), ("2024-02-01", 2.0, 2), ("2024-01-15", 1.5, 3), ("2024-02-01", 4.0, 4)]
+    (tmp_path / "in").mkdir()
+    query = (alerts.steps_on_arrival(spark.readStream.schema(schema).parquet(incoming)).writeStream.format("memory").queryName("late_test")
+             .outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start())
+    for date, value, k in rows:
+        spark.createDataFrame([(1, "potassium", str(k), k, date, value)], "patient_id bigint, analyte_id string, observation_id string, report_id bigint, date string, value double").selectExpr(
+            "patient_id", "analyte_id", "observation_id", "report_id", "cast(date as date) date", "value", "cast(null as string) comparator", "'A' lab", "1 page", "1 line") \
+            .coalesce(1).write.mode("append").parquet(incoming)
+        query.processAllAvailable()
+    query.stop()
+    got = sorted((r.version, str(r.date), r.value, r.ref_value, r.late) for r in spark.table("late_test").collect())
+    assert [r[1:] for r in got[:-1]] == [("2024-02-01", 2.0, 1.0, False), ("2024-01-15", 1.5, None, True)]
+    assert got[-1][1:] == ("2024-02-01", 3.0, 1.0, False)
+
+
 def test_labelled_rows(spark, tmp_path):
     def row(report, split, tags, analyte="potassium", value="4.2", canonical=4.2, unit="mmol/L", flag="", abnormal=False):
         return {"report_id": report, "layout_family": "a", "split": split, "page": 1, "row": 1, "tokens": ["K+", value, unit], "tags": tags,
