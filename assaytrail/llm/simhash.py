@@ -87,8 +87,13 @@ def with_fingerprints(docs: DataFrame, names: list[str], shingle: int = SHINGLE)
 # Links
 
 def covering_masks(bits: int = 64, radius: int = RADIUS) -> list[int]:
-    """The 2 ** (radius + 1) - 1 masks, as unsigned numbers."""
-    vectors = [i % ((1 << radius + 1) - 1) + 1 for i in range(bits)]
+    """The 2 ** (radius + 1) - 1 masks, as unsigned numbers.
+
+    Where there are more masks than bits, the vectors are those with the first bit set (a Reed-Muller code), so that every mask has
+    half of the bits or all; vectors in order would leave masks of one bit.
+    """
+    count = (1 << radius + 1) - 1
+    vectors = [i % count + 1 if count <= bits else 1 << radius | i % (1 << radius) for i in range(bits)]
     return [sum(1 << i for i, x in enumerate(vectors) if (x & v).bit_count() & 1) for v in range(1, 1 << radius + 1)]
 
 

@@ -52,6 +52,10 @@ def test_fingerprints_and_components(spark, sf):
 
 
 def test_masks_cover_every_pair():
+    assert sorted(m.bit_count() for m in simhash.covering_masks(64, 6)) == [32] * 126 + [64]
+    assert all(m.bit_count() >= 28 for m in simhash.covering_masks(64, 2))
+    for bits in itertools.islice(itertools.combinations(range(0, 64, 3), 6), 0, None, 97):
+        assert any(not any(m >> b & 1 for b in bits) for m in simhash.covering_masks(64, 6))
     for radius in (1, 2, 3):
         masks = simhash.covering_masks(64, radius)
         assert len(masks) == 2 ** (radius + 1) - 1
