@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import json
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,13 @@ def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
                                             pa.py_buffer(np.ascontiguousarray(data)))
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker lives through many stages beside an executor with a fixed limit."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):                                   # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that none holds more than ``limit`` bytes of text, if it has more than one row."""
     for batch in batches:
@@ -81,6 +89,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
             yield batch.slice(first, last - first)
             first = last
+        if batch.num_rows:
+            del batch, offsets
+            trim()
 
 
 def gather(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

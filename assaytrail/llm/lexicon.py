@@ -37,8 +37,8 @@ LEXICON_WORDS = 1 << 16
 #: Longer words are left to the merges.
 LEXICON_BYTES = 48
 #: Distinct words that a worker remembers between slices.
-MEMORY_WORDS = 200_000
-SLICE = 8 << 20
+MEMORY_WORDS = 100_000
+SLICE = 4 << 20
 
 #: Fixed value: the pre-tokenizer's pattern.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
