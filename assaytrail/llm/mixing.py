@@ -81,6 +81,11 @@ class Logistic:
         return 1 / (1 + np.exp(-np.clip(self._terms(x) @ self.weight, -30, 30)))
 
 
+def in_parts(measure, texts: pa.Array, rows: int = 200) -> np.ndarray:
+    """The measures of many texts, a part of them at a time: bounds the driver's memory."""
+    return np.concatenate([measure(texts[i:i + rows]) for i in range(0, len(texts), rows)])
+
+
 class Posteriors:
     """Domain posteriors of texts, in the order of DOMAINS.
 
@@ -92,9 +97,9 @@ class Posteriors:
         cut = int(len(toxic) * learn)
         self.words = toxicity.train(texts[:cut], toxic[:cut], balance=0.4)
         rest, clean = toxic[cut:], toxic == 0
-        self.toxic = Logistic(self.words.measures(texts[cut:]), rest, 0.1) if len(np.unique(rest)) == 2 else None
+        self.toxic = Logistic(in_parts(self.words.measures, texts[cut:]), rest, 0.1) if len(np.unique(rest)) == 2 else None
         both = len(np.unique(quality[clean])) == 2
-        self.good = Logistic(form_measures(texts.filter(pa.array(clean)))[0], quality[clean]) if both else None
+        self.good = Logistic(in_parts(lambda t: form_measures(t)[0], texts.filter(pa.array(clean))), quality[clean]) if both else None
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         measures, tokens = form_measures(texts)

@@ -26,20 +26,21 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaytrail.llm.common import slices
+from assaytrail.llm.common import slices, trim
 
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 6000
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 GRAMS = (3, 4, 5)
 EPOCHS = 8
+#: Texts of a step; below 128, as rows are kept in one byte.
 BATCH = 50
 RATE = 0.2
 #: n-grams in fewer texts of the sample stay 0; pull of each vector towards 0.
 MIN_TEXTS = 8
 DECAY = 3e-4
 #: 0: rows count alike, 1: both classes count alike.
-BALANCE = 0.4
+BALANCE = 0.3
 #: Means over words are small numbers; they are multiplied by this before the softmax.
 GAIN = 20.0
 THRESHOLD = 0.3
@@ -109,7 +110,7 @@ class Bags:
         weight = np.repeat(n / np.maximum(self.counts[row], 1) / np.maximum(grams, 1), grams)
         row = np.repeat(row - first, grams)
         key, inverse = np.unique(row * np.int64(BUCKETS) + self.buckets[at], return_inverse=True)
-        return (key // BUCKETS).astype(np.int16), (key % BUCKETS).astype(np.int32), np.bincount(inverse, weight).astype(np.float32)
+        return (key // BUCKETS).astype(np.int8), (key % BUCKETS).astype(np.int32), np.bincount(inverse, weight).astype(np.float32)
 
 
 class Model:
@@ -144,10 +145,13 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, balance: fl
     seen_v, seen_s, seen_b = np.full((BUCKETS, DIMENSIONS), 1e-8, np.float32), np.full((DIMENSIONS, 2), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
     share = np.bincount(labels, minlength=2) / len(labels)
     importance = (0.5 / share)[labels].astype(np.float32) ** balance
-    bags = Bags(texts)
-    starts = list(range(0, len(labels), BATCH))
-    batches = [(*bags.sparse(a, min(a + BATCH, len(labels))), a) for a in starts]
-    del bags
+    batches = []
+    for first in range(0, len(labels), 8 * BATCH):                            # a part of the texts at a time bounds the driver's memory
+        part = texts[first:first + 8 * BATCH]
+        bags = Bags(part)
+        batches += [(*bags.sparse(a, min(a + BATCH, len(part))), first + a) for a in range(0, len(part), BATCH)]
+        del bags
+    trim()
     often = np.zeros(BUCKETS, np.int32)
     for _, bucket, _, _ in batches:
         often += np.bincount(bucket, minlength=BUCKETS)
