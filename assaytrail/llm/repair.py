@@ -33,33 +33,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from assaytrail.llm.common import gather, pack, runs, scratch, slices, strings, texts_of, unpack
+from assaytrail.llm.common import gather, pack, runs, scratch, slices, strings, texts_of, unpack, without_collector
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")                     # a task has one core
 
 END_ID = 1
 SHARD_IDS = 1 << 21
-WORD_ROUNDS, TEXT_ROUNDS = 6, 3
+#: A phase goes on until a round shortens the symbols by less than this share.
+GAIN = 0.01
 #: A pair becomes a rule if it occurs so often in a shard.
 FREQUENT = 16
 #: Symbols of a shard: 24 bits.
 MOST_SYMBOLS = 1 << 24
-MEMORY_WORDS = 800_000
+MEMORY_WORDS = 1_200_000
 
 
 # Grammar
 
 def _round(seq: np.ndarray, joined: np.ndarray, weight: np.ndarray | None, fresh: int, frequent: int):
     """One round over symbols. ``joined[i]``: i and i + 1 may form a pair. Returns (kept positions, new symbols, left, right)."""
-    at = np.flatnonzero(joined)
-    if not len(at):
+    if len(seq) < 2:
         return None
-    keys = seq[at].astype(np.int64) << 24 | seq[at + 1]
-    order = np.argsort(keys)
-    ordered = keys[order]
-    new = np.r_[True, ordered[1:] != ordered[:-1]]
-    first = np.flatnonzero(new)
-    n = np.diff(np.r_[first, len(ordered)]) if weight is None else np.add.reduceat(weight[at][order], first)
+    bits, places = int(seq.max()).bit_length(), len(seq).bit_length()
+    keys = seq[:-1].astype(np.int64)
+    keys <<= bits
+    keys |= seq[1:]
+    keys[~joined[:-1]] = -1
+    if 2 * bits + places < 63:                                                # one sort of keys with their places is faster than an argsort
+        keys <<= places
+        keys |= np.arange(len(keys))
+        keys.sort()
+        order, ordered = keys & ((1 << places) - 1), keys >> places
+    else:
+        order = np.argsort(keys)
+        ordered = keys[order]
+    first = np.r_[0, np.flatnonzero(ordered[1:] != ordered[:-1]) + 1]
+    lengths = np.diff(first, append=len(ordered))
+    n = lengths.copy() if weight is None else np.add.reduceat(weight[order], first)
+    if ordered[0] < 0:
+        n[0] = 0                                                              # places that form no pair
     chosen = np.flatnonzero(n >= frequent)
     room = MOST_SYMBOLS - 1 - fresh
     if not len(chosen) or room <= 0:
@@ -69,9 +81,10 @@ def _round(seq: np.ndarray, joined: np.ndarray, weight: np.ndarray | None, fresh
     rank = np.full(len(first), none, np.int32)
     rank[chosen] = np.arange(len(chosen))
     score = np.full(len(seq) + 1, none, np.int32)                             # the lower, the more frequent; last: none
-    score[at[order]] = rank[np.cumsum(new) - 1]
-    before, here, after = np.r_[np.int32(none), score[:-2]], score[:-1], score[1:]
-    wins = np.flatnonzero((here < none) & (here < before) & (here <= after))
+    score[order] = np.repeat(rank, lengths)
+    wins = (score[:-1] < none) & (score[:-1] <= score[1:])
+    wins[1:] &= score[1:-1] < score[:-2]
+    wins = np.flatnonzero(wins)
     used = np.flatnonzero(np.bincount(score[wins], minlength=len(chosen)))
     number = np.zeros(len(chosen), np.int32)
     number[used] = fresh + np.arange(len(used))
@@ -80,7 +93,7 @@ def _round(seq: np.ndarray, joined: np.ndarray, weight: np.ndarray | None, fresh
     keep = np.ones(len(seq), bool)
     keep[wins + 1] = False
     pairs = ordered[first[chosen[used]]]
-    return keep, out[keep], pairs >> 24, pairs & 0xFFFFFF
+    return keep, out[keep], pairs >> bits, pairs & ((1 << bits) - 1)
 
 
 class Grammar:
@@ -92,19 +105,22 @@ class Grammar:
         self.rounds = list(rounds)
         self._table = None
 
-    def learn(self, seq: np.ndarray, ends: np.ndarray, weight: np.ndarray | None, rounds: int, frequent: int = FREQUENT):
+    def learn(self, seq: np.ndarray, ends: np.ndarray, weight: np.ndarray | None, frequent: int = FREQUENT, gain: float = GAIN):
         """Shortens runs of symbols that end at ``ends`` (offsets from 0); ``weight``: number of each run. New (symbols, offsets)."""
-        for _ in range(rounds):
+        while True:
             joined = np.ones(len(seq), bool)
             joined[ends[1:][np.diff(ends) > 0] - 1] = False
             each = None if weight is None else np.repeat(weight, np.diff(ends))
             found = _round(seq, joined, each, self.terminals + len(self.left), frequent)
             if found is None:
                 break
+            before = len(seq)
             keep, seq, left, right = found
             ends = np.r_[0, np.cumsum(keep)][ends]
             self.left, self.right = np.r_[self.left, left], np.r_[self.right, right]
             self.rounds.append(len(self.left))
+            if before - len(seq) < gain * before:
+                break
         return seq, ends
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
@@ -163,11 +179,10 @@ class ShardReader:
 # Writing and reading on Spark
 
 class _Encoder:
-    """Ids of words by the tokenizers library, each distinct stem once as long as the memory lasts.
+    """Ids of words by the tokenizers library, each distinct stem once as long as the memory lasts (two generations).
 
     Words are encoded apart, as no token of this pre-tokenizer crosses white space. A word that ends with a letter of a-z
-    and then full stops or commas is two pieces to it, so the stem and the tail are encoded apart too; A-Z become a-z in
-    any case, but for words that may hold a special token.
+    and then full stops or commas is two pieces to it, so the stem and the tail are encoded apart too.
     """
 
     def __init__(self, path: str):
@@ -177,22 +192,33 @@ class _Encoder:
         self.terminals = self.library.get_vocab_size(with_added_tokens=True)
         self.closes = np.zeros(self.terminals, bool)                          # tokens that end a piece
         self.closes[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
+        self.place, self.ids, self.ends = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
         self._forget()
 
     def _forget(self) -> None:
+        """Words of the last generation can still be taken over; older ones are gone."""
+        self.older = (self.place, self.ids, self.ends)
         self.place: dict[str, int] = {}
         self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
+    def _add(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        place = np.arange(len(self.ends) - 1, len(self.ends) - 1 + len(words))       # a word given twice has two runs
+        self.place.update(zip(words, place.tolist()))
+        self.ids, self.ends = np.r_[self.ids, ids], np.r_[self.ends, self.ends[-1] + ends[1:]]
+        return place
+
     def _places(self, words: list[str]) -> np.ndarray:
-        place = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(place < 0)
-        if len(self.place) + len(new) > MEMORY_WORDS and self.place:
+        if len(self.place) + len(words) > MEMORY_WORDS // 2:
             self._forget()
-            return self._places(words)
-        ids, ends = self._encode([words[i] for i in new.tolist()])
-        place[new] = np.arange(len(self.place), len(self.place) + len(new))
-        self.place.update(zip([words[i] for i in new.tolist()], place[new].tolist()))
-        self.ids, self.ends = np.r_[self.ids, ids], np.r_[self.ends, self.ends[-1] + ends[1:]]
+        place = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(place < 0)
+        names = [words[i] for i in missing.tolist()]
+        known, ids, ends = self.older
+        old = np.fromiter(map(known.get, names, repeat(-1)), np.int64, len(names))
+        again, new = np.flatnonzero(old >= 0), np.flatnonzero(old < 0)
+        place[missing[again]] = self._add([names[i] for i in again.tolist()], *gather(ids, ends, old[again]))
+        fresh = [names[i] for i in new.tolist()]
+        place[missing[new]] = self._add(fresh, *self._encode(fresh))
         return place
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -215,15 +241,19 @@ class _Encoder:
 
     def runs(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Runs of ids of distinct words."""
-        low = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))
-        data, at = texts_of(low)
-        stem = at[:-1] + pc.binary_length(pc.ascii_rtrim(low, ".,")).to_numpy()
-        last = data[stem - 1] if len(data) else np.zeros(len(stem), np.uint8)
-        cut = np.where((stem > at[:-1]) & (last >= 97) & (last <= 122), stem, at[1:])
-        pieces = strings(data, np.r_[np.stack([at[:-1], cut], 1).reshape(-1), at[-1]])
-        coded = pieces.dictionary_encode()
-        place = self._places(coded.dictionary.to_pylist())
-        ids, ends = gather(self.ids, self.ends, place[coded.indices.to_numpy()])
+        data, at = texts_of(words)
+        stems = pc.ascii_rtrim(words, ".,")
+        cut = at[:-1] + pc.binary_length(stems).to_numpy()
+        last = data[cut - 1] if len(data) else np.zeros(len(cut), np.uint8)
+        two = (cut > at[:-1]) & (cut < at[1:]) & (last >= 97) & (last <= 122)
+        stems = pc.if_else(pa.array(two), stems, words).dictionary_encode()
+        ends = np.r_[0, np.cumsum((at[1:] - cut)[two])]
+        tails = strings(data[np.repeat(cut[two] - ends[:-1], np.diff(ends)) + np.arange(ends[-1])], ends).dictionary_encode()
+        found = self._places([*stems.dictionary.to_pylist(), *tails.dictionary.to_pylist(), ""])
+        rows = np.full((len(words), 2), found[-1], np.int64)
+        rows[:, 0] = found[stems.indices.to_numpy()]
+        rows[two, 1] = found[len(stems.dictionary) + tails.indices.to_numpy()]
+        ids, ends = gather(self.ids, self.ends, rows.reshape(-1))
         return ids, ends[::2]
 
 
@@ -232,7 +262,10 @@ _ENCODERS: dict[str, _Encoder] = {}
 
 def compress(texts: pa.Array, encoder, end_id: int = END_ID):
     """(grammar, symbols, their offsets by text, offsets of ids by text) of one shard of texts."""
-    lists = pc.ascii_split_whitespace(texts.fill_null(""))
+    texts = texts.fill_null("")
+    # A-Z become a-z in any case, but for texts that may hold a special token; so there are fewer distinct words
+    special, low = pc.match_substring(texts, "<|"), pc.ascii_lower(texts)
+    lists = pc.ascii_split_whitespace(pc.if_else(special, texts, low) if pc.any(special).as_py() else low)
     offsets = lists.offsets.to_numpy().astype(np.int64)
     coded = lists.flatten().dictionary_encode()
     codes, offsets = coded.indices.to_numpy(), offsets - offsets[0]
@@ -240,14 +273,14 @@ def compress(texts: pa.Array, encoder, end_id: int = END_ID):
     seq, ends = encoder.runs(words)
     id_lengths = np.diff(ends)
     grammar = Grammar(encoder.terminals)
-    seq, ends = grammar.learn(seq, ends, np.bincount(codes, minlength=len(words)), WORD_ROUNDS)
+    seq, ends = grammar.learn(seq, ends, np.bincount(codes, minlength=len(words)))
     # the end id as one more word, after the words of each text
     seq, ends, id_lengths = np.r_[seq, np.int32(end_id)], np.r_[ends, len(seq) + 1], np.r_[id_lengths, 1]
     spread = np.full(len(codes) + len(texts), len(words), np.int64)
     spread[np.arange(len(codes)) + np.repeat(np.arange(len(texts)), np.diff(offsets))] = codes
     word_ends = offsets + np.arange(len(offsets))
     seq, at = gather(seq, ends, spread)
-    symbols, symbol_ends = grammar.learn(seq, at[word_ends], None, TEXT_ROUNDS)
+    symbols, symbol_ends = grammar.learn(seq, at[word_ends], None)
     return grammar, symbols, symbol_ends, np.r_[0, np.cumsum(id_lengths[spread])][word_ends]
 
 
@@ -263,7 +296,8 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_ids:
         def close(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
             table = pa.Table.from_batches(rows).combine_chunks()
             ids = table.column("doc_id").combine_chunks()
-            grammar, symbols, ends, id_ends = compress(table.column("text").combine_chunks(), _ENCODERS[tokenizer], end_id)
+            with without_collector():
+                grammar, symbols, ends, id_ends = compress(table.column("text").combine_chunks(), _ENCODERS[tokenizer], end_id)
             blob = write_shard(grammar, symbols, ends, id_ends, ids.cast(pa.int64()).fill_null(0).to_numpy(),
                                ids.is_valid().to_numpy(zero_copy_only=False))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([shard], pa.int64()), pa.array([int(id_ends[-1])]),
@@ -280,7 +314,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_ids:
             yield close(rows)
 
     folder = scratch(docs.sparkSession, "repair")
-    (docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    (docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
      .mapInArrow(run, "part long, shard long, ids long, blob binary").write.parquet(folder))
     return folder
 
