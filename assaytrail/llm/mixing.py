@@ -1,7 +1,7 @@
 """Mixing to target weights with soft membership.
 
-Domains come from the label table: ``toxic`` (toxic is 1), ``poor`` (quality is 0) and ``good`` (neither). Two classifiers fitted on at
-most ``TRAIN_ROWS`` labelled rows (a documented bound) give every document a posterior over the domains: the subword model of
+Domains come from the label table: ``toxic`` (toxic is 1), ``poor`` (quality is 0) and ``good`` (neither). Two classifiers fitted on
+about ``TRAIN_ROWS`` labelled rows (a bound: at most half as many more) give every document a posterior over the domains: the subword model of
 :mod:`assaytrail.llm.toxicity`, and a logistic regression on a dozen measures of form.
 
 A document's rate says how often it is wanted. With tokens t and posteriors p, the expected total of a domain is the sum of

@@ -7,9 +7,8 @@ words stand everywhere in running prose, so most of a text lies in some chain; m
 Words are runs of letters and digits of the text in lower case. A text without any signature has one for all its words, so equal
 texts always have equal fingerprints, and no fingerprint is empty. The likeness of two is the Jaccard coefficient of the sets.
 
-:func:`near_groups` joins fingerprints with a Jaccard coefficient of ``SIMILARITY`` or more. Sets are partitioned by length so
-that a match lies in the same partition or the next. Inside, two sets are compared if they share one of their rarest signatures
-(as many as leave no match without one), and only if their lengths and what is left after those allow the coefficient.
+Neighbours in the order of doc_id are found in blocks of rows, so that no task orders the whole table. There is no join of all similar
+pairs here: in column expressions it would list every pair of a large family of near copies (see :mod:`assaytrail.llm.nearcopies`).
 
 Cases: a null text is an empty one; empty and blank texts share a fingerprint; repeated rows and equal doc_ids stand next to each
 other in the order of their texts; with one row, the next document is that row; null doc_ids come first; an empty table gives an
@@ -22,7 +21,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHAIN = 2
-SIMILARITY = 0.8
 #: Rows that one window puts in order, and the largest number of such blocks.
 BLOCK_ROWS, MOST_BLOCKS = 2048, 1 << 14
 _STEP = 64

@@ -2,7 +2,7 @@
 
 A word (without outer punctuation, A-Z in lower case, between two marks) is the mean of the vectors of its character n-grams,
 which are hashed to ``BUCKETS`` rows; a text is the mean of its words; a softmax over two classes follows. Vectors and softmax
-are trained together on at most ``TRAIN_ROWS`` labelled rows (a documented bound, taken by a hash of doc_id), with steps that
+are trained together on about ``TRAIN_ROWS`` labelled rows (a bound: at most half as many more; chosen by a hash of doc_id), with steps that
 shrink by the squared gradients so far. A misspelt word shares n-grams with the words it comes from.
 
 All that follows a text's mean is linear up to the softmax, so for scoring each bucket's vector becomes one number. The model is
