@@ -114,6 +114,23 @@ def test_near_copies_equal_brute_force(spark, sf, block):
     assert {r.doc_id for r in nearcopies.one_of_each(frame, block=block).collect()} == set(first.values())
 
 
+@pytest.mark.parametrize("edit", ["appended", "cut off", "replaced"])
+def test_block_edits_equal_brute_force(spark, edit):
+    rng, docs = random.Random(edit), {}
+    word = lambda: f"w{int(rng.paretovariate(0.5)) % 40000}"
+    for k in range(150):
+        words = [word() for _ in range(rng.choice([4, 60, 200, 700]))]
+        part = int(len(words) * rng.uniform(0.05, 0.2))
+        block, at = [word() for _ in range(part)], rng.randint(0, len(words) - part)
+        other = {"appended": words + block, "cut off": words[:len(words) - part], "replaced": words[:at] + block[:part // 2] + words[at + part // 2:]}[edit]
+        docs[2 * k], docs[2 * k + 1] = " ".join(words), " ".join(other)
+    sets = {d: shingles(t) for d, t in docs.items()}
+    first = roots(sets, lambda a, b: sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    assert sum(d != f for d, f in first.items()) > 60                         # pairs on both sides of the bound
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r.doc_id: r._first for r in nearcopies.near_copy_groups(frame).collect()} == first
+
+
 def test_near_copies_edge_cases(spark, odd, empty):
     kept = nearcopies.one_of_each(odd)
     assert kept.columns == odd.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 5, 6, 8, 9]
