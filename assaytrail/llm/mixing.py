@@ -185,12 +185,14 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, tokens: float | None = None,
-                    most_copies: int | None = None) -> DataFrame:
-    """``docs`` with each row as often as its copies say, at most ``most_copies`` times if given (1: the stage only thins out)."""
+                    grow: bool = True) -> DataFrame:
+    """``docs`` with each row as often as its copies say. Without ``grow``, all rates are lowered by one factor where they add up to
+    more than the number of rows: shares of the domains stay, and about as many rows come out as go in, at most."""
     model = fit(docs, labels)
-    steps = descend(stored(with_posteriors(docs, model, ["doc_id"]), "posteriors"), targets or TARGETS, tokens)
-    copies = _copies() if most_copies is None else F.least(_copies(), F.lit(most_copies))
-    out = with_posteriors(docs, model, docs.columns).withColumn("rate", rate(steps)).withColumn("_copies", copies.cast("int")).filter("_copies > 0")
-    if most_copies != 1:
-        out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*docs.columns)
+    rows = stored(with_posteriors(docs, model, ["doc_id"]), "posteriors")
+    steps, factor = descend(rows, targets or TARGETS, tokens), 1.0
+    if not grow:
+        n, total = rows.select(rate(steps).alias("rate")).agg(F.count(F.lit(1)), F.sum("rate")).first()
+        factor = min(1.0, n / total) if total else 1.0
+    out = with_posteriors(docs, model, docs.columns).withColumn("rate", rate(steps) * factor).withColumn("_copies", _copies().cast("int"))
+    return out.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -153,6 +153,16 @@ def test_pipeline_stages(spark, sf):
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == {r.doc_id for r in before.collect()}
 
 
+def test_mixing_stage_meets_the_targets(spark):
+    folder = "/root/testdata/sf0.01"                                          # 'poor' is far under its target here
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    rows = {r.doc_id: r for r in mixing.mix(docs, labels).collect()}
+    got = [rows[r.doc_id] for r in corpus_pipeline.target_mix(spark, docs, folder).select("doc_id").collect()]
+    totals = np.array([sum(r.n_tokens * r[f"p_{d}"] for r in got) for d in mixing.DOMAINS])
+    assert np.abs(totals / totals.sum() - [mixing.TARGETS[d] for d in mixing.DOMAINS]).max() < 0.006
+    assert len({r.doc_id for r in got}) < len(got) <= 1.02 * len(rows)        # some are repeated, and the table does not grow
+
+
 @pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
 def test_pipeline_stages_take_odd_and_empty_tables(spark, sf, odd, empty, k):
     stage = corpus_pipeline.STAGES[k][1]
