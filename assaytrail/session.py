@@ -33,6 +33,10 @@ def local_session(app: str = "assaytrail", cores: int | str = "*", shuffle_parti
     return spark
 
 
+#: Folders of local sessions without the setting, by application id.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
@@ -43,9 +47,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="assaytrail-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="assaytrail-")
+    return _LOCAL_FOLDERS[application]
 
 
 _SHIPPED: set[str] = set()
