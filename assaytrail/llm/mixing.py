@@ -12,14 +12,16 @@ is never too long. A step changes each rate by the posterior times one number pe
 domain, so a rate follows from the list of those numbers. An iteration is one aggregation of a few sums over stored posteriors, and
 nothing per document is kept or sent to the driver.
 
-The total of all targets is such that the first domain keeps its expected tokens, if no number is given.
+The total of all targets is such that the first domain with a target above 0 keeps its expected tokens, if no number is given.
 
 ``copies`` rounds the rate down or up by a hash of doc_id, so that its mean is the rate.
 
 Cases: a null, empty or blank text has no tokens and a posterior from no words; repeated rows get equal rates and copies; labels that
 are null or belong to no document are left out; without labels every document is good; a target for a domain in which no document
-has tokens cannot be met and is left as it is; an empty table gives an empty result; other columns are ignored by :func:`mix` and
-passed on by :func:`mixed_documents`.
+has tokens cannot be met and is left as it is; a target of 0 is met as nearly as posteriors above 0 and
+``ITERATIONS`` steps allow; targets that are negative,
+all 0 or of other domains are refused; an empty table gives an empty result; other columns are ignored by :func:`mix` and
+passed on by :func:`mixed_documents`, whatever their names (but those that begin with an underscore).
 """
 
 from __future__ import annotations
@@ -155,10 +157,13 @@ def descend(rows: DataFrame, targets: dict[str, float], tokens: float | None = N
         values = np.array([x or 0.0 for x in found], float)
         return values[size * size:], np.linalg.pinv(values[:size * size].reshape(size, size), rcond=1e-12, hermitian=True)
 
+    if set(targets) != set(DOMAINS) or min(targets.values()) < 0 or not sum(targets.values()) > 0:
+        raise ValueError(f"targets must be shares of {DOMAINS}, none below 0 and one above it")
     now, units = totals([])
     all_units = units
     share = np.array([targets[d] for d in DOMAINS], float) / sum(targets.values())
-    wanted = share * (tokens if tokens is not None else now[0] / share[0])
+    first = int(np.flatnonzero(share)[0])
+    wanted = share * (tokens if tokens is not None else now[first] / share[first])
     steps: list[list[float]] = []
     while len(steps) < ITERATIONS and np.abs(now - wanted).max() > CLOSE * wanted.sum():
         after, new_units = totals([*steps, (units @ (now - wanted)).tolist()])
@@ -171,28 +176,30 @@ def descend(rows: DataFrame, targets: dict[str, float], tokens: float | None = N
     return steps
 
 
-def _copies() -> Column:
+def _copies(rate: Column) -> Column:
     """The rate rounded by a hash of doc_id."""
-    return F.floor(F.col("rate") + F.pmod(F.xxhash64(F.lit("copies"), "doc_id"), F.lit(1 << 53)) / float(1 << 53)).cast("long")
+    return F.floor(rate + F.pmod(F.xxhash64(F.lit("copies"), "doc_id"), F.lit(1 << 53)) / float(1 << 53)).cast("long")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, tokens: float | None = None) -> DataFrame:
     """doc_id, n_tokens, the posteriors, rate and copies of every document."""
     rows = stored(with_posteriors(docs, fit(docs, labels), ["doc_id"]), "posteriors")
-    steps = descend(rows, targets or TARGETS, tokens)
-    return (rows.withColumn("rate", rate(steps)).withColumn("copies", _copies())
-            .select("doc_id", F.col("_tokens").alias("n_tokens"), *[F.col(f"_p_{d}").alias(f"p_{d}") for d in DOMAINS], "rate", "copies"))
+    wanted = rate(descend(rows, targets or TARGETS, tokens))
+    return (rows.withColumn("_rate", wanted)
+            .select("doc_id", F.col("_tokens").alias("n_tokens"), *[F.col(f"_p_{d}").alias(f"p_{d}") for d in DOMAINS],
+                    F.col("_rate").alias("rate"), _copies(F.col("_rate")).alias("copies")))
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, tokens: float | None = None,
                     grow: bool = True) -> DataFrame:
     """``docs`` with each row as often as its copies say. Without ``grow``, all rates are lowered by one factor where they add up to
-    more than the number of rows: shares of the domains stay, and about as many rows come out as go in, at most."""
-    model = fit(docs, labels)
-    rows = stored(with_posteriors(docs, model, ["doc_id"]), "posteriors")
+    more than the number of rows: shares of the domains stay, and about as many rows come out as go in, at most.
+
+    Rows are stored with their posteriors, so each text is scored once."""
+    rows = stored(with_posteriors(docs, fit(docs, labels), docs.columns), "posteriors")
     steps, factor = descend(rows, targets or TARGETS, tokens), 1.0
     if not grow:
-        n, total = rows.select(rate(steps).alias("rate")).agg(F.count(F.lit(1)), F.sum("rate")).first()
+        n, total = rows.select(rate(steps).alias("_rate")).agg(F.count(F.lit(1)), F.sum("_rate")).first()
         factor = min(1.0, n / total) if total else 1.0
-    out = with_posteriors(docs, model, docs.columns).withColumn("rate", rate(steps) * factor).withColumn("_copies", _copies().cast("int"))
+    out = rows.withColumn("_rate", rate(steps) * factor).withColumn("_copies", _copies(F.col("_rate")).cast("int"))
     return out.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

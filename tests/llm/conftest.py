@@ -1,6 +1,7 @@
 import pytest
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, kept string, shard int, fingerprint string"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, kept string, shard int, fingerprint string, " \
+          "rate double, copies long, n_tokens long, p_good double"
 LONG = "the thing of another word and more words in it. " * 4000
 
 #: Nulls in every column, empty and blank texts, a very long one, ties, repeated rows, and columns named like results.
@@ -16,7 +17,7 @@ ODD = [
 
 @pytest.fixture(scope="session")
 def odd(spark):
-    return spark.createDataFrame(ODD, COLUMNS)
+    return spark.createDataFrame([(*row, -7.0, -7, None, 0.5) for row in ODD], COLUMNS)
 
 
 @pytest.fixture(scope="session")

@@ -72,6 +72,21 @@ def test_mixing_edge_cases(spark, odd, empty, labels):
     doubled = mixing.mixed_documents(odd, labels.limit(0), {"good": 1.0, "poor": 0.0, "toxic": 0.0},
                                      tokens=2.0 * sum(len((r.text or "").split()) for r in odd.collect()))
     assert doubled.count() == 2 * odd.count()
+    assert {(r.rate, r.copies, r.n_tokens, r.p_good) for r in doubled.collect()} == {(-7.0, -7, None, 0.5)}
+
+
+def test_mixing_targets_of_zero(spark):
+    rng = np.random.default_rng(5)
+    p, t = rng.dirichlet([0.4, 0.2, 0.2], 300), rng.integers(0, 500, 300)
+    rows = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(t, p)], "_tokens long, _p_good double, _p_poor double, _p_toxic double")
+    targets = {"good": 0.0, "poor": 0.5, "toxic": 0.5}
+    got = np.array([r.r for r in rows.withColumn("r", mixing.rate(mixing.descend(rows, targets))).collect()])
+    before, after = t @ p, (t * got) @ p
+    assert after[0] < 0.25 * before[0] and np.abs(after[1:] / after[1:].sum() - 0.5).max() < 0.05
+    assert np.abs(after - np.array([0, 1, 1]) * before[1]).max() < 0.04 * 2 * before[1]
+    for wrong in ({"good": 1.0}, {"good": 1.0, "poor": -0.1, "toxic": 0.1}, dict.fromkeys(mixing.DOMAINS, 0.0)):
+        with pytest.raises(ValueError):
+            mixing.descend(rows, wrong)
 
 
 def legal(labels):
