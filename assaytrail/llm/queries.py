@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaytrail.llm import chatrepair, divergence, lexicon, linededup, mixing, repair, sharding, simhash, spotsigs, toxicity
+from assaytrail.llm import (chatrepair, divergence, heapmeans, lexicon, linededup, mixing, prefixtrie, repair, sharding,
+                            simhash, spotsigs, toxicity)
 from assaytrail.llm.common import table
 from assaytrail.session import ship_package
 
@@ -85,6 +86,18 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
                        spotsigs.likeness(F.col("_own"), F.col("_of_next")).alias("near_next"))
 
 
+def op12_heap_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and squared distance of every vector after ten rounds, with inertias and a digest of its centroid."""
+    ship_package(spark)
+    return heapmeans.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct prefix of the rebuilt conversations with its members, children, leaves and saved code points."""
+    ship_package(spark)
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_jump_sharding": op1_jump_sharding,
     "op2_divergence_rules": op2_divergence_rules,
@@ -96,4 +109,6 @@ QUERIES = {
     "op8_role_repair": op8_role_repair,
     "op9_transducer_bpe": op9_transducer_bpe,
     "op10_spotsigs": op10_spotsigs,
+    "op12_heap_kmeans": op12_heap_kmeans,
+    "op13_prefix_trie": op13_prefix_trie,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assaytrail.llm import divergence
+from assaytrail.llm import divergence, heapmeans
 from assaytrail.llm.linededup import MIN_CHARS
 from assaytrail.llm.sharding import BLOCKS, MULTIPLIER, SHARDS
 
@@ -116,4 +116,67 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM counted
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_jump_sharding": OP1, "op2_divergence_rules": OP2, "op7_line_dedup": OP7}
+
+def _lloyd(rounds: int) -> str:
+    """SQL of the rounds of plain clustering: centroids c0 to c<rounds>, nearest ones n0 to n<rounds>."""
+    parts = []
+    for k in range(rounds + 1):
+        parts.append(f"""
+near{k} AS MATERIALIZED (
+  SELECT rid, k, d FROM (SELECT rid, k, d, row_number() OVER (PARTITION BY rid ORDER BY d, k) AS place
+    FROM (SELECT v.rid, c.k, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d FROM parts v JOIN cent{k} c USING (i) GROUP BY v.rid, c.k)) WHERE place = 1)""")
+        if k < rounds:
+            parts.append(f"""
+cent{k + 1} AS MATERIALIZED (
+  SELECT c.k, c.i, coalesce((s - ((s % n) + n) % n) // n, c.x)::BIGINT AS x FROM cent{k} c
+  LEFT JOIN (SELECT k, i, sum(x)::BIGINT AS s, count(*) AS n FROM near{k} JOIN parts USING (rid) GROUP BY k, i) USING (k, i))""")
+    return ",".join(parts)
+
+
+OP12 = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({heapmeans.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {heapmeans.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT rid, unnest(v) AS x, unnest(range(len(v))) AS i FROM kept),
+cent0 AS MATERIALIZED (
+  SELECT k - 1 AS k, unnest(v) AS x, unnest(range(len(v))) AS i
+  FROM (SELECT v, row_number() OVER (ORDER BY sha256('{heapmeans.SEED}:' || vec_id)) AS k FROM kept) WHERE k <= {heapmeans.CLUSTERS}),{_lloyd(heapmeans.ROUNDS)},
+digests AS (SELECT k, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM cent{heapmeans.ROUNDS} GROUP BY k)
+SELECT vec_id, k::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM near{heapmeans.ROUNDS} JOIN kept USING (rid) JOIN digests USING (k)
+"""
+
+OP13 = """
+WITH RECURSIVE bits(n, k, c) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc_table AS MATERIALIZED (SELECT list(c ORDER BY n) AS crcs FROM bits WHERE k = 8),
+own AS MATERIALIZED (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (
+  SELECT conv_id, turns, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+           list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+           lambda crc, byte: xor(crc >> 8, crcs[(xor(crc, byte) & 255) + 1]))) % 6 AS h
+  FROM own, crc_table),
+rebuilt AS MATERIALIZED (
+  SELECT c.conv_id, list_concat(coalesce(d.turns[:h], []), c.turns[h + 1:]) AS path
+  FROM heads c LEFT JOIN own d ON d.conv_id = c.conv_id - c.conv_id % 100),
+prefixes AS (
+  SELECT conv_id, len(path) AS n, unnest(range(len(path) + 1)) AS depth, path FROM rebuilt),
+nodes AS MATERIALIZED (
+  SELECT path[:depth] AS p, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM prefixes GROUP BY 1, 2),
+children AS (SELECT p[:depth - 1] AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+full_nodes AS MATERIALIZED (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (p)),
+climbed AS (
+  SELECT p, unnest(range(depth + 1)) AS upto, (n_children = 0)::BIGINT AS leaf,
+         CASE WHEN depth > 0 THEN (n_convs - 1) * length(p[depth].text) ELSE 0 END AS saved FROM full_nodes),
+sums AS (SELECT p[:upto] AS p, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM climbed GROUP BY 1)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN sums USING (p) LEFT JOIN full_nodes up ON n.depth > 0 AND up.p = n.p[:n.depth - 1]
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_jump_sharding": OP1, "op2_divergence_rules": OP2, "op7_line_dedup": OP7, "op12_heap_kmeans": OP12,
+                              "op13_prefix_trie": OP13}
