@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaytrail.llm import (chatrepair, divergence, heapmeans, lexicon, linededup, mixing, prefixtrie, repair, sharding,
-                            simhash, spotsigs, toxicity)
+from assaytrail.llm import (chatrepair, divergence, heapmeans, lexicon, linededup, mixing, personal, prefixtrie, repair,
+                            sharding, simhash, spotsigs, toxicity)
 from assaytrail.llm.common import table
 from assaytrail.session import ship_package
 
@@ -86,6 +86,20 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
                        spotsigs.likeness(F.col("_own"), F.col("_of_next")).alias("near_next"))
 
 
+def _base_count(kind: str) -> Column:
+    return F.size(F.filter("_found", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+
+def op11_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the base spans of every document, and all spans with those that the classifier adds."""
+    ship_package(spark)
+    found = personal.find_personal_data(table(spark, sf_dir, "documents"))
+    named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("_found", lambda s: s["base"])
+    return found.select("doc_id", *[_base_count(kind) for kind in personal.KINDS], F.sha2(named(base), 256).alias("base_sha256"),
+                        named(F.col("_found")).alias("spans"))
+
+
 def op12_heap_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster and squared distance of every vector after ten rounds, with inertias and a digest of its centroid."""
     ship_package(spark)
@@ -109,6 +123,7 @@ QUERIES = {
     "op8_role_repair": op8_role_repair,
     "op9_transducer_bpe": op9_transducer_bpe,
     "op10_spotsigs": op10_spotsigs,
+    "op11_weak_pii": op11_weak_pii,
     "op12_heap_kmeans": op12_heap_kmeans,
     "op13_prefix_trie": op13_prefix_trie,
 }
