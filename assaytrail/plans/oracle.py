@@ -707,4 +707,5 @@ def oracle_sql() -> dict[str, str]:
     for name, sql in _RECURSIVE.items():
         out[name] = sql.format(base=_base(sql))
     out.update(_WHOLE)
+    out["stream_alerts"] = out["rcv_prev_flags"]
     return out

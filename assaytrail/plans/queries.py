@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -26,7 +26,7 @@ from ..operators.series import SERIES
 from ..session import shared_folder
 from ..sources import adapters as A
 from ..sources import dimensions as dim
-from ..streaming import refresh
+from ..streaming import alerts, refresh
 from .ingest import ingest
 from .lab import Lab
 
@@ -752,18 +752,37 @@ def unaccounted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- streaming
 
 
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Lab.from_given_tables(spark, sf_dir).points.select(*[c.split(" ")[0] for c in refresh.POINTS.split(", ")])
+
+
+def _arrival() -> Column:
+    """The batch that a point comes with: the second comes late, the last one fills gaps and so removes flags that the first ones gave."""
+    return F.when(F.pmod(F.xxhash64("observation_id"), F.lit(3)) == 0, 3).when(F.year("date") < 2015, 1).when(F.year("date") < 2016, 2).otherwise(0)
+
+
 @query
 def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All flags once more, by the incremental job over point files in the order reports arrive."""
+    """All flags once more, by the incremental job over four batches of point files, each taken in after it was written."""
     lab = Lab.from_given_tables(spark, sf_dir)
-    folder = f"{shared_folder(spark)}/refresh-{uuid.uuid4().hex}"
-    columns = [c.split(" ")[0] for c in refresh.POINTS.split(", ")]
-    points = lab.points.select(*columns)
-    # Four batches; the second comes late, the last one fills gaps and so removes flags that the first ones gave.
-    part = F.when(F.pmod(F.xxhash64("observation_id"), F.lit(3)) == 0, 3).when(F.year("date") < 2015, 1).when(F.year("date") < 2016, 2).otherwise(0)
+    folder, name = f"{shared_folder(spark)}/refresh-{uuid.uuid4().hex}", f"refresh-{uuid.uuid4().hex}"
     for k in range(4):
-        points.filter(part == k).coalesce(1).write.mode("append").parquet(f"{folder}/incoming")
-    stream = refresh.start_refresh(spark, f"{folder}/incoming", lab.med_events, folder, f"refresh-{uuid.uuid4().hex}", 1)
-    stream.awaitTermination()
+        _points(spark, sf_dir).filter(_arrival() == k).write.mode("append").parquet(f"{folder}/incoming")
+        refresh.start_refresh(spark, f"{folder}/incoming", lab.med_events, folder, name, 1 << 30).awaitTermination()
     return refresh.current_flags(spark, folder).select("patient_id", "flag_id", "level", "direction", "effect_event",
                                                         "target_direction", "cross_lab")
+
+
+@query
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes against the previous result once more, from results that arrive in four batches, the second and the last of them late.
+
+    Each batch is taken in by a stream that starts anew from the checkpoint."""
+    points = _points(spark, sf_dir)
+    folder, name = f"{shared_folder(spark)}/alerts-{uuid.uuid4().hex}", f"alerts-{uuid.uuid4().hex}"
+    for k in range(4):
+        points.filter(_arrival() == k).write.mode("append").parquet(f"{folder}/incoming")
+        stream = spark.readStream.schema(refresh.POINTS).parquet(f"{folder}/incoming")
+        alerts.start_steps(stream, f"{folder}/steps", name).awaitTermination()
+    found = alerts.alerts(alerts.current(spark.read.parquet(f"{folder}/steps")))
+    return found.select(*SERIES, "date", "prev_date", r6("value"), r6("prev_value"), "change_percent", "direction", "cross_lab", "target_direction")

@@ -1,59 +1,146 @@
-"""Change alerts as results arrive, with a constant amount of state per (patient, analyte).
+"""Change alerts as results arrive, late ones included, by a stateful processor per (patient, analyte).
 
-The state is the last day seen (its date, sum and count), the mean of the day before it and the number of rows sent so
-far. A day that gets more results is sent again with a higher ``version``: the highest one of a day counts. Results older
-than the last day cannot be compared here any more; they are sent with ``late``, for the refresh job to take in.
+The state of a series is the list of its days in order: day, sum and count of its values, smallest and largest lab. A batch that is newer than
+all of them is compared with the last day alone, which is kept apart, and appended; the list is not read. A batch with an earlier day
+or with more results for a known one reads the list, puts the days where they belong and compares each changed day, and the day after it, anew.
+Every comparison has a ``version``, counted by series: of several for one day the highest holds (:func:`current`). So the comparisons that
+hold after any order of arrival are those of a run over all results at once.
+
+A series without results for ``idle_ms`` is forgotten by a timer, if that is given: its next result then has nothing to be compared with.
+Sums are whole millionths, as canonical values have at most six decimals, so they do not depend on the order of arrival.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions import numbers as num
-from ..session import ship_package
+from ..operators.series import NO_LAB, SERIES
+from ..operators.trends import crossed
+from ..session import ship_package, shared_folder
 from ..sources import dimensions as dim
 
-STATE = "day date, total double, n bigint, before double, sent bigint"
-STEP = "patient_id bigint, analyte_id string, date date, value double, ref_value double, version bigint, late boolean"
-
-
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    day, total, n, before, sent = state.get if state.exists else (None, 0.0, 0, None, 0)
-    daily = [f.groupby("date")["value"].agg(["sum", "count"]) for f in frames]
-    merged = pd.concat(daily).groupby(level=0).sum().sort_index()
-    out = []
-    for date, (value_sum, count) in zip(merged.index, merged.to_numpy()):
-        if day is not None and date < day:
-            sent += 1
-            out.append((*key, date, float(value_sum) / int(count), None, sent, True))
-            continue
-        if day is not None and date > day:
-            before, total, n = total / n, 0.0, 0
-        day, total, n = date, total + float(value_sum), n + int(count)
-        if before is not None:
-            sent += 1
-            out.append((*key, day, total / n, before, sent, False))
-    if day is not None:
-        state.update((day, total, n, before, sent))
-    yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in STEP.split(", ")])
-
-
-def steps_on_arrival(points: DataFrame) -> DataFrame:
-    """Each arriving day compared with the day before it, and late results, for a stream of points."""
+_DAY = "day int, total bigint, n bigint, lo string, hi string"
+_LAST = f"{_DAY}, version bigint"
+_REF = "ref_day int, ref_total bigint, ref_n bigint, ref_lo string, ref_hi string"
+STEP = f"patient_id bigint, analyte_id string, {_DAY}, {_REF}, version bigint"
+_NAMES = [c.split(" ")[0] for c in STEP.split(", ")]
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _joined(a: tuple, b: tuple) -> tuple:
+    """Two parts of one day."""
+    return a[0], a[1] + b[1], a[2] + b[2], min(a[3], b[3]), max(a[4], b[4])
+
+
+class Series(StatefulProcessor):
+    """The days of one series and how they compare."""
+
+    def __init__(self, idle_ms: int | None = None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.days = handle.getListState("days", _DAY)
+        self.last = handle.getValueState("last", _LAST)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new: dict[int, tuple] = {}
+        for r in rows:
+            one = (r.day, r.micros, 1, r.lab, r.lab)
+            new[r.day] = _joined(new[r.day], one) if r.day in new else one
+        if self.idle_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        known = self.last.get()
+        last, version = (tuple(known)[:5], known[5]) if known else (None, 0)
+        changed = sorted(new)
+        if last is None or changed[0] > last[0]:
+            days = [new[d] for d in changed]
+            pairs = list(zip([last, *days], days))
+            self.days.appendList(days)
+        else:
+            every = {d[0]: tuple(d) for d in self.days.get()}
+            for d in changed:
+                every[d] = _joined(every[d], new[d]) if d in every else new[d]
+            days = [every[d] for d in sorted(every)]
+            touched = [i for i, d in enumerate(days) if d[0] in new or (i and days[i - 1][0] in new)]
+            pairs = [(days[i - 1] if i else None, days[i]) for i in touched]
+            self.days.put(days)
+        for before, day in pairs:
+            if before is not None:
+                version += 1
+                yield Row(**dict(zip(_NAMES, (*key, *day, *before, version))))
+        self.last.update((*days[-1], version))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.days.clear()
+        self.last.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside use the state store that this kind of state needs."""
+    before = spark.conf.get(_STATE_STORE, None)
+    spark.conf.set(_STATE_STORE, _ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_STATE_STORE)
+        else:
+            spark.conf.set(_STATE_STORE, before)
+
+
+def steps_on_arrival(points: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Comparisons of days with the day before them (STEP) for a stream of points; start its query inside :func:`state_store`."""
     ship_package(points.sparkSession)
-    values = points.filter(F.col("comparator").isNull()).select("patient_id", "analyte_id", "date", "value")
-    return values.groupBy("patient_id", "analyte_id").applyInPandasWithState(
-        _advance, STEP, STATE, "append", GroupStateTimeout.NoTimeout)
+    values = points.filter(F.col("comparator").isNull()).select(
+        *SERIES, F.unix_date("date").alias("day"), F.round(F.col("value") * 1e6).cast("bigint").alias("micros"),
+        F.coalesce("lab", F.lit(NO_LAB)).alias("lab"))
+    return values.groupBy(*SERIES).transformWithState(Series(idle_ms), STEP, "Append", "None" if idle_ms is None else "ProcessingTime")
+
+
+def current(steps: DataFrame) -> DataFrame:
+    """The comparison that holds for each day."""
+    rest = [c for c in steps.columns if c not in (*SERIES, "day", "version")]
+    best = steps.groupBy(*SERIES, "day").agg(F.max_by(F.struct(*rest), "version").alias("_s"))
+    return best.select(*SERIES, "day", "_s.*")
+
+
+def alerts(steps: DataFrame) -> DataFrame:
+    """Steps beyond the reference change value, as the flags against the previous result have them."""
+    spark = steps.sparkSession
+    limits = dim.analytes(spark).select("analyte_id", "rcv_percent").join(
+        dim.targets(spark).select("analyte_id", "target_low", "target_high"), "analyte_id", "left")
+    mean = lambda total, n: F.expr(f"cast(cast(cast({total} as decimal(24,0)) / 1000000 as decimal(24,6)) / {n} as decimal(28,10))").cast("double")
+    rows = steps.select(*SERIES, F.date_from_unix_date("day").alias("date"), mean("total", "n").alias("value"), F.date_from_unix_date("ref_day").alias("prev_date"),
+                        mean("ref_total", "ref_n").alias("prev_value"), crossed(*map(F.col, ("lo", "hi", "ref_lo", "ref_hi"))).alias("cross_lab"),
+                        *[c for c in ("version",) if c in steps.columns])
+    rows = rows.join(limits, "analyte_id").withColumn("change_percent", num.pct_change(F.col("value"), F.col("prev_value")))
+    return rows.filter(F.abs("change_percent") > F.col("rcv_percent")).withColumns({
+        "direction": F.when(F.col("change_percent") > 0, "rise").otherwise("fall"),
+        "target_direction": num.target_direction(F.col("prev_value"), F.col("value"), F.col("target_low"), F.col("target_high"))}).drop(
+        "rcv_percent", "target_low", "target_high")
+
 
+def start_steps(points: DataFrame, folder: str, name: str, idle_ms: int | None = None, every: str = "10 seconds") -> StreamingQuery:
+    """Write the comparisons of a stream of points to ``folder`` until all that is there is read; run again under the same ``name`` to go on.
 
-def alerts(points: DataFrame) -> DataFrame:
-    """Steps beyond the reference change value."""
-    rcv = dim.analytes(points.sparkSession).select("analyte_id", "rcv_percent")
-    change = num.pct_change(F.col("value"), F.col("ref_value"))
-    return (steps_on_arrival(points).filter("NOT late").join(rcv, "analyte_id").withColumn("change_percent", change)
-            .filter(F.abs("change_percent") > F.col("rcv_percent")))
+    With ``idle_ms`` the query goes on until it is stopped, with a batch ``every`` so often: timers need a running query."""
+    spark = points.sparkSession
+    with state_store(spark):
+        writer = (steps_on_arrival(points, idle_ms).writeStream.format("parquet").option("path", folder).outputMode("append")
+                  .option("checkpointLocation", f"{shared_folder(spark)}/{name}"))
+        return (writer.trigger(availableNow=True) if idle_ms is None else writer.trigger(processingTime=every)).start()

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 import uuid
 
 import pytest
@@ -65,34 +66,55 @@ def test_result_table_written_again_keeps_no_old_bucket(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
 
 
+def _point(k, date, value, lab="A"):
+    return (1, "potassium", str(k), k, dt.date.fromisoformat(date), value, None, lab, 1, 1)
+
+
+def _arrive(spark, folder, parts, name):
+    """Steps after each part has arrived, every part by a stream that starts anew from the checkpoint."""
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(refresh.POINTS).parquet(f"{folder}/in")
+        assert alerts.start_steps(stream, f"{folder}/steps", name).awaitTermination(60)
+    return spark.read.parquet(f"{folder}/steps")
+
+
 def test_alerts_on_arrival(spark, tmp_path):
-    incoming = str(tmp_path / "in")
-    points = fx.points(spark).withColumn("observation_id", F.col("observation_id").cast("string")).filter(
-        "patient_id = 1 and analyte_id = 'creatinine'")
-    points.coalesce(1).write.parquet(incoming)
-    stream = alerts.alerts(spark.readStream.schema(refresh.POINTS).parquet(incoming))
-    query = (stream.writeStream.format("memory").queryName("alerts_test").outputMode("append")
-             .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
-    query.awaitTermination()
-    got = spark.table("alerts_test").collect()
-    assert [(r.date, r.change_percent) for r in got] == [(dt.date(2024, 4, 1), 16.2)]
-
-
-def test_late_results_are_sent_on_and_days_have_versions(spark, tmp_path):
-    incoming, schema = str(tmp_path / "in"), refresh.POINTS
-    rows = [("2024-01-01", 1.0, 1), ("2024-02-01", 2.0, 2), ("2024-01-15", 1.5, 3), ("2024-02-01", 4.0, 4)]
-    (tmp_path / "in").mkdir()
-    query = (alerts.steps_on_arrival(spark.readStream.schema(schema).parquet(incoming)).writeStream.format("memory").queryName("late_test")
-             .outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start())
-    for date, value, k in rows:
-        spark.createDataFrame([(1, "potassium", str(k), k, date, value)], "patient_id bigint, analyte_id string, observation_id string, report_id bigint, date string, value double").selectExpr(
-            "patient_id", "analyte_id", "observation_id", "report_id", "cast(date as date) date", "value", "cast(null as string) comparator", "'A' lab", "1 page", "1 line") \
-            .coalesce(1).write.mode("append").parquet(incoming)
-        query.processAllAvailable()
-    query.stop()
-    got = sorted((r.version, str(r.date), r.value, r.ref_value, r.late) for r in spark.table("late_test").collect())
-    assert [r[1:] for r in got[:-1]] == [("2024-02-01", 2.0, 1.0, False), ("2024-01-15", 1.5, None, True)]
-    assert got[-1][1:] == ("2024-02-01", 3.0, 1.0, False)
+    points = fx.points(spark).withColumn("observation_id", F.col("observation_id").cast("string")).filter("patient_id = 1 and analyte_id = 'creatinine'")
+    steps = _arrive(spark, str(tmp_path), [points.coalesce(1)], f"alerts-{uuid.uuid4().hex}")
+    assert [(r.date, r.change_percent, r.direction) for r in alerts.alerts(alerts.current(steps)).collect()] == [(dt.date(2024, 4, 1), 16.2, "rise")]
+
+
+def test_late_days_are_compared_anew_after_a_restart(spark, tmp_path):
+    rows = [_point(1, "2024-01-01", 1.0), _point(2, "2024-02-01", 2.0), _point(3, "2024-01-15", 1.5, "B"), _point(4, "2024-02-01", 4.0), _point(5, "2023-12-01", 1.0)]
+    steps = _arrive(spark, str(tmp_path), [spark.createDataFrame([r], refresh.POINTS) for r in rows], f"late-{uuid.uuid4().hex}")
+    seen = [(r.version, r.day - 19723, r.total / r.n / 1e6, r.ref_day - 19723) for r in steps.orderBy("version").collect()]
+    assert seen == [(1, 31, 2.0, 0), (2, 14, 1.5, 0), (3, 31, 2.0, 14), (4, 31, 3.0, 14), (5, 0, 1.0, -31)]
+    together = _arrive(spark, str(tmp_path / "once"), [spark.createDataFrame(rows, refresh.POINTS)], f"once-{uuid.uuid4().hex}")
+    assert sorted(map(tuple, alerts.current(steps).collect())) == sorted(map(tuple, alerts.current(together).collect()))
+    assert {r.date.isoformat(): r.cross_lab for r in alerts.alerts(alerts.current(steps)).collect()} == {"2024-01-15": True, "2024-02-01": True}
+
+
+@pytest.mark.parametrize("idle_ms, steps", [(1, 0), (10**9, 1)])
+def test_idle_series_are_forgotten(spark, tmp_path, idle_ms, steps):
+    folder = str(tmp_path)
+    spark.createDataFrame([], refresh.POINTS).coalesce(1).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(refresh.POINTS).parquet(f"{folder}/in")
+    query = alerts.start_steps(stream, f"{folder}/steps", f"idle-{uuid.uuid4().hex}", idle_ms, "100 milliseconds")
+    try:
+        rows = 0
+        for k, date in enumerate(("2024-01-01", "2024-02-01")):
+            spark.createDataFrame([_point(k, date, 1.0 + k)], refresh.POINTS).write.mode("append").parquet(f"{folder}/in")
+            rows += 1
+            seen, deadline = 0, time.time() + 40
+            while time.time() < deadline and (seen < rows or query.lastProgress["batchId"] < last + 3):
+                time.sleep(0.2)
+                progress = list(query.recentProgress)
+                seen = sum(p["numInputRows"] for p in progress)
+                last = max([p["batchId"] for p in progress if p["numInputRows"]], default=1 << 30)
+    finally:
+        query.stop()
+    assert seen == 2 and spark.read.schema(alerts.STEP).parquet(f"{folder}/steps").count() == steps
 
 
 def test_labelled_rows(spark, tmp_path):
