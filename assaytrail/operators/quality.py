@@ -44,11 +44,32 @@ def coverage(wanted: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
             .select(*keys, "gap"))
 
 
-def differing_rows(rows: DataFrame, reread: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose tokens differ from a second reading of the same place, or are missing on one side."""
-    a = rows.select(*keys, F.col("tokens").alias("first"))
-    b = reread.select(*keys, F.col("tokens").alias("second"))
-    return a.join(b, keys, "full").filter(~F.col("first").eqNullSafe(F.col("second")))
+def differing_rows(rows: DataFrame, reread: DataFrame, keys: list[str], content: str = "tokens", bucket_rows: int = 4096) -> DataFrame:
+    """(keys, first, second, change) of the rows whose content differs from a second reading of the same place, or that one side lacks.
+
+    Both sides are reduced to one checksum for each bucket of keys by partial aggregation; only rows of buckets whose checksums differ are
+    joined. Keys and contents may be null. Keys identify a row; repeated ones are compared by the smallest content each side has there.
+    """
+    buckets = max(16, rows.count() // bucket_rows)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets))
+
+    def sums(side: DataFrame, name: str) -> DataFrame:
+        whole = F.xxhash64(*keys, content)
+        return side.groupBy(bucket.alias("_bucket")).agg(F.struct(
+            F.count(F.lit(1)), F.bit_xor(whole), F.sum(whole.cast("decimal(38,0)"))).alias(name))
+
+    differ = sums(rows, "_a").join(sums(reread, "_b"), "_bucket", "full").filter(~F.col("_a").eqNullSafe(F.col("_b"))).select("_bucket")
+
+    def inside(side: DataFrame, name: str) -> DataFrame:
+        near = side.withColumn("_bucket", bucket).join(differ, "_bucket", "left_semi")
+        return near.groupBy(*[F.col(k).alias(f"_{name}_{k}") for k in keys]).agg(F.min(F.struct(F.col(content).alias("c"))).alias(f"_{name}"))
+
+    same = [F.col(f"_first_{k}").eqNullSafe(F.col(f"_second_{k}")) for k in keys]
+    both = inside(rows, "first").join(inside(reread, "second"), same, "full")
+    change = F.when(F.col("_second").isNull(), "missing").when(F.col("_first").isNull(), "extra").otherwise("changed")
+    return both.filter(~F.col("_first").eqNullSafe(F.col("_second"))).select(
+        *[F.when(F.col("_first").isNotNull(), F.col(f"_first_{k}")).otherwise(F.col(f"_second_{k}")).alias(k) for k in keys],
+        F.col("_first.c").alias("first"), F.col("_second.c").alias("second"), change.alias("change"))
 
 
 def entity_text(tokens: Column, tags: Column, kind: str) -> Column:
@@ -141,17 +162,47 @@ def split_problems(rows: DataFrame, held_out: DataFrame) -> DataFrame:
     return multi.unionByName(leak).unionByName(extra)
 
 
+def share_threshold(ids: DataFrame, key: Column, id_column: str, share: float, ranked: int = 1 << 20) -> tuple[str, object] | None:
+    """(key, id) of the last of the first ``share`` of distinct ids in the order of (key, id); None: none is in it.
+
+    ``key`` is a text of hexadecimal digits. Rows are counted by its first digits, digit by digit where the border lies, until the border's
+    group has at most ``ranked`` rows (or the key has no more digits); only that group is ordered.
+    """
+    rows = ids.select(F.col(id_column).alias("i")).distinct().select(key.alias("k"), "i")
+    wanted = int(rows.count() * share + 0.5)
+    if not wanted:
+        return None
+    prefix, size = "", 3
+    while True:
+        group = F.substring("k", 1, size)
+        inside = rows.filter(F.col("k").startswith(prefix)) if prefix else rows
+        counts = sorted((r.g, r.n) for r in inside.groupBy(group.alias("g")).agg(F.count(F.lit(1)).alias("n")).collect())   # at most 16**3
+        for prefix, n in counts:
+            if n >= wanted:
+                break
+            wanted -= n
+        if n <= ranked or size >= 32:
+            last = rows.filter(F.col("k").startswith(prefix)).orderBy("k", "i").limit(wanted).agg(F.max(F.struct("k", "i")).alias("m")).first().m
+            return last.k, last.i
+        size += 3
+
+
 def assign_splits(reports: DataFrame, held_out: list[str], seed: int = 7, val_share: float = 0.1) -> DataFrame:
-    """Held-out families to test; the rest to val or train by a hash of seed and id, row by row."""
-    place = F.pmod(F.xxhash64(F.lit(seed), "report_id"), F.lit(1_000_000)) / 1_000_000
-    return reports.withColumn("split", F.when(F.col("layout_family").isin(held_out), "test")
-                              .when(place < val_share, "val").otherwise("train"))
+    """Held-out families to test; of the other reports exactly ``val_share`` (rounded) to val, the rest to train.
+
+    Reports are taken in the order of a hash of seed and id. Only the border is looked for; no row is moved."""
+    key = lambda c: F.md5(F.concat(F.lit(f"{seed}:"), F.col(c).cast("string")).cast("binary"))
+    held = F.col("layout_family").isin(held_out)
+    border = share_threshold(reports.filter(~held | F.col("layout_family").isNull()), key("i"), "report_id", val_share)
+    inside = F.lit(False) if border is None else F.struct(key("report_id").alias("k"), F.col("report_id").alias("i")) <= F.struct(
+        F.lit(border[0]).alias("k"), F.lit(border[1]).alias("i"))
+    return reports.withColumn("split", F.when(held, "test").when(inside, "val").otherwise("train"))
 
 
-def forbidden_phrases(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, phrase, n) for every lab brand found in a text, without case."""
-    hits = texts.select(key, F.explode(F.transform(tx.matches(F.col(text), tx.brand_pattern()), F.lower)).alias("phrase"))
-    return hits.groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("n"))
+def forbidden_phrases(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, phrase, n) for every lab brand found in a text, without case."""
+    hits = texts.select(*keys, F.explode(F.transform(tx.matches(F.col(text), tx.brand_pattern()), F.lower)).alias("phrase"))
+    return hits.groupBy(*keys, "phrase").agg(F.count(F.lit(1)).alias("n"))
 
 
 def missing_inputs(printed: DataFrame) -> DataFrame:
@@ -169,8 +220,8 @@ def bad_differentials(printed: DataFrame) -> DataFrame:
     return parts.filter((F.col("n_parts") != len(d.DIFFERENTIAL)) | (F.col("total") != 100))
 
 
-def entities(rows: DataFrame, tags: str, keys: list[str]) -> DataFrame:
-    """Strict IOB2 spans of a tag array: one row (kind, first, last) per entity.
+def spans_of(tags: str) -> Column:
+    """Strict IOB2 spans of a tag array as an array of (kind, first, last).
 
     A span starts at B-X and goes on over I-X; an I-X without its B-X belongs to none.
     """
@@ -183,32 +234,42 @@ def entities(rows: DataFrame, tags: str, keys: list[str]) -> DataFrame:
         return F.when(stop == 0, n).otherwise(i + stop - 1)
 
     at = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(tags, i).startswith("B-"))
-    spans = F.transform(at, lambda i: F.struct(_kind(F.element_at(tags, i)).alias("kind"), i.alias("first"),
-                                               end_of(i).alias("last")))
-    return rows.filter(n > 0).select(*keys, F.explode(spans).alias("s")).select(*keys, "s.*")
+    spans = F.transform(at, lambda i: F.struct(_kind(F.element_at(tags, i)).alias("kind"), i.alias("first"), end_of(i).alias("last")))
+    return F.when(n > 0, spans).otherwise(F.slice(spans, 1, 0))
 
 
-def entity_scores(rows: DataFrame, groups: list[str]) -> DataFrame:
-    """Precision, recall and F1 per kind and overall. Needs tags (gold), predicted and a row id.
+def entities(rows: DataFrame, tags: str, keys: list[str]) -> DataFrame:
+    """One row (kind, first, last) per span of a tag array."""
+    return rows.filter(F.size(tags) > 0).select(*keys, F.explode(spans_of(tags)).alias("s")).select(*keys, "s.*")
+
 
-    ``rollup`` over the kind gives the micro average in the same pass; its kind is "overall".
+def entity_scores(rows: DataFrame, groupings: list[list[str]]) -> DataFrame:
+    """Precision, recall and F1 per kind and overall for each of the ``groupings`` (lists of columns; [] is all rows). Needs tags (gold) and predicted.
+
+    Gold and predicted spans stand in one row, so they are compared there; what is shuffled are counts by group. Columns that are not
+    in a grouping are null; ``grouping_id`` tells groupings from null values, if there are several.
     """
-    keys = [*groups, "row_id"]
-    gold = entities(rows, "tags", keys).withColumn("g", F.lit(1))
-    pred = entities(rows, "predicted", keys).withColumn("p", F.lit(1))
-    both = gold.unionByName(pred, allowMissingColumns=True).groupBy(*keys, "kind", "first", "last").agg(
-        F.max("g").alias("g"), F.max("p").alias("p"))
-    hit = F.count(F.when(F.col("g").isNotNull() & F.col("p").isNotNull(), 1))
-    counts = F.grouping("kind").alias("is_total")
-    out = both.rollup(*groups, "kind").agg(hit.alias("hits"), F.count("g").alias("support"), F.count("p").alias("predicted"),
-                                           counts, *[F.grouping(g).alias(f"all_{g}") for g in groups])
-    for g in groups:
-        out = out.filter(F.col(f"all_{g}") == 0).drop(f"all_{g}")
-    precision = F.coalesce(F.col("hits") / F.nullif("predicted", F.lit(0)), F.lit(0.0))
+    columns = list(dict.fromkeys(c for g in groupings for c in g))
+    spans = rows.select(*columns, spans_of("tags").alias("_gold"), spans_of("predicted").alias("_found"))
+    spans = spans.withColumn("_hits", F.array_intersect("_gold", "_found"))
+
+    def of(name: str, kind: str) -> Column:
+        return F.sum(F.size(F.filter(name, lambda s: s["kind"] == kind))).alias(f"{name}_{kind}")
+
+    sums = [of(name, kind) for name in ("_gold", "_found", "_hits") for kind in KINDS]
+    if len(groupings) == 1:
+        counted = spans.groupBy(*groupings[0]).agg(*sums)
+        marks = []
+    else:
+        counted, marks = spans.groupingSets([[F.col(c) for c in g] for g in groupings], *columns).agg(*sums, F.grouping_id().alias("grouping_id")), ["grouping_id"]
+    total = lambda name: sum(F.col(f"{name}_{k}") for k in KINDS)
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), *[F.col(f"{name}_{k}").alias(out) for name, out in (("_gold", "support"), ("_found", "found"), ("_hits", "hits"))])
+                      for k in KINDS], F.struct(F.lit("overall").alias("kind"), total("_gold").alias("support"), total("_found").alias("found"), total("_hits").alias("hits")))
+    out = counted.select(*columns, *marks, F.inline(kinds)).filter((F.col("support") > 0) | (F.col("found") > 0))
+    precision = F.coalesce(F.col("hits") / F.nullif("found", F.lit(0)), F.lit(0.0))
     recall = F.coalesce(F.col("hits") / F.nullif("support", F.lit(0)), F.lit(0.0))
     f1 = F.coalesce(2 * precision * recall / F.nullif(precision + recall, F.lit(0.0)), F.lit(0.0))
-    return out.select(*groups, F.when(F.col("is_total") == 1, "overall").otherwise(F.col("kind")).alias("kind"),
-                      "support", F.round(precision, 5).alias("precision"), F.round(recall, 5).alias("recall"),
+    return out.select(*columns, *marks, "kind", "support", F.round(precision, 5).alias("precision"), F.round(recall, 5).alias("recall"),
                       F.round(f1, 5).alias("f1"))
 
 

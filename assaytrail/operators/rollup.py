@@ -121,11 +121,11 @@ def report_labels(reports: DataFrame) -> DataFrame:
 def label_runs(numbers: DataFrame, keys: list[str], n: str = "label_number") -> DataFrame:
     """Runs of consecutive numbers per key: inside a run, number minus position is constant.
 
-    A key's numbers are those of one patient's reports with one analyte, so the window of a key is small.
+    Positions are taken inside of a thousand numbers, then over one row a thousand, so a busy key is no single window.
     """
-    m = numbers.select(*keys, F.col(n).cast("bigint").alias("n")).distinct()
-    island = F.col("n") - F.row_number().over(Window.partitionBy(*keys).orderBy("n"))
-    runs = m.withColumn("island", island).groupBy(*keys, "island").agg(F.min("n").alias("run_start"), F.max("n").alias("run_end"))
+    m = numbers.select(*keys, F.col(n).cast("bigint").alias("n")).distinct().withColumn("_thousand", F.floor(F.col("n") / 1000))
+    placed = row_numbers(m, keys, "_thousand", ["n"], "_position")
+    runs = placed.withColumn("island", F.col("n") - F.col("_position")).groupBy(*keys, "island").agg(F.min("n").alias("run_start"), F.max("n").alias("run_end"))
     text = F.when(F.col("run_end") > F.col("run_start"),
                   F.format_string("R%d–R%d", "run_start", "run_end")).otherwise(F.format_string("R%d", "run_start"))
     return runs.withColumn("run_text", text).drop("island")
@@ -180,9 +180,11 @@ def review_order(observations: DataFrame) -> DataFrame:
 
 
 def newest_documents(documents: DataFrame) -> DataFrame:
-    """Documents with their position in the patient's list, newest first."""
-    order = Window.partitionBy("patient_id").orderBy(F.desc("created_at"), F.desc("document_id"))
-    return documents.withColumn("position", F.row_number().over(order))
+    """Documents with their position in the patient's list, newest first: inside of a day (numbers: of a thousand), then over one row a day."""
+    timed = documents.schema["created_at"].dataType.typeName() in ("timestamp", "timestamp_ntz", "date")
+    stretch = F.to_date("created_at") if timed else F.floor(F.col("created_at") / 1000)
+    return row_numbers(documents.withColumn("_stretch", stretch), ["patient_id"], "_stretch", [F.desc("created_at"), F.desc("document_id")], "position",
+                       newest_first=True).drop("_stretch")
 
 
 def latest_summaries(summaries: DataFrame) -> DataFrame:

@@ -50,11 +50,11 @@ def within_days(days: DataFrame, spans: DataFrame, keys: list[str], date: str, s
             .filter(F.col(date).between(F.col(start), F.col(end))).drop("_bucket"))
 
 
-def row_numbers(df: DataFrame, keys: list[str], chunk: str, order: list, out: str) -> DataFrame:
-    """1-based position per key in (chunk, order); ranks inside chunks plus the size of earlier chunks."""
+def row_numbers(df: DataFrame, keys: list[str], chunk: str, order: list, out: str, newest_first: bool = False) -> DataFrame:
+    """1-based position per key in (chunk, order); ranks inside chunks plus the size of earlier chunks. ``newest_first``: large chunks come first."""
     sizes = df.groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy(F.col(chunk).asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, -1)
+    by_chunk = F.col(chunk).desc_nulls_last() if newest_first else F.col(chunk).asc_nulls_first()
+    earlier = Window.partitionBy(*keys).orderBy(by_chunk).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*[F.col(k).alias(f"_{k}") for k in [*keys, chunk]],
                            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*keys, chunk]]

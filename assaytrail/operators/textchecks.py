@@ -16,7 +16,7 @@ ANSWER = "answer array<struct<text:string,report_ids:array<string>>>"
 
 
 def parse(texts: DataFrame, column: str = "content", schema: str = SUMMARY) -> DataFrame:
-    """Parsed JSON with an error where the text is not JSON or has not the expected fields."""
+    """Parsed JSON with an error where the text is not JSON or has not the expected fields, each of its type."""
     parsed = texts.withColumn("parsed", F.from_json(column, f"{schema}, _bad string", {
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     required = [c.split(" ")[0] for c in ("key_finding", "sections", "medication_rows", "data_notes")] \
@@ -24,9 +24,8 @@ def parse(texts: DataFrame, column: str = "content", schema: str = SUMMARY) -> D
     missing = F.lit(False)
     for c in required:
         missing = missing | F.col(f"parsed.{c}").isNull()
-    return parsed.withColumn("error", F.when(F.col("parsed").isNull() | F.col("parsed._bad").isNotNull(),
-                                             "the answer is not valid JSON")
-                             .when(missing, "the JSON does not match the schema"))
+    return parsed.withColumn("error", F.when(F.try_parse_json(column).isNull(), "the answer is not valid JSON")
+                             .when(F.col("parsed").isNull() | F.col("parsed._bad").isNotNull() | missing, "the JSON does not match the schema"))
 
 
 def summary_texts(parsed: DataFrame, keys: list[str]) -> DataFrame:
@@ -84,6 +83,23 @@ def roundings(number: Column) -> Column:
     return F.array_distinct(F.concat(F.array(plain), F.flatten(F.transform(F.sequence(F.lit(0), F.length(decimals)), forms))))
 
 
+def rounded_forms(numbers: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Distinct (keys, number): each number as in :func:`roundings`. One row a number of places, so all steps are plain columns of a row,
+    each worked out once."""
+    rows = numbers.select(*keys, normal_form(F.col(column)).alias("_plain")).distinct()
+    rows = rows.select(*keys, F.substring_index("_plain", ".", 1).alias("_whole"), F.regexp_extract("_plain", r"\.(.*)$", 1).alias("_dec"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.length("_dec"))).alias("_places"))
+    digits = F.concat("_whole", "_dec")
+    rows = rows.select(*keys, "_places", F.substring(digits, F.lit(1), F.length("_whole") + F.col("_places")).alias("_kept"),
+                       F.substring(F.col("_dec"), F.col("_places") + 1, F.length("_dec")).alias("_rest"))
+    upward = F.col("_rest") >= "5"                                            # a first digit of 5 or more
+    rows = rows.select(*keys, "_places", "_kept", F.when(upward, _increment(F.col("_kept"))).alias("_up"),
+                       (~upward | (F.col("_rest").rlike("^50*$") & F.col("_kept").rlike("[02468]$"))).alias("_stays"))
+    down, up = _point(F.col("_kept"), F.col("_places")), _point(F.col("_up"), F.col("_places"))
+    both = F.array_compact(F.array(F.when(F.col("_stays"), down), up))
+    return rows.select(*keys, F.explode(both).alias("number")).distinct()
+
+
 def normal_form(number: Column) -> Column:
     """The number without leading zeros, at its own precision."""
     return F.regexp_replace(number, r"^0+(?=\d)", "")
@@ -96,8 +112,8 @@ def number_violations(texts: DataFrame, facts: DataFrame, keys: list[str], text:
     Both sides become distinct (key, number) rows and meet in an anti join on the number itself, so a key
     with many texts or facts is spread by number.
     """
-    allowed = (facts.select(*keys, F.explode(F.array_distinct(tx.numbers_in(F.col(fact)))).alias("_f"))
-               .select(*keys, F.explode(roundings(F.col("_f"))).alias("number")).distinct())
+    numbers = facts.select(*keys, F.explode(F.array_distinct(tx.numbers_in(F.col(fact)))).alias("_f"))
+    allowed = rounded_forms(numbers, keys, "_f")
     said = (texts.withColumn("said", F.explode(F.array_distinct(tx.numbers_in(F.col(text)))))
             .withColumn("number", normal_form(F.col("said"))))
     return said.join(allowed, [*keys, "number"], "left_anti").drop("number")
@@ -112,14 +128,18 @@ def wording(texts: DataFrame, text: str = "text", allowed: list[str] = (), causa
 
 
 def wording_per_patient(texts: DataFrame, phrases: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Like ``wording`` where the allowed phrases (a few conditions and labs) differ by row: column ``phrases``."""
-    kept = F.array_sort(F.filter("phrases", lambda p: p != ""), lambda a, b: F.length(b) - F.length(a))
-    # Each phrase is turned into a literal pattern by \Q..\E quoting.
-    clean = F.aggregate(kept, F.col(text), lambda t, p: F.regexp_replace(
-        t, F.concat(F.lit(r"(?i)\Q"), p, F.lit(r"\E")), F.lit(" ")))
-    rows = texts.join(phrases, keys, "left").withColumn("phrases", F.coalesce("phrases", F.array().cast("array<string>")))
+    """Like ``wording`` where the allowed phrases (conditions and labs) differ by row: column ``phrases``.
+
+    All phrases of a row are one alternation, the longest first, so a text is read once however many there are; where phrases overlap
+    the leftmost, then the longest one is taken out. Phrases are literal (quoted by \\Q..\\E) and have no case.
+    """
+    kept = F.array_sort(F.array_distinct(F.filter("phrases", lambda p: p.isNotNull() & (p != ""))), lambda a, b: F.length(b) - F.length(a))
+    quoted = F.transform(kept, lambda p: F.concat(F.lit(r"\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    rows = texts.join(phrases.select(*keys, quoted.alias("_quoted")), keys, "left")
+    pattern = F.concat(F.lit("(?i)"), F.array_join("_quoted", "|"))
+    clean = F.when(F.size("_quoted") > 0, F.regexp_replace(F.col(text), pattern, F.lit(" "))).otherwise(F.col(text))
     return rows.withColumn("_clean", clean).withColumn("word", F.explode(F.concat(
-        tx.matches(F.col("_clean"), d.BANNED_WORDS), tx.matches(F.col("_clean"), d.CAUSAL_WORDS)))).drop("_clean", "phrases")
+        tx.matches(F.col("_clean"), d.BANNED_WORDS), tx.matches(F.col("_clean"), d.CAUSAL_WORDS)))).drop("_clean", "_quoted")
 
 
 def cited_labels(text: Column) -> Column:
@@ -153,3 +173,29 @@ def labels_to_reports(texts: DataFrame, labels: DataFrame, keys: list[str]) -> D
     """Cited labels of accepted texts as report ids, one row per citation."""
     cited = texts.select(*keys, "place", F.posexplode("cited").alias("position", "label"))
     return cited.join(labels.select(*keys, "label", "report_id"), [*keys, "label"])
+
+
+def answer_problems(answers: DataFrame, labels: DataFrame, events: DataFrame, keys: list[str], about: list[str], column: str = "content",
+                    allowed: list[str] = ()) -> DataFrame:
+    """(keys, place, problem) of written answers: not JSON or of another shape, no cited key finding, banned words, labels and medication rows
+    that the facts of ``about`` (columns of the answers) do not have. ``labels``: about, label; ``events``: about, date, drug."""
+    parsed = parse(answers, column)
+    broken = parsed.filter(F.col("error").isNotNull()).select(*keys, F.lit("answer").alias("place"), F.col("error").alias("problem"))
+    own = [*keys, *about]
+    shown = summary_texts(parsed, own)
+    empty = empty_findings(shown).select(*keys, "place", F.lit("key finding without text or citation").alias("problem"))
+    words = wording(shown, allowed=allowed).select(*keys, "place", F.concat(F.lit("word: "), F.lower("word")).alias("problem"))
+    unknown = unknown_citations(shown.filter(F.size("cited") > 0), labels, about).select(
+        *keys, "place", F.concat(F.lit("unknown report "), "label").alias("problem"))
+    ids = [F.col(k) for k in keys]
+    known = answers.select(*keys, *about).join(events.select(*about, "date", "drug"), about).select(*keys, "date", "drug")
+    rows = unknown_medication_rows(parsed, known, keys).select(
+        *ids, F.concat(F.lit("medication row "), (F.col("position") + 1).cast("string")).alias("place"), F.lit("no such medication event").alias("problem"))
+    return broken.unionByName(empty).unionByName(words).unionByName(unknown).unionByName(rows).distinct()
+
+
+def answer_citations(answers: DataFrame, labels: DataFrame, keys: list[str], about: list[str], column: str = "content") -> DataFrame:
+    """(keys, place, position, label, report_id) of each citation of an accepted answer that names a report of the facts."""
+    shown = summary_texts(parse(answers, column), [*keys, *about]).filter(F.size("cited") > 0)
+    cited = shown.select(*keys, *about, "place", F.posexplode("cited").alias("position", "label"))
+    return cited.join(labels.select(*about, "label", "report_id"), [*about, "label"]).select(*keys, "place", "position", "label", "report_id")

@@ -485,6 +485,39 @@ def _written() -> str:
 
 
 CTES["v_written"] = _written()
+CTES["v_read"] = "SELECT report_id, line, " + " || ".join(["''"] + [
+    f"CASE WHEN trim({c}) = '' THEN '' ELSE {sep} || trim(regexp_replace({c}, ' +', ' ', 'g')) END" for c, sep in
+    (("test_text", "''"), ("value_text", "' '"), ("unit_text", "' '"), ("range_text", "' '"))]) + " AS t FROM v_printed"
+CTES["v_all_text"] = "SELECT 'sentence' AS kind, report_id AS id, text FROM v_written UNION ALL SELECT 'document', doc_id, text FROM documents"
+CTES["v_patient_text"] = """SELECT 'sentence' AS kind, report_id AS id, patient_id, 'History of ' || array_to_string(conditions, ' and ') || '; ' || coalesce(lab, 'no lab')
+      || ' saw kidney disease progress, asthma and hypertension, and a score due to LAB A.' AS text FROM v_report JOIN v_patient USING (patient_id)
+    UNION ALL SELECT 'document', doc_id, doc_id, text FROM documents"""
+CTES["v_phrase"] = r"""SELECT patient_id, '(?i)' || array_to_string(list_transform(list_reverse_sort(list_transform(list_filter(list_distinct(list_concat(conditions, coalesce(labs, []))),
+      lambda x: x <> ''), lambda x: {'n': length(x), 'p': x})), lambda x: '\Q' || x.p || '\E'), '|') AS pattern, len(list_concat(conditions, coalesce(labs, []))) AS n
+    FROM v_patient LEFT JOIN (SELECT patient_id, list(DISTINCT lab) FILTER (WHERE lab IS NOT NULL) AS labs FROM v_report GROUP BY 1) USING (patient_id)"""
+CTES["v_answer"] = """SELECT answer_id, patient_id, CASE WHEN form = 1 THEN content[:-10] ELSE content END AS content FROM (
+    SELECT 'report ' || report_id AS answer_id, w.patient_id, report_id % 7 AS form,
+      '{"key_finding":{"text":"' || text || '","report_ids":[' || CASE WHEN report_id % 7 = 5 THEN '' ELSE '"R' || (report_id % 23 + 1) || '"' END || ']},"sections":'
+      || CASE WHEN report_id % 7 = 2 THEN '"none"' ELSE '[{"title":"Results that worked","sentences":[{"text":"' || text || '","report_ids":["R1","R' || (report_id % 23 + 1)
+        || '"]},{"text":"Plain.","report_ids":[]}]}]' END
+      || ',"medication_rows":[{"date":"' || date || '","drug":"' || CASE WHEN report_id % 7 = 6 THEN 'Warfarin' ELSE drug END || ' daily","dose":"","observed":"stable"}]'
+      || CASE WHEN report_id % 7 = 3 THEN '' ELSE ',"data_notes":["One value is poor."]' END || '}' AS content
+    FROM v_written w JOIN v_event e ON e.event_id = w.report_id)
+    UNION ALL SELECT 'turn ' || conv_id || ' ' || turn, conv_id, CASE WHEN role = 'user' THEN text ELSE
+      json_object('key_finding', json_object('text', coalesce(text, ''), 'report_ids', ['R1']), 'sections', json_array(), 'medication_rows', json_array(), 'data_notes', ['no notes'])::VARCHAR END
+    FROM conversations"""
+CTES["v_judged"] = """SELECT *, CASE WHEN NOT coalesce(json_valid(content), false) THEN 'the answer is not valid JSON'
+      WHEN json_type(content, '$.key_finding') IS DISTINCT FROM 'OBJECT' OR json_type(content, '$.sections') IS DISTINCT FROM 'ARRAY'
+        OR json_type(content, '$.medication_rows') IS DISTINCT FROM 'ARRAY' OR json_type(content, '$.data_notes') IS DISTINCT FROM 'ARRAY' THEN 'the JSON does not match the schema' END AS error
+    FROM v_answer"""
+_texts_of_answer = [("'key_finding'", "$.key_finding.text", "$.key_finding.report_ids"), ("'section 1 title'", "$.sections[0].title", None)]
+_texts_of_answer += [(f"'section 1 sentence {j + 1}'", f"$.sections[0].sentences[{j}].text", f"$.sections[0].sentences[{j}].report_ids") for j in range(2)]
+_texts_of_answer += [(f"'medication row 1 {c}'", f"$.medication_rows[0].{c}", None) for c in ("date", "drug", "dose", "observed")]
+_texts_of_answer += [("'data note 1'", "$.data_notes[0]", None)]
+CTES["v_shown"] = " UNION ALL ".join(
+    f"SELECT answer_id, patient_id, {place} AS place, json_extract_string(content, '{path}') AS text, "
+    + (f"CAST(json_extract(content, '{cited}') AS VARCHAR[])" if cited else "CAST(NULL AS VARCHAR[])") + " AS cited FROM v_judged WHERE error IS NULL"
+    for place, path, cited in _texts_of_answer)
 
 
 def _number_check(said: str, facts: str, keys: str, out: str) -> str:
@@ -608,13 +641,45 @@ FINAL: dict[str, str] = {
         UNION ALL SELECT DISTINCT patient_id, 'note' FROM v_my_point WHERE comparator IS NOT NULL
         UNION ALL SELECT DISTINCT patient_id, 'note' FROM v_drug JOIN v_slv USING (patient_id) WHERE change = 'start' AND date BETWEEN ps AND pe) GROUP BY ALL""",
     "used_reports": "SELECT u.patient_id, u.report_id, 'R' || n AS label FROM v_used u JOIN v_label USING (patient_id, report_id)",
-    "wording_check": rf"""SELECT report_id, lower(word) AS word, count(*) AS n FROM (SELECT report_id, unnest(list_concat(regexp_extract_all(t, '(?i){_RE_BANNED}'), regexp_extract_all(t, '(?i){_RE_CAUSAL}'))) AS word
-        FROM (SELECT report_id, regexp_replace(text, '(?i)good news|must-have', ' ', 'g') AS t FROM v_written)) GROUP BY ALL""",
+    "wording_check": rf"""SELECT kind, id, lower(word) AS word, count(*) AS n FROM (SELECT kind, id, unnest(list_concat(regexp_extract_all(t, '(?i){_RE_BANNED}'), regexp_extract_all(t, '(?i){_RE_CAUSAL}'))) AS word
+        FROM (SELECT kind, id, regexp_replace(text, '(?i)good news|must-have', ' ', 'g') AS t FROM v_all_text)) GROUP BY ALL""",
+    "wording_per_patient": rf"""SELECT kind, id, lower(word) AS word, count(*) AS n FROM (SELECT kind, id, unnest(list_concat(regexp_extract_all(t, '(?i){_RE_BANNED}'), regexp_extract_all(t, '(?i){_RE_CAUSAL}'))) AS word
+        FROM (SELECT kind, id, CASE WHEN n > 0 THEN regexp_replace(text, pattern, ' ', 'g') ELSE text END AS t FROM v_patient_text LEFT JOIN v_phrase USING (patient_id))) GROUP BY ALL""",
+    "answer_problems": rf"""SELECT answer_id, 'answer' AS place, error AS problem FROM v_judged WHERE error IS NOT NULL
+        UNION SELECT answer_id, place, 'key finding without text or citation' FROM v_shown WHERE place = 'key_finding' AND (coalesce(len(cited), 0) = 0 OR trim(text) = '')
+        UNION SELECT answer_id, place, 'word: ' || lower(unnest(list_concat(regexp_extract_all(t, '(?i){_RE_BANNED}'), regexp_extract_all(t, '(?i){_RE_CAUSAL}'))))
+          FROM (SELECT *, regexp_replace(text, '(?i)good news|must-have', ' ', 'g') AS t FROM v_shown)
+        UNION SELECT answer_id, place, 'unknown report ' || label FROM (SELECT answer_id, patient_id, place, unnest(cited) AS label FROM v_shown) c
+          ANTI JOIN (SELECT patient_id, 'R' || n AS label FROM v_label) l ON l.patient_id = c.patient_id AND l.label = c.label
+        UNION SELECT answer_id, 'medication row 1', 'no such medication event' FROM (SELECT answer_id, patient_id, json_extract_string(content, '$.medication_rows[0].date') AS date,
+            lower(json_extract_string(content, '$.medication_rows[0].drug')) AS drug FROM v_judged WHERE error IS NULL AND json_array_length(content, '$.medication_rows') > 0) m
+          WHERE NOT EXISTS (SELECT 1 FROM v_event e WHERE e.patient_id = m.patient_id AND e.date::VARCHAR = m.date AND contains(m.drug, lower(e.drug)))""",
+    "answer_citations": """SELECT answer_id, place, position, c.label, l.report_id FROM (SELECT answer_id, patient_id, place, unnest(cited) AS label, CAST(unnest(range(len(cited))) AS INTEGER) AS position FROM v_shown) c
+        JOIN (SELECT patient_id, report_id, 'R' || n AS label FROM v_label) l ON l.patient_id = c.patient_id AND l.label = c.label""",
     "citation_check": r"SELECT w.report_id, w.label FROM (SELECT DISTINCT report_id, patient_id, unnest(regexp_extract_all(text, '\bR[1-9][0-9]*\b')) AS label FROM v_written) w ANTI JOIN (SELECT patient_id, 'R' || n AS label FROM v_label) l ON l.patient_id = w.patient_id AND l.label = w.label",
     "entity_f1": """SELECT split, kind, support, round(p, 5) AS precision, round(r, 5) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 5) AS f1 FROM (
         SELECT split, coalesce(kind, 'overall') AS kind, count(g) AS support, CASE WHEN count(q) > 0 THEN count(*) FILTER (WHERE g = 1 AND q = 1) / count(q)::DOUBLE ELSE 0 END AS p,
           CASE WHEN count(g) > 0 THEN count(*) FILTER (WHERE g = 1 AND q = 1) / count(g)::DOUBLE ELSE 0 END AS r
         FROM (SELECT *, 1 AS g FROM v_gold) FULL JOIN (SELECT *, 1 AS q FROM v_predicted) USING (split, report_id, line, kind, a, b) GROUP BY GROUPING SETS ((split, kind), (split)))""",
+    "entity_f1_by_family": """SELECT split, layout_family, grouping_id, kind, support, round(p, 5) AS precision, round(r, 5) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 5) AS f1 FROM (
+        SELECT split, layout_family, CAST(grouping(split) * 2 + grouping(layout_family) AS BIGINT) AS grouping_id, CASE WHEN grouping(kind) = 1 THEN 'overall' ELSE kind END AS kind, count(g) AS support,
+          CASE WHEN count(q) > 0 THEN count(*) FILTER (WHERE g = 1 AND q = 1) / count(q)::DOUBLE ELSE 0 END AS p, CASE WHEN count(g) > 0 THEN count(*) FILTER (WHERE g = 1 AND q = 1) / count(g)::DOUBLE ELSE 0 END AS r
+        FROM (SELECT *, 1 AS g FROM v_gold) FULL JOIN (SELECT *, 1 AS q FROM v_predicted) USING (split, report_id, line, kind, a, b) JOIN (SELECT report_id, 'family ' || (report_id % 10) AS layout_family FROM v_report) USING (report_id)
+        GROUP BY GROUPING SETS ((split, layout_family, kind), (split, layout_family), (split, kind), (split), (kind), ()))""",
+    "split_assignment": """SELECT report_id, CASE WHEN held THEN 'test' WHEN place <= CAST(floor(n * 0.1 + 0.5) AS BIGINT) THEN 'val' ELSE 'train' END AS split FROM (
+        SELECT report_id, held, row_number() OVER (PARTITION BY held ORDER BY md5('7:' || report_id), report_id) AS place, count(*) OVER (PARTITION BY held) AS n
+        FROM (SELECT report_id, report_id % 10 IN (1, 2) AS held FROM v_report))""",
+    "second_read": """SELECT report_id, line, a.t AS first, b.t AS second, CASE WHEN b.t IS NULL THEN 'missing' WHEN a.t IS NULL THEN 'extra' ELSE 'changed' END AS change
+        FROM v_read a FULL JOIN (
+          SELECT report_id, line, CASE WHEN (report_id + 2 * line) % 97 = 0 THEN regexp_replace(t, '^[^ ]+', '?') ELSE t END AS t FROM v_read WHERE (report_id + line) % 101 <> 0
+          UNION ALL SELECT report_id, 1000, t FROM v_read WHERE line = 1 AND report_id % 89 = 0) b USING (report_id, line) WHERE a.t IS DISTINCT FROM b.t""",
+    "kdigo_totals": "SELECT g, a, sum(n) ::BIGINT AS n_results, count(DISTINCT patient_id) AS n_patients, CAST(grouping(g) * 2 + grouping(a) AS INTEGER) AS level FROM (SELECT patient_id, g, a, count(*) AS n FROM v_history WHERE a IS NOT NULL GROUP BY ALL) GROUP BY CUBE (g, a)",
+    "file_intake": """SELECT doc_id, sha256, size, file_type, accepted, CASE WHEN file_type IS NULL THEN 'file type is not supported' WHEN NOT accepted THEN 'this file was already uploaded' ELSE '' END AS reason
+        FROM (SELECT *, file_type IS NOT NULL AND row_number() OVER (PARTITION BY sha256, file_type IS NULL ORDER BY doc_id) = 1 AS accepted
+        FROM (SELECT doc_id, sha256(content) AS sha256, octet_length(content) AS size, CASE doc_id % 5 WHEN 1 THEN 'png' WHEN 2 THEN 'jpg' WHEN 3 THEN NULL ELSE 'pdf' END AS file_type
+        FROM (SELECT doc_id, unhex(CASE doc_id % 5 WHEN 1 THEN '89504E47' WHEN 2 THEN 'FFD8FF' WHEN 3 THEN '00' ELSE '25504446' END) || encode(coalesce(text, '')) AS content FROM documents)))""",
+    "stream_file_dedup": "SELECT DISTINCT sha256(text) AS sha256, octet_length(encode(text)) AS size FROM documents WHERE text IS NOT NULL AND text NOT IN (SELECT text FROM benchmark)",
+    "bucketed_days": f"SELECT {_KEY}, date, {_round6('value')}, n_values, lag(date) OVER (PARTITION BY {_KEY} ORDER BY date) AS prev_date FROM v_day",
     "row_accuracy": """SELECT split, layout_family, count(*) AS rows, round(avg(CASE WHEN value_text LIKE '>%' OR (value_text LIKE '%*%' AND nu > 0) THEN 0 ELSE 1 END), 5) AS row_accuracy,
         round(avg(CASE WHEN value_text LIKE '>%' THEN 0 ELSE 1 END), 5) AS exact_value_accuracy FROM v_tagged GROUP BY ALL""",
     "bad_tags": "SELECT report_id, line FROM v_tagged WHERE value_text LIKE '>%' AND nv > 1",
@@ -629,7 +694,7 @@ FINAL: dict[str, str] = {
     "split_integrity": "SELECT 'report in two splits' AS problem, report_id::VARCHAR AS item FROM v_tagged GROUP BY report_id HAVING count(DISTINCT split) > 1 UNION ALL SELECT DISTINCT CASE WHEN split = 'test' THEN 'other family in test' ELSE 'held-out family outside test' END, layout_family FROM v_tagged WHERE (layout_family IN ('family 1', 'family 2')) <> (split = 'test')",
     "coverage_anti": "SELECT analyte_id, synonym, CASE WHEN n IS NULL THEN 'never used' ELSE 'not in train' END AS gap FROM d_synonym LEFT JOIN (SELECT analyte_id, test_text AS synonym, count(*) AS n, count(*) FILTER (WHERE report_id % 10 NOT IN (0, 1)) AS t FROM v_matched GROUP BY ALL) USING (analyte_id, synonym) WHERE coalesce(t, 0) = 0",
     "rows_per_analyte": "SELECT analyte_id, coalesce(n, 0) AS n, coalesce(n, 0) >= 300 AS enough FROM d_analyte LEFT JOIN (SELECT analyte_id, count(*) AS n FROM v_matched GROUP BY 1) USING (analyte_id)",
-    "forbidden_phrases": f"SELECT report_id, phrase, count(*) AS n FROM (SELECT report_id, lower(unnest(regexp_extract_all(text, '(?i){_RE_BRANDS}'))) AS phrase FROM v_written) GROUP BY ALL",
+    "forbidden_phrases": f"SELECT kind, id, phrase, count(*) AS n FROM (SELECT kind, id, lower(unnest(regexp_extract_all(text, '(?i){_RE_BRANDS}'))) AS phrase FROM v_all_text) GROUP BY ALL",
     "calculated_inputs": "SELECT DISTINCT report_id, panel, test_id, needed_id FROM v_panel JOIN d_requires USING (test_id) ANTI JOIN (SELECT report_id, panel, test_id AS needed_id FROM v_panel) USING (report_id, panel, needed_id)",
     "differentials": f"SELECT report_id, panel, count(DISTINCT test_id) AS n_parts, sum(value) AS total FROM v_panel WHERE test_id IN ({', '.join(map(_lit, d.DIFFERENTIAL))}) GROUP BY ALL HAVING count(DISTINCT test_id) <> 5 OR sum(value) <> 100",
     "panel_shares": "SELECT panel, count(*) AS n, round(count(*) FILTER (WHERE test_id NOT IN (SELECT analyte_id FROM d_analyte)) / count(*), 6) AS share FROM v_panel GROUP BY 1",
@@ -665,7 +730,10 @@ _RECURSIVE = {
         SELECT doc_id, page, least(coalesce(median(gap) FILTER (WHERE gap > 3 AND gap < 40), 12.0), 2 * 9.0) AS pitch FROM gaps GROUP BY ALL""",
 }
 _WHOLE = {
-    "number_check": _number_check(f"({CTES['v_written']})", f"(SELECT report_id, fact AS text FROM ({CTES['v_written']}))", "report_id", "report_id").replace("SELECT s.*", "SELECT report_id, said"),
+    "number_check": _number_check(
+        f"(SELECT 'sentence' AS kind, report_id AS id, text FROM ({CTES['v_written']}) UNION ALL SELECT 'conversation', conv_id, text FROM conversations WHERE role = 'assistant')",
+        f"(SELECT 'sentence' AS kind, report_id AS id, fact AS text FROM ({CTES['v_written']}) UNION ALL SELECT 'conversation', conv_id, text FROM conversations WHERE role <> 'assistant')",
+        "kind, id", "kind, id").replace("SELECT s.*", "SELECT kind, id, said"),
     "document_numbers": _number_check("(SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))", "(SELECT source, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))", "source", "source, doc_id").replace("SELECT s.*", "SELECT source, doc_id, said"),
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -22,10 +22,12 @@ from ..operators import tagging as G
 from ..operators import textchecks as X
 from ..operators import textrows as P
 from ..operators import trends as T
+from ..operators import series as S
 from ..operators.series import SERIES
 from ..session import shared_folder
 from ..sources import adapters as A
 from ..sources import dimensions as dim
+from ..sources import sinks, tables
 from ..streaming import alerts, refresh
 from .ingest import ingest
 from .lab import Lab
@@ -338,6 +340,44 @@ def file_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.accept(files, existing, ["sha256"], ["doc_id"], "doc_id", D.MAX_BYTES).select("doc_id", "sha256", "accepted", "reason")
 
 
+@query
+def file_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as files by the tasks and read back: hash, size, the type that their first bytes name, and whether they are taken in."""
+    folder = f"{shared_folder(spark)}/uploads-{uuid.uuid4().hex}"
+    written = tables.write_files(A.uploads(spark, sf_dir), folder)
+    found = tables.read_files(spark, folder).select(F.regexp_extract("path", r"/([^/]+)$", 1).cast("bigint").alias("doc_id"), "sha256", "size", "file_type")
+    if found.count() != written:
+        raise ValueError("files were lost")
+    return D.accept(found, found.select("sha256").limit(0), ["sha256"], ["doc_id"], "doc_id", D.MAX_BYTES).select(
+        "doc_id", "sha256", "size", "file_type", "accepted", "reason")
+
+
+@query
+def stream_file_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of the documents that are accepted when their list arrives in four parts, each taken in by a stream that starts anew."""
+    files = A.read(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("document_id"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("size"), F.lit("pdf").alias("file_type"))
+    existing = A.read(spark, sf_dir, "benchmark").select(F.sha2("text", 256).alias("sha256"))
+    folder, name = f"{shared_folder(spark)}/intake-{uuid.uuid4().hex}", f"intake-{uuid.uuid4().hex}"
+    for k in range(4):
+        files.filter(F.pmod("document_id", F.lit(4)) == k).write.mode("append").parquet(f"{folder}/incoming")
+        refresh.start_intake(spark, f"{folder}/incoming", existing, f"{folder}/accepted", name).awaitTermination()
+    return spark.read.schema(refresh.FILES).parquet(f"{folder}/accepted").select("sha256", "size")
+
+
+@lab_query
+def bucketed_days(lab: Lab) -> DataFrame:
+    """Day values and the day before them from points stored in buckets of patients, without an exchange."""
+    folder = f"{shared_folder(lab.points.sparkSession)}/points-{uuid.uuid4().hex}"
+    version = sinks.write_bucketed(lab.points, folder, ["patient_id"], ["analyte_id", "date"])
+    return with_previous_day(sinks.open_bucketed(lab.points.sparkSession, folder, version)).select(*SERIES, "date", r6("value"), "n_values", "prev_date")
+
+
+def with_previous_day(points: DataFrame) -> DataFrame:
+    order = Window.partitionBy(*SERIES).orderBy("date")
+    return S.day_values(points).withColumn("prev_date", F.lag("date").over(order))
+
+
 @query
 def delete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     reports = A.reports(spark, sf_dir)
@@ -367,6 +407,11 @@ def kdigo_grid(lab: Lab) -> DataFrame:
     return C.kdigo_grid(lab.history)
 
 
+@lab_query
+def kdigo_totals(lab: Lab) -> DataFrame:
+    return C.kdigo_totals(lab.history)
+
+
 def _plain(criterion: DataFrame) -> DataFrame:
     return criterion.select("patient_id", "title", "status", "codes", F.array_join(F.transform(
         "report_ids", lambda r: r.cast("string")), ",").alias("report_ids"))
@@ -518,9 +563,13 @@ def used_reports(lab: Lab) -> DataFrame:
 
 @query
 def number_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of written sentences that are no number of their facts nor a rounding of one."""
-    texts = A.written_texts(spark, sf_dir)
-    return X.number_violations(texts.select("report_id", "text"), texts.select("report_id", "fact"), ["report_id"]).select("report_id", "said")
+    """Numbers of written sentences that are no number of their facts nor a rounding of one, and numbers that an assistant says in a
+    conversation and nobody else in it."""
+    sentences = A.written_texts(spark, sf_dir).select(F.lit("sentence").alias("kind"), F.col("report_id").alias("id"), "text", "fact")
+    turns = A.turns(spark, sf_dir).select(F.lit("conversation").alias("kind"), F.col("conv_id").alias("id"), "text", "role")
+    said = sentences.select("kind", "id", "text").unionByName(turns.filter("role = 'assistant'").select("kind", "id", "text"))
+    facts = sentences.select("kind", "id", "fact").unionByName(turns.filter("role <> 'assistant'").select("kind", "id", F.col("text").alias("fact")))
+    return X.number_violations(said, facts, ["kind", "id"]).select("kind", "id", "said").distinct()
 
 
 @query
@@ -535,9 +584,30 @@ def document_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def wording_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = A.written_texts(spark, sf_dir).select("report_id", "text")
-    words = X.wording(texts, allowed=["good news", "must-have"])
-    return words.groupBy("report_id", F.lower("word").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    """Banned and causal words of written sentences and whole documents."""
+    words = X.wording(A.all_texts(spark, sf_dir), allowed=["good news", "must-have"])
+    return words.groupBy("kind", "id", F.lower("word").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def wording_per_patient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for texts about a patient, without the patient's own conditions and labs."""
+    words = X.wording_per_patient(A.patient_texts(spark, sf_dir), A.patient_phrases(spark, sf_dir), ["patient_id"])
+    return words.groupBy("kind", "id", F.lower("word").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def answer_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with written answers, by answer and place."""
+    lab = Lab.from_given_tables(spark, sf_dir)
+    return X.answer_problems(A.written_answers(spark, sf_dir), lab.labels, A.med_events(spark, sf_dir), ["answer_id"], ["patient_id"],
+                             allowed=["good news", "must-have"])
+
+
+@query
+def answer_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reports that accepted answers cite."""
+    return X.answer_citations(A.written_answers(spark, sf_dir), Lab.from_given_tables(spark, sf_dir).labels, ["answer_id"], ["patient_id"])
 
 
 @query
@@ -553,8 +623,28 @@ def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def entity_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = A.labelled_rows(spark, sf_dir).withColumn("row_id", F.concat_ws("-", "report_id", "line"))
-    return Q.entity_scores(rows, ["split"])
+    return Q.entity_scores(A.labelled_rows(spark, sf_dir), [["split"]])
+
+
+@query
+def entity_f1_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by split and layout family, by split, and over all rows."""
+    return Q.entity_scores(A.labelled_rows(spark, sf_dir), [["split", "layout_family"], ["split"], []])
+
+
+@query
+def split_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every report in one split: two families held out for test, exactly a tenth of the others for val."""
+    reports = A.reports(spark, sf_dir).select("report_id", F.concat(F.lit("family "), (F.col("report_id") % 10).cast("string")).alias("layout_family"))
+    return Q.assign_splits(reports, ["family 1", "family 2"]).select("report_id", "split")
+
+
+@query
+def second_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places where a second reading of the labelled rows differs."""
+    rows = A.labelled_rows(spark, sf_dir).select("report_id", "line", "tokens")
+    found = Q.differing_rows(rows, A.second_reading(spark, sf_dir), ["report_id", "line"])
+    return found.select("report_id", "line", F.array_join("first", " ").alias("first"), F.array_join("second", " ").alias("second"), "change")
 
 
 @query
@@ -612,7 +702,8 @@ def rows_per_analyte(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def forbidden_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.forbidden_phrases(A.written_texts(spark, sf_dir), "report_id")
+    """Lab brands in written sentences and whole documents."""
+    return Q.forbidden_phrases(A.all_texts(spark, sf_dir), ["kind", "id"])
 
 
 @query

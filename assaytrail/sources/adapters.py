@@ -213,6 +213,76 @@ def written_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(key.alias("report_id"), F.col("o_custkey").alias("patient_id"), fact.alias("fact"), text.alias("text"))
 
 
+def second_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled rows read once more: some words differ, some rows are missing and some places have a row that was not there."""
+    rows = labelled_rows(spark, sf_dir).select("report_id", "line", "tokens")
+    kept = rows.filter((F.col("report_id") + F.col("line")) % 101 != 0)
+    changed = F.when((F.col("report_id") + 2 * F.col("line")) % 97 == 0, F.concat(F.array(F.lit("?")), F.slice("tokens", 2, 1000))).otherwise(F.col("tokens"))
+    extra = rows.filter((F.col("line") == 1) & (F.col("report_id") % 89 == 0)).withColumn("line", F.lit(1000))
+    return kept.withColumn("tokens", changed).unionByName(extra)
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: name (the number), content with the leading bytes of a type, of five every fourth of none that is known."""
+    key = F.pmod("doc_id", F.lit(5))
+    magic = F.when(key == 1, F.unhex(F.lit("89504E47"))).when(key == 2, F.unhex(F.lit("FFD8FF"))).when(key == 3, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("25504446")))
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.concat(magic, F.coalesce("text", F.lit("")).cast("binary")).alias("content"))
+
+
+def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every written sentence and every whole document: kind, id, text."""
+    sentences = written_texts(spark, sf_dir).select(F.lit("sentence").alias("kind"), F.col("report_id").alias("id"), "text")
+    return sentences.unionByName(read(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text"))
+
+
+def patient_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts about one patient each: a sentence a report that names conditions and lab, and the document with the patient's number."""
+    conditions = patients(spark, sf_dir).select("patient_id", F.array_join("conditions", " and ").alias("conditions"))
+    sentence = F.concat(F.lit("History of "), F.col("conditions"), F.lit("; "), F.coalesce("lab", F.lit("no lab")),
+                        F.lit(" saw kidney disease progress, asthma and hypertension, and a score due to LAB A."))
+    about = reports(spark, sf_dir).join(conditions, "patient_id").select(
+        F.lit("sentence").alias("kind"), F.col("report_id").alias("id"), "patient_id", sentence.alias("text"))
+    return about.unionByName(read(spark, sf_dir, "documents").select(
+        F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("doc_id").alias("patient_id"), "text"))
+
+
+def patient_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conditions and labs of each patient."""
+    labs = reports(spark, sf_dir).groupBy("patient_id").agg(F.array_sort(F.collect_set("lab")).alias("labs"))
+    return patients(spark, sf_dir).join(labs, "patient_id", "left").select(
+        "patient_id", F.concat("conditions", F.coalesce("labs", F.array().cast("array<string>"))).alias("phrases"))
+
+
+def written_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers as a model may write them: answer_id, patient_id, content.
+
+    One a report from its sentence and its medication event, of seven the second cut off, the third with a text for a list and the fourth without a
+    field; the sixth has no citation, the seventh names another drug. Then one for each turn of the conversations, about the patient with the
+    conversation's number: the whole text is the key finding, or stands there without any JSON.
+    """
+    texts = written_texts(spark, sf_dir).join(med_events(spark, sf_dir).select(F.col("event_id").alias("report_id"), "drug", "date"), "report_id")
+    form = F.col("report_id") % 7
+    label = F.concat(F.lit("R"), (F.col("report_id") % 23 + 1).cast("string"))
+    cited = F.when(form == 5, F.lit("")).otherwise(F.concat(F.lit('"'), label, F.lit('"')))
+    drug = F.when(form == 6, F.lit("Warfarin")).otherwise(F.col("drug"))
+    head = F.concat(F.lit('{"key_finding":{"text":"'), F.col("text"), F.lit('","report_ids":['), cited, F.lit(']},"sections":'))
+    sections = F.when(form == 2, F.lit('"none"')).otherwise(F.concat(
+        F.lit('[{"title":"Results that worked","sentences":[{"text":"'), F.col("text"), F.lit('","report_ids":["R1","'), label,
+        F.lit('"]},{"text":"Plain.","report_ids":[]}]}]')))
+    rows = F.concat(F.lit(',"medication_rows":[{"date":"'), F.col("date").cast("string"), F.lit('","drug":"'), drug, F.lit(' daily","dose":"","observed":"stable"}]'))
+    notes = F.when(form == 3, F.lit("")).otherwise(F.lit(',"data_notes":["One value is poor."]'))
+    content = F.concat(head, sections, rows, notes, F.lit("}"))
+    content = F.when(form == 1, F.substring(content, F.lit(1), F.length(content) - 9)).otherwise(content)
+    reports_ = texts.select(F.concat(F.lit("report "), F.col("report_id").cast("string")).alias("answer_id"), "patient_id", content.alias("content"))
+    whole = F.to_json(F.struct(F.struct(F.coalesce("text", F.lit("")).alias("text"), F.array(F.lit("R1")).alias("report_ids")).alias("key_finding"),
+                               F.array().cast("array<string>").alias("sections"), F.array().cast("array<string>").alias("medication_rows"),
+                               F.array(F.lit("no notes")).alias("data_notes")))
+    turns_ = turns(spark, sf_dir).select(
+        F.concat(F.lit("turn "), F.col("conv_id").cast("string"), F.lit(" "), F.col("turn").cast("string")).alias("answer_id"),
+        F.col("conv_id").alias("patient_id"), F.when(F.col("role") == "user", F.col("text")).otherwise(whole).alias("content"))
+    return reports_.unionByName(turns_)
+
+
 def panel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tests of a blood-count or liver panel printed on each order, one per line item."""
     cbc = d.lists(d.PANELS)["CBC"]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,11 +48,29 @@ def read_labelled_rows(spark: SparkSession, path: str, split: str | None = None)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Uploaded files with content hash, size and the type their first bytes name."""
+    """Uploaded files with content hash, size and the type their first bytes name. Spark's file source does not list empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return describe_files(files)
 
 
+def write_files(files: DataFrame, folder: str) -> int:
+    """Write ``content`` of each row as a file ``name`` below ``folder`` from the tasks; returns how many.
+
+    A task that runs again writes the same names; each appears when it is whole."""
+    def run(batches):
+        fs, path = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        fs.create_dir(path, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                part = f"{path}/.{name}-{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as f:
+                    f.write(content)
+                fs.move(part, f"{path}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return files.select("name", "content").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+
+
 def describe_files(files: DataFrame) -> DataFrame:
     kind = F.lit(None).cast("string")
     for magic, name in reversed(MAGIC):

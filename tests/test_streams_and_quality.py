@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import time
 import uuid
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import oracle_sql, queries
 from assaytrail.operators import quality as Q
 from assaytrail.sources import tables
-from assaytrail.plans.queries import QUERIES
+from assaytrail.plans.queries import QUERIES, with_previous_day
 from assaytrail.sources import sinks
 from assaytrail.streaming import alerts, refresh
 from compare import compare, connect
@@ -141,4 +142,66 @@ def test_labelled_rows(spark, tmp_path):
     assert [r.report_id for r in Q.differing_rows(df.filter("split <> 'val'"), other.filter("split <> 'val'"), ["report_id"]).collect()] == ["r4"]
     counts = {r.split: r.n for r in Q.assign_splits(spark.range(2000).select(F.col("id").alias("report_id"), F.when(
         F.col("id") % 10 == 0, "held").otherwise("x").alias("layout_family")), ["held"]).groupBy("split").agg(F.count("*").alias("n")).collect()}
-    assert counts["test"] == 200 and 120 < counts["val"] < 240
+    assert counts == {"test": 200, "val": 180, "train": 1620}
+
+
+@pytest.mark.parametrize("ranked", [1, 7, 1 << 20])
+def test_shares_are_exact_and_do_not_depend_on_the_way(spark, ranked):
+    ids = spark.createDataFrame([(f"r{k % 300}",) for k in range(900)], "i string")
+    key = F.md5(F.col("i").cast("binary"))
+    place = sorted((hashlib.md5(f"r{k}".encode()).hexdigest(), f"r{k}") for k in range(300))
+    for share in (0.0, 0.001, 0.1, 0.5, 1.0):
+        wanted = int(300 * share + 0.5)
+        assert Q.share_threshold(ids, key, "i", share, ranked) == (place[wanted - 1] if wanted else None)
+
+
+def test_second_reading_with_nulls_and_repeats(spark):
+    first = [(1, 1, "a"), (1, 2, None), (None, 1, "n"), (2, 1, "gone"), (3, 1, "r"), (3, 1, "r")]
+    second = [(1, 1, "a"), (1, 2, "x"), (None, 1, "n"), (3, 1, "r"), (4, 1, None)]
+    schema = "k int, line int, tokens string"
+    for rows in (1, 1 << 12):
+        got = Q.differing_rows(spark.createDataFrame(first, schema), spark.createDataFrame(second, schema), ["k", "line"], bucket_rows=rows).collect()
+        assert sorted(map(tuple, got), key=str) == [(1, 2, None, "x", "changed"), (2, 1, "gone", None, "missing"), (4, 1, None, None, "extra")]
+    empty = spark.createDataFrame([], schema)
+    assert Q.differing_rows(empty, empty, ["k", "line"]).count() == 0
+
+
+def test_bucketed_points_need_no_exchange(spark, tmp_path):
+    points = fx.points(spark).withColumn("observation_id", F.col("observation_id").cast("string"))
+    version = sinks.write_bucketed(points, str(tmp_path), ["patient_id"], ["analyte_id", "date"], 8)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for attempt in range(2):
+        stored = sinks.open_bucketed(spark, str(tmp_path), version)
+        assert stored.count() == points.count()
+        plan = with_previous_day(stored)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" in plan
+        spark.sql(f"DROP TABLE bucketed_{version}")                           # the second time it is read from its manifest
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+    with pytest.raises(ValueError):
+        sinks.open_bucketed(spark, str(tmp_path), "v0")
+
+
+def test_files_are_taken_in_once_over_restarts(spark, tmp_path):
+    folder, name, schema = str(tmp_path), f"files-{uuid.uuid4().hex}", refresh.FILES
+    existing = spark.createDataFrame([("old",)], "sha256 string")
+    seen = []
+    for part in ([(1, "a", 3, "pdf"), (2, "a", 3, "pdf"), (3, "old", 1, "pdf")], [(4, "a", 3, "pdf"), (5, "b", 2, "png"), (6, "c", 2, None), (7, None, 2, "pdf")], [(8, "b", 2, "png")]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(f"{folder}/in")
+        assert refresh.start_intake(spark, f"{folder}/in", existing, f"{folder}/out", name).awaitTermination(60)
+        seen.append(sorted(r.sha256 for r in spark.read.schema(schema).parquet(f"{folder}/out").collect()))
+    assert seen == [["a"], ["a", "b"], ["a", "b"]]
+
+
+def test_files_written_by_tasks_are_read_with_their_type(spark, tmp_path):
+    rows = [("1", b"%PDF-x"), ("2", b"\x89PNG..."), ("3", b"\xff\xd8\xff"), ("4", b""), ("5", b"plain")]
+    assert tables.write_files(spark.createDataFrame(rows, "name string, content binary").repartition(3), f"{tmp_path}/f") == 5
+    got = {r.path.rsplit("/", 1)[1]: (r.size, r.file_type) for r in tables.read_files(spark, f"{tmp_path}/f").collect()}
+    assert got == {"1": (6, "pdf"), "2": (7, "png"), "3": (3, "jpg"), "5": (5, None)}      # empty files are not listed
+
+
+def test_entity_scores_of_groupings(spark):
+    rows = [("t", "a", ["B-TEST", "I-TEST", "B-VALUE"], ["B-TEST", "O", "B-VALUE"]), ("t", None, ["B-UNIT"], ["B-UNIT"]), ("v", "a", [], []), ("v", "a", ["I-TEST"], ["O"])]
+    df = spark.createDataFrame(rows, "split string, family string, tags array<string>, predicted array<string>")
+    got = {(r.split, r.family, r.grouping_id, r.kind): (r.support, r.precision, r.recall) for r in Q.entity_scores(df, [["split", "family"], ["split"], []]).collect()}
+    assert got["t", "a", 0, "TEST"] == (1, 0.0, 0.0) and got["t", "a", 0, "overall"] == (2, 0.5, 0.5) and got["t", None, 0, "UNIT"] == (1, 1.0, 1.0)
+    assert got["t", None, 1, "overall"] == got[None, None, 3, "overall"] == (3, 0.66667, 0.66667) and not any(k[0] == "v" for k in got)

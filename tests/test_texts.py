@@ -123,6 +123,8 @@ def test_roundings_have_no_limit(spark):
     numbers = ["1.23456789012345", "9.9995", "0.5", "2.5", "99.95", "7", "123456789012345678901234567890.25", "0.00000000000000005", "1.2350"]
     rows = spark.createDataFrame([(n,) for n in numbers], "n string").select("n", X.roundings(F.col("n")).alias("r")).collect()
     assert {r.n: set(r.r) for r in rows} == {n: plain(n) for n in numbers}
+    forms = X.rounded_forms(spark.createDataFrame([(n, n) for n in numbers], "n string, m string"), ["n"], "m").collect()
+    assert {n: {r.number for r in forms if r.n == n} for n in numbers} == {n: plain(n) for n in numbers}
     facts = spark.createDataFrame([(1, "1.23456789012345")], "k int, fact string")
     assert X.number_violations(spark.createDataFrame([(1, "1.2345678901234")], "k int, text string"), facts, ["k"]).count() == 0
 
@@ -137,6 +139,9 @@ def test_numbers_and_wording(spark):
     assert sorted(got) == ["Worked", "disease", "should", "stop"]
     phrases = spark.createDataFrame([(1, ["chronic kidney disease", "a.b"])], "k int, phrases array<string>")
     assert sorted(r.word for r in X.wording_per_patient(texts, phrases, ["k"]).collect()) == sorted(got)
+    texts = spark.createDataFrame([(1, "Kidney Disease (x\\E) disease"), (2, "disease"), (3, "disease"), (4, None)], "k int, text string")
+    phrases = spark.createDataFrame([(1, ["disease (x\\E)", "kidney disease (x\\E)", None, ""]), (2, []), (4, ["a"])], "k int, phrases array<string>")
+    assert sorted((r.k, r.word) for r in X.wording_per_patient(texts, phrases, ["k"]).collect()) == [(1, "disease"), (2, "disease"), (3, "disease")]
 
 
 def test_summary_checks(spark):
@@ -145,10 +150,12 @@ def test_summary_checks(spark):
         "medication_rows": [{"date": "2024-03-04", "drug": "Tab RAMIPRIL", "dose": "", "observed": ""},
                             {"date": "2024-03-05", "drug": "Ramipril", "dose": "", "observed": ""}], "data_notes": ["n"]}
     empty = {**good, "key_finding": {"text": " ", "report_ids": []}}
-    rows = [(1, json.dumps(good)), (2, "not json"), (3, json.dumps({"key_finding": None})), (4, json.dumps(empty))]
+    rows = [(1, json.dumps(good)), (2, "not json"), (3, json.dumps({"key_finding": None})), (4, json.dumps(empty)), (5, json.dumps({**good, "sections": "x"})),
+            (6, json.dumps(good)[:-5]), (7, None), (8, "")]
     parsed = X.parse(spark.createDataFrame(rows, "id int, content string"))
     errors = {r.id: r.error for r in parsed.collect()}
-    assert errors[1] is None and errors[2] and errors[3]
+    wrong, other = "the answer is not valid JSON", "the JSON does not match the schema"
+    assert errors == {1: None, 2: wrong, 3: other, 4: None, 5: other, 6: wrong, 7: wrong, 8: wrong}
     texts = X.summary_texts(parsed, ["id"])
     labels = spark.createDataFrame([(i, f"R{n}", n) for i in (1, 4) for n in (1, 2)], "id int, label string, report_id bigint")
     assert [(r.id, r.label) for r in X.unknown_citations(texts, labels, ["id"]).collect()] == [(1, "R9")]
