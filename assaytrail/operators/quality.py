@@ -225,6 +225,7 @@ def spans_of(tags: str) -> Column:
 
     A span starts at B-X and goes on over I-X; an I-X without its B-X belongs to none.
     """
+    tags = F.col(tags)
     n = F.size(tags)
 
     def end_of(i: Column) -> Column:
@@ -233,9 +234,8 @@ def spans_of(tags: str) -> Column:
         stop = F.array_position(F.transform(rest, lambda t: t != F.concat(F.lit("I-"), kind)), True).cast("int")
         return F.when(stop == 0, n).otherwise(i + stop - 1)
 
-    at = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(tags, i).startswith("B-"))
-    spans = F.transform(at, lambda i: F.struct(_kind(F.element_at(tags, i)).alias("kind"), i.alias("first"), end_of(i).alias("last")))
-    return F.when(n > 0, spans).otherwise(F.slice(spans, 1, 0))
+    at = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.coalesce(F.try_element_at(tags, i).startswith("B-"), F.lit(False)))
+    return F.transform(at, lambda i: F.struct(_kind(F.element_at(tags, i)).alias("kind"), i.alias("first"), end_of(i).alias("last")))
 
 
 def entities(rows: DataFrame, tags: str, keys: list[str]) -> DataFrame:
