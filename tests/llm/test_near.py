@@ -170,3 +170,36 @@ def test_spot_edge_cases(spark, odd, empty):
     assert spotsigs.compare_neighbours(empty).count() == 0
     one = spotsigs.compare_neighbours(odd.filter("doc_id = 1")).first()
     assert one._own == one._of_next
+
+
+@pytest.mark.parametrize("similar", [0.8, 0.5])
+def test_similar_fingerprints_equal_brute_force(spark, similar):
+    rng, docs = random.Random(int(10 * similar)), {}
+    common = ["the", "of", "and", "a", "in"]
+    word = lambda: rng.choice(common) if rng.random() < 0.4 else f"w{int(rng.paretovariate(0.6)) % 900}"
+    for family in range(30):
+        words = [word() for _ in range(rng.choice([3, 20, 90, 300]))]
+        for k in range(rng.choice([1, 2, 6, 12])):
+            other = list(words)
+            for _ in range(int(len(words) * rng.choice([0, 0, 0.01, 0.03, 0.08, 0.3]))):
+                other[rng.randrange(len(other))] = word()
+            docs[100 * family + k] = " ".join(other[:rng.choice([len(other), len(other), 9 * len(other) // 10])])
+    docs |= {5000: None, 5001: "", 5002: " ,", 5003: "the"}
+    sets = {d: spots(t or "") for d, t in docs.items()}
+    named = {d: min(e for e in sets if sets[e] == s) for d, s in sets.items()}
+    wanted = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sorted(set(named.values())), 2)}
+    wanted = {k: v for k, v in wanted.items() if v >= similar}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    members, links = spotsigs.similar_classes(frame, similar)
+    assert {r.doc_id: r.class_id for r in members.collect()} == named
+    assert {(r.class_a, r.class_b): pytest.approx(r.likeness) for r in links.collect()} == wanted and len(wanted) > 20
+    counts = {r.doc_id: r.links for r in spotsigs.similar_documents(frame, similar).collect()}
+    assert counts == {d: sum(c in pair for pair in wanted) for d, c in named.items()}
+
+
+def test_similar_documents_take_odd_tables(spark, odd, empty):
+    rows = spotsigs.similar_documents(odd).collect()
+    assert len(rows) == odd.count() and {r.class_id for r in rows if r.doc_id in (2, 3, 4)} == {2} and [r.class_id for r in rows if r.doc_id is None] == [None]
+    assert spotsigs.similar_documents(empty).count() == 0
+    plan = spotsigs.similar_classes(odd)[1]._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
