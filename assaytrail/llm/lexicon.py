@@ -58,6 +58,9 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        cut = spec.get("pre_tokenizer") or {}
+        if (spec["model"].get("type"), cut.get("type"), cut.get("use_regex"), cut.get("add_prefix_space"), spec.get("normalizer")) != ("BPE", "ByteLevel", True, False, None):
+            raise ValueError("not a byte-level BPE file with the pre-tokenizer whose pattern is known here")
         ids, letters = spec["model"]["vocab"], byte_letters()
         value = {c: b for b, c in enumerate(letters)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}

@@ -8,6 +8,8 @@ so a reader finds the n-th id of any document without expanding what lies before
 Counting is done in rounds that replace many pairs at once (a pair only where it wins against the pairs that overlap it).
 The first rounds look at pairs inside of words: they run over the distinct words of a shard, weighted with their number,
 which gives the same counts as the whole shard. The later rounds look at all pairs of a document. No rule crosses documents.
+Only pairs that a round touched are counted again; rounds go on until no pair occurs ``FREQUENT`` times, or until what a round's rules take
+is more than what its symbols save.
 
 A shard file holds, packed as plain arrays: ``left``, ``right`` and ``length`` of the rules, ``rounds`` (rules after each
 round), ``low`` and ``high`` (16 low and 8 high bits of each symbol), and by document ``doc_id``, ``known`` (doc_id is not
@@ -20,6 +22,7 @@ other; a very long document is a shard of its own; an empty table gives an empty
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -39,8 +42,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")                     # a
 
 END_ID = 1
 SHARD_IDS = 1 << 21
-#: A phase goes on until a round shortens the symbols by less than this share.
-GAIN = 0.01
+#: Bytes of a symbol and of a rule in a shard: rounds go on until one no longer makes the packed shard smaller.
+SYMBOL_BYTES, RULE_BYTES = 3, 12
+#: Pairs from which a round counts by a hash first.
+SIEVE = 1 << 16
 #: A pair becomes a rule if it occurs so often in a shard.
 FREQUENT = 16
 #: Symbols of a shard: 24 bits.
@@ -50,15 +55,23 @@ MEMORY_WORDS = 1_200_000
 
 # Grammar
 
-def _round(seq: np.ndarray, joined: np.ndarray, weight: np.ndarray | None, fresh: int, frequent: int):
-    """One round over symbols. ``joined[i]``: i and i + 1 may form a pair. Returns (kept positions, new symbols, left, right)."""
-    if len(seq) < 2:
+def _round(seq: np.ndarray, live: np.ndarray, weight: np.ndarray | None, fresh: int, frequent: int):
+    """One round over symbols. ``live[i]``: i and i + 1 are a pair that may be frequent. Returns (kept positions, new symbols, left, right,
+    places of frequent pairs, shortening), or None without a frequent pair."""
+    at = np.flatnonzero(live)
+    if not len(at):
         return None
-    bits, places = int(seq.max()).bit_length(), len(seq).bit_length()
-    keys = seq[:-1].astype(np.int64)
+    a, b = seq[at], seq[at + 1]
+    if len(at) > SIEVE:                                                       # most pairs are rare: counts by a hash of 22 bits leave them out before the sort
+        cell = (a.view(np.uint32) * np.uint32(0x9E3779B1) ^ b.view(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(10)
+        left = np.flatnonzero((np.bincount(cell, None if weight is None else weight[at], 1 << 22) >= frequent)[cell])
+        if not len(left):
+            return None
+        at, a, b = at[left], a[left], b[left]
+    bits, places = int(seq.max()).bit_length(), len(at).bit_length()
+    keys = a.astype(np.int64)
     keys <<= bits
-    keys |= seq[1:]
-    keys[~joined[:-1]] = -1
+    keys |= b
     if 2 * bits + places < 63:                                                # one sort of keys with their places is faster than an argsort
         keys <<= places
         keys |= np.arange(len(keys))
@@ -69,9 +82,7 @@ def _round(seq: np.ndarray, joined: np.ndarray, weight: np.ndarray | None, fresh
         ordered = keys[order]
     first = np.r_[0, np.flatnonzero(ordered[1:] != ordered[:-1]) + 1]
     lengths = np.diff(first, append=len(ordered))
-    n = lengths.copy() if weight is None else np.add.reduceat(weight[order], first)
-    if ordered[0] < 0:
-        n[0] = 0                                                              # places that form no pair
+    n = lengths if weight is None else np.add.reduceat(weight[at[order]], first)
     chosen = np.flatnonzero(n >= frequent)
     room = MOST_SYMBOLS - 1 - fresh
     if not len(chosen) or room <= 0:
@@ -81,10 +92,10 @@ def _round(seq: np.ndarray, joined: np.ndarray, weight: np.ndarray | None, fresh
     rank = np.full(len(first), none, np.int32)
     rank[chosen] = np.arange(len(chosen))
     score = np.full(len(seq) + 1, none, np.int32)                             # the lower, the more frequent; last: none
-    score[order] = np.repeat(rank, lengths)
-    wins = (score[:-1] < none) & (score[:-1] <= score[1:])
-    wins[1:] &= score[1:-1] < score[:-2]
-    wins = np.flatnonzero(wins)
+    score[at[order]] = np.repeat(rank, lengths)
+    often = score[:-1] < none
+    near = np.flatnonzero(often)
+    wins = near[(score[near] <= score[near + 1]) & ((near == 0) | (score[near] < score[near - 1]))]
     used = np.flatnonzero(np.bincount(score[wins], minlength=len(chosen)))
     number = np.zeros(len(chosen), np.int32)
     number[used] = fresh + np.arange(len(used))
@@ -93,7 +104,9 @@ def _round(seq: np.ndarray, joined: np.ndarray, weight: np.ndarray | None, fresh
     keep = np.ones(len(seq), bool)
     keep[wins + 1] = False
     pairs = ordered[first[chosen[used]]]
-    return keep, out[keep], pairs >> bits, pairs & ((1 << bits) - 1)
+    often[wins] = True                                                        # whatever stands next to a new symbol is a new pair
+    often[wins[wins > 0] - 1] = True
+    return keep, out[keep], pairs >> bits, pairs & ((1 << bits) - 1), often[keep], len(wins) if weight is None else int(weight[wins].sum())
 
 
 class Grammar:
@@ -105,22 +118,24 @@ class Grammar:
         self.rounds = list(rounds)
         self._table = None
 
-    def learn(self, seq: np.ndarray, ends: np.ndarray, weight: np.ndarray | None, frequent: int = FREQUENT, gain: float = GAIN):
-        """Shortens runs of symbols that end at ``ends`` (offsets from 0); ``weight``: number of each run. New (symbols, offsets)."""
+    def learn(self, seq: np.ndarray, ends: np.ndarray, weight: np.ndarray | None, frequent: int = FREQUENT):
+        """Shortens runs of symbols that end at ``ends`` (offsets from 0); ``weight``: number of each run. New (symbols, offsets).
+
+        A pair that is not frequent never becomes so, as no step makes new neighbours of old symbols. So each round counts the places of
+        frequent pairs and those next to a new symbol, and no others."""
+        live = np.ones(len(seq), bool)
         while True:
-            joined = np.ones(len(seq), bool)
-            joined[ends[1:][np.diff(ends) > 0] - 1] = False
+            live[ends[1:][np.diff(ends) > 0] - 1] = False
             each = None if weight is None else np.repeat(weight, np.diff(ends))
-            found = _round(seq, joined, each, self.terminals + len(self.left), frequent)
+            found = _round(seq, live, each, self.terminals + len(self.left), frequent)
             if found is None:
                 break
-            before = len(seq)
-            keep, seq, left, right = found
-            ends = np.r_[0, np.cumsum(keep)][ends]
+            keep, shorter, left, right, live, saved = found
+            if SYMBOL_BYTES * saved <= RULE_BYTES * len(left):
+                break
+            seq, ends = shorter, np.r_[0, np.cumsum(keep)][ends]
             self.left, self.right = np.r_[self.left, left], np.r_[self.right, right]
             self.rounds.append(len(self.left))
-            if before - len(seq) < gain * before:
-                break
         return seq, ends
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
@@ -178,6 +193,18 @@ class ShardReader:
 
 # Writing and reading on Spark
 
+def check_kind(file: dict) -> None:
+    """Refuses a tokenizer file of another kind than the encoder's shortcuts hold for: lower case, white space that separates, tokens that end
+    a piece, and pieces that are a run of letters, one digit, or a run of other signs."""
+    steps = (file.get("normalizer") or {}).get("normalizers") or [file.get("normalizer") or {}]
+    cuts = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [file.get("pre_tokenizer") or {}]
+    pattern = ((cuts[0].get("pattern") or {}).get("Regex") or "") if cuts else ""
+    if not (file["model"].get("type") == "BPE" and file["model"].get("end_of_word_suffix") == "</w>" and {"type": "Lowercase"} in steps
+            and cuts[0].get("type") == "Split" and cuts[0].get("behavior") == "Removed" and cuts[0].get("invert")
+            and pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")):
+        raise ValueError("not a tokenizer of lower-case words with pieces that end in </w>")
+
+
 class _Encoder:
     """Ids of words by the tokenizers library, each distinct stem once as long as the memory lasts (two generations).
 
@@ -186,6 +213,8 @@ class _Encoder:
     """
 
     def __init__(self, path: str):
+        with open(path) as f:
+            check_kind(json.load(f))
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()

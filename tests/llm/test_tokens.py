@@ -94,3 +94,50 @@ def test_runs_and_files():
     assert data.tolist() == [*range(3, 10), 0, 1, 2, 0, 1, 2] and ends.tolist() == [0, 7, 10, 10, 13]
     back = unpack(pack(a=np.arange(3, dtype=np.uint8), b=np.zeros(0), c=np.arange(5)))
     assert back["a"].tolist() == [0, 1, 2] and len(back["b"]) == 0 and back["c"].tolist() == list(range(5))
+
+
+def test_other_kinds_of_files_are_refused():
+    with pytest.raises(ValueError):
+        repair._Encoder(BYTE)
+    with pytest.raises(ValueError):
+        lexicon.Vocabulary(WORD)
+
+
+def plain_grammar(sequence, frequent, terminals, rounds):
+    """The same rounds over lists: frequent pairs by rank, a pair where it wins against its neighbours."""
+    rules = []
+    for _ in range(rounds):
+        pairs = list(zip(sequence, sequence[1:]))
+        counts = {}
+        for p in pairs:
+            counts[p] = counts.get(p, 0) + 1
+        chosen = sorted((p for p in counts if counts[p] >= frequent), key=lambda p: (-counts[p], p))
+        rank = {p: k for k, p in enumerate(chosen)}
+        score = [rank.get(p, len(counts)) for p in pairs] + [len(counts)]
+        wins = [i for i in range(len(pairs)) if score[i] < len(counts) and score[i] <= score[i + 1] and (i == 0 or score[i] < score[i - 1])]
+        used = sorted({score[i] for i in wins})
+        if not wins or 3 * len(wins) <= 12 * len(used):
+            break
+        number = {k: terminals + len(rules) + n for n, k in enumerate(used)}
+        out, i, at = [], 0, set(wins)
+        while i < len(sequence):
+            out.append(number[score[i]] if i in at else sequence[i])
+            i += 2 if i in at else 1
+        rules += [chosen[k] for k in used]
+        sequence = out
+    return sequence, rules
+
+
+@pytest.mark.parametrize("sieve", [1 << 16, 0])
+def test_grammar_equals_plain_rounds(monkeypatch, sieve):
+    monkeypatch.setattr(repair, "SIEVE", sieve)
+    rng = np.random.default_rng(7)
+    for size in (0, 1, 2, 300, 4000):
+        for letters in (2, 20):
+            seq = rng.integers(0, letters, size).astype(np.int32)
+            if size > 1000:
+                seq = np.concatenate([seq[:700]] * 6)
+            grammar = repair.Grammar(50)
+            symbols, ends = grammar.learn(seq, np.array([0, len(seq)]), None, 4)
+            assert (symbols.tolist(), list(zip(grammar.left.tolist(), grammar.right.tolist()))) == plain_grammar(seq.tolist(), 4, 50, 1000)
+            assert ends[-1] == len(symbols) and np.array_equal(gather(*grammar.table(), symbols)[0], seq)
