@@ -36,8 +36,8 @@ EPOCHS = 8
 #: Texts of a step; below 128, as rows are kept in one byte.
 BATCH = 50
 RATE = 0.2
-#: n-grams in fewer texts of the sample stay 0; pull of each vector towards 0.
-MIN_TEXTS = 8
+#: n-grams of a single text of the sample stay 0, whatever its size; pull of each vector towards 0.
+MIN_TEXTS = 2
 DECAY = 3e-4
 #: 0: rows count alike, 1: both classes count alike.
 BALANCE = 0.3
@@ -186,7 +186,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, names: list[str], rows: in
         usable = usable.filter(F.col(name).cast("int").isin(0, 1))
     share = min(1.0, rows / max(1, usable.count()))
     chosen = (usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-              .groupBy("doc_id").agg(*[F.max(F.col(c).cast("int")).alias(f"_{c}") for c in names]).limit(rows + rows // 2))
+              .groupBy("doc_id").agg(*[F.max(F.col(c).cast("int")).alias(f"_{c}") for c in names])
+              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows + rows // 2))
     found = [f"_{c}" for c in names]
     return (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).join(F.broadcast(chosen), "doc_id")
             .groupBy("doc_id", *found).agg(F.min("_text").alias("_text")).orderBy(F.xxhash64("doc_id")).select("_text", *found))

@@ -35,6 +35,82 @@ def test_subwords_find_unseen_forms():
     assert np.allclose(model.scores(pa.array(texts[:3] + [None, ""])), np.r_[model.scores(pa.array(texts[:3])), [model.scores(pa.array([""]))[0]] * 2])
 
 
+def plain_training(texts, labels, epochs):
+    """The training in plain loops over dicts, with own n-grams: (value of each bucket, bias)."""
+    dims, size = range(toxicity.DIMENSIONS), toxicity.BATCH
+
+    def bucket(gram):
+        h = len(gram)
+        for c in gram:
+            h = ((h ^ ord(c)) * 0x9E3779B97F4A7C15) % 2**64
+            h ^= h >> 29
+        return h % toxicity.BUCKETS
+
+    bags = []
+    for text in texts:
+        words = [w.strip(toxicity._EDGES).lower() for w in text.split()]
+        words, bag = [f"\2{w}\3" for w in words if w], {}
+        for w in words:
+            grams = [bucket(w[i:i + n]) for n in toxicity.GRAMS for i in range(len(w) - n + 1)]
+            for g in grams:
+                bag[g] = bag.get(g, 0.0) + 1 / len(words) / len(grams)
+        bags.append(bag)
+    often = {}
+    for bag in bags:
+        for g in bag:
+            often[g] = often.get(g, 0) + 1
+    rng = np.random.default_rng(7)
+    first = rng.uniform(0.5, 1.5, toxicity.DIMENSIONS)
+    softmax = [[-first[d], first[d]] for d in dims]
+    bias, vectors, seen = [0.0, 0.0], {}, {}
+    seen_s, seen_b = [[1e-8, 1e-8] for _ in dims], [1e-8, 1e-8]
+    share = [np.mean(labels == c) for c in (0, 1)]
+    starts = range(0, len(texts), size)
+    for epoch in range(epochs):
+        rate = toxicity.RATE * (1 - epoch / epochs)
+        for k in rng.permutation(len(starts)):
+            rows = range(starts[k], min(starts[k] + size, len(texts)))
+            grads, grad_s, grad_b = {}, [[0.0, 0.0] for _ in dims], [0.0, 0.0]
+            for i in rows:
+                bag = {g: w for g, w in bags[i].items() if often[g] >= toxicity.MIN_TEXTS}
+                mean = [toxicity.GAIN * sum(w * vectors.get(g, [0.0] * len(dims))[d] for g, w in bag.items()) for d in dims]
+                logits = [bias[c] + sum(mean[d] * softmax[d][c] for d in dims) for c in (0, 1)]
+                top = max(logits)
+                p = [np.exp(x - top) for x in logits]
+                p = [x / sum(p) for x in p]
+                p[labels[i]] -= 1
+                p = [x * (0.5 / share[labels[i]]) ** toxicity.BALANCE / len(rows) for x in p]
+                for g, w in bag.items():
+                    now = grads.setdefault(g, [0.0] * len(dims))
+                    for d in dims:
+                        now[d] += w * toxicity.GAIN * (p[0] * softmax[d][0] + p[1] * softmax[d][1])
+                for c in (0, 1):
+                    grad_b[c] += p[c]
+                    for d in dims:
+                        grad_s[d][c] += mean[d] * p[c]
+            for g, grad in grads.items():
+                v, s = vectors.setdefault(g, [0.0] * len(dims)), seen.setdefault(g, [1e-8] * len(dims))
+                for d in dims:
+                    grad[d] += toxicity.DECAY * v[d]
+                    s[d] += grad[d] ** 2
+                    v[d] -= rate * grad[d] / s[d] ** 0.5
+            for c in (0, 1):
+                seen_b[c] += grad_b[c] ** 2
+                bias[c] -= 0.1 * rate * grad_b[c] / seen_b[c] ** 0.5
+                for d in dims:
+                    seen_s[d][c] += grad_s[d][c] ** 2
+                    softmax[d][c] -= 0.1 * rate * grad_s[d][c] / seen_s[d][c] ** 0.5
+    return {g: sum(v[d] * (softmax[d][1] - softmax[d][0]) for d in dims) for g, v in vectors.items()}, bias[1] - bias[0], bags
+
+
+def test_training_equals_plain_loops():
+    texts, labels = labelled(120)
+    model = toxicity.train(pa.array(texts), labels, epochs=3)
+    value, bias, bags = plain_training(texts, labels, 3)
+    plain = [1 / (1 + np.exp(-(bias + toxicity.GAIN * sum(w * value.get(g, 0.0) for g, w in bag.items())))) for bag in bags]
+    assert np.abs(model.scores(pa.array(texts)) - plain).max() < 1e-3 and np.ptp(plain) > 0.3
+
+
 def test_toxicity_query_and_edge_cases(spark, sf, odd, empty, labels):
     rows = queries.QUERIES["op4_subword_toxicity"](spark, sf).collect()
     assert len(rows) == 200 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in rows)
