@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from assaytrail.session import shared_folder
 
@@ -40,6 +41,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def spread_join(rows: DataFrame, known: DataFrame, key: str, most: int = 1000) -> DataFrame:
+    """``rows`` joined with ``known`` (one row a key), where one key may hold a large part of the rows.
+
+    Keys that hold more than one of ``most`` parts of all rows, so fewer than ``most``, are joined by broadcasting their rows of ``known``;
+    all others by a shuffle."""
+    counts = stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_of_key")), "key-counts")
+    total = counts.agg(F.sum("_of_key")).first()[0] or 0
+    hot = F.broadcast(counts.filter(F.col("_of_key") > total // most).select(key))
+    few = rows.join(hot, key, "left_semi").join(F.broadcast(known.join(hot, key, "left_semi")), key)
+    return few.unionByName(rows.join(hot, key, "left_anti").join(known, key))
+
+
 @contextmanager
 def without_collector() -> Iterator[None]:
     """No garbage collector inside: for loops that make many small objects and no cycles."""

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaytrail.llm.common import slices, stored
+from assaytrail.llm.common import slices, spread_join, stored
 from assaytrail.llm.components import connected_components
 
 SHINGLE = 3
@@ -135,7 +135,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, pairs_up_to: int = PAIR
     """doc_id, _print, component_id (smallest doc_id reachable over links)."""
     prints = stored(with_fingerprints(docs, ["doc_id"], shingle), "simhash")
     groups = group_of_print(prints.select("_print", F.col("doc_id").alias("_id")), pairs_up_to)
-    return prints.join(groups, "_print").select("doc_id", "_print", F.col("_first").alias("component_id"))
+    return spread_join(prints, groups, "_print").select("doc_id", "_print", F.col("_first").alias("component_id"))
 
 
 def one_per_group(docs: DataFrame, shingle: int = SHINGLE, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:

@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 import regex
 import xxhash
@@ -203,3 +204,25 @@ def test_similar_documents_take_odd_tables(spark, odd, empty):
     assert spotsigs.similar_documents(empty).count() == 0
     plan = spotsigs.similar_classes(odd)[1]._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_groups_larger_than_a_batch(monkeypatch):
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    key = np.sort(np.r_[np.full(200_000, 5), rng.integers(0, 50, 300)])
+    node = np.arange(len(key)) * 3
+    size = np.where(key == 5, np.sort(rng.integers(90, 110, len(key))), 100).astype(np.int32)
+    order = np.lexsort((node, size, key))
+    batches = lambda names, *columns: (pa.RecordBatch.from_arrays([pa.array(c[i:i + 10_000]) for c in columns], names) for i in range(0, len(key), 10_000))
+    pairs = [p for b in nearcopies._prefix_pairs(0.8)(batches(["_key", "_size", "_node"], key[order], size[order], node[order])) for p in b.to_pylist()]
+    five = node[order][key[order] == 5]
+    wanted = {(min(a, b), max(a, b)) for a, b in zip(five.tolist(), five[1:].tolist())}
+    assert {(p["a"], p["b"]) for p in pairs if p["_sure"]} == wanted
+    assert {(p["a"], p["b"]) for p in pairs if not p["_sure"]} == {
+        (min(a, b), max(a, b)) for k in set(key.tolist()) - {5} for a, b in itertools.combinations(node[key == k].tolist(), 2)}
+    prints = np.zeros(len(key), np.int64)
+    links = [p for b in nearcopies._family_links(6)(batches(["_key", "_print", "_node"], key, prints, node)) for p in b.to_pylist()]
+    first = {k: node[key == k].min() for k in set(key.tolist())}
+    assert {(p["a"], p["b"]) for p in links} >= {(int(first[5]), int(n)) for n in node[key == 5][1:].tolist()}
+    mine = set(node[key == 5].tolist())
+    assert len({p["a"] for p in links if p["b"] in mine}) == 1
