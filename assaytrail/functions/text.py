@@ -115,3 +115,9 @@ def on_day(value: Column, unit: str, date: Column) -> Column:
     """ "8.9% on 12 Jun 2023" """
     gap = "" if unit in ("", "%") else " "
     return F.concat(short_number(value), F.lit(gap + unit + " on "), F.date_format(date, "dd MMM yyyy"))
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A text with the value of a column at each of its ``{places}``; null where one of them is null."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[part].cast("string") if i % 2 else F.lit(part) for i, part in enumerate(parts) if part])

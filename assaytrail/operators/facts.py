@@ -83,7 +83,8 @@ def build(patients: DataFrame, periods: DataFrame, reports: DataFrame, points: D
           as_of: str) -> DataFrame:
     """All facts of all patients. ``reports``: confirmed ones; ``events``: resolved."""
     spark = patients.sparkSession
-    info = dim.analytes(spark).select("analyte_id", "analyte_name", "unit", "rcv_percent", "rcv_status")
+    info = dim.analytes(spark).join(dim.systems(spark), "system_id").select("analyte_id", "analyte_name", "unit", "rcv_percent", "rcv_status",
+                                                                            "system_name")
     c = F.col
     ok = periods.filter(c("reason").isNull())
     who = ok.join(patients, "patient_id")
@@ -97,7 +98,7 @@ def build(patients: DataFrame, periods: DataFrame, reports: DataFrame, points: D
                     end=c("period_end"), reports=c("n"), labs=c("labs"))
     mine = in_period(flags, periods, flags=True).join(info.drop("rcv_percent"), "analyte_id")
     flag_facts = _facts(
-        mine, "flag", analyte=c("analyte_name"), level=c("level"), rule=_word(c("rule_id"), RULES), date=c("date"),
+        mine, "flag", analyte=c("analyte_name"), system=c("system_name"), level=c("level"), rule=_word(c("rule_id"), RULES), date=c("date"),
         direction=c("direction"), unit=c("unit"), change_percent=_quote(c("change_percent")),
         compared_with=c("compared_with"), from_value=_quote(c("ref_value")), to_value=_quote(c("value")),
         first_date=c("ref_first"), threshold_percent=_quote(c("rcv_percent")), threshold_status=c("rcv_status"),
@@ -116,7 +117,7 @@ def build(patients: DataFrame, periods: DataFrame, reports: DataFrame, points: D
                          "first_used_value", "last_used_value", "n_excluded")
     trends = named.join(base, SERIES, "left").join(line, SERIES, "left")
     trend_facts = _facts(
-        trends, "trend", analyte=c("analyte_name"), unit=c("unit"), baseline=_quote(c("baseline")),
+        trends, "trend", analyte=c("analyte_name"), system=c("system_name"), unit=c("unit"), baseline=_quote(c("baseline")),
         baseline_first=c("baseline_first"), baseline_last=c("baseline_last"), baseline_note=c("baseline_note"),
         change_vs_baseline=_quote(c("change_vs_baseline")),
         beyond_threshold=F.abs("change_vs_baseline") > c("rcv_percent"), slope=_quote(c("per_year")),
@@ -188,6 +189,35 @@ def facts_hash(facts: DataFrame) -> DataFrame:
     return facts.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_facts"), *[quarter(k).alias(f"hash_{'abcd'[k]}") for k in range(4)])
 
 
+def fact_citations(flags: DataFrame, evidence: DataFrame, periods: DataFrame, labels: DataFrame, summaries: DataFrame, responses: DataFrame,
+                   points: DataFrame) -> DataFrame:
+    """(patient_id, section, fact_key, label): the reports behind each fact, one row a report.
+
+    Keys: ``flag`` the flag's id, ``result`` analyte:date, ``limit`` the observation's id, ``baseline`` the analyte, ``before`` and ``after``
+    event:analyte of a medication response. Results are joined by series and day, so that a busy patient is spread over tasks.
+    """
+    c = F.col
+    mine = in_period(points, periods)
+    values = points.filter(c("comparator").isNull()).select(*SERIES, "date", "report_id")
+
+    def cited(rows: DataFrame, section: str, key: Column) -> DataFrame:
+        return rows.select("patient_id", F.lit(section).alias("section"), key.cast("string").alias("fact_key"), "report_id")
+
+    shown = in_period(flags, periods, flags=True).select("patient_id", "flag_id")
+    behind = cited(evidence.join(shown, ["patient_id", "flag_id"], "left_semi"), "flag", c("flag_id"))
+    results = cited(mine.filter(c("comparator").isNull()), "result", F.concat_ws(":", "analyte_id", c("date").cast("string")))
+    limits = cited(mine.filter(c("comparator").isNotNull()), "limit", c("observation_id"))
+    spans = summaries.filter(c("baseline").isNotNull()).join(mine.select(*SERIES).distinct(), SERIES, "left_semi").select(
+        *SERIES, "baseline_first", "baseline_last")
+    base = cited(within_days(values, spans, SERIES, "date", "baseline_first", "baseline_last", 256), "baseline", c("analyte_id"))
+    dates = F.concat(F.transform("before", lambda b: F.struct(F.lit("before").alias("section"), b["day"].alias("date"))),
+                     F.array_compact(F.array(F.when(c("after_date").isNotNull(), F.struct(F.lit("after").alias("section"), c("after_date").alias("date"))))))
+    around = in_period(responses, periods).select(*SERIES, "event_id", F.explode(dates).alias("d")).select(*SERIES, "event_id", "d.section", "d.date")
+    around = around.join(values, [*SERIES, "date"]).select("patient_id", "section", F.concat_ws(":", "event_id", "analyte_id").alias("fact_key"), "report_id")
+    ids = behind.unionByName(results).unionByName(limits).unionByName(base).unionByName(around).distinct()
+    return ids.join(labels.select("patient_id", "report_id", "label"), ["patient_id", "report_id"]).select("patient_id", "section", "fact_key", "label")
+
+
 def used_reports(flags: DataFrame, evidence: DataFrame, periods: DataFrame, reports: DataFrame, labels: DataFrame,
                  summaries: DataFrame, responses: DataFrame, points: DataFrame) -> DataFrame:
     """Reports a summary may cite, with their labels: those of the period and those behind its facts."""

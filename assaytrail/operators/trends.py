@@ -15,6 +15,7 @@ from .series import NO_LAB, SERIES
 SLOPE_MIN_POINTS, SLOPE_MIN_DAYS = 3, 365
 RAPID_EGFR_PER_YEAR = -5.0
 PROJECTION_MAX_YEARS = 10
+CALENDAR_DAYS = 2_900_000          # later dates do not fit the calendar of four-digit years
 
 
 def crossed(*labs: Column) -> Column:
@@ -51,12 +52,13 @@ def lab_change(rows: DataFrame, applies: Column) -> DataFrame:
         "from_lab": F.when(changed, F.col("prev_lab_lo")), "to_lab": F.when(changed, F.col("lab_lo")),
         "same_lab_agrees": F.when(after, within(F.col("next_value"), F.col("prev_value"))).when(
             before, within(F.col("value"), F.col("prev2_value"))),
-        "same_lab_date": F.when(after, F.col("next_date")).when(before, F.col("prev2_date"))})
+        "same_lab_date": F.when(after, F.col("next_date")).when(before, F.col("prev2_date")),
+        "same_lab_value": F.when(after, F.col("next_value")).when(before, F.col("prev2_value"))})
 
 
 FLAG = [*SERIES, "rule_id", "level", "date", "value", "ref_value", "compared_with", "ref_first", "ref_last", "direction",
         "change_percent", "change_abs", "rcv_percent", "target_direction", "cross_lab", "from_lab", "to_lab",
-        "same_lab_agrees", "same_lab_date", "per_year", "n_points", "span_days"]
+        "same_lab_agrees", "same_lab_date", "same_lab_value", "per_year", "n_points", "span_days"]
 
 
 RULES = ("RCV_PREV", "RCV_BASELINE", "KDIGO_RAPID_EGFR")
@@ -205,16 +207,20 @@ def projections(slopes_df: DataFrame) -> DataFrame:
          .withColumn("gap", F.col("from_value") - F.col("threshold"))
          .filter(F.col("gap") / -F.col("line_slope") <= PROJECTION_MAX_YEARS))
 
+    def days_to(slope: str) -> Column:
+        return F.bround(F.col("gap") / -F.col(slope) * num.DAYS_PER_YEAR, 0)
+
     def reached(slope: str) -> Column:
-        days = F.bround(F.col("gap") / -F.col(slope) * num.DAYS_PER_YEAR, 0)
-        ok = (F.col(slope) < 0) & (days < 3_000_000)        # later dates do not fit the calendar
-        return F.when(ok, F.date_add("last_used", F.when(ok, days).otherwise(0).cast("int")))
+        ok = (F.col(slope) < 0) & (days_to(slope) < CALENDAR_DAYS)
+        return F.when(ok, F.date_add("last_used", F.when(ok, days_to(slope)).otherwise(0).cast("int")))
+
+    latest = F.when(F.col("slow") >= 0, "may not fall").when(days_to("slow") < CALENDAR_DAYS, "dated").otherwise("beyond the calendar")
 
     return s.select(*SERIES, "threshold", "category", F.col("last_used").alias("from_date"),
                     F.round("from_value", 2).alias("from_value"), F.round("line_slope", 3).alias("per_year"),
                     F.round("fast", 3).alias("per_year_low"), F.round("slow", 3).alias("per_year_high"),
                     reached("line_slope").alias("date"), reached("fast").alias("date_earliest"),
-                    reached("slow").alias("date_latest"), "n_points")
+                    reached("slow").alias("date_latest"), latest.alias("latest_status"), "n_points")
 
 
 def projection_note(proj: DataFrame) -> DataFrame:
@@ -222,7 +228,8 @@ def projection_note(proj: DataFrame) -> DataFrame:
     span = F.when(F.col("date_latest").isNotNull(),
                   F.concat(F.lit("95% range "), tx.month_year(F.col("date_earliest")), F.lit(" to "),
                            tx.month_year(F.col("date_latest")))).otherwise(
-        F.concat(F.lit("95% range from "), tx.month_year(F.col("date_earliest")), F.lit(", no latest date")))
+        F.concat(F.lit("95% range from "), tx.month_year(F.col("date_earliest")),
+                 F.when(F.col("latest_status") == "may not fall", ", no latest date").otherwise(", latest date beyond the calendar")))
     return proj.withColumn("note", F.concat(
         F.format_string("At %.2f per year over %d results the line reaches %d (KDIGO %s) around ", "per_year", "n_points",
                         "threshold", "category"), tx.month_year(F.col("date")), F.lit(" ("), span,
@@ -277,6 +284,53 @@ def flag_evidence(flags: DataFrame, points: DataFrame) -> DataFrame:
     return to_rows.select(*columns).unionByName(from_rows.select(*columns))
 
 
+def lab_change_reports(flags: DataFrame, points: DataFrame) -> DataFrame:
+    """(patient, flag, date, report) of the neighbouring results of one lab that a lab change was checked with."""
+    checked = flags.filter(F.col("same_lab_date").isNotNull()).select(*SERIES, "flag_id", F.col("same_lab_date").alias("date"))
+    values = points.filter(F.col("comparator").isNull()).select(*SERIES, "date", "report_id")
+    return checked.join(values, [*SERIES, "date"]).select("patient_id", "flag_id", "date", "report_id").distinct()
+
+
+def flag_messages(flags: DataFrame) -> DataFrame:
+    """Flags with ``message``, ``source``, ``cross_lab_note`` and ``lab_change_note``: the texts a report shows.
+
+    Values have four significant digits and are written out, however large. Notes are null where there is nothing to note.
+    """
+    c, t = F.col, d.FLAG_TEXTS
+    spark = flags.sparkSession
+    info = dim.analytes(spark).select("analyte_id", "analyte_name", "unit").join(dim.rcv_sources(spark), "analyte_id")
+    guideline = c("level") == "guideline"
+    tenth = lambda v: F.format_string("%.1f", F.round(F.abs(v), 1))
+    change = tx.filled(t["change"], name=c("analyte_name"), moved=F.when(c("direction") == "rise", "rose").otherwise("fell"),
+                       percent=tenth(c("change_percent")), compared=c("compared_with"), before=tx.short_number(c("ref_value")),
+                       after=tx.short_number(c("value")), unit=c("unit"), limit=tx.short_number(c("rcv_percent"), 6))
+    rapid = tx.filled(t["guideline"], slope=tenth(c("per_year")), unit=c("unit"), span=c("span_days"), n=c("n_points"))
+    later = c("same_lab_date") > c("date")
+    of_check = {"lab": F.when(later, c("from_lab")).otherwise(c("to_lab")), "other_date": c("same_lab_date"), "other": tx.short_number(c("same_lab_value"))}
+    agrees = tx.filled(t["lab_agrees"], **of_check, ref_date=F.when(later, c("ref_last")).otherwise(c("date")),
+                       ref=tx.short_number(F.when(later, c("ref_value")).otherwise(c("value"))))
+    check = F.when(c("same_lab_agrees"), agrees).when(~c("same_lab_agrees"), tx.filled(t["lab_differs"], **of_check)).otherwise("")
+    return flags.join(info, "analyte_id").withColumns({
+        "message": F.when(guideline, rapid).otherwise(change),
+        "source": F.when(guideline, d.RAPID_EGFR_SOURCE).otherwise(c("source")),
+        "cross_lab_note": F.when(c("cross_lab"), F.when(guideline, t["cross_lab_slope"]).otherwise(t["cross_lab"])),
+        "lab_change_note": F.when(c("from_lab").isNotNull(), F.concat(tx.filled(t["lab_change"], from_lab=c("from_lab"), to_lab=c("to_lab")), check))})
+
+
+def slope_exclusions(frame: DataFrame, windows: DataFrame, points: DataFrame) -> DataFrame:
+    """The uncensored results that a slope leaves out, one row each, with the drug whose window ends last and the reason.
+
+    Of windows with one end the earliest start counts. Series with fewer than two days have no slope and leave nothing out.
+    """
+    order = F.struct((-F.datediff("window_end", F.lit("1970-01-01").cast("date"))).alias("e"), "date", "event_id", "drug")
+    last = windows.groupBy(*SERIES).agg(F.min_by(F.struct("event_id", "drug", F.col("date").alias("started"), "window_end"), order).alias("w"))
+    days = frame.filter((F.col("n_days") >= 2) & (F.col("date") <= F.col("cutoff"))).select(*SERIES, "date")
+    values = points.filter(F.col("comparator").isNull()).select(*SERIES, "date", "observation_id", "report_id")
+    reason = tx.filled(d.FLAG_TEXTS["left_out"], drug=F.col("w.drug"), started=F.col("w.started"), cutoff=F.col("w.window_end"))
+    return days.join(last, SERIES).join(values, [*SERIES, "date"]).select(
+        *SERIES, "date", "observation_id", "report_id", F.col("w.event_id").alias("event_id"), reason.alias("reason"))
+
+
 def points_in_windows(points: DataFrame, windows: DataFrame) -> DataFrame:
     """(point, event) rows for points inside an expected-effect window."""
     spans = windows.select(*SERIES, "event_id", "window_start", "window_end")

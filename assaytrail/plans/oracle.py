@@ -43,6 +43,21 @@ def _pct(new: str, ref: str) -> str:
     return _round(f"(({new} - {ref}) / nullif({ref}, 0) * 100)", 1)
 
 
+def _digits(x: str, digits: int = 4) -> str:
+    """A number of some significant digits as text, without trailing zeros."""
+    def text(places: int) -> str:
+        rounded = f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)), {places}) AS VARCHAR)"
+        return rf"regexp_replace(regexp_replace({rounded}, '(\.[0-9]*?)0+$', '\1'), '\.$', '')"
+
+    cases = " ".join(f"WHEN abs({x}) >= {10.0 ** power!r} THEN {text(max(digits - 1 - power, 0))}" for power in range(digits - 1, -6, -1))
+    return f"CASE {cases} ELSE {text(digits + 6)} END"
+
+
+def _filled(template: str, **values: str) -> str:
+    parts = re.split(r"\{(\w+)\}", template)
+    return " || ".join(f"CAST({values[p]} AS VARCHAR)" if i % 2 else _lit(p) for i, p in enumerate(parts) if p)
+
+
 _DATE = "DATE '2015-01-01' + CAST(floor(datediff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) / 3) AS INTEGER)"
 _OBS_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)"
 _windows = {cid: (int(a), int(b)) for cid, _, _, a, b in d.table(d.DRUG_CLASSES)}
@@ -94,6 +109,7 @@ CTES: dict[str, str] = {
     "d_analyte": _values([(i, a, n, loinc, unit, system, d.number(rcv), status) for i, (a, n, loinc, unit, system, rcv, status)
                           in enumerate(d.table(d.ANALYTES))],
                          "analyte_order, analyte_id, analyte_name, loinc, unit, system_id, rcv_percent, rcv_status"),
+    "d_source": _values([(a, dict(d.table(d.RCV_SOURCES)).get(a, d.RCV_SOURCE)) for a, *_ in d.table(d.ANALYTES)], "analyte_id, source"),
     "d_target": _values([(a, d.number(lo), d.number(hi)) for a, lo, hi, *_ in d.table(d.TARGETS)],
                         "analyte_id, target_low, target_high"),
     "d_effect": _values([(c, i, a, way, d.number(limit), size, note, _short[c], *_windows[c])
@@ -566,7 +582,8 @@ FINAL: dict[str, str] = {
     "kdigo_rapid_flags": f"SELECT {_KEY}, date, first_used AS ref_first, per_year, n_points, CAST(span_days AS INTEGER) AS span_days, cross_lab, target_direction FROM v_rapid",
     "projection": f"""SELECT {_KEY}, threshold, category, last_used AS from_date, round(at_last, 2) AS from_value, round(b, 3) AS per_year, round(b - margin, 3) AS per_year_low, round(b + margin, 3) AS per_year_high,
         last_used + CAST(round_even(gap / -b * 365.25, 0) AS INTEGER) AS date, last_used + CAST(round_even(gap / -(b - margin) * 365.25, 0) AS INTEGER) AS date_earliest,
-        CASE WHEN b + margin < 0 AND gap / -(b + margin) * 365.25 < 1500000 THEN last_used + CAST(round_even(gap / -(b + margin) * 365.25, 0) AS INTEGER) END AS date_latest, n_points FROM v_projection""",
+        CASE WHEN b + margin < 0 AND gap / -(b + margin) * 365.25 < 2900000 THEN last_used + CAST(round_even(gap / -(b + margin) * 365.25, 0) AS INTEGER) END AS date_latest,
+        CASE WHEN b + margin >= 0 THEN 'may not fall' WHEN gap / -(b + margin) * 365.25 < 2900000 THEN 'dated' ELSE 'beyond the calendar' END AS latest_status, n_points FROM v_projection""",
     "last_test": f"SELECT {_KEY}, date, months AS interval_months, DATE '{A.AS_OF}' - date AS days_since, DATE '{A.AS_OF}' - date > round_even(months * 365.25 / 12, 0) AS longer_than_interval FROM (SELECT {_KEY}, max(date) AS date FROM v_point GROUP BY ALL) JOIN ({_values(d.TEST_INTERVAL_MONTHS.items(), 'analyte_id, months')}) USING (analyte_id)",
     "all_flags": "SELECT patient_id, flag_id, level, direction, effect_event, target_direction, cross_lab FROM v_flag_id",
     "flag_evidence": "SELECT * FROM v_evidence",
@@ -716,6 +733,38 @@ FINAL["ingest_observations"] = "SELECT report_id, line + 1 AS line, analyte_id,
 FINAL["ingest_reports"] = f"""SELECT r.report_id, r.patient_id, l.lab, d.report_date AS collected_at, d.date_label, CASE WHEN coalesce(n, 0) + 5 < 5 THEN 'the file has no text: a scan' END AS refused
     FROM v_report r LEFT JOIN ({FINAL['labelled_dates']}) d ON d.doc_id = r.report_id LEFT JOIN ({FINAL['lab_names']}) l ON l.doc_id = r.report_id
     LEFT JOIN (SELECT report_id, sum(nt + nv + nu + nr) AS n FROM v_tagged GROUP BY 1) w ON w.report_id = r.report_id"""
+_T = d.FLAG_TEXTS
+_change_text = lambda compared, before: _filled(
+    _T["change"], name="analyte_name", moved="CASE direction WHEN 'rise' THEN 'rose' ELSE 'fell' END", percent="printf('%.1f', abs(change_percent))",
+    compared=_lit(compared), before=_digits(before), after=_digits("value"), unit="unit", limit=_digits("rcv_percent", 6))
+_check = {"lab": "CASE WHEN other_date > date THEN plo ELSE lab_lo END", "other_date": "other_date", "other": _digits("other_value")}
+_check_text = (f"CASE WHEN agrees THEN {_filled(_T['lab_agrees'], **_check, ref_date='CASE WHEN other_date > date THEN pdate ELSE date END', ref=_digits('ref_value'))} "
+               f"WHEN NOT agrees THEN {_filled(_T['lab_differs'], **_check)} ELSE '' END")
+FINAL["flag_messages"] = f"""SELECT patient_id, 'RCV_PREV:' || analyte_id || ':' || date AS flag_id, {_change_text('previous result', 'pvalue')} AS message, source,
+      CASE WHEN cross_lab THEN {_lit(_T['cross_lab'])} END AS cross_lab_note,
+      CASE WHEN changed THEN {_filled(_T['lab_change'], from_lab='plo', to_lab='lab_lo')} || {_check_text} END AS lab_change_note
+    FROM (SELECT *, CASE WHEN other_date > date THEN nvalue ELSE p2value END AS other_value, CASE WHEN other_date > date THEN pvalue ELSE value END AS ref_value FROM v_lab_change)
+    JOIN (SELECT analyte_id, analyte_name, unit, source FROM d_analyte JOIN d_source USING (analyte_id)) USING (analyte_id)
+    UNION ALL SELECT patient_id, 'RCV_BASELINE:' || analyte_id || ':' || date, {_change_text('baseline', 'baseline')}, source, CASE WHEN cross_lab THEN {_lit(_T['cross_lab'])} END, NULL
+    FROM v_base_flag JOIN d_analyte USING (analyte_id) JOIN d_source USING (analyte_id)
+    UNION ALL SELECT patient_id, 'KDIGO_RAPID_EGFR:' || analyte_id || ':' || date, {_filled(_T['guideline'], slope=f"printf('%.1f', {_round('abs(per_year)', 1)})", unit='unit', span='span_days', n='n_points')},
+      {_lit(d.RAPID_EGFR_SOURCE)}, CASE WHEN cross_lab THEN {_lit(_T['cross_lab_slope'])} END, NULL FROM v_rapid JOIN d_analyte USING (analyte_id)"""
+FINAL["lab_change_reports"] = f"""SELECT DISTINCT f.patient_id, 'RCV_PREV:' || f.analyte_id || ':' || f.date AS flag_id, other_date AS date, report_id
+    FROM v_lab_change f JOIN v_point p ON p.patient_id = f.patient_id AND p.analyte_id = f.analyte_id AND p.date = other_date WHERE p.comparator IS NULL"""
+FINAL["slope_exclusions"] = f"""SELECT n.patient_id, n.analyte_id, n.date, observation_id, report_id, event_id, {_filled(_T['left_out'], drug='drug', started='w.date', cutoff='window_end')} AS reason
+    FROM v_numbered n JOIN (SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY window_end DESC, date, event_id, drug) AS place FROM v_window) w ON w.patient_id = n.patient_id AND w.analyte_id = n.analyte_id AND place = 1
+    JOIN v_point p ON p.patient_id = n.patient_id AND p.analyte_id = n.analyte_id AND p.date = n.date WHERE comparator IS NULL AND n_days >= 2 AND n.date <= cutoff"""
+_before_days = CTES["v_used"].split("JOIN (SELECT e.")[1].split(") b\n")[0]
+FINAL["fact_citations"] = f"""SELECT DISTINCT x.patient_id, section, fact_key, 'R' || n AS label FROM (
+    SELECT e.patient_id, 'flag' AS section, e.flag_id AS fact_key, report_id FROM v_evidence e JOIN v_my_flag f ON f.patient_id = e.patient_id AND f.flag_id = e.flag_id
+    UNION ALL SELECT patient_id, 'result', analyte_id || ':' || date, report_id FROM v_my_point WHERE comparator IS NULL
+    UNION ALL SELECT patient_id, 'limit', observation_id, report_id FROM v_my_point WHERE comparator IS NOT NULL
+    UNION ALL SELECT p.patient_id, 'baseline', p.analyte_id, report_id FROM v_point p JOIN v_base b ON b.patient_id = p.patient_id AND b.analyte_id = p.analyte_id AND p.date BETWEEN bfirst AND blast
+      JOIN (SELECT DISTINCT {_KEY} FROM v_my_point) m ON m.patient_id = p.patient_id AND m.analyte_id = p.analyte_id WHERE p.comparator IS NULL
+    UNION ALL SELECT p.patient_id, 'after', event_id || ':' || p.analyte_id, report_id FROM v_point p JOIN v_my_resp r ON r.patient_id = p.patient_id AND r.analyte_id = p.analyte_id AND p.date = r.after_date WHERE p.comparator IS NULL
+    UNION ALL SELECT p.patient_id, 'before', event_id || ':' || p.analyte_id, report_id FROM v_point p JOIN (SELECT e.event_id, e.{_before_days}) b
+      ON b.patient_id = p.patient_id AND b.analyte_id = p.analyte_id AND b.date = p.date AND rn <= 3 WHERE p.comparator IS NULL) x
+    JOIN v_label l ON l.patient_id = x.patient_id AND l.report_id = x.report_id"""
 FINAL["stream_refresh"] = FINAL["all_flags"]
 FINAL["last_test_order"] = f"SELECT {_KEY}, row_number() OVER (PARTITION BY patient_id ORDER BY longer_than_interval DESC, days_since DESC, analyte_id) AS position FROM ({FINAL['last_test']})"
 FINAL["cards_to_review"] = f"SELECT patient_id, name, report_count, guideline, change FROM ({FINAL['patient_worklist']}) WHERE doctor_id = 7 AND (contains(lower(name), 'p-1') OR contains('p-' || patient_id, 'p-1')) AND guideline + change > 0"

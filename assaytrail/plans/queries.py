@@ -161,6 +161,21 @@ def flag_evidence(lab: Lab) -> DataFrame:
     return lab.evidence.select("patient_id", "flag_id", "role", "date", "observation_id", "report_id")
 
 
+@lab_query
+def flag_messages(lab: Lab) -> DataFrame:
+    return T.flag_messages(lab.flags).select("patient_id", "flag_id", "message", "source", "cross_lab_note", "lab_change_note")
+
+
+@lab_query
+def lab_change_reports(lab: Lab) -> DataFrame:
+    return T.lab_change_reports(lab.flags, lab.points)
+
+
+@lab_query
+def slope_exclusions(lab: Lab) -> DataFrame:
+    return T.slope_exclusions(lab.frame, lab.windows, lab.points)
+
+
 @lab_query
 def result_table(lab: Lab) -> DataFrame:
     return T.result_table(lab.points, lab.windows, lab.slopes).select(
@@ -561,6 +576,13 @@ def used_reports(lab: Lab) -> DataFrame:
                           lab.summaries, lab.responses, lab.points).select("patient_id", "report_id", "label")
 
 
+@lab_query
+def fact_citations(lab: Lab) -> DataFrame:
+    """The reports that each fact of a summary rests on, by their labels."""
+    lab = lab.stored("points", "days", "summaries", "flags", "responses")
+    return K.fact_citations(lab.flags, lab.evidence, lab.periods(K.SINCE_LAST_VISIT), lab.labels, lab.summaries, lab.responses, lab.points)
+
+
 @query
 def number_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of written sentences that are no number of their facts nor a rounding of one, and numbers that an assistant says in a
@@ -775,6 +797,14 @@ def _tagged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.tag_lines(tokens, G.rule_tagger)
 
 
+@query
+def constrained_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best valid tags of each printed row under a tagger that scores words one by one."""
+    rows = A.labelled_rows(spark, sf_dir).select("report_id", "line", "tokens")
+    tagged = G.tag_lines(rows, G.constrained(G.word_scorer))
+    return tagged.select("report_id", "line", F.array_join("tokens", " ").alias("words"), F.array_join("tags", " ").alias("tags"))
+
+
 @query
 def rule_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = _tagged_pages(spark, sf_dir)

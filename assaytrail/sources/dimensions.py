@@ -33,6 +33,11 @@ def analytes(spark: SparkSession) -> DataFrame:
                                     "unit string, system_id string, rcv_percent double, rcv_status string")
 
 
+def rcv_sources(spark: SparkSession) -> DataFrame:
+    own = dict(d.table(d.RCV_SOURCES))
+    return small_table(spark, [(aid, own.get(aid, d.RCV_SOURCE)) for aid, *_ in d.table(d.ANALYTES)], "analyte_id string, source string")
+
+
 def analyte_names(spark: SparkSession) -> DataFrame:
     """(analyte, printed name, basis). Primary names first, names on another basis after them."""
     own = {aid: name for aid, name, *_ in d.table(d.ANALYTES)}

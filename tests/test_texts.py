@@ -1,9 +1,12 @@
+import itertools
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from assaytrail.operators import facts as K
 from assaytrail.operators import metadata as M
+from assaytrail.operators import quality as Q
 from assaytrail.operators import tagging as G
 from assaytrail.operators import textchecks as X
 from assaytrail.operators import textrows as P
@@ -171,3 +174,24 @@ def test_facts_hash_ignores_order(spark):
     one = {r.patient_id: (r.hash_a, r.hash_b, r.hash_c, r.hash_d) for r in K.facts_hash(df).collect()}
     two = {r.patient_id: (r.hash_a, r.hash_b, r.hash_c, r.hash_d) for r in K.facts_hash(df.orderBy(F.desc("fact")).repartition(3)).collect()}
     assert one == two and one[1] == one[2] != one[3]
+
+
+def test_best_tags_against_all_sequences():
+    rng = np.random.default_rng(5)
+    valid = lambda tags: all(not t.startswith("I-") or b[2:] == t[2:] for b, t in zip(["O", *tags], tags))
+    for n in (1, 2, 3):
+        for _ in range(20):
+            scores = rng.normal(size=(n, len(G.TAGS)))
+            best = max((s for s in itertools.product(G.TAGS, repeat=n) if valid(s)), key=lambda s: sum(scores[i, G.TAGS.index(t)] for i, t in enumerate(s)))
+            assert G.best_tags(scores) == list(best)
+    assert G.best_tags(np.zeros((0, len(G.TAGS)))) == [] and G.best_tags(np.zeros((3, len(G.TAGS)))) == ["O"] * 3
+
+
+def test_tags_of_a_word_scorer_are_valid(spark):
+    rows = [(1, ["Serum", "Sodium", "140", "mmol/L", "-", "H"]), (2, []), (3, ["7"] * 200), (4, ["Serum", "Sodium", "140", "mmol/L", "-", "H"])]
+    got = G.tag_lines(spark.createDataFrame(rows, "id int, tokens array<string>"), G.constrained(G.word_scorer))
+    assert Q.bad_tags(got).count() == 0
+    tags = {r.id: r.tags for r in got.collect()}
+    assert tags[1] == tags[4] and tags[2] == [] and len(tags[3]) == 200
+    free = [[G.TAGS[int(i)] for i in scores.argmax(axis=1)] for scores in G.word_scorer()([tokens for _, tokens in rows if tokens])]
+    assert any(t.startswith("I-") and b[2:] != t[2:] for line in free for b, t in zip(["O", *line], line))       # scores alone are not valid tags

@@ -59,6 +59,63 @@ def test_baseline_and_projection(spark):
     assert "Jun 2027" in p.note
 
 
+def test_latest_date_of_a_projection_has_a_status(spark):
+    slopes = T.slopes(build(spark)[5]).filter("analyte_id = 'egfr'")
+    assert T.projections(slopes).first().latest_status == "dated"
+    flat = slopes.withColumn("syy", F.col("syy") * 100)
+    may_rise = T.projection_note(T.projections(flat)).first()
+    assert (may_rise.latest_status, may_rise.date_latest) == ("may not fall", None) and "no latest date" in may_rise.note
+    late = slopes.withColumn("syy", F.col("line_slope") * F.col("sxy") + F.col("sxx") * 2 * F.pow((-F.col("line_slope") - 0.0005) / 4.303, F.lit(2)))
+    row = T.projection_note(T.projections(late)).first()
+    assert (row.latest_status, row.date_latest) == ("beyond the calendar", None) and "latest date beyond the calendar" in row.note
+
+
+def test_texts_of_flags(spark):
+    _, _, _, windows, frame, _ = build(spark)
+    rows = {r.flag_id: r for r in T.flag_messages(T.all_flags(frame, windows)).filter("patient_id = 1").collect()}
+    assert len(rows) == 6
+    change = rows["RCV_PREV:creatinine:2024-04-01"]
+    assert change.message == ("Serum Creatinine rose 16.2% from the previous result (1.11 → 1.29 mg/dL), more than its reference change value of 15%.")
+    assert change.source.startswith("CVi: EFLM") and change.cross_lab_note.endswith("larger than the RCV assumes")
+    assert rows["RCV_BASELINE:hba1c:2026-03-02"].message == "HbA1c fell 19.3% from the baseline (8.8 → 7.1 %), more than its reference change value of 6.3%."
+    assert rows["RCV_BASELINE:hba1c:2026-03-02"].lab_change_note is None
+    rapid = rows["KDIGO_RAPID_EGFR:egfr:2026-03-02"]
+    assert rapid.message == ("eGFR fell by 7.1 mL/min/1.73m² per year over 503 days (4 results since the last drug window), faster than the KDIGO "
+                             "threshold of 5 per year.")
+    assert rapid.source.startswith("KDIGO 2012") and rapid.cross_lab_note.endswith("to the slope")
+
+
+def test_notes_of_a_lab_change(spark):
+    none = spark.createDataFrame([], fx.EVENTS)
+
+    def notes(rows):
+        points, _, _, windows, frame, _ = build(spark, series(spark, rows), none)
+        flags = T.all_flags(frame, windows).filter("rule_id = 'RCV_PREV'")
+        return ({str(r.date): r.lab_change_note for r in T.flag_messages(flags).collect()},
+                {(str(r.date), r.report_id) for r in T.lab_change_reports(flags, points).collect()})
+
+    begin = "This change coincides with a change of lab, from A to B."
+    later, reports = notes([("2024-01-01", 7, None, "A"), ("2024-02-01", 9, None, "B"), ("2024-03-01", 7.1, None, "A")])
+    assert later["2024-02-01"] == begin + (" The A result of 2024-03-01 (7.1) is within the reference change value of the A result of 2024-01-01 (7): this "
+                                           "change may reflect the difference between the labs rather than the patient.")
+    assert ("2024-03-01", 3) in reports
+    before, reports = notes([("2024-01-01", 7, None, "B"), ("2024-02-01", 7.1, None, "A"), ("2024-03-01", 9, None, "B")])
+    assert before["2024-03-01"] == begin + " Results from B alone show a change as well (2024-01-01: 7)." and reports == {("2024-01-01", 1)}
+    alone, reports = notes([("2024-01-01", 7, None, "A"), ("2024-02-01", 9, None, "B")])
+    assert alone == {"2024-02-01": begin} and not reports
+    unknown, _ = notes([("2024-01-01", 7, None, None), ("2024-02-01", 9, None, "B")])
+    assert unknown == {"2024-02-01": None}
+
+
+def test_results_that_a_slope_leaves_out(spark):
+    points, _, _, windows, frame, summaries = build(spark)
+    rows = T.slope_exclusions(frame, windows, points).filter("patient_id = 1 and analyte_id = 'egfr'").collect()
+    assert len(rows) == T.slopes(summaries).filter("patient_id = 1 and analyte_id = 'egfr'").first().n_excluded == 6
+    assert {r.reason for r in rows} == {"on or before the end of the expected-effect window of Empagliflozin started 2024-05-06 (window ends 2024-08-04)"}
+    one_day = build(spark, series(spark, [("2024-01-01", 8, None, "A")]), spark.createDataFrame([(1, 1, "Metformin", "start", "", day("2024-03-15"))], fx.EVENTS))
+    assert T.slope_exclusions(one_day[4], one_day[3], one_day[0]).count() == 0
+
+
 def test_baseline_before_an_event_and_on_treatment(spark):
     rows = [("2024-01-01", 9.0, None, "A"), ("2024-02-01", 8.0, None, "A"), ("2024-03-01", 8.6, None, "A"),
             ("2024-06-01", 7.0, None, "A")]
