@@ -102,9 +102,13 @@ class Lab:
     def active(self) -> DataFrame:
         return C.active_drugs(self.events)
 
+    @cached_property
+    def figure_context(self) -> DataFrame:
+        return G.context(self.patients, self.points, self.criteria, self.history, self.active)
+
     @cached_property
     def figures(self) -> DataFrame:
-        return G.figures(G.context(self.patients, self.points, self.criteria, self.history, self.active))
+        return G.figures(self.figure_context)
 
     @cached_property
     def labels(self) -> DataFrame:

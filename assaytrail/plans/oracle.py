@@ -430,7 +430,7 @@ CTES["v_figure"] = " UNION ALL ".join([
             _re.format(f"(CASE WHEN {_low} OR dm THEN 0.8 ELSE 1.3 END)::DOUBLE * weight_kg"), unit=f"CASE WHEN {_low} OR dm THEN 'g/day' ELSE 'g/day (upper limit)' END"),
     _figure("ckd AND weight_kg IS NOT NULL", "kidney", "ckd_rec", "energy_ckd", "'25–35 kcal per kg body weight per day'", "elo", "ehi", "'kcal/day'"),
     _figure("ckd", "kidney", "ckd_rec", "sodium", "'less than 2 g of sodium per day (less than 5 g of salt)'", "2.0", unit="'g sodium/day (upper limit)'"),
-    _figure("ckd AND k IS NOT NULL", "kidney", "ckd_rec", "potassium_ckd", "CASE WHEN k > 5.0 THEN 'an individualised dietary potassium plan (no fixed figure)' ELSE 'no fixed limit at this value; limits are tied to potassium above 5.0 mmol/L' END"),
+    _figure("ckd AND k IS NOT NULL", "kidney", "ckd_rec", "potassium_ckd", "CASE WHEN k > 5.0 THEN 'an individualised dietary potassium plan (no fixed figure)' ELSE 'no fixed limit at this value; dietary potassium limits are tied to potassium above 5.0 mmol/L' END"),
     _figure("pre AND NOT dm_rec", "glucose", "false", "weight_prediabetes", "'a 7% loss of initial body weight'", "round_even(0.07::DOUBLE * weight_kg / 0.5, 0) * 0.5", unit="'kg (total)'"),
     _figure("dm AND NOT (pre AND NOT dm_rec)", "glucose", "dm_rec", "mnt_diabetes", "'no single ideal split; an individualised meal plan (medical nutrition therapy)'"),
     _figure("dm AND NOT (pre AND NOT dm_rec)", "glucose", "dm_rec", "fibre", "'at least 14 g per 1,000 kcal, from minimally processed high-fibre foods'", _re.format("14 * elo / 1000"), _re.format("14 * ehi / 1000"), "'g/day'"),
@@ -445,6 +445,35 @@ CTES["v_figure"] = " UNION ALL ".join([
     _figure("levo", "thyroid", "thy_rec", "levo_timing", "'on an empty stomach, 60 minutes before breakfast, or at bedtime 3 or more hours after the evening meal'"),
     _figure("levo", "thyroid", "thy_rec", "levo_supplements", "'calcium and iron supplements taken about 4 hours apart from levothyroxine'"),
 ])
+_fixed_figures = {(g, i, f, t, "; ".join(dict(d.table(d.FIGURE_SOURCES))[k.strip()] for k in keys.split(";"))) for g, i, case, t, f, _, keys in d.table(d.FIGURES)
+                  if i != "protein_ckd" or not case}
+_protein = {k: v for k, v in d.table(d.FIGURE_SOURCES)}
+CTES["v_end"] = f"""SELECT {_KEY}, count(*) AS n, max(value) FILTER (WHERE back = 1) AS lastv, max(date) FILTER (WHERE back = 1) AS lastd, max(report_id) FILTER (WHERE back = 1) AS lastr,
+    max(value) FILTER (WHERE i = 1) AS firstv, max(date) FILTER (WHERE i = 1) AS firstd, max(report_id) FILTER (WHERE i = 1) AS firstr FROM v_ranked GROUP BY ALL"""
+CTES["v_figure_source"] = f"""SELECT f.patient_id, f.group_id, f.item_id, coalesce(t.title, 'Protein') AS title,
+    CASE WHEN t.source IS NOT NULL THEN t.source ELSE concat_ws('; ', CASE WHEN {_low} THEN {_lit(_protein['kdigo_protein'])} END, CASE WHEN dm THEN {_lit(_protein['kdigo_diabetes'])} END) END AS source,
+    CASE WHEN e.lastr IS NULL THEN '' ELSE e.lastr::VARCHAR END AS report_ids
+    FROM v_figure f JOIN v_context c USING (patient_id)
+    LEFT JOIN (VALUES {', '.join('(' + ', '.join(map(_lit, row)) + ')' for row in sorted(_fixed_figures))}) t(group_id, item_id, figure, title, source) ON t.group_id = f.group_id AND t.item_id = f.item_id AND t.figure = f.figure
+    LEFT JOIN v_end e ON e.patient_id = f.patient_id AND e.analyte_id = CASE f.item_id WHEN 'protein_ckd' THEN CASE WHEN {_low} THEN 'egfr' END WHEN 'potassium_ckd' THEN 'potassium'
+      WHEN 'weight_prediabetes' THEN 'hba1c' WHEN 'mnt_diabetes' THEN 'hba1c' WHEN 'drinks' THEN 'hba1c' WHEN 'potassium_htn' THEN CASE WHEN ckd OR ace OR k > 5.0 THEN 'potassium' END
+      WHEN 'sat_fat' THEN CASE WHEN ldl > 100 THEN 'ldl' END WHEN 'triglycerides' THEN 'triglycerides' WHEN 'levo_timing' THEN 'tsh' WHEN 'levo_supplements' THEN 'tsh' END"""
+CTES["v_figure_group"] = """SELECT patient_id, 'kidney' AS group_id, 'Kidney (CKD)' AS group_label, ckd_rec AS rec FROM v_context WHERE ckd
+    UNION ALL SELECT patient_id, 'glucose', CASE WHEN pre AND NOT dm_rec THEN 'Prediabetes range' ELSE 'Diabetes' END, CASE WHEN dm_rec OR NOT pre THEN dm_rec END FROM v_context WHERE dm OR pre
+    UNION ALL SELECT patient_id, 'pressure', 'Blood pressure (hypertension)', true FROM v_context WHERE htn
+    UNION ALL SELECT patient_id, 'lipids', 'Lipids', CASE WHEN lip_rec THEN true END FROM v_context WHERE lip_rec OR ldl > 100 OR tg >= 150
+    UNION ALL SELECT patient_id, 'thyroid', 'Thyroid (hypothyroidism)', thy_rec FROM v_context WHERE levo"""
+CTES["v_figure_basis"] = """SELECT patient_id, group_id, group_label, 'latest result' AS kind, analyte_id AS name, round(lastv, 6) AS value, lastd AS date, lastr AS report_id, true AS cited FROM v_figure_group
+      JOIN (VALUES ('kidney', 'egfr'), ('kidney', 'uacr'), ('glucose', 'hba1c'), ('lipids', 'ldl'), ('lipids', 'triglycerides'), ('lipids', 'hdl'), ('thyroid', 'tsh')) w(group_id, analyte_id) USING (group_id) JOIN v_end USING (patient_id, analyte_id)
+    UNION ALL SELECT patient_id, group_id, group_label, 'first result', analyte_id, round(firstv, 6), firstd, firstr, group_id <> 'thyroid' FROM v_figure_group
+      JOIN (VALUES ('kidney', 'egfr'), ('glucose', 'hba1c'), ('thyroid', 'tsh')) w(group_id, analyte_id) USING (group_id) JOIN v_end USING (patient_id, analyte_id) WHERE n >= 2 AND group_label <> 'Prediabetes range'
+    UNION ALL SELECT patient_id, group_id, group_label, 'drug', coalesce(e.generic, e.drug), NULL, e.date, NULL, true FROM v_figure_group
+      JOIN (VALUES ('glucose', 'biguanide'), ('glucose', 'sglt2i'), ('pressure', 'acei_arb'), ('thyroid', 'thyroid_hormone')) w(group_id, drug_class) USING (group_id) JOIN v_active USING (patient_id, drug_class)
+      WHERE e IS NOT NULL AND group_label <> 'Prediabetes range'
+    UNION ALL SELECT patient_id, group_id, group_label, 'no result on file', w.analyte_id, NULL, NULL, NULL, true FROM v_figure_group g JOIN (VALUES ('kidney', 'egfr'), ('glucose', 'hba1c')) w(group_id, analyte_id) USING (group_id)
+      ANTI JOIN v_end n ON n.patient_id = g.patient_id AND n.analyte_id = w.analyte_id WHERE group_label <> 'Prediabetes range'
+    UNION ALL SELECT patient_id, group_id, group_label, 'category', concat_ws(' ', k.g, k.a), NULL, NULL, NULL, true FROM v_figure_group JOIN v_current USING (patient_id) WHERE group_id = 'kidney'
+    UNION ALL SELECT patient_id, group_id, group_label, CASE WHEN rec THEN 'recorded' WHEN group_id = 'thyroid' THEN 'not recorded' ELSE 'criterion met, not recorded' END, NULL, NULL, NULL, NULL, true FROM v_figure_group WHERE rec IS NOT NULL"""
 CTES["v_label"] = """SELECT patient_id, report_id, collected_at, lab, row_number() OVER (PARTITION BY patient_id ORDER BY collected_at NULLS FIRST, report_id) AS n FROM v_report WHERE status = 'confirmed'"""
 CTES["v_flag_count"] = """SELECT patient_id, analyte_id, count(*) FILTER (WHERE level = 'guideline') AS guideline, count(*) FILTER (WHERE level = 'change' AND effect_text IS NULL) AS change,
     count(*) FILTER (WHERE level = 'change' AND effect_text IS NOT NULL) AS expected FROM v_flag GROUP BY ALL"""
@@ -628,7 +657,11 @@ FINAL: dict[str, str] = {
     "condition_codes": "SELECT patient_id, CAST(i - 1 AS INTEGER) AS position, c AS condition, icd10, snomed, CASE WHEN icd10 IS NULL THEN 'not in the code table' ELSE 'unverified' END AS code_status FROM (SELECT patient_id, unnest(conditions) AS c, generate_subscripts(conditions, 1) AS i FROM v_patient) LEFT JOIN d_condition ON condition_key = lower(c)",
     "test_codes": f"SELECT DISTINCT {_KEY}, analyte_name, loinc FROM v_point JOIN d_analyte USING (analyte_id)",
     "active_drugs": "SELECT patient_id, drug_class, e.event_id, e.date, e.change, e.generic FROM v_active WHERE e IS NOT NULL",
+    "criterion_sources": "SELECT patient_id, criterion_id, title, status, CASE criterion_id " + " ".join(f"WHEN {_lit(k)} THEN {_lit(v)}" for k, v in d.CRITERION_SOURCES.items()) + " END AS source, report_ids FROM v_criterion SEMI JOIN v_patient USING (patient_id)",
     "figures": "SELECT * FROM v_figure",
+    "figure_sources": "SELECT * FROM v_figure_source",
+    "figure_basis": "SELECT * FROM v_figure_basis",
+    "figure_groups": "SELECT patient_id, group_id, group_label, count(*) AS n_facts, bool_or(kind = 'recorded') AS recorded, coalesce(array_to_string(list_sort(list(DISTINCT report_id) FILTER (WHERE cited AND report_id IS NOT NULL)), ','), '') AS report_ids FROM v_figure_basis GROUP BY ALL",
     "system_status": """SELECT *, CASE WHEN analytes_with_data = 0 THEN 'no_data' WHEN guideline > 0 THEN 'guideline' WHEN change + expected > 0 THEN 'changed' ELSE 'stable' END AS system_status FROM (
         SELECT p.patient_id, s.system_id, count(DISTINCT x.analyte_id) AS analytes_with_data, CAST(coalesce(sum(guideline), 0) AS BIGINT) AS guideline, CAST(coalesce(sum(change), 0) AS BIGINT) AS change, CAST(coalesce(sum(expected), 0) AS BIGINT) AS expected
         FROM v_patient p CROSS JOIN d_system s LEFT JOIN (SELECT DISTINCT patient_id, analyte_id, system_id FROM v_point JOIN d_analyte USING (analyte_id)) x ON x.patient_id = p.patient_id AND x.system_id = s.system_id

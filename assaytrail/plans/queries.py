@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import clinical as C
 from ..operators import documents as D
+from ..operators import figures as FG
 from ..operators import facts as K
 from ..operators import metadata as M
 from ..operators import normalise as N
@@ -478,6 +479,30 @@ def figures(lab: Lab) -> DataFrame:
                               "superseded_by")
 
 
+def _ids(column: str):
+    return F.array_join(F.col(column).cast("array<string>"), ",").alias(column)
+
+
+@lab_query
+def criterion_sources(lab: Lab) -> DataFrame:
+    return lab.criteria.select("patient_id", "criterion_id", "title", "status", "source", _ids("report_ids"))
+
+
+@lab_query
+def figure_sources(lab: Lab) -> DataFrame:
+    return lab.figures.select("patient_id", "group_id", "item_id", "title", "source", _ids("report_ids"))
+
+
+@lab_query
+def figure_basis(lab: Lab) -> DataFrame:
+    return FG.group_basis(lab.figure_context).select("patient_id", "group_id", "group_label", "kind", "name", r6("value"), "date", "report_id", "cited")
+
+
+@lab_query
+def figure_groups(lab: Lab) -> DataFrame:
+    return FG.figure_groups(FG.group_basis(lab.figure_context)).select("patient_id", "group_id", "group_label", "n_facts", "recorded", _ids("report_ids"))
+
+
 # ---------------------------------------------------------------- roll-ups
 
 

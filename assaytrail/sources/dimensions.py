@@ -141,3 +141,14 @@ def required_inputs(spark: SparkSession) -> DataFrame:
 def condition_synonyms(code: str) -> list[str]:
     """All names recorded for the condition with this ICD-10 code."""
     return [n.strip() for names, icd, *_ in d.table(d.CONDITIONS) if icd == code for n in names.split(";")]
+
+
+def condition_code(code: str) -> str:
+    """ICD-10 and SNOMED CT code of a condition as one text."""
+    icd, snomed = next((icd, snomed) for _, icd, _, snomed, _ in d.table(d.CONDITIONS) if icd == code)
+    return f"ICD-10 {icd}; SNOMED CT {snomed}"
+
+
+def target_limits(analyte: str) -> tuple[float | None, float | None, str]:
+    """Lower and upper limit of an analyte's target and how it is written."""
+    return next((d.number(low), d.number(high), label) for aid, low, high, label, *_ in d.table(d.TARGETS) if aid == analyte)

@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from assaytrail.functions import numbers as num
@@ -35,6 +37,10 @@ def test_kdigo_and_criteria(spark):
     diabetes = got[1, "diabetes_ada"]
     assert diabetes.status == "met" and "first 8.9% on 12 Jun 2023 and 8.7% on 14 Sep 2023" in diabetes.evidence
     assert got[2, "thyroid_pattern"].title == "Subclinical hypothyroidism pattern"
+    assert re.match(r"TSH [0-9.]+ mIU/L on \d\d \w{3} \d{4} above 4 (with free T4 [0-9.]+ within range|\(no free T4 on that report\))\.$",
+                    got[2, "thyroid_pattern"].evidence)
+    assert all(c.source for c in got.values()) and "ADA Standards of Care" in got[1, "diabetes_ada"].source
+    assert got[1, "diabetes_ada"].codes == "ICD-10 E11; SNOMED CT 44054006"
     assert got[4, "ckd_kdigo"].status == "met"
     assert (3, "hyperkalaemia") not in got
 
@@ -52,6 +58,30 @@ def test_figures(spark):
     assert {g for p, g, _ in got if p == 3} == {"glucose", "lipids"}
     assert got[4, "pressure", "potassium_htn"].superseded_by == "kidney"
     assert (2, "thyroid", "levo_timing") in got
+    assert all(r.source and r.title and r.figure for r in rows)
+    assert got[1, "kidney", "protein_ckd"].source.count("KDIGO") == 2 and len(got[1, "kidney", "protein_ckd"].report_ids) == 1
+    assert got[1, "kidney", "energy_ckd"].report_ids == []
+
+
+def test_basis_of_figure_groups(spark):
+    """Every group with a figure has its facts; cited reports are those of results that exist; no table of patients gives no facts."""
+    points, patients = fx.points(spark), fx.patients(spark)
+    active = C.active_drugs(S.resolve_drugs(fx.events(spark)))
+    ctx = G.context(patients, points, C.criteria(points, patients), C.kdigo_history(points), active)
+    basis = G.group_basis(ctx).collect()
+    assert {(r.patient_id, r.group_id) for r in G.figures(ctx).collect()} <= {(r.patient_id, r.group_id) for r in basis}
+    known = {(r.patient_id, r.analyte_id, r.report_id, r.value) for r in points.collect()}
+    for r in basis:
+        if r.kind in ("latest result", "first result"):
+            assert (r.patient_id, r.name, r.report_id, r.value) in known
+        else:
+            assert r.report_id is None and r.value is None
+    groups = {(r.patient_id, r.group_id): r for r in G.figure_groups(G.group_basis(ctx)).collect()}
+    assert groups[1, "kidney"].group_label == "Kidney (CKD)" and groups[1, "kidney"].report_ids
+    for (patient, group), r in groups.items():
+        mine = {b.report_id for b in basis if (b.patient_id, b.group_id) == (patient, group) and b.cited and b.report_id is not None}
+        assert r.report_ids == sorted(mine)
+    assert G.group_basis(ctx.limit(0)).count() == 0
 
 
 def test_active_drugs(spark):
