@@ -329,3 +329,14 @@ def spurious(observations: DataFrame, truth: DataFrame) -> DataFrame:
     """Tracked observations at a place where no dictionary test was printed."""
     return observations.filter(F.col("analyte_id").isNotNull()).join(
         truth.select("report_id", "page", "line"), ["report_id", "page", "line"], "left_anti")
+
+
+def header_scores(reports: DataFrame, truth: DataFrame) -> DataFrame:
+    """Over all reports: how many there are, and of how many the date and the lab read are those of ``truth`` (report_id, collected_at, lab);
+    one row for each label that the date was found by. A report that was not read counts as wrong under no label."""
+    read = reports.select("report_id", "date_label", F.struct("collected_at", "lab").alias("_read"))
+    both = truth.select("report_id", F.col("collected_at").alias("_date"), F.col("lab").alias("_lab")).join(read, "report_id", "left")
+    found = F.col("_read").isNotNull()
+    return both.groupBy("date_label").agg(
+        F.count(F.lit(1)).alias("reports"), F.count_if(found & F.col("_read.collected_at").eqNullSafe(F.col("_date"))).alias("date_correct"),
+        F.count_if(found & F.col("_read.lab").eqNullSafe(F.col("_lab"))).alias("lab_correct"))

@@ -13,6 +13,8 @@ ADDS = ("report_id bigint, page int, line int, test_text string, value_text stri
         "range_text string, analyte_id string")
 STATE = ["analyte_id", "match", "basis", "comparator", "value_number", "canonical_value", "canonical_unit", "status",
          "status_reason"]
+REPORT_EDITS = "report_id bigint, collected_at date, lab string"
+ENTERED = "Entered by doctor"
 
 
 def normalise_chosen(rows: DataFrame, chosen: str) -> DataFrame:
@@ -65,6 +67,34 @@ def apply_review(observations: DataFrame, edits: DataFrame, adds: DataFrame, rep
     return N.recompute_egfr(out.unionByName(added, allowMissingColumns=True), reports, patients)
 
 
+def edit_reports(reports: DataFrame, edits: DataFrame, patients: DataFrame, as_of: str) -> DataFrame:
+    """Reports after a reviewer's dates and lab names, with ``refused`` where a batch gives a date outside the birth year and ``as_of``.
+
+    ``edits`` has one row a report; null leaves a field as it is, an empty lab name takes the name away. Of a refused batch nothing is taken
+    over. A date counts as entered only if it differs from the one on the report.
+    """
+    e = edits.select("report_id", F.col("collected_at").alias("_date"), F.trim("lab").alias("_lab"))
+    base = reports if "date_label" in reports.columns else reports.withColumn("date_label", F.lit(None).cast("string"))
+    rows = base.join(e, "report_id", "left").join(patients.select("patient_id", F.col("birth_year").alias("_born")), "patient_id", "left")
+    inside = (F.year("_date") >= F.col("_born")) & (F.col("_date") <= F.lit(as_of).cast("date"))
+    refused = F.col("_date").isNotNull() & ~F.coalesce(inside, F.lit(False))
+    rows = rows.withColumn("refused", F.when(refused, "the date must be between the patient's birth year and today"))
+    taken = F.col("refused").isNull()
+    dated = taken & F.col("_date").isNotNull() & ~F.col("_date").eqNullSafe(F.col("collected_at"))
+    named = taken & F.col("_lab").isNotNull()
+    return (rows.withColumn("date_label", F.when(dated, ENTERED).otherwise(F.col("date_label")))
+            .withColumn("collected_at", F.when(dated, F.col("_date")).otherwise(F.col("collected_at")))
+            .withColumn("lab", F.when(named, F.nullif("_lab", F.lit(""))).otherwise(F.col("lab")))
+            .select(*base.columns, "refused"))
+
+
+def skipped_after(skipped: DataFrame, observations: DataFrame, adds: DataFrame) -> DataFrame:
+    """Skipped lines that are left after the batch: a line that an accepted added one points to is used up."""
+    place = ["report_id", "page", "line"]
+    accepted = adds.join(refused_adds(observations, adds), place, "left_anti").select(*place)
+    return skipped.join(accepted, place, "left_anti")
+
+
 def confirm_gate(observations: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(observations, reports) after confirming every report with a date and nothing left to review."""
     live = F.col("status") != "rejected"

@@ -766,6 +766,21 @@ FINAL["ingest_observations"] = "SELECT report_id, line + 1 AS line, analyte_id,
 FINAL["ingest_reports"] = f"""SELECT r.report_id, r.patient_id, l.lab, d.report_date AS collected_at, d.date_label, CASE WHEN coalesce(n, 0) + 5 < 5 THEN 'the file has no text: a scan' END AS refused
     FROM v_report r LEFT JOIN ({FINAL['labelled_dates']}) d ON d.doc_id = r.report_id LEFT JOIN ({FINAL['lab_names']}) l ON l.doc_id = r.report_id
     LEFT JOIN (SELECT report_id, sum(nt + nv + nu + nr) AS n FROM v_tagged GROUP BY 1) w ON w.report_id = r.report_id"""
+FINAL["header_accuracy"] = f"""SELECT date_label, count(*) AS reports, count(*) FILTER (WHERE found AND d IS NOT DISTINCT FROM t.collected_at) AS date_correct, count(*) FILTER (WHERE found AND l IS NOT DISTINCT FROM t.lab) AS lab_correct
+    FROM (SELECT report_id, collected_at, CASE report_id % 5 WHEN 0 THEN 'Vedhya Diagnostic Centre' WHEN 1 THEN 'EXAMPLE HEALTHCARE LTD' WHEN 4 THEN 'Sai Krupa Path Labs, Pune' END AS lab FROM v_report) t
+    LEFT JOIN (SELECT report_id, date_label, collected_at AS d, lab AS l, true AS found FROM ({FINAL['ingest_reports']})) USING (report_id) GROUP BY date_label"""
+FINAL["review_reports"] = f"""SELECT report_id, CASE WHEN dated THEN nd ELSE collected_at END AS collected_at, CASE WHEN dated THEN 'Entered by doctor' END AS date_label,
+      CASE WHEN NOT bad AND nl IS NOT NULL THEN nullif(nl, '') ELSE lab END AS lab, CASE WHEN bad THEN 'the date must be between the patient''s birth year and today' END AS refused
+    FROM (SELECT *, NOT bad AND nd IS NOT NULL AND nd IS DISTINCT FROM collected_at AS dated FROM (
+      SELECT *, nd IS NOT NULL AND NOT coalesce(year(nd) >= birth_year AND nd <= DATE '{A.AS_OF}', false) AS bad FROM (
+        SELECT report_id, patient_id, collected_at, lab, CASE WHEN k % 5 <> 0 THEN NULL WHEN k % 11 = 0 THEN DATE '1900-01-01' WHEN k % 13 = 0 THEN DATE '2030-01-01' WHEN k % 3 = 0 THEN collected_at + 7 WHEN k % 3 = 1 THEN collected_at END AS nd,
+          CASE WHEN k % 5 <> 0 THEN NULL WHEN k % 4 = 0 THEN 'Lab Z' WHEN k % 4 = 1 THEN '' END AS nl FROM (SELECT *, report_id AS k FROM v_report)) LEFT JOIN v_patient USING (patient_id)))"""
+FINAL["review_skipped"] = """SELECT report_id, line, test_text FROM v_junk j WHERE NOT (line = 2 AND EXISTS (SELECT 1 FROM v_report r WHERE r.report_id = j.report_id)
+      AND NOT EXISTS (SELECT 1 FROM v_normalised n WHERE n.report_id = j.report_id AND n.line = 2))"""
+FINAL["spurious_results"] = """SELECT report_id, line, test_text, analyte_id, status FROM v_review_done d WHERE analyte_id IS NOT NULL
+      AND NOT EXISTS (SELECT 1 FROM v_printed p WHERE p.report_id = d.report_id AND p.line = d.line AND p.test_text NOT IN ('GLUCOSE', 'VLDL CHOLESTEROL', 'Age / Sex'))"""
+FINAL["unit_coverage"] = f"""SELECT analyte_id, ukey AS unit_key, CASE WHEN n IS NULL THEN 'never used' ELSE 'not in train' END AS gap FROM (SELECT DISTINCT analyte_id, ukey FROM v_unit)
+    LEFT JOIN (SELECT analyte_id, {_unit_key('unit_text')} AS ukey, count(*) AS n, count(*) FILTER (WHERE report_id % 10 NOT IN (0, 1)) AS t FROM v_matched GROUP BY ALL) USING (analyte_id, ukey) WHERE coalesce(t, 0) = 0"""
 _T = d.FLAG_TEXTS
 _change_text = lambda compared, before: _filled(
     _T["change"], name="analyte_name", moved="CASE direction WHEN 'rise' THEN 'rose' ELSE 'fell' END", percent="printf('%.1f', abs(change_percent))",

@@ -314,6 +314,25 @@ def confirm_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.select("report_id", "status", "pending")
 
 
+@query
+def review_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth report gets a date (some before the patient's birth, some after today) and a lab name, an empty one or none."""
+    reports, key = A.reports(spark, sf_dir), F.col("report_id")
+    date = (F.when(key % 11 == 0, F.lit("1900-01-01").cast("date")).when(key % 13 == 0, F.lit("2030-01-01").cast("date"))
+            .when(key % 3 == 0, F.date_add("collected_at", 7)).when(key % 3 == 1, F.col("collected_at")))
+    lab = F.when(key % 4 == 0, " Lab Z ").when(key % 4 == 1, " ")
+    edits = reports.filter(key % 5 == 0).select("report_id", date.alias("collected_at"), lab.alias("lab"))
+    return V.edit_reports(reports, edits, A.patients(spark, sf_dir), A.AS_OF).select("report_id", "collected_at", "date_label", "lab", "refused")
+
+
+@query
+def review_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skipped lines left after a batch that adds a result at the second line of every report."""
+    observations, skipped = _normalised(spark, sf_dir)
+    adds = A.reports(spark, sf_dir).select("report_id", F.lit(1).alias("page"), F.lit(2).alias("line"))
+    return V.skipped_after(skipped, observations, adds).select("report_id", "line", "test_text")
+
+
 @query
 def plausible_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.plausible_dates(A.reports(spark, sf_dir), A.patients(spark, sf_dir), A.AS_OF)
@@ -742,6 +761,29 @@ def coverage_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.coverage(dim.synonym_pool(spark), rows, ["analyte_id", "synonym"])
 
 
+@query
+def spurious_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracked results after a review at lines where no test of the dictionary was printed: a reviewer chose an analyte for them."""
+    printed = A.printed_results(spark, sf_dir).filter(~F.col("test_text").isin("GLUCOSE", "VLDL CHOLESTEROL", "Age / Sex"))
+    return Q.spurious(_review(spark, sf_dir)[0], printed).select("report_id", "line", "test_text", "analyte_id", "status")
+
+
+@query
+def unit_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of the dictionary that no labelled row of the analyte is printed in, or none of the training split."""
+    wanted = dim.unit_conversions(spark).select("analyte_id", tx.unit_key(F.col("unit")).alias("unit_key")).distinct()
+    rows = N.match_names(A.labelled_rows(spark, sf_dir)).select("analyte_id", tx.unit_key(F.col("unit_text")).alias("unit_key"), "split")
+    return Q.coverage(wanted, rows, ["analyte_id", "unit_key"])
+
+
+@query
+def header_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates and labs read from the lines above a table against those of the orders, by the label of the date."""
+    form = F.col("report_id") % 5
+    lab = F.when(form == 0, "Vedhya Diagnostic Centre").when(form == 1, "EXAMPLE HEALTHCARE LTD").when(form == 4, "Sai Krupa Path Labs, Pune")
+    return Q.header_scores(_ingested(spark, sf_dir)["reports"], A.reports(spark, sf_dir).select("report_id", "collected_at", lab.alias("lab")))
+
+
 @query
 def rows_per_analyte(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.rows_per_analyte(N.match_names(A.labelled_rows(spark, sf_dir)))

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from assaytrail.functions import text as tx
 from assaytrail.operators import documents as D
 from assaytrail.operators import normalise as N
+from assaytrail.operators import quality as Q
 from assaytrail.operators import review as V
 from assaytrail.operators import series as S
 from assaytrail.sources import tables
@@ -109,3 +110,30 @@ def test_documents(spark, tmp_path):
     existing = files.filter("file_type = 'png'").select("sha256")
     got = {r.path.rsplit("/", 1)[1]: r.accepted for r in D.accept(files, existing, ["sha256"], ["path"], "path").collect()}
     assert got == {"a.pdf": True, "b.pdf": False, "c.txt": False, "d.png": False}
+
+
+def test_report_edits(spark):
+    """Dates and lab names of a reviewer: null leaves a field, an empty name takes it away, a date out of bounds refuses the whole batch."""
+    reports = spark.createDataFrame([(i, 1, day("2015-05-01"), "Lab A") for i in range(1, 8)], "report_id bigint, patient_id bigint, collected_at date, lab string")
+    patients = spark.createDataFrame([(1, 1950)], "patient_id bigint, birth_year int")
+    edits = spark.createDataFrame([(1, day("2015-05-01"), None), (2, day("2015-06-01"), " Lab B "), (3, None, "  "), (4, day("1949-12-31"), "Lab C"),
+                                   (5, day("2018-01-02"), "Lab C"), (6, day("1950-01-01"), None)], V.REPORT_EDITS)
+    done = {r.report_id: r for r in V.edit_reports(reports, edits, patients, "2018-01-01").collect()}
+    assert [done[i].lab for i in range(1, 8)] == ["Lab A", "Lab B", None, "Lab A", "Lab A", "Lab A", "Lab A"]
+    assert [done[i].date_label for i in range(1, 8)] == [None, V.ENTERED, None, None, None, V.ENTERED, None]
+    assert str(done[2].collected_at) == "2015-06-01" and {i for i in done if done[i].refused} == {4, 5}
+    assert V.edit_reports(reports, edits.limit(0), patients, "2018-01-01").filter("refused is null and date_label is null").count() == 7
+    unknown = V.edit_reports(reports, edits, patients.limit(0), "2018-01-01").filter("refused is not null").count()
+    assert unknown == 5                                                       # nothing says that a date is after the birth of a patient not on file
+    read = V.edit_reports(reports.filter("report_id < 4"), edits, patients, "2018-01-01")
+    scores = {r.date_label: (r.reports, r.date_correct, r.lab_correct) for r in Q.header_scores(read, reports).collect()}
+    assert scores == {None: (6, 2, 1), V.ENTERED: (1, 0, 0)}
+
+
+def test_skipped_lines_are_used_once(spark):
+    place = "report_id bigint, page int, line int"
+    skipped = spark.createDataFrame([(1, 1, 1), (1, 1, 2), (2, 1, 2), (3, 1, 2)], place)
+    observations = spark.createDataFrame([(2, 1, 2, "extracted"), (3, 1, 2, "rejected")], f"{place}, status string")
+    adds = spark.createDataFrame([(1, 1, 2), (2, 1, 2), (3, 1, 2), (9, 1, 1)], place)
+    left = {(r.report_id, r.line) for r in V.skipped_after(skipped, observations, adds).collect()}
+    assert left == {(1, 1), (2, 2)}
