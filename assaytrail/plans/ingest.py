@@ -27,7 +27,7 @@ def ingest(tagged: DataFrame, files: DataFrame, patients: DataFrame, as_of: str,
     lines = tagged.sparkSession.read.parquet(folder)
     shown = header_lines if header_lines is not None else lines.select(
         "doc_id", "page", "line", "text", F.col("kind").isin("above", "margin").alias("page_header"))
-    words = lines.groupBy("doc_id").agg(F.sum(F.size("words")).alias("n_words"))
+    words = lines.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"))
     reports = (files.join(words.withColumnRenamed("doc_id", "report_id"), "report_id", "left")
                .join(M.labelled_dates(shown, as_of).withColumnRenamed("doc_id", "report_id").withColumnRenamed("collected_at", "printed_at"), "report_id", "left")
                .join(M.labs(shown).withColumnRenamed("doc_id", "report_id"), "report_id", "left")

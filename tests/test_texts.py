@@ -195,3 +195,16 @@ def test_tags_of_a_word_scorer_are_valid(spark):
     assert tags[1] == tags[4] and tags[2] == [] and len(tags[3]) == 200
     free = [[G.TAGS[int(i)] for i in scores.argmax(axis=1)] for scores in G.word_scorer()([tokens for _, tokens in rows if tokens])]
     assert any(t.startswith("I-") and b[2:] != t[2:] for line in free for b, t in zip(["O", *line], line))       # scores alone are not valid tags
+
+
+def test_words_of_a_document_are_dealt_once(spark):
+    """Lines, headers, pitches, repeated texts, results and continuation lines all come from one deal of the words."""
+    words = spark.createDataFrame(
+        [(d, 1, t, x, x + 40.0, y, y + 9.0) for d in (1, 2) for y, row in ((90.0, ("Investigation", "Result")), (104.0, ("TSH", "2.1")))
+         for x, t in zip((30.0, 260.0), row)], "doc_id long, page int, text string, x0 double, x1 double, top double, bottom double").repartition(3, "doc_id")
+    lines = P.lines(P.group_rows(words))
+    tags = F.when(F.col("line") == 2, F.array(F.lit("B-TEST"), F.lit("B-VALUE"))).otherwise(F.array(F.lit("O"), F.lit("O")))
+    found = P.results(P.assemble(lines.withColumn("tags", tags)))
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted((r.doc_id, r.line, r.test_text, r.value_text) for r in found.collect()) == [(1, 2, "TSH", "2.1"), (2, 2, "TSH", "2.1")]
