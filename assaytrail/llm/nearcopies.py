@@ -5,7 +5,7 @@ shingles, so fingerprints of shingles are far apart even then; fingerprints of t
 fingerprints (64 bits) differ in at most ``RADIUS`` bits; the 2 ** (RADIUS + 1) - 1 covering masks
 find every such pair. A block that is appended, cut off or replaced changes many words at few shingles and is missed by these, so
 pairs that share a shingle of their prefixes are candidates as well: with the shingles of each text in one order of all shingles (those in
-few texts of a sample first), two texts at 0.8 share one of the first n - ceil(0.8 n) + 1, whatever was edited. The order decides how
+few texts first), two texts at 0.8 share one of the first n - ceil(0.8 n) + 1, whatever was edited. The order decides how
 many candidates there are, not whether one is missed. The exact coefficient then decides.
 
 No step lists the pairs of a large group:
@@ -44,9 +44,8 @@ SIMILARITY = 0.8
 RADIUS = 6
 FOREST_UP_TO = 512
 BLOCK = 256
-#: Counters of shingles and about the number of texts that are counted for the order of prefixes.
+#: Counters of shingles for the order of prefixes.
 COUNTERS = 1 << 22
-COUNTED_TEXTS = 32768
 #: Texts with a common prefix shingle up to which all their pairs are looked at; classes of a histogram of shingles.
 PAIRS_UP_TO = 32
 BARS = 256
@@ -368,12 +367,11 @@ def small(frame: DataFrame) -> DataFrame:
 
 
 def shingle_counts(docs: DataFrame) -> np.ndarray:
-    """How many of about ``COUNTED_TEXTS`` texts have a shingle of each counter, up to 65,535."""
-    share = COUNTED_TEXTS / max(1, docs.count())
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))).select("text")
-    found = sample.mapInArrow(_counts, "_counter int, _n long").groupBy("_counter").agg(F.sum("_n").alias("_n")).filter("_n > 1").toArrow()
+    """How many of all texts have a shingle of each counter, up to 65,535. A task sums its texts up, so it passes on one row a counter at most."""
+    n = F.least(F.sum("_n"), F.lit(65535)).cast("int")
+    found = docs.select("text").mapInArrow(_counts, "_counter int, _n long").groupBy("_counter").agg(n.alias("_n")).filter("_n > 1").toArrow()
     out = np.zeros(COUNTERS, np.uint16)
-    out[found.column("_counter").to_numpy()] = np.minimum(found.column("_n").to_numpy(), 65535)
+    out[found.column("_counter").to_numpy()] = found.column("_n").to_numpy()
     return out
 
 

@@ -226,3 +226,9 @@ def test_groups_larger_than_a_batch(monkeypatch):
     assert {(p["a"], p["b"]) for p in links} >= {(int(first[5]), int(n)) for n in node[key == 5][1:].tolist()}
     mine = set(node[key == 5].tolist())
     assert len({p["a"] for p in links if p["b"] in mine}) == 1
+
+
+def test_shingles_are_counted_over_all_texts(spark):
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("one two three four five").alias("text"))
+    counts = nearcopies.shingle_counts(docs)
+    assert counts.max() == 40_000 and (counts > 0).sum() == 1
