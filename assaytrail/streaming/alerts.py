@@ -1,6 +1,6 @@
-"""Change alerts as results arrive, late ones included, by a stateful processor per (patient, analyte).
+"""Change alerts as results arrive, late ones included, by (patient, analyte): a job over all series of a batch, or a stateful processor for each.
 
-The state of a series is the list of its days in order: day, sum and count of its values, smallest and largest lab. A batch that is newer than
+The job keeps the days of each batch as files; where series are forgotten after some time, a processor keeps them. The state of a series is the list of its days in order: day, sum and count of its values, smallest and largest lab. A batch that is newer than
 all of them is compared with the last day alone, which is kept apart, and appended; the list is not read. A batch with an earlier day
 or with more results for a known one reads the list, puts the days where they belong and compares each changed day, and the day after it, anew.
 Every comparison has a ``version``, counted by series: of several for one day the highest holds (:func:`current`). So the comparisons that
@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -103,18 +103,55 @@ def state_store(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_STATE_STORE, before)
 
 
+def _values(points: DataFrame) -> DataFrame:
+    """Uncensored values of points: series, day, whole millionths, lab."""
+    return points.filter(F.col("comparator").isNull()).select(
+        *SERIES, F.unix_date("date").alias("day"), F.round(F.col("value") * 1e6).cast("bigint").alias("micros"),
+        F.coalesce("lab", F.lit(NO_LAB)).alias("lab"))
+
+
 def steps_on_arrival(points: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Comparisons of days with the day before them (STEP) for a stream of points; start its query inside :func:`state_store`."""
     ship_package(points.sparkSession)
-    values = points.filter(F.col("comparator").isNull()).select(
-        *SERIES, F.unix_date("date").alias("day"), F.round(F.col("value") * 1e6).cast("bigint").alias("micros"),
-        F.coalesce("lab", F.lit(NO_LAB)).alias("lab"))
-    return values.groupBy(*SERIES).transformWithState(Series(idle_ms), STEP, "Append", "None" if idle_ms is None else "ProcessingTime")
+    return _values(points).groupBy(*SERIES).transformWithState(Series(idle_ms), STEP, "Append", "None" if idle_ms is None else "ProcessingTime")
+
+
+def _same_series(a: DataFrame, b: DataFrame) -> list[Column]:
+    return [a[c].eqNullSafe(b[c]) for c in SERIES]
+
+
+def step_batch(points: DataFrame, batch_id: int, folder: str, days: str) -> None:
+    """Compare the days of one batch of points as :class:`Series` does, for all its series at once, and write the comparisons to ``folder``.
+
+    ``days`` holds the days of each batch, added up by series and day; a day that came in several batches is the sum of its parts. Both
+    folders are written by batch and overwritten when a batch is repeated.
+    """
+    spark = points.sparkSession
+    parts = [F.sum("total").alias("total"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    values = _values(points).select(*SERIES, "day", F.col("micros").alias("total"), F.lit(1).cast("bigint").alias("n"), F.col("lab").alias("lo"), F.col("lab").alias("hi"))
+    values.groupBy(*SERIES, "day").agg(*parts).write.mode("overwrite").parquet(f"{days}/batch={batch_id}")
+    stored = spark.read.schema(f"patient_id bigint, analyte_id string, {_DAY}").parquet
+    new = stored(f"{days}/batch={batch_id}")
+    rows, counted = new.withColumn("_new", F.lit(True)), None
+    if batch_id:
+        earlier, touched = stored(*[f"{days}/batch={k}" for k in range(batch_id)]), new.select(*SERIES).distinct()
+        rows = rows.unionByName(earlier.join(touched, _same_series(earlier, touched), "left_semi").withColumn("_new", F.lit(False)))
+        before = spark.read.schema(STEP).parquet(*[f"{folder}/batch={k}" for k in range(batch_id)])
+        counted = before.groupBy(*SERIES).agg(F.max("version").alias("_before"))
+    order = Window.partitionBy(*SERIES).orderBy("day")
+    every = rows.repartition(*SERIES).groupBy(*SERIES, "day").agg(*parts, F.max("_new").alias("_new"))
+    steps = every.withColumn("_ref", F.lag(F.struct("day", "total", "n", "lo", "hi", "_new")).over(order))
+    steps = steps.filter(F.col("_ref").isNotNull() & (F.col("_new") | F.col("_ref._new"))).withColumn("version", F.row_number().over(order).cast("bigint"))
+    if counted is not None:
+        steps = steps.join(counted, _same_series(steps, counted), "left").select(*[steps[c] for c in steps.columns if c != "version"], (
+            F.col("version") + F.coalesce("_before", F.lit(0))).alias("version"))
+    steps.select(*SERIES, "day", "total", "n", "lo", "hi", *[F.col(f"_ref.{c}").alias(f"ref_{c}") for c in ("day", "total", "n", "lo", "hi")], "version").write.mode(
+        "overwrite").parquet(f"{folder}/batch={batch_id}")
 
 
 def current(steps: DataFrame) -> DataFrame:
     """The comparison that holds for each day."""
-    rest = [c for c in steps.columns if c not in (*SERIES, "day", "version")]
+    rest = [c for c in steps.columns if c not in (*SERIES, "day", "version", "batch")]
     best = steps.groupBy(*SERIES, "day").agg(F.max_by(F.struct(*rest), "version").alias("_s"))
     return best.select(*SERIES, "day", "_s.*")
 
@@ -138,9 +175,13 @@ def alerts(steps: DataFrame) -> DataFrame:
 def start_steps(points: DataFrame, folder: str, name: str, idle_ms: int | None = None, every: str = "10 seconds") -> StreamingQuery:
     """Write the comparisons of a stream of points to ``folder`` until all that is there is read; run again under the same ``name`` to go on.
 
-    With ``idle_ms`` the query goes on until it is stopped, with a batch ``every`` so often: timers need a running query."""
+    Without ``idle_ms`` each batch is one job over its series (:func:`step_batch`), below ``folder`` by batch. With ``idle_ms`` a stateful
+    processor takes the series one by one and the query goes on until it is stopped, with a batch ``every`` so often: timers need a running query."""
     spark = points.sparkSession
+    checkpoint = f"{shared_folder(spark)}/{name}"
+    if idle_ms is None:
+        return (points.writeStream.foreachBatch(lambda df, i: step_batch(df, i, folder, f"{checkpoint}-days"))
+                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     with state_store(spark):
-        writer = (steps_on_arrival(points, idle_ms).writeStream.format("parquet").option("path", folder).outputMode("append")
-                  .option("checkpointLocation", f"{shared_folder(spark)}/{name}"))
-        return (writer.trigger(availableNow=True) if idle_ms is None else writer.trigger(processingTime=every)).start()
+        return (steps_on_arrival(points, idle_ms).writeStream.format("parquet").option("path", folder).outputMode("append")
+                .option("checkpointLocation", checkpoint).trigger(processingTime=every).start())
