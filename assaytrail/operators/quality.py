@@ -231,8 +231,8 @@ def spans_of(tags: str) -> Column:
     def end_of(i: Column) -> Column:
         kind = _kind(F.element_at(tags, i))
         rest = F.slice(tags, i + 1, n)
-        stop = F.array_position(F.transform(rest, lambda t: t != F.concat(F.lit("I-"), kind)), True).cast("int")
-        return F.when(stop == 0, n).otherwise(i + stop - 1)
+        stops = F.transform(F.array(F.concat(F.lit("I-"), kind)), lambda more: F.array_position(F.transform(rest, lambda t: t != more), True))
+        return F.coalesce(i + F.nullif(stops[0].cast("int"), F.lit(0)) - 1, n)
 
     at = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.coalesce(F.try_element_at(tags, i).startswith("B-"), F.lit(False)))
     return F.transform(at, lambda i: F.struct(_kind(F.element_at(tags, i)).alias("kind"), i.alias("first"), end_of(i).alias("last")))
@@ -250,11 +250,15 @@ def entity_scores(rows: DataFrame, groupings: list[list[str]]) -> DataFrame:
     in a grouping are null; ``grouping_id`` tells groupings from null values, if there are several.
     """
     columns = list(dict.fromkeys(c for g in groupings for c in g))
-    spans = rows.select(*columns, spans_of("tags").alias("_gold"), spans_of("predicted").alias("_found"))
-    spans = spans.withColumn("_hits", F.array_intersect("_gold", "_found"))
+    # Each B-X starts a span, so spans are counted by their first tags; they are worked out only where the two sides differ.
+    same = F.coalesce(F.col("tags") == F.col("predicted"), F.lit(False))
+    hits = F.when(~same, F.transform(F.array_intersect(spans_of("tags"), spans_of("predicted")), lambda s: F.concat(F.lit("B-"), s["kind"])))
+    starts = lambda tags: F.filter(tags, lambda t: t.startswith("B-"))
+    spans = rows.select(*columns, starts("tags").alias("_gold"), starts("predicted").alias("_found"), hits.alias("_hits"))
+    spans = spans.withColumn("_hits", F.coalesce("_hits", "_gold"))
 
     def of(name: str, kind: str) -> Column:
-        return F.sum(F.size(F.filter(name, lambda s: s["kind"] == kind))).alias(f"{name}_{kind}")
+        return F.sum(F.coalesce(F.size(name) - F.size(F.array_remove(name, f"B-{kind}")), F.lit(0))).alias(f"{name}_{kind}")
 
     sums = [of(name, kind) for name in ("_gold", "_found", "_hits") for kind in KINDS]
     if len(groupings) == 1:
