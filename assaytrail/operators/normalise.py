@@ -6,7 +6,7 @@ normalised where it lies: no shuffle except the one per report that eGFR needs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as num
@@ -34,9 +34,9 @@ def match_names(rows: DataFrame, name: str = "test_text") -> DataFrame:
     exact = _name_index(names, tx.name_key(F.col("printed_name")), "_exact").withColumnRenamed("_key", "_k1")
     by_set = _name_index(names, tx.word_set_key(words), "_set").withColumnRenamed("_key", "_k2")
     joined = _name_index(names, tx.joined_key(words), "_joined").withColumnRenamed("_key", "_k3")
-    own_words = tx.loose_words(F.col(name))
-    out = (rows.withColumn("_k1", tx.name_key(F.col(name))).withColumn("_k2", tx.word_set_key(own_words))
-           .withColumn("_k3", tx.joined_key(own_words))
+    own_words = F.col("_words")                                               # a column of its own, so that it is worked out once
+    out = (rows.withColumn("_words", tx.loose_words(F.col(name))).withColumn("_k1", tx.name_key(F.col(name))).withColumn("_k2", tx.word_set_key(own_words))
+           .withColumn("_k3", tx.joined_key(own_words)).drop("_words")
            .join(exact, "_k1", "left").join(by_set, "_k2", "left").join(joined, "_k3", "left"))
     none = F.array().cast(HIT)
     loose = F.array_union(F.coalesce("_set", none), F.coalesce("_joined", none))
@@ -112,13 +112,18 @@ def convert(rows: DataFrame) -> DataFrame:
             .drop("_outcome", "_conv", "_unit", "analyte_name"))
 
 
-def split_results(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(observations, skipped): an unknown name without unit and range is not a lab result."""
+def not_a_result(rows: DataFrame) -> Column:
+    """An unknown name without unit and range is not a lab result."""
     has_range = F.trim(F.coalesce("range_text", F.lit(""))) != ""
     if "range_lines" in rows.columns:
         has_range = has_range | F.exists(F.coalesce("range_lines", F.array().cast("array<string>")),
                                          lambda t: F.trim(t) != "")
-    junk = (F.col("status") == "not_tracked") & (F.trim(F.coalesce("unit_text", F.lit(""))) == "") & ~has_range
+    return (F.col("status") == "not_tracked") & (F.trim(F.coalesce("unit_text", F.lit(""))) == "") & ~has_range
+
+
+def split_results(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(observations, skipped), the latter with the reason."""
+    junk = not_a_result(rows)
     return rows.filter(~junk), rows.filter(junk).withColumn("status_reason", F.lit(NOT_A_RESULT))
 
 
@@ -127,16 +132,16 @@ def recompute_egfr(rows: DataFrame, reports: DataFrame, patients: DataFrame) ->
 
     A confirmed eGFR goes back to extracted, as its creatinine may have changed.
     """
-    usable = ((F.col("analyte_id") == "creatinine") & F.col("canonical_value").isNotNull()
+    usable = ((F.col("analyte_id") == "creatinine") & F.col("canonical_value").isNotNull() & F.col("report_id").isNotNull()
               & F.col("status").isin("extracted", "confirmed"))
-    first = F.struct("page", "line", "observation_id")
-    creatinine = rows.filter(usable).groupBy("report_id").agg(
-        F.min("canonical_value").alias("_c_lo"), F.max("canonical_value").alias("_c_hi"),
-        F.min_by(F.struct("canonical_value", "comparator", "page", "line"), first).alias("_c"))
+    # A window over the report, which holds as many rows as are printed on its pages: a join of the rows with themselves would work them out twice.
+    report, value = Window.partitionBy("report_id"), F.when(usable, F.col("canonical_value"))
+    creatinine = {"_c_lo": F.min(value).over(report), "_c_hi": F.max(value).over(report),
+                  "_c": F.min_by(F.struct("canonical_value", "comparator"), F.when(usable, F.struct("page", "line", "observation_id"))).over(report)}
     who = reports.select("report_id", "patient_id", F.col("collected_at").alias("_date")).join(
         patients.select("patient_id", F.col("sex").alias("_sex"), F.col("birth_year").alias("_born")), "patient_id",
         "left").drop("patient_id")
-    r = rows.join(creatinine, "report_id", "left").join(who, "report_id", "left")
+    r = rows.withColumns(creatinine).join(who, "report_id", "left")
     age = F.year("_date") - F.col("_born")
     low, high = d.ADULT_AGE
     value = F.round(num.ckd_epi_2021(F.col("_c.canonical_value"), age, F.col("_sex")), 2)
@@ -199,6 +204,17 @@ def to_printed_unit(rows: DataFrame, unit: str = "unit_text") -> DataFrame:
 
 def status_counts(observations: DataFrame, skipped: DataFrame) -> DataFrame:
     """Observations of each report by status, and its skipped lines; a report with skipped lines only has its row, too."""
+    return count_statuses(observations.select("report_id", "status").unionByName(skipped.select("report_id", F.lit("skipped").alias("status"))))
+
+
+def printed_statuses(printed: DataFrame, reports: DataFrame, patients: DataFrame) -> DataFrame:
+    """(report_id, status) of every printed row, ``skipped`` where it is no result: :func:`normalise` in one pass, as no skipped row has an analyte."""
+    rows = convert(match_names(printed))
+    done = recompute_egfr(rows.withColumn("_skipped", not_a_result(rows)), reports, patients)
+    return done.select("report_id", F.when(F.col("_skipped"), "skipped").otherwise(F.col("status")).alias("status"))
+
+
+def count_statuses(rows: DataFrame) -> DataFrame:
+    """Rows (report_id, status) counted by report."""
     statuses = ["extracted", "needs_review", "not_tracked", "confirmed", "rejected"]
-    rows = observations.select("report_id", "status").unionByName(skipped.select("report_id", F.lit("skipped").alias("status")))
     return rows.groupBy("report_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in [*statuses, "skipped"]])
