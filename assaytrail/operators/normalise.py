@@ -202,19 +202,21 @@ def to_printed_unit(rows: DataFrame, unit: str = "unit_text") -> DataFrame:
             .drop("factor", "offset"))
 
 
+STATUSES = ["extracted", "needs_review", "not_tracked", "confirmed", "rejected"]
+
+
 def status_counts(observations: DataFrame, skipped: DataFrame) -> DataFrame:
     """Observations of each report by status, and its skipped lines; a report with skipped lines only has its row, too."""
-    return count_statuses(observations.select("report_id", "status").unionByName(skipped.select("report_id", F.lit("skipped").alias("status"))))
+    rows = observations.select("report_id", "status").unionByName(skipped.select("report_id", F.lit("skipped").alias("status")))
+    return rows.groupBy("report_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in [*STATUSES, "skipped"]])
 
 
-def printed_statuses(printed: DataFrame, reports: DataFrame, patients: DataFrame) -> DataFrame:
-    """(report_id, status) of every printed row, ``skipped`` where it is no result: :func:`normalise` in one pass, as no skipped row has an analyte."""
-    rows = convert(match_names(printed))
-    done = recompute_egfr(rows.withColumn("_skipped", not_a_result(rows)), reports, patients)
-    return done.select("report_id", F.when(F.col("_skipped"), "skipped").otherwise(F.col("status")).alias("status"))
+def printed_status_counts(printed: DataFrame, reports: DataFrame, patients: DataFrame) -> DataFrame:
+    """:func:`status_counts` of :func:`normalise` in one pass over printed rows. No skipped row has an analyte, so the eGFR is the same beside them.
 
-
-def count_statuses(rows: DataFrame) -> DataFrame:
-    """Rows (report_id, status) counted by report."""
-    statuses = ["extracted", "needs_review", "not_tracked", "confirmed", "rejected"]
-    return rows.groupBy("report_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in [*statuses, "skipped"]])
+    Skipped lines are counted before reports are joined: of a report that is listed twice, observations count twice and skipped lines once."""
+    rows = convert(match_names(printed))
+    rows = rows.withColumn("_skipped", not_a_result(rows)).withColumn("_n", F.count_if("_skipped").over(Window.partitionBy("report_id")))
+    kept = ~F.col("_skipped")
+    return recompute_egfr(rows, reports, patients).groupBy("report_id").agg(
+        *[F.count_if(kept & (F.col("status") == s)).alias(s) for s in STATUSES], F.coalesce(F.max("_n"), F.lit(0)).alias("skipped"))

@@ -53,10 +53,12 @@ def test_egfr_reads_its_rows_once_and_null_reports_stay_apart(spark, tmp_path):
 
 
 def test_statuses_in_one_pass_are_those_of_both_parts(spark):
-    args = A.printed_results(spark, SF), A.reports(spark, SF), A.patients(spark, SF)
+    reports = A.reports(spark, SF)
+    twice = reports.unionByName(reports.filter("report_id % 3 = 0"))                     # a report that is listed twice
+    args = A.printed_results(spark, SF), twice, A.patients(spark, SF)
     two = N.status_counts(*N.normalise(*args))
-    one = N.count_statuses(N.printed_statuses(*args))
-    assert one.exceptAll(two).count() == two.exceptAll(one).count() == 0
+    one = N.printed_status_counts(*args)
+    assert one.exceptAll(two).count() == two.exceptAll(one).count() == 0 and two.filter("skipped > 0").count() > 0
 
 
 def test_line_items_are_dealt_before_they_become_results(spark):
