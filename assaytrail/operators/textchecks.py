@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -176,10 +178,11 @@ def labels_to_reports(texts: DataFrame, labels: DataFrame, keys: list[str]) -> D
 
 
 def answer_problems(answers: DataFrame, labels: DataFrame, events: DataFrame, keys: list[str], about: list[str], column: str = "content",
-                    allowed: list[str] = ()) -> DataFrame:
+                    allowed: list[str] = (), store: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """(keys, place, problem) of written answers: not JSON or of another shape, no cited key finding, banned words, labels and medication rows
-    that the facts of ``about`` (columns of the answers) do not have. ``labels``: about, label; ``events``: about, date, drug."""
-    parsed = parse(answers, column)
+    that the facts of ``about`` (columns of the answers) do not have. ``labels``: about, label; ``events``: about, date, drug. ``store`` keeps
+    the parsed answers, which every kind of problem reads."""
+    parsed = store(parse(answers, column).select(*keys, *about, "error", F.col("parsed").dropFields("_bad").alias("parsed")))
     broken = parsed.filter(F.col("error").isNotNull()).select(*keys, F.lit("answer").alias("place"), F.col("error").alias("problem"))
     own = [*keys, *about]
     shown = summary_texts(parsed, own)

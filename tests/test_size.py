@@ -78,3 +78,8 @@ def test_a_batch_of_steps_may_be_repeated(spark, tmp_path, patient):
             alerts.step_batch(part, k, folder, days)
     got = [(r.version, r.day - 19723, r.total, r.n, r.ref_day - 19723) for r in spark.read.parquet(folder).orderBy("version").collect()]
     assert got == [(1, 8, 2000000, 1, 0), (2, 4, 3000000, 1, 0), (3, 8, 2000000, 1, 4), (4, 8, 6000000, 2, 4)]
+
+
+def test_each_answer_is_parsed_once_for_all_kinds_of_problems(spark):
+    found = QUERIES["answer_problems"](spark, SF)
+    assert "from_json" not in _plan(found) and found.count() > 0                  # it reads the parsed answers that are stored
