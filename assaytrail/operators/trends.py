@@ -9,7 +9,7 @@ from ..functions import numbers as num
 from ..functions import text as tx
 from ..sources import dictionary as d
 from ..sources import dimensions as dim
-from .sequences import previous_row, within_days
+from .sequences import within_days
 from .series import NO_LAB, SERIES
 
 SLOPE_MIN_POINTS, SLOPE_MIN_DAYS = 3, 365
@@ -339,26 +339,46 @@ def points_in_windows(points: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def result_table(points: DataFrame, windows: DataFrame, slopes_df: DataFrame) -> DataFrame:
-    """Points in order with the raw change from the previous one and their part in the trend."""
+    """Points in order with the raw change from the previous one and their part in the trend.
+
+    Points are dealt by series and day, once. What a day takes from its series (the value before it, the windows that hold it, the line) is
+    put on one row a day and comes back to the points by series and day, so points are not dealt by series alone.
+    """
     order = ["date", "report_id", "page", "line", "observation_id"]
-    rows = previous_row(points, SERIES, "date", order, ["value"])
-    covered = window_days(points, windows)
-    raw = (F.col("value") - F.col("prev_value")) / F.nullif(F.col("prev_value"), F.lit(0.0)) * 100
-    rows = (rows.join(covered, [*SERIES, "date"]).join(
-        slopes_df.select(*SERIES, "first_used", "last_used"), SERIES, "left")
-        .withColumn("change_vs_previous", raw))
+    day = [*SERIES, "date"]
+    # Both ways read the same rows and columns of the dealt points (so the comparator here), or Spark would deal them twice.
+    last, end = F.struct("value", "comparator"), F.struct("_end.value").alias("_end")
+    dealt = points.filter(" AND ".join(f"{c} IS NOT NULL" for c in day)).repartition(*day)
+    rows = dealt.withColumn("_near", F.lag(last).over(Window.partitionBy(*day).orderBy(*order)))
+    ends = dealt.groupBy(*day).agg(F.max_by(last, F.struct(*order)).alias("_end")).select(*day, end)
+    # Points without a date are no rows of the table; the last of them is the value before the first day.
+    undated = points.filter("date IS NULL").groupBy(*day).agg(F.max_by(last, F.struct(*order)).alias("_end")).select(*day, end)
+    ends = ends.unionByName(undated)
+    earlier = Window.partitionBy(*SERIES).orderBy("date", "_is_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = (_windows_held(ends, windows, F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
+            .join(slopes_df.select(*SERIES, "first_used", "last_used"), SERIES, "left"))
+    prev = F.when(F.col("_near").isNotNull(), F.col("_near.value")).otherwise(F.col("_carry.value"))
+    raw = (F.col("value") - prev) / F.nullif(prev, F.lit(0.0)) * 100
     used = F.col("comparator").isNull() & (F.col("date") >= F.col("first_used"))
     part = (F.when(used, "Yes").when(F.col("n_windows") > 0, "Drug window")
             .when(F.col("date") < F.col("first_used"), "Before drug windows").otherwise("No"))
-    return rows.withColumn("in_trend", part).drop("first_used", "last_used")
+    return rows.join(days, day).withColumns({"prev_value": prev, "change_vs_previous": raw, "in_trend": part}).drop(
+        "_near", "_carry", "first_used", "last_used")
+
+
+def _windows_held(days: DataFrame, windows: DataFrame, *more: Column) -> DataFrame:
+    """``days`` (one row a series and day) with ``n_windows``, the windows that hold the day, and ``more``, windows over the days before.
+
+    A running sum of openings minus closings, both counted by day first, as events are not bounded by the calendar."""
+    marks = windows.select(*SERIES, F.explode(F.array(
+        F.struct(F.col("window_start").alias("date"), F.lit(1).alias("d")), F.struct(F.date_add("window_end", 1).alias("date"), F.lit(-1).alias("d")))).alias("m"))
+    marks = marks.groupBy(*SERIES, F.col("m.date").alias("date")).agg(F.sum("m.d").alias("_d"))
+    both = days.withColumn("_is_day", F.lit(1)).unionByName(marks.withColumn("_is_day", F.lit(0)), allowMissingColumns=True)
+    # The frame ends with the rows of the same day, a day's own openings and closings among them.
+    held = F.coalesce(F.sum("_d").over(Window.partitionBy(*SERIES).orderBy("date")), F.lit(0).cast("bigint")).alias("n_windows")
+    return both.select(*days.columns, "_is_day", held, *more).filter(F.col("_is_day") == 1).drop("_is_day", "_d", "_end")
 
 
 def window_days(points: DataFrame, windows: DataFrame) -> DataFrame:
     """How many effect windows hold each day with a point: a running sum of openings minus closings."""
-    marks = points.select(*SERIES, "date", F.lit(1).alias("is_day"), F.lit(0).alias("d")).unionByName(
-        windows.select(*SERIES, F.col("window_start").alias("date"), F.lit(0).alias("is_day"), F.lit(1).alias("d"))
-    ).unionByName(windows.select(*SERIES, F.date_add("window_end", 1).alias("date"), F.lit(0).alias("is_day"),
-                                 F.lit(-1).alias("d")))
-    daily = marks.groupBy(*SERIES, "date").agg(F.max("is_day").alias("is_day"), F.sum("d").alias("d"))
-    w = Window.partitionBy(*SERIES).orderBy("date")
-    return daily.withColumn("n_windows", F.sum("d").over(w)).filter(F.col("is_day") == 1).drop("is_day", "d")
+    return _windows_held(points.select(*SERIES, "date").distinct(), windows)

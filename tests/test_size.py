@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from assaytrail.operators import normalise as N
 from assaytrail.operators import quality as Q
 from assaytrail.operators import tagging as G
+from assaytrail.operators import trends as T
 from assaytrail.plans.queries import QUERIES
 from assaytrail.sources import adapters as A
 from assaytrail.streaming import alerts, refresh
@@ -83,3 +84,21 @@ def test_a_batch_of_steps_may_be_repeated(spark, tmp_path, patient):
 def test_each_answer_is_parsed_once_for_all_kinds_of_problems(spark):
     found = QUERIES["answer_problems"](spark, SF)
     assert "from_json" not in _plan(found) and found.count() > 0                  # it reads the parsed answers that are stored
+
+
+def test_points_of_the_result_table_are_dealt_once(spark, tmp_path):
+    def point(k, day, value, patient=1, comparator=None):
+        return (patient, "potassium", f"o{k}", k, dt.date(2024, 1, day) if day else None, value, comparator, "A", 1, 1)
+
+    rows = [point(1, None, 4.0), point(2, 3, 5.0), point(3, 3, 6.0, comparator="<"), point(4, 9, 3.0), point(5, 9, 0.0), point(6, 20, 2.0), point(7, 1, 1.0, None),
+            point(6, 20, 2.0)]
+    spark.createDataFrame(rows, refresh.POINTS).write.parquet(f"{tmp_path}/points")
+    windows = spark.createDataFrame([(1, "potassium", dt.date(2024, 1, 9), dt.date(2024, 1, 19)), (1, "potassium", None, None)],
+                                    "patient_id bigint, analyte_id string, window_start date, window_end date")
+    slopes = spark.createDataFrame([(1, "potassium", dt.date(2024, 1, 9), dt.date(2024, 1, 20))], "patient_id bigint, analyte_id string, first_used date, last_used date")
+    out = T.result_table(spark.read.parquet(f"{tmp_path}/points"), windows, slopes).select(
+        "observation_id", "prev_value", "change_vs_previous", "n_windows", "in_trend")
+    got = sorted((r.observation_id, r.prev_value, r.n_windows, r.in_trend) for r in out.collect())
+    assert got == [("o2", 4.0, 0, "Before drug windows"), ("o3", 5.0, 0, "Before drug windows"), ("o4", 6.0, 1, "Yes"), ("o5", 3.0, 1, "Yes"),
+                   ("o6", 0.0, 0, "Yes"), ("o6", 2.0, 0, "Yes")]
+    assert "ReusedExchange" in _plan(out)
