@@ -1,6 +1,7 @@
 """What a query moves and how often it reads its input, and results beside a plain way to get them."""
 import datetime as dt
 import itertools
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from assaytrail.operators import normalise as N
 from assaytrail.operators import quality as Q
 from assaytrail.operators import tagging as G
 from assaytrail.operators import trends as T
+from assaytrail.plans.lab import Lab
 from assaytrail.plans.queries import QUERIES
 from assaytrail.sources import adapters as A
 from assaytrail.streaming import alerts, refresh
@@ -102,3 +104,15 @@ def test_points_of_the_result_table_are_dealt_once(spark, tmp_path):
     assert got == [("o2", 4.0, 0, "Before drug windows"), ("o3", 5.0, 0, "Before drug windows"), ("o4", 6.0, 1, "Yes"), ("o5", 3.0, 1, "Yes"),
                    ("o6", 0.0, 0, "Yes"), ("o6", 2.0, 0, "Yes")]
     assert "ReusedExchange" in _plan(out)
+
+
+def test_stored_points_feed_every_batch_of_the_streams(spark, monkeypatch):
+    reads = []
+    monkeypatch.setattr(A, "observations", lambda *args, plain=A.observations: reads.append(1) or plain(*args))
+    written = []
+    monkeypatch.setattr(refresh, "start_refresh", lambda spark, source, *rest: written.append(source) or SimpleNamespace(awaitTermination=lambda: None))
+    monkeypatch.setattr(refresh, "current_flags", lambda spark, folder: spark.read.parquet(f"{folder}/incoming").selectExpr(
+        "patient_id", *[f"'' {c}" for c in ("flag_id", "level", "direction", "effect_event", "target_direction", "cross_lab")]))
+    out = QUERIES["stream_refresh"](spark, SF)
+    points = Lab.from_given_tables(spark, SF).points
+    assert len(written) == 4 and len(reads) == 2 and out.count() == points.count()
