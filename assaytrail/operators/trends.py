@@ -133,17 +133,17 @@ def with_expected_effect(flags_df: DataFrame, windows: DataFrame) -> DataFrame:
                       "drug_class", "direction", "max_percent", "effect_note", "class_short_name", "window_start",
                       "window_end")
     right = starts.select(*SERIES, F.col("window_end").alias("_t"), F.lit(0).alias("_side"), window.alias("_w"))
-    left = flags_df.select(*SERIES, F.col("date").alias("_t"), F.lit(1).alias("_side"),
-                           F.struct(*flags_df.columns).alias("_f"))
+    # Columns of a flag stay columns, not one packed row: Spark leaves out, down to the series, those that a result does not use.
+    left = flags_df.withColumns({"_t": F.col("date"), "_side": F.lit(1)})
     w = Window.partitionBy(*SERIES).orderBy(F.col("_t").desc(), "_side").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     classes = list(d.lists(d.GENERICS))
-    both = left.unionByName(right, allowMissingColumns=True).select("_f", F.array(*[
+    both = left.unionByName(right, allowMissingColumns=True).select(*flags_df.columns, "_side", F.array(*[
         F.last(F.when(F.col("_w.drug_class") == name, F.col("_w")), ignorenulls=True).over(w) for name in classes]
     ).alias("_near"))
-    holds = F.filter("_near", lambda n: n.isNotNull() & (n["direction"] == F.col("_f.direction"))
-                     & (n["window_start"] <= F.col("_f.date")))
-    rows = both.filter(F.col("_f").isNotNull()).select("_f.*", F.array_min(holds).alias("_w"))
+    holds = F.filter("_near", lambda n: n.isNotNull() & (n["direction"] == F.col("direction"))
+                     & (n["window_start"] <= F.col("date")))
+    rows = both.filter("_side = 1").select(*flags_df.columns, F.array_min(holds).alias("_w"))
     above = F.abs("change_percent") > F.col("_w.max_percent")
     limit = F.col("_w.max_percent").cast("int").cast("string")
     note = (F.when(F.col("_w.max_percent").isNull(), F.col("_w.effect_note"))

@@ -116,3 +116,21 @@ def test_stored_points_feed_every_batch_of_the_streams(spark, monkeypatch):
     out = QUERIES["stream_refresh"](spark, SF)
     points = Lab.from_given_tables(spark, SF).points
     assert len(written) == 4 and len(reads) == 2 and out.count() == points.count()
+
+
+def test_flags_with_their_effects_read_only_what_a_result_uses(spark, tmp_path):
+    day = dt.date(2020, 3, 1)
+    flags = [(1, "hba1c", "RCV_PREV", "change", day, "rise", 20.0, "previous result"), (1, "hba1c", "RCV_BASELINE", "guideline", day, "rise", 30.0, "baseline"),
+             (None, "hba1c", "RCV_PREV", "change", day, "fall", -20.0, "previous result")]
+    spark.createDataFrame(flags, "patient_id bigint, analyte_id string, rule_id string, level string, date date, direction string, change_percent double, "
+                                 "compared_with string").write.parquet(f"{tmp_path}/flags")
+    windows = spark.createDataFrame(
+        [(p, "hba1c", "biguanide", 7, "Metformin", dt.date(2020, 1, 1), way, None, "note", "metformin", dt.date(2020, 2, 1), dt.date(2020, 6, 1))
+         for p, way in ((1, "rise"), (None, "fall"))],
+        "patient_id bigint, analyte_id string, drug_class string, event_id bigint, drug string, date date, direction string, max_percent double, "
+        "effect_note string, class_short_name string, window_start date, window_end date")
+    rows = T.with_expected_effect(spark.read.parquet(f"{tmp_path}/flags"), windows)
+    assert {(r.patient_id, r.rule_id, r.compared_with, r.expected_effect, r.effect_event) for r in rows.collect()} == {
+        (1, "RCV_PREV", "previous result", "note", 7), (1, "RCV_BASELINE", "baseline", None, None), (None, "RCV_PREV", "previous result", "note", 7)}
+    read = [x for x in _plan(rows.select("patient_id", "expected_effect")).splitlines() if "ReadSchema" in x]
+    assert len(read) == 1 and "compared_with" not in read[0] and "rule_id" not in read[0]
