@@ -134,3 +134,14 @@ def test_flags_with_their_effects_read_only_what_a_result_uses(spark, tmp_path):
         (1, "RCV_PREV", "previous result", "note", 7), (1, "RCV_BASELINE", "baseline", None, None), (None, "RCV_PREV", "previous result", "note", 7)}
     read = [x for x in _plan(rows.select("patient_id", "expected_effect")).splitlines() if "ReadSchema" in x]
     assert len(read) == 1 and "compared_with" not in read[0] and "rule_id" not in read[0]
+
+
+def test_stored_frames_hold_the_columns_that_are_used(spark):
+    day = dt.date(2020, 1, 1)
+    observations = spark.createDataFrame([(1, None, 1, "confirmed", "a", "tsh", 2.0, 1), (1, "<", 1, "confirmed", "b", "tsh", 1.0, 2)],
+                                         "report_id bigint, comparator string, page int, status string, observation_id string, analyte_id string, canonical_value double, line int")
+    reports = spark.createDataFrame([(1, 5, "Lab A", day, "confirmed")], "report_id bigint, patient_id bigint, lab string, collected_at date, status string")
+    patients = spark.createDataFrame([(5,)], "patient_id bigint")
+    lab = Lab(patients, reports, observations, None, "2020-01-01").stored("points", days=["patient_id", "date", "value"])
+    assert set(lab.points.columns) >= {"observation_id", "page", "line"} and lab.days.columns == ["patient_id", "date", "value"]
+    assert [tuple(r) for r in lab.days.collect()] == [(5, day, 2.0)] and lab.points.count() == 2
