@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ FIELD_WORD = r"^(?i)(no|id|code|ref|number|num|#)\.?:?$"
 NAME_WORDS, TAIL_WORDS, HEAD_LINES = 4, 3, 15
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that it names several times; the value is worked out once, also inside a lambda, where no column can be added."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def parse_date(text: Column, as_of: str) -> Column:
     """The date a text starts with, or null when it is no calendar date or not plausible at ``as_of``."""
     def part(pattern: str, group: int) -> Column:
@@ -43,9 +50,13 @@ def parse_date(text: Column, as_of: str) -> Column:
     month = F.when(is_iso, part(iso, 2)).when(is_num, F.when(swapped, first).otherwise(second)).otherwise(month_no)
     short = F.when(is_num, part(numeric, 3)).otherwise(part(textual, 3))
     year = F.when(is_iso, part(iso, 1)).when(short < 100, short + 2000).otherwise(short)
-    date = F.try_to_timestamp(F.format_string("%04d-%02d-%02d", year, month, day), F.lit("yyyy-MM-dd")).cast("date")
-    date = F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), date)
-    return F.when((F.year(date) >= EARLIEST_YEAR) & (date <= F.lit(as_of).cast("date")), date)
+
+    def date_of(p: Column) -> Column:
+        date = F.try_to_timestamp(F.format_string("%04d-%02d-%02d", p["y"], p["m"], p["d"]), F.lit("yyyy-MM-dd")).cast("date")
+        return F.when(p["y"].isNotNull() & p["m"].isNotNull() & p["d"].isNotNull(), date)
+
+    return _once(_once(F.struct(year.alias("y"), month.alias("m"), day.alias("d")), date_of), lambda date: F.when(
+        (F.year(date) >= EARLIEST_YEAR) & (date <= F.lit(as_of).cast("date")), date))
 
 
 def labelled_dates(lines: DataFrame, as_of: str) -> DataFrame:
@@ -68,9 +79,8 @@ def labelled_dates(lines: DataFrame, as_of: str) -> DataFrame:
 
 def lab_in_line(text: Column, name_words: int = NAME_WORDS, tail_words: int = TAIL_WORDS) -> Column:
     """First "<Name> Diagnostics/Labs/Healthcare ..." phrase of a line; lines naming a doctor have none."""
-    tokens = F.filter(F.transform(F.split(text, r"\s+"), lambda t: F.regexp_replace(t, r"^[:(),;]+|[:(),;]+$", "")),
-                      lambda t: t != "")
-    n = F.size(tokens)
+    words = F.filter(F.transform(F.split(text, r"\s+"), lambda t: F.regexp_replace(t, r"^[:(),;]+|[:(),;]+$", "")),
+                     lambda t: t != "")
 
     def leading(items: Column, keep) -> Column:
         """Number of leading items for which ``keep`` holds."""
@@ -80,19 +90,24 @@ def lab_in_line(text: Column, name_words: int = NAME_WORDS, tail_words: int = TA
     def names(t: Column) -> Column:
         return t.rlike(r"^\p{Lu}") & ~t.rlike(LAB_STOP) & ~t.rlike(r"\d")
 
-    def phrase(i: Column) -> Column:
-        size = F.least(i - 1, F.lit(name_words))
-        before = F.reverse(F.slice(tokens, i - size, size))
-        after = F.slice(tokens, i + 1, F.lit(tail_words))
-        back = leading(before, names)
-        tail = leading(after, lambda t: t.rlike(LAB_TAIL))
-        ok = (F.element_at(tokens, i).rlike(LAB_SUFFIX) & (back > 0)
-              & ~F.coalesce(F.try_element_at(tokens, i + 1).rlike(FIELD_WORD), F.lit(False)))
-        return F.when(ok, F.array_join(F.slice(tokens, i - back, back + 1 + tail), " "))
-
-    found = F.when((n >= 2) & ~text.rlike(r"(?i)\bdr\b\.?"),
-                   F.filter(F.transform(F.sequence(F.lit(2), n), phrase), lambda x: x.isNotNull()))
-    return F.try_element_at(found, F.lit(1))
+    def first_name(tokens: Column) -> Column:
+        n = F.size(tokens)
+
+        def ends(i: Column) -> Column:
+            return F.element_at(tokens, i).rlike(LAB_SUFFIX) & ~F.coalesce(F.try_element_at(tokens, i + 1).rlike(FIELD_WORD), F.lit(False))
+
+        def phrase(i: Column) -> Column:
+            size = F.least(i - 1, F.lit(name_words))
+            before = F.reverse(F.slice(tokens, i - size, size))
+            after = F.slice(tokens, i + 1, F.lit(tail_words))
+            tail = leading(after, lambda t: t.rlike(LAB_TAIL))
+            return _once(leading(before, names), lambda back: F.when(back > 0, F.array_join(F.slice(tokens, i - back, back + 1 + tail), " ")))
+
+        # Names are looked for around the few words that can end one.
+        found = F.filter(F.transform(F.filter(F.sequence(F.lit(2), n), ends), phrase), lambda x: x.isNotNull())
+        return F.when(n >= 2, F.try_element_at(found, F.lit(1)))
+
+    return F.when(~text.rlike(r"(?i)\bdr\b\.?"), _once(words, first_name))
 
 
 def labs(lines: DataFrame, head_lines: int | None = HEAD_LINES, name_words: int = NAME_WORDS, tail_words: int = TAIL_WORDS) -> DataFrame:

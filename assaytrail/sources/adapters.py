@@ -190,7 +190,9 @@ def printed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def header_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines above a report's table: lab, patient, dates in several forms."""
+    """The lines above a report's table: lab, patient, dates in several forms.
+
+    Orders are dealt by report as the pages are, before they become lines: reading names and dates in them is work, and a scan is one task."""
     date = _scaled_date()
     key = F.col("o_orderkey")
     form = key % 7
@@ -208,8 +210,8 @@ def header_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = (F.when(key % 5 == 0, "Vedhya Diagnostic Centre").when(key % 5 == 1, "Tel No :12345 Sample :EXAMPLE HEALTHCARE LTD")
            .when(key % 5 == 2, "Lab Director").when(key % 5 == 3, "Ref by Dr. Sunrise Clinic").otherwise("Sai Krupa Path Labs, Pune"))
     rows = F.array(*[F.struct(F.lit(i).alias("line"), t.alias("text")) for i, t in enumerate((lab, collected, reported), 1)])
-    return read(spark, sf_dir, "orders").select(key.alias("doc_id"), F.lit(1).alias("page"), F.explode(rows).alias("r")).select(
-        "doc_id", "page", "r.line", "r.text")
+    orders = dealt(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), read(spark, sf_dir, "lineitem").count(), "o_orderkey")
+    return orders.select(key.alias("doc_id"), F.lit(1).alias("page"), F.explode(rows).alias("r")).select("doc_id", "page", "r.line", "r.text")
 
 
 # --- Sentences about a report: what stands for {v} is a rounding, {w} a wrong number, {n} a label number ----------------
