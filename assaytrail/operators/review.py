@@ -39,28 +39,31 @@ def apply_review(observations: DataFrame, edits: DataFrame, adds: DataFrame, rep
                  patients: DataFrame) -> DataFrame:
     """Observations after the batch, eGFR recomputed. Rows without an edit pass through unchanged."""
     columns = observations.columns
-    e = edits.select("observation_id", *[F.col(c).alias(f"e_{c}") for c in edits.columns if c != "observation_id"])
-    joined = observations.join(e, "observation_id", "left").withColumn("_touched", F.col("e_reject").isNotNull())
-    untouched = joined.filter(~F.col("_touched")).select(*columns)
-    rejected = (joined.filter(F.col("_touched") & F.col("e_reject")).withColumn("status", F.lit("rejected"))
-                .withColumn("status_reason", F.lit("rejected by the doctor"))
-                .withColumn("canonical_value", F.lit(None).cast("double")).select(*columns))
-    work = (joined.filter(F.col("_touched") & ~F.col("e_reject"))
-            .withColumn("value_text", F.coalesce(F.trim("e_value_text"), "value_text"))
-            .withColumn("unit_text", F.coalesce(F.trim("e_unit_text"), "unit_text")))
+    c = F.col
+    e = edits.select("observation_id", *[c(x).alias(f"e_{x}") for x in edits.columns if x != "observation_id"])
+    # All rows stay one frame, so that they are dealt by id once; a row without work has no name and no value to normalise.
+    rows = observations.join(e, "observation_id", "left").withColumn("_touched", c("e_reject").isNotNull())
+    rows = rows.withColumn("_work", c("_touched") & ~c("e_reject"))
     sets = F.coalesce("e_sets_analyte", F.lit(False))
-    unmapped = (sets & F.col("e_analyte_id").isNull()) | (~sets & F.coalesce(F.col("match") == "doctor", F.lit(False))
-                                                          & F.col("analyte_id").isNull())
-    work = work.withColumn("_unmapped", unmapped).withColumn("_choice", F.when(sets, F.col("e_analyte_id")).when(
-        F.col("match") == "doctor", F.col("analyte_id")))
-    edited = normalise_chosen(work, "_choice")
-    none = F.lit(None).cast("string")
-    marks: dict[str, Column] = {"analyte_id": none, "match": F.lit("doctor"), "canonical_unit": none,
-                                "canonical_value": F.lit(None).cast("double"), "status": F.lit("not_tracked"),
-                                "status_reason": F.lit("marked not tracked by the doctor")}
-    for c, v in marks.items():
-        edited = edited.withColumn(c, F.when(F.col("_unmapped"), v).otherwise(F.col(c)))
-    out = untouched.unionByName(rejected).unionByName(edited.select(*columns))
+    unmapped = (sets & c("e_analyte_id").isNull()) | (~sets & F.coalesce(c("match") == "doctor", F.lit(False)) & c("analyte_id").isNull())
+    texts = {"value_text": F.coalesce(F.trim("e_value_text"), "value_text"), "unit_text": F.coalesce(F.trim("e_unit_text"), "unit_text")}
+    kept = [x for x in columns if x in STATE or x == "test_text" or x in texts]
+    rows = rows.withColumns({
+        "_unmapped": c("_work") & unmapped, "_choice": F.when(c("_work"), F.when(sets, c("e_analyte_id")).when(c("match") == "doctor", c("analyte_id"))),
+        **{f"_old_{x}": c(x) for x in kept}, "test_text": F.when(c("_work"), c("test_text")), **{x: F.when(c("_work"), v) for x, v in texts.items()}})
+    rows = normalise_chosen(rows, "_choice")
+    none, nothing = F.lit(None).cast("string"), F.lit(None).cast("double")
+    marks: dict[str, Column] = {"analyte_id": none, "match": F.lit("doctor"), "canonical_unit": none, "canonical_value": nothing,
+                                "status": F.lit("not_tracked"), "status_reason": F.lit("marked not tracked by the doctor")}
+    refused: dict[str, Column] = {"status": F.lit("rejected"), "status_reason": F.lit("rejected by the doctor"), "canonical_value": nothing}
+
+    def after(x: str) -> Column:
+        old = c(f"_old_{x}")
+        new = old if x == "test_text" else F.when(c("_unmapped"), marks[x]).otherwise(c(x)) if x in marks else c(x)
+        other = F.when(c("_touched"), refused[x]).otherwise(old) if x in refused else old
+        return F.when(c("_work"), new).otherwise(other).alias(x)
+
+    out = rows.select(*[after(x) if x in kept else c(x) for x in columns])
     accepted = adds.join(refused_adds(observations, adds), ["report_id", "page", "line"], "left_anti")
     added = normalise_chosen(accepted.withColumnRenamed("analyte_id", "_choice"), "_choice")
     added = added.select(*[c for c in columns if c in added.columns])

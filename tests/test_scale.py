@@ -1,10 +1,17 @@
 """How work is dealt and how often it is done, on rows of the tests' own."""
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
 from assaytrail.operators import metadata as M
+from assaytrail.operators import normalise as N
+from assaytrail.operators import response as R
+from assaytrail.operators import review as V
+from assaytrail.operators import trends as T
 from assaytrail.sources import adapters as A
+from assaytrail.streaming import refresh
+from tests.test_normalise import people, printed
 
 
 def _plan(df):
@@ -32,3 +39,65 @@ def test_lines_above_a_table_are_read_by_many_tasks_and_tokens_once(spark, tmp_p
            "One Two Three Four Five Hospital": "Two Three Four Five Hospital", "Delta Labs Mr. Dr X": None, "dr": None}
     rows = spark.createDataFrame([(t,) for t in odd], "text string").select("text", name.alias("lab"))
     assert {r.text: r.lab for r in rows.collect()} == odd
+
+
+def test_a_review_deals_observations_once(spark, tmp_path):
+    reports, patients = people(spark)
+    names = [("Creatinine", "1.0", "mg/dL", ""), ("TSH", "abc", "mIU/L", ""), ("Glucose", "100", "mg/dL", ""), ("Urea", "30", "mg/dL", ""), ("Sodium", "140", "mEq/L", ""),
+             ("TSH", "2", "mIU/L", "")]
+    first = N.normalise(printed(spark, names), reports, patients)[0].drop("candidates").withColumn("edited", F.lit(False))
+    first.withColumn("observation_id", F.when(F.col("line") != 5, F.col("observation_id"))).write.parquet(f"{tmp_path}/seen")
+    seen = spark.read.parquet(f"{tmp_path}/seen")
+    edits = spark.createDataFrame([(2, False, " 2.5 ", None, False, None), (3, False, None, None, True, "fasting_glucose"), (4, True, "9", "x", True, "tsh"),
+                                   (6, False, None, None, True, None), (None, True, None, None, False, None)], V.EDITS)
+    out = V.apply_review(seen, edits, spark.createDataFrame([], V.ADDS), reports, patients)
+    assert _plan(out).count("hashpartitioning(observation_id") <= 2                     # the observations and the edits
+    assert out.columns == seen.columns
+    got = {r.line: (r.test_text, r.value_text, r.unit_text, r.analyte_id, r.match, r.status, r.canonical_value, r.edited) for r in out.collect()}
+    assert got == {1: ("Creatinine", "1.0", "mg/dL", "creatinine", "exact", "extracted", 1.0, False), 2: ("TSH", "2.5", "mIU/L", "tsh", "exact", "extracted", 2.5, False),
+                   3: ("Glucose", "100", "mg/dL", "fasting_glucose", "doctor", "extracted", 100.0, False),
+                   4: ("Urea", "30", "mg/dL", "urea", "exact", "rejected", None, False), 5: ("Sodium", "140", "mEq/L", "sodium", "exact", "extracted", 140.0, False),
+                   6: ("TSH", "2", "mIU/L", None, "doctor", "not_tracked", None, False)}
+
+
+def test_evidence_reads_points_and_flags_once(spark, tmp_path):
+    day = [dt.date(2020, 1, d) for d in range(1, 9)]
+    points = [(1, "egfr", f"o{i}", i, day[i], 50.0 - i, "<" if i == 3 else None, "A", 1, 1) for i in range(6)] + [(None, "egfr", "n", 9, day[5], 1.0, None, "A", 1, 1),
+                                                                                                              (1, "egfr", "again", 10, day[5], 1.0, None, "A", 1, 1)]
+    spark.createDataFrame(points, refresh.POINTS).write.parquet(f"{tmp_path}/points")
+    flags = [(1, "egfr", "a", day[5], day[4], day[4], "RCV_PREV"), (1, "egfr", "b", day[5], day[0], day[2], "RCV_BASELINE"), (1, "egfr", "c", day[5], day[1], day[5], "KDIGO_RAPID_EGFR"),
+             (None, "egfr", "d", day[5], day[4], day[5], "RCV_PREV"), (1, "egfr", "e", None, None, None, "RCV_PREV")]
+    spark.createDataFrame(flags, "patient_id bigint, analyte_id string, flag_id string, date date, ref_first date, ref_last date, rule_id string").write.parquet(f"{tmp_path}/flags")
+    out = T.flag_evidence(spark.read.parquet(f"{tmp_path}/flags"), spark.read.parquet(f"{tmp_path}/points"))
+    assert _plan(out).count("FileScan") == 2
+    assert sorted((r.flag_id, r.role, r.observation_id) for r in out.collect()) == sorted(
+        [("a", "from", "o4"), *[(f, "to", o) for f in "ab" for o in ("o5", "again")], *[("b", "from", f"o{i}") for i in range(3)],
+         *[("c", "from", o) for o in ("o1", "o2", "o4", "o5", "again")]])
+
+
+def test_results_around_events_beside_a_plain_search(spark, tmp_path):
+    rng = random.Random(5)
+    date = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=n)
+    days = {(p, a): {date(n): float(n) for n in rng.sample(range(300), rng.randint(0, 12))} for p in range(12) for a in ("tsh", "egfr")}
+    rows = [(p, a, d, v, f"L{int(v) % 3}", f"L{int(v) % 3}") for (p, a), series in days.items() for d, v in series.items()]
+    rows += [(None, "tsh", date(3), 1.0, "x", "x"), (1, "tsh", None, 7.0, "x", "x")]
+    spark.createDataFrame(rows, "patient_id bigint, analyte_id string, date date, value double, lab_lo string, lab_hi string").write.parquet(f"{tmp_path}/days")
+    events = [(p, a, c, n, date(n), date(n + 20), date(n + 60)) for p in range(12) for a in ("tsh", "egfr") for c, n in {(rng.choice("xy"), rng.randint(0, 300)) for _ in range(5)}]
+    events += [(1, "tsh", "x", -1, None, None, None), (None, "tsh", "x", -2, date(3), date(4), date(9)), *events[:3]]
+    effects = spark.createDataFrame(events, "patient_id bigint, analyte_id string, drug_class string, n int, date date, window_start date, window_end date")
+    stored = spark.read.parquet(f"{tmp_path}/days")
+    out = R.before_and_after(effects, stored)
+
+    def plain(p, a, at, start, end):
+        earlier = [e[4] for e in events if e[:2] == (p, a) and e[4] and e[4] < at]
+        since, series = max(earlier, default=dt.date.min), days[p, a]
+        before = [series[d] for d in sorted((d for d in series if d <= at), reverse=True)[:3] if (at - d).days <= R.LOOK_BACK_DAYS and d > since]
+        after = min((d for d in series if d >= start), default=None)
+        return before, after if after and after <= end else None, after is None
+
+    got = [(r.patient_id, r.analyte_id, r.drug_class, r.date, [b.value for b in r.before], r.after_date, r.too_early, r.after_value) for r in out.collect()]
+    expected = {(p, a, c, d): plain(p, a, d, s, e) for p, a, c, _, d, s, e in events if p is not None and d}
+    assert len(got) == len(expected)
+    assert {g[:4]: g[4:7] for g in got} == expected and all(g[7] == (days[g[:2]][g[5]] if g[5] else None) for g in got)
+    reads = [x for x in _plan(out.select("patient_id", "date", "after_date")).splitlines() if "ReadSchema" in x]
+    assert len(reads) == 1 and "value" not in reads[0]                              # days are read once, without what is not used
