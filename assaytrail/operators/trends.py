@@ -275,13 +275,13 @@ def flag_evidence(flags: DataFrame, points: DataFrame) -> DataFrame:
     Baseline days and the days of a slope are those between ``ref_first`` and ``ref_last``.
     """
     values = points.filter(F.col("comparator").isNull()).select(*SERIES, "date", "observation_id", "report_id")
-    key = flags.select(*SERIES, "flag_id", F.col("date").alias("flag_date"), "ref_first", "ref_last", "rule_id")
-    to_rows = (key.filter(F.col("rule_id") != "KDIGO_RAPID_EGFR").withColumn("date", F.col("flag_date"))
-               .join(values, [*SERIES, "date"]).withColumn("role", F.lit("to")))
-    spans = key.withColumn("role", F.lit("from"))
-    from_rows = within_days(values, spans, SERIES, "date", "ref_first", "ref_last", bucket_days=256)
-    columns = ["patient_id", "analyte_id", "flag_id", "role", "date", "observation_id", "report_id"]
-    return to_rows.select(*columns).unionByName(from_rows.select(*columns))
+    # The flagged day is a span of one day, so results are dealt and flags are worked out once for both roles.
+    roles = F.array_compact(F.array(
+        F.when(F.col("rule_id") != "KDIGO_RAPID_EGFR", F.struct(F.lit("to").alias("role"), F.col("date").alias("span_first"), F.col("date").alias("span_last"))),
+        F.struct(F.lit("from").alias("role"), F.col("ref_first").alias("span_first"), F.col("ref_last").alias("span_last"))))
+    spans = flags.select(*SERIES, "flag_id", F.explode(roles).alias("_r")).select(*SERIES, "flag_id", "_r.*")
+    return within_days(values, spans, SERIES, "date", "span_first", "span_last", bucket_days=256).select(
+        "patient_id", "analyte_id", "flag_id", "role", "date", "observation_id", "report_id")
 
 
 def lab_change_reports(flags: DataFrame, points: DataFrame) -> DataFrame:
