@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as num
@@ -20,24 +20,32 @@ EVENT_DAY = [*SERIES, "drug_class", "date"]
 def before_and_after(effects: DataFrame, days: DataFrame) -> DataFrame:
     """One row per series, class and event day with the results around it.
 
-    Events are first reduced to one row per class and day, then looked up in the daily series: the last
-    results up to the event (with the two before that carried along), the first result from the start of the
-    window, and the last affecting event before this one, which earlier results must not precede.
+    Events are first reduced to one row per class and day, then looked up in the daily series: the last three
+    results up to the event, the first result from the start of the window, and the last affecting event before this one, which
+    earlier results must not precede. Event days and days are dealt by series once for all of these; each stays a column of its own, so
+    what a result does not use is neither looked up nor moved.
     """
-    event_days = effects.select(*EVENT_DAY, "window_start", "window_end").distinct()
-    by_date = Window.partitionBy(*SERIES).orderBy("date")
-    trail = days.select(*SERIES, F.col("date").alias("day"), "value", "lab_lo", "lab_hi")
-    w = Window.partitionBy(*SERIES).orderBy("day")
-    here = F.struct("day", "value", "lab_lo", "lab_hi")
-    trail = trail.select(*SERIES, "day", here.alias("b1"), F.lag(here, 1).over(w).alias("b2"),
-                         F.lag(here, 2).over(w).alias("b3"))
-    dates = effects.select(*SERIES, "date").distinct().withColumn("since", F.lag("date").over(by_date))
-    found = asof(event_days.join(dates, [*SERIES, "date"]), trail, SERIES, F.col("date"), F.col("day"),
-                 ["b1", "b2", "b3"])
-    first_after = days.select(*SERIES, F.col("date").alias("after_date"), F.col("value").alias("after_value"),
-                              F.col("lab_lo").alias("after_lab_lo"), F.col("lab_hi").alias("after_lab_hi"))
-    found = asof(found, first_after, SERIES, F.col("window_start"), F.col("after_date"),
-                 ["after_date", "after_value", "after_lab_lo", "after_lab_hi"], "forward")
+    c = F.col
+    known = " AND ".join(f"{x} IS NOT NULL" for x in (*SERIES, "date"))
+    event_days = effects.filter(known).select(*SERIES, c("date").alias("_t"), "drug_class", "window_start", "window_end", F.lit(1).alias("_side")).distinct()
+    both = days.filter(known).select(*SERIES, c("date").alias("_t"), "value", "lab_lo", "lab_hi", F.lit(0).alias("_side")).unionByName(
+        event_days, allowMissingColumns=True).repartition(*SERIES)
+    # What rows are packed into follows the deal, so that it is not moved.
+    is_day, series = c("_side") == 0, Window.partitionBy(*SERIES)
+    both = both.withColumns({"_here": F.when(is_day, F.struct(c("_t").alias("day"), "value", "lab_lo", "lab_hi")), "_from": F.coalesce("window_start", "_t")})
+    ahead = series.orderBy(c("_from").desc(), "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def result(n: int) -> Column:
+        return F.expr(f"lag(_here, {n}) IGNORE NULLS OVER (PARTITION BY {', '.join(SERIES)} ORDER BY _t, _side)").alias(f"b{n}")
+
+    def first_after(x: str, out: str) -> Column:
+        return F.last(F.when(is_day, F.struct(c(x).alias("x"))), ignorenulls=True).over(ahead)["x"].alias(out)
+
+    found = both.select(
+        *SERIES, "drug_class", c("_t").alias("date"), "window_start", "window_end", "_side", result(1), result(2), result(3),
+        F.expr(f"max(if(_side = 1, _t, NULL)) OVER (PARTITION BY {', '.join(SERIES)} ORDER BY _t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)").alias("since"),
+        *[first_after(x, f"after_{out}") for x, out in (("_t", "date"), ("value", "value"), ("lab_lo", "lab_lo"), ("lab_hi", "lab_hi"))])
+    found = found.filter(c("_side") == 1).drop("_side")
     near = F.filter(F.array("b1", "b2", "b3"), lambda b: b.isNotNull()
                     & (F.datediff("date", b["day"]) <= LOOK_BACK_DAYS)
                     & (F.col("since").isNull() | (b["day"] > F.col("since"))))
