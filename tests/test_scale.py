@@ -4,11 +4,13 @@ import random
 
 from pyspark.sql import functions as F
 
+from assaytrail.operators import facts as K
 from assaytrail.operators import metadata as M
 from assaytrail.operators import normalise as N
 from assaytrail.operators import response as R
 from assaytrail.operators import review as V
 from assaytrail.operators import trends as T
+from assaytrail.plans.queries import CITED
 from assaytrail.sources import adapters as A
 from assaytrail.streaming import refresh
 from tests.test_normalise import people, printed
@@ -101,3 +103,27 @@ def test_results_around_events_beside_a_plain_search(spark, tmp_path):
     assert {g[:4]: g[4:7] for g in got} == expected and all(g[7] == (days[g[:2]][g[5]] if g[5] else None) for g in got)
     reads = [x for x in _plan(out.select("patient_id", "date", "after_date")).splitlines() if "ReadSchema" in x]
     assert len(reads) == 1 and "value" not in reads[0]                              # days are read once, without what is not used
+
+
+def test_citations_find_all_days_in_one_look_at_the_results(spark, tmp_path):
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=n)
+    points = [(1, "tsh", f"o{n}", n, day(n), 1.0, "<" if n == 7 else None, "A", 1, 1) for n in range(10)] + [(2, "tsh", "x", 99, day(3), 1.0, None, "A", 1, 1)]
+    spark.createDataFrame(points, refresh.POINTS).write.parquet(f"{tmp_path}/points")
+    stored = spark.read.parquet(f"{tmp_path}/points")
+    flags = spark.createDataFrame([(1, "tsh", "early", "RCV_PREV", day(2), day(1), day(1)), (1, "tsh", "late", "RCV_PREV", day(8), day(4), day(4))],
+                                  "patient_id bigint, analyte_id string, flag_id string, rule_id string, date date, ref_first date, ref_last date")
+    periods = spark.createDataFrame([(1, K.SINCE_LAST_VISIT, day(6), day(9), None), (2, K.SINCE_LAST_VISIT, None, None, "none")],
+                                    "patient_id bigint, kind string, period_start date, period_end date, reason string")
+    reports = spark.createDataFrame([(p, r, d, f"R{r}", r, "A") for p, _, _, r, d, *_ in points],
+                                    "patient_id bigint, report_id bigint, collected_at date, label string, label_number int, lab string")
+    base = spark.createDataFrame([(1, "tsh", 1.0, day(0), day(1)), (2, "tsh", 1.0, day(3), day(3))], "patient_id bigint, analyte_id string, baseline double, baseline_first date, baseline_last date")
+    responses = spark.createDataFrame([(1, "tsh", 5, day(6), [(day(5),), (day(3),)], day(9)), (1, "tsh", 6, day(2), [(day(2),)], None), (1, "tsh", 7, day(7), [], None)],
+                                      "patient_id bigint, analyte_id string, event_id bigint, date date, before array<struct<day:date>>, after_date date")
+    cited = K.fact_citations(flags, periods, reports, base, responses, stored)
+    got = sorted((r.section, r.fact_key, r.label) for r in cited.collect())
+    assert got == sorted([("flag", "late", "R4"), ("flag", "late", "R8"), ("limit", "o7", "R7"), ("baseline", "tsh", "R0"), ("baseline", "tsh", "R1"), ("before", "5:tsh", "R3"),
+                          ("before", "5:tsh", "R5"), ("after", "5:tsh", "R9"), *[("result", f"tsh:{day(n)}", f"R{n}") for n in (6, 8, 9)]])
+    used = K.used_reports(flags, periods, reports, reports, base, responses, stored)
+    assert _plan(used).count("FileScan") == 2                                       # the series of the period, and the results
+    assert sorted(r.report_id for r in used.collect()) == [0, 1, 3, 4, 5, 6, 7, 8, 9]
+    assert "observation_id" not in CITED["points"]
