@@ -9,6 +9,7 @@ from assaytrail.operators import metadata as M
 from assaytrail.operators import normalise as N
 from assaytrail.operators import response as R
 from assaytrail.operators import review as V
+from assaytrail.operators import textrows as P
 from assaytrail.operators import trends as T
 from assaytrail.plans.queries import CITED
 from assaytrail.sources import adapters as A
@@ -127,3 +128,38 @@ def test_citations_find_all_days_in_one_look_at_the_results(spark, tmp_path):
     assert _plan(used).count("FileScan") == 2                                       # the series of the period, and the results
     assert sorted(r.report_id for r in used.collect()) == [0, 1, 3, 4, 5, 6, 7, 8, 9]
     assert "observation_id" not in CITED["points"]
+
+
+def test_words_are_placed_as_by_a_walk_through_the_line(spark):
+    rng = random.Random(3)
+    cols = [("test", 0.0, -1e9), ("value", 100.0, 90.0), ("unit", 150.0, 140.0), ("value", 200.0, 190.0)]
+    lines = []
+    for k in range(300):
+        x, words = rng.choice((0.0, 60.0, 85.0, 130.0)), []
+        for _ in range(rng.randint(0, 6)):
+            end = x + rng.choice((10.0, 40.0, 70.0))
+            words.append((x, 0.0, end, 9.0, f"w{len(words)}"))
+            x = end + rng.choice((2.0, 4.9, 5.0, 30.0))
+        lines.append((k, words, ["O"] * len(words), cols if k % 5 else None))
+
+    def column(c, x):
+        return next((kind for kind, _, left in reversed(c) if x >= left), None) if c else None
+
+    def walk(words, c):
+        out, value = [], next((x for kind, x, _ in c or [] if kind == "value"), None)
+        for i, (x0, _, x1, _, _) in enumerate(words):
+            own, before = column(c, (x0 + x1) / 2), out[-1] if out else None
+            keeps = not i or x0 - words[i - 1][2] >= P.CELL_GAP or own == before or (before == "test" and value is not None and x0 >= value)
+            out.append("test" if not i and column(c, x0 + 1) == "test" else own if keeps else before)
+        return out
+
+    rows = spark.createDataFrame(lines, f"k int, words array<{P.WORD}>, tags array<string>, cols array<struct<kind:string,x0:double,left:double>>")
+    rows = rows.withColumns({"plain": P.own_columns(F.col("words"), F.col("tags"), F.col("cols")),
+                             "start": P.column_at(F.col("cols"), F.try_element_at("words", F.lit(1))["x0"] + 1)})
+    got = {r.k: [w.col for w in r.placed] for r in rows.select("k", P.place_words(F.col("plain"), F.col("start"), F.col("cols")).alias("placed")).collect()}
+    expected = {k: walk(words, c) for k, words, _, c in lines}
+    assert got == expected and sum(expected[k] != [column(c, (w[0] + w[2]) / 2) for w in words] for k, words, _, c in lines) > 30
+    texts = {"1 - 2": "1 - 2", "M: 1 - 2 F: 3 - 4": "M: 1 - 2 F: 3 - 4", "0.4 - 4.0: normal": "0.4 - 4.0", "5 : high": "5", "Adult: 7": "Adult: 7", "": ""}
+    ranges = spark.createDataFrame([(t,) for t in texts], "t string").select("t", P.clean_range(
+        F.transform(F.filter(F.split("t", " "), lambda x: x != ""), lambda x: F.struct(x.alias("text")))).alias("r"))
+    assert {r.t: r.r for r in ranges.collect()} == texts
